@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm.textbytes import LOWER, NOT_SPACE, flat, grams, grouped, mix, prefix_hash, slices, span, words
+from veriloom.llm.textbytes import LOWER, NOT_SPACE, SLICE_BYTES, flat, grams, grouped, mix, prefix_hash, slices, span, words
 from veriloom.operators.graph import connected_components
 from veriloom.session import materialised
 
@@ -32,6 +32,19 @@ MU = 0.01
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingle hashes in ascending order, text number of each, set size per text). A text of fewer than
     k words has its whole sequence as its one shingle; without words the set is empty."""
+    parts, first = [], 0
+    while first < len(offsets) - 1:
+        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = min(max(last, first + 1), len(offsets) - 1)
+        value, text, n = _slice_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], k)
+        parts.append((value, text + first, n))
+        first = last
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _slice_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, owner = words(low, offsets, NOT_SPACE)
     n_texts = len(offsets) - 1
