@@ -36,3 +36,76 @@ def position_within(df: DataFrame, group: Sequence[str], order: Sequence[str | C
     for k, n in zip(group, names, strict=True):
         same = same & F.col(k).eqNullSafe(F.col(n))
     return placed.join(shares, same).withColumn(out, F.col("__at") + F.col("__shift")).select(*df.columns, out)
+
+
+def pct_rank(value: str, partition: Sequence[str] = ()) -> Column:
+    """Percentile rank with tied values at their mean: (first rank + (ties - 1) / 2) / rows."""
+    w = Window.partitionBy(*partition)
+    ties = F.count("*").over(Window.partitionBy(*partition, value))
+    return (F.rank().over(w.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(w)
+
+
+def pct_rank_whole(df: DataFrame, value: str, out: str) -> DataFrame:
+    """`pct_rank` over the whole table without one task sorting it: distinct values are counted, placed by range
+    partitions, and joined back."""
+    counts = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    placed = running_total(counts, "__v", "__n", "__upto")
+    total = df.count()
+    rank = (F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2) / F.lit(float(max(1, total)))
+    return df.join(placed.select("__v", rank.alias(out)), F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+
+
+def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+    """Adds the running sum of `amount` in the order of the unique column `order`, range by range."""
+    placed = materialised(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())).withColumn(
+        "__part", F.shiftright("__at", _ROW_BITS)
+    )
+    shares = placed.groupBy(F.col("__part").alias("__p")).agg(F.sum(amount).alias("__s"))
+    shares = shares.withColumn("__before", F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).drop("__s")
+    inside = F.sum(amount).over(Window.partitionBy("__part").orderBy("__at"))
+    return placed.join(shares, F.col("__part") == F.col("__p")).withColumn(out, inside + F.col("__before")).select(*df.columns, out)
+
+
+def zscore(value: str, partition: Sequence[str] = ()) -> Column:
+    """(x - mean) / sample standard deviation; a deviation of 0 or none counts as 1."""
+    w = Window.partitionBy(*partition)
+    deviation = F.coalesce(F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)), F.lit(1.0))
+    return (F.col(value) - F.avg(value).over(w)) / deviation
+
+
+def zscore_whole(df: DataFrame, value: str, out: str) -> DataFrame:
+    """`zscore` over the whole table by one aggregate, not a window."""
+    mean, deviation = df.agg(F.avg(value), F.stddev_samp(value)).first()
+    deviation = deviation if deviation and deviation == deviation else 1.0
+    return df.withColumn(out, (F.col(value) - F.lit(mean)) / F.lit(deviation))
+
+
+def quota(n: int, positives: int = 198, rows: int = 5502) -> int:
+    """n * positives / rows, halves up, in whole numbers."""
+    return min(n, (2 * n * positives + rows) // (2 * rows))
+
+
+def prevalence(n: int, share: float) -> int:
+    return max(0, min(n, int(n * share + 0.5)))
+
+
+def label_top(df: DataFrame, k: int, score: str, tie: str, out: str) -> DataFrame:
+    """`out` is 1 for the k rows of highest score, ties to the smaller tie key, else 0. The k-th row is found by a
+    top-k and the others are compared with it, so no task sorts the table."""
+    if k <= 0:
+        return df.withColumn(out, F.lit(0))
+    last = df.select(score, tie).orderBy(F.desc(score), tie).limit(k).orderBy(F.asc(score), F.desc(tie)).first()
+    if last is None:
+        return df.withColumn(out, F.lit(0))
+    inside = (F.col(score) > F.lit(last[0])) | ((F.col(score) == F.lit(last[0])) & (F.col(tie) <= F.lit(last[1])))
+    return df.withColumn(out, inside.cast("int"))
+
+
+def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key; `order` should end in a unique column."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def batch_id(position: str, size: int) -> Column:
+    """Number of the batch of `size` that a 0-based position falls into."""
+    return F.floor(F.col(position) / size)
