@@ -195,7 +195,7 @@ def _extra_sql() -> str:
         p = f"round7_{t}"
         out += [f"{r.format(f'cand_{t}_score')} AS {p}_score", f"{r.format(f'cand_{t}_rank')} AS {p}_rank", f"{r.format(f'cand_{t}_z')} AS {p}_z", f"cand_{t}_prediction AS {p}_prediction"]
         out += [f"{r.format(f'cand_{t}_{k} - {t}_{k}')} AS {p}_delta_{k}" for k in ("score", "rank", "z")]
-        out.append(f"(cand_{t}_prediction <> {t}_prediction)::INT AS {p}_disagrees_control")
+        out.append(f"(cand_{t}_prediction <> {t}_prediction)::TINYINT AS {p}_disagrees_control")
     out.append(" + ".join(f"cand_{t}_prediction" for t in _TRAJ) + " AS round7_vote_count")
     out.append(" + ".join(f"(cand_{t}_prediction <> {t}_prediction)::INT" for t in _TRAJ) + " AS round7_control_disagreement_count")
     for k in ("rank", "z"):
