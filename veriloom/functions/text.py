@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,11 +122,20 @@ def generator_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("[0-9a-zа-яё]+"), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, where body uses it more than once or inside a loop over an array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def token_ngrams(tokens: Column, width: int) -> Column:
     """All runs of `width` tokens, in order, joined by spaces; none if there are fewer tokens."""
-    last = F.size(tokens) - width + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "))
+
+    def runs(held: Column) -> Column:
+        last = F.size(held) - width + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(held, i, F.lit(width)), " "))
+
+    return let(tokens, runs)
 
 
 def char_wb_ngrams(c: Column | str, low: int = 3, high: int = 5) -> Column:
@@ -186,8 +196,11 @@ def greedy_chunks(c: Column, most: int = 120) -> Column:
         )
 
     words = F.filter(F.split(collapse(c), " "), lambda w: F.length(w) > 0)
-    packed = F.aggregate(words, start, add)
-    return F.when(F.length(packed["open"]) > 0, F.concat(packed["done"], F.array(packed["open"]))).otherwise(packed["done"])
+
+    def close(packed: Column) -> Column:
+        return F.when(F.length(packed["open"]) > 0, F.concat(packed["done"], F.array(packed["open"]))).otherwise(packed["done"])
+
+    return let(F.aggregate(words, start, add), close)
 
 
 def json_object(c: Column, schema: str) -> Column:
