@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.textbytes import LETTERS, LOWER, mix, prefix_hash, slices, span, words
+from veriloom.session import materialised
 
 #: Labelled rows that the classifier is fitted on at most (taken in hash order), and its lexicon's size.
 SAMPLE_ROWS, LEXICON = 20_000, 4_000
+#: Sites that are sent to every task at most; beyond, rows are joined by shuffle.
+BROADCAST_SITES = 100_000
 #: Bytes of a word's head, which is a feature beside the whole word.
 HEAD = 5
 _SYMBOLS = np.zeros(256, bool)
@@ -118,7 +121,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     rated = labels.where("quality is not null and toxic is not null").groupBy(key).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rated = rated.select(key, (1 - F.col("quality")).cast("int").alias("bad"), F.col("toxic").cast("int").alias("toxic"))
     rated = rated.orderBy(F.xxhash64(key), key).limit(sample_rows)
-    sample = documents.select(key, F.coalesce(text, F.lit("")).alias("text")).join(rated, key).select("text", "bad", "toxic")
+    # At most sample_rows rows of two numbers and a key, so texts are picked out where they are read.
+    sample = documents.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(rated), key).select("text", "bad", "toxic")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +250,9 @@ def classify(documents: DataFrame, labels: DataFrame, text: str = "text", key: s
     model = fit(documents, labels, text, key)
     rows = documents.drop(*added)
     scored = evidence(rows.select(host, path, text), model, text).drop(text)
-    sites = posteriors(scored, model, host, path)
+    sites = materialised(posteriors(scored, model, host, path))
+    if sites.count() <= BROADCAST_SITES:  # else rows and sites are shuffled
+        sites = F.broadcast(sites)
     carried = list(columns) if columns is not None else rows.columns
     wide = evidence(rows.select(*dict.fromkeys([*carried, host, path, text])), model, text)
     if text not in carried:
