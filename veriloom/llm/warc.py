@@ -58,7 +58,7 @@ def write_archive(records: DataFrame, path: str, date: str = "2024-01-01T00:00:0
         F.lit("\r\n\r\n"),
     )
     rows = records.select(F.concat(head, block).alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return path
 
 
