@@ -24,6 +24,24 @@ def canonical_struct(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+#: Fixed value: the namespace of row ids.
+ROW_NAMESPACE = "v108-production-row-v1"
+
+
+def identity_keys(id_: Column, name: Column, description: Column, gallery: Column) -> dict[str, Column]:
+    """Keys of a card from its normalised fields and its images' hashes, in file order: of the text, of the gallery whatever
+    its order ("" without images), of both, of the row, and the tie key of the last two."""
+    content = F.sha2(canonical_struct(normalized_name=name, normalized_description=description, gallery_sha256=gallery), 256)
+    row = F.sha2(canonical_struct(namespace=F.lit(ROW_NAMESPACE), id=id_.cast("string")), 256)
+    return {
+        "exact_text_key": F.sha2(F.trim(F.concat(name, F.lit(" "), description)), 256),
+        "gallery_signature": F.when(F.size(gallery) > 0, F.sha2(F.to_json(F.array_sort(gallery)), 256)).otherwise(F.lit("")),
+        "content_hash": content,
+        "runtime_uid": row,
+        "tie_key": F.sha2(canonical_struct(content=content, row=row), 256),
+    }
+
+
 def hmac_sha256(key: str, message: Column) -> Column:
     """HMAC-SHA256 in hex; the key's two pads are constants, so it is two built-in hashes."""
     raw = key.encode()

@@ -120,6 +120,25 @@ def best_evidence(pieces: DataFrame, scores: Mapping[str, Column]) -> DataFrame:
     return best.select("id", F.col("m.score").alias("score"), (-F.col("m.e")).alias("evidence_id"), F.col("m.basis").alias("basis"))
 
 
+def repair_choice(choices: DataFrame, pieces: DataFrame, scores: Mapping[str, Column]) -> DataFrame:
+    """(id, evidence_id, basis, repaired) from choices (id, evidence_id, basis) that a model made.
+
+    A choice stands if its piece and basis exist and score. Else the best-scoring option replaces it; with none, the
+    piece stays if it exists (else the first) and the basis if it is allowed (else the last).
+    """
+    allowed = list(scores)
+    options = F.array(*[F.struct(F.lit(b).alias("basis"), s.cast("int").alias("score")) for b, s in scores.items()])
+    scored = pieces.select("id", "evidence_id", F.explode(options).alias("o")).select("id", "evidence_id", "o.basis", "o.score")
+    held = scored.where("score > 0").select("id", "evidence_id", "basis", F.lit(True).alias("stands"))
+    known = pieces.select("id", "evidence_id", F.lit(True).alias("known"))
+    best = best_evidence(pieces, scores).select("id", F.col("evidence_id").alias("best_id"), F.col("basis").alias("best_basis"))
+    out = choices.join(held, ["id", "evidence_id", "basis"], "left").join(known, ["id", "evidence_id"], "left").join(best, "id", "left")
+    stands = F.col("stands").isNotNull()
+    piece = F.when(stands, F.col("evidence_id")).otherwise(F.coalesce("best_id", F.when(F.col("known").isNotNull(), F.col("evidence_id")).otherwise(0)))
+    basis = F.when(stands, F.col("basis")).otherwise(F.coalesce("best_basis", F.when(F.col("basis").isin(*allowed), F.col("basis")).otherwise(F.lit(allowed[-1]))))
+    return out.select("id", piece.cast("int").alias("evidence_id"), basis.alias("basis"), (~stands).alias("repaired"))
+
+
 def render_comment(piece: Column, phrase: Column) -> Column:
     return F.concat(F.lit("Решающий фрагмент карточки — «"), piece, F.lit("»; он указывает на "), phrase, F.lit("."))
 

@@ -126,6 +126,20 @@ def argmax_evidence(spark, sf_dir):
     return _best(spark, sf_dir)[1]
 
 
+@query(
+    _BEST + ", c AS (SELECT id, (id % 9 - 1)::INT AS evidence_id, CASE WHEN id % 4 = 0 THEN 'nonsense' WHEN id % 2 = 0 THEN 'motion' ELSE 'article' END AS basis FROM cards) "
+    "SELECT c.id, (CASE WHEN o.score > 0 THEN c.evidence_id WHEN b.id IS NOT NULL THEN b.evidence_id WHEN e.id IS NOT NULL THEN c.evidence_id ELSE 0 END)::INT AS evidence_id, "
+    "CASE WHEN o.score > 0 THEN c.basis WHEN b.id IS NOT NULL THEN b.basis WHEN c.basis IN ('motion', 'article', 'other') THEN c.basis ELSE 'other' END AS basis, NOT coalesce(o.score > 0, false) AS repaired "
+    "FROM c LEFT JOIN o ON o.id = c.id AND o.evidence_id = c.evidence_id AND o.basis = c.basis LEFT JOIN best b ON b.id = c.id LEFT JOIN evidence e ON e.id = c.id AND e.evidence_id = c.evidence_id"
+)
+def comment_repair(spark, sf_dir):
+    """Choices made up by id, some of them out of range or not allowed."""
+    rows = _evidence(spark, sf_dir).withColumn("k", F.lower("evidence"))
+    basis = F.when(F.col("id") % 4 == 0, "nonsense").when(F.col("id") % 2 == 0, "motion").otherwise("article")
+    choices = cards(spark, sf_dir).select("id", (F.col("id") % 9 - 1).cast("int").alias("evidence_id"), basis.alias("basis"))
+    return policy.repair_choice(choices, rows, {b: policy.ladder_score(F.col("k"), r) for b, r in _LADDERS.items()})
+
+
 _PHRASE = "CASE basis WHEN 'motion' THEN 'the motion of the goods' WHEN 'article' THEN 'a plain article' ELSE 'another kind of goods' END"
 _COMMENT = f"'Решающий фрагмент карточки — «' || e.evidence || '»; он указывает на ' || {_PHRASE} || '.'"
 

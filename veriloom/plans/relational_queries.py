@@ -149,3 +149,12 @@ def dag_levels(spark, sf_dir):
 
     edges = {"scan": [], "split": ["scan"], "control": ["split"], "candidate": ["split"], "audit": ["control", "candidate"], "gate": ["audit"], "selector": ["gate", "audit"], "bundle": ["selector", "candidate"]}
     return spark.createDataFrame(levels(edges), "stage string, level int")
+
+
+@query("SELECT doc_id AS id, coalesce(l.quality, 1 - doc_id % 2)::INT AS label FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) LEFT JOIN labels l USING (doc_id)")
+def overlay_labels(spark, sf_dir):
+    """Default labels for all documents, replaced by the recorded ones where there are any."""
+    from veriloom.operators.contracts import overlay
+
+    default = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (1 - F.col("doc_id") % 2).cast("int").alias("label"))
+    return overlay(default, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")), "id")

@@ -89,15 +89,27 @@ def feature_text(spark, sf_dir):
     )
 
 
+_NORM = lambda c: f"array_to_string({_words_sql(f'lower({c})')}, ' ')"
+
+
 @query(
-    "WITH " + CARDS + """, c AS (SELECT id, sha256('{"description":' || to_json(description)::VARCHAR || ',"name":' || to_json(name)::VARCHAR || '}') AS content_hash FROM cards)
-SELECT id, content_hash, sha256('{"content":"' || content_hash || '","id":' || id::VARCHAR || '}') AS tie_key, substr(sha256(content_hash || '|' || id::VARCHAR), 1, 24) AS runtime_uid FROM c"""
+    "WITH " + CARDS + f""", n AS (SELECT id, {_NORM('name')} AS n, {_NORM('description')} AS d, list_transform(range(0, image_count), lambda i: sha256('image-' || i::VARCHAR)) AS g FROM cards),
+c AS (SELECT id, sha256(trim(n || ' ' || d)) AS exact_text_key, CASE WHEN len(g) > 0 THEN sha256('[' || array_to_string(list_transform(list_sort(g), lambda x: '"' || x || '"'), ',') || ']') ELSE '' END AS gallery_signature,
+  sha256('{{"gallery_sha256":[' || array_to_string(list_transform(g, lambda x: '"' || x || '"'), ',') || '],"normalized_description":"' || d || '","normalized_name":"' || n || '"}}') AS content_hash,
+  sha256('{{"id":"' || id::VARCHAR || '","namespace":"v108-production-row-v1"}}') AS runtime_uid FROM n)
+SELECT *, sha256('{{"content":"' || content_hash || '","row":"' || runtime_uid || '"}}') AS tie_key FROM c"""
 )
 def identity_keys(spark, sf_dir):
-    """Content hash of the fields, and keys derived from it."""
-    rows = cards(spark, sf_dir).select("id", F.sha2(hashing.canonical_struct(name=F.col("name"), description=F.col("description")), 256).alias("content_hash"))
-    tie = F.sha2(hashing.canonical_struct(id=F.col("id"), content=F.col("content_hash")), 256)
-    return rows.select("id", "content_hash", tie.alias("tie_key"), F.substring(F.sha2(F.concat("content_hash", F.lit("|"), F.col("id").cast("string")), 256), 1, 24).alias("runtime_uid"))
+    """Keys of a card: of its text, of its gallery (stand-in image hashes), of both, and the tie key made of those."""
+    images = F.when(F.col("image_count") > 0, F.transform(F.sequence(F.lit(0), F.col("image_count") - 1), lambda i: F.sha2(F.concat(F.lit("image-"), i.cast("string")), 256)))
+    rows = cards(spark, sf_dir).select("id", text.normalized_words("name").alias("n"), text.normalized_words("description").alias("d"), F.coalesce(images, F.array().cast("array<string>")).alias("g"))
+    return rows.select("id", *[c.alias(k) for k, c in hashing.identity_keys(F.col("id"), F.col("n"), F.col("d"), F.col("g")).items()])
+
+
+@query("WITH " + CARDS + " SELECT id, CASE WHEN image_count <= 1 THEN 1 WHEN image_count = 2 THEN 2 WHEN image_count <= 4 THEN 2 ELSE 3 END AS columns, CASE WHEN image_count <= 2 THEN 1 ELSE 2 END AS rows FROM cards")
+def grid_layout(spark, sf_dir):
+    n = F.col("image_count")
+    return cards(spark, sf_dir).select("id", F.when(n <= 1, 1).when(n <= 4, 2).otherwise(3).alias("columns"), F.when(n <= 2, 1).otherwise(2).alias("rows"))
 
 
 @query("""SELECT p_partkey AS id, sha256('{"brand":' || to_json(p_brand)::VARCHAR || ',"name":' || to_json(p_name)::VARCHAR || ',"size":' || p_size::VARCHAR || '}') AS hash FROM part""")
@@ -199,6 +211,22 @@ def _card_edges(spark, sf_dir):
     return near.union(line).union(similarity.equal_key_edges(rows, "id", "component_key"))
 
 
+@query(
+    _NAMES + ", s AS (SELECT sum(a.w * b.w) AS sim FROM vec a JOIN first fa ON fa.id = a.id JOIN vec b ON a.term = b.term AND a.id < b.id JOIN first fb ON fb.id = b.id WHERE fa.grp <> fb.grp GROUP BY a.id, b.id) "
+    "SELECT (SELECT count(*) - count(DISTINCT component_key) FROM cards) AS duplicate_cards, (SELECT count(*) - count(DISTINCT name) FROM cards) AS duplicate_names, count(*) FILTER (sim >= 0.94) AS cross_group_edges, "
+    "(SELECT round(avg(length(name)), 6) FROM cards) AS mean_chars, (SELECT round(median(length(name)), 6) FROM cards) AS median_chars FROM s"
+)
+def population_audit(spark, sf_dir):
+    """Duplicates, near-equal names across groups, and lengths, in one row."""
+    first, vectors = _name_vectors(spark, sf_dir)
+    edges = similarity.cross_group_similarity(vectors, first.select("id", "grp"), 0.94).select(F.col("n_edges").alias("cross_group_edges"))
+    counts = cards(spark, sf_dir).agg(
+        (F.count("*") - F.count_distinct("component_key")).alias("duplicate_cards"), (F.count("*") - F.count_distinct("name")).alias("duplicate_names"),
+        F.round(F.avg(F.length("name")), 6).alias("mean_chars"), F.round(F.percentile(F.length("name"), F.lit(0.5)), 6).alias("median_chars"),
+    )
+    return counts.join(edges)
+
+
 @query(_EDGES + " SELECT id, component FROM comp")
 def card_components(spark, sf_dir):
     return connected_components(_card_edges(spark, sf_dir)).select(F.col("node").alias("id"), "component")
