@@ -174,7 +174,8 @@ def links(value: np.ndarray, owner: np.ndarray, n: np.ndarray, num: int, den: in
 
 
 def _search(dealt: DataFrame, keys: list[str], k: int, num: int, den: int) -> DataFrame:
-    """(src, dst) links of each group of `keys`; rows have __key, __text, and __label and __query where known."""
+    """(src, dst, whole): each text that links inside its group of `keys`, with the smallest key that links reach there;
+    whole: the group is a whole family. Rows have __key, __text, __parts, and __label and __query where known."""
     labelled = "__label" in dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +189,15 @@ def _search(dealt: DataFrame, keys: list[str], k: int, num: int, den: int) -> Da
                 queries = np.flatnonzero(table.column("__query").to_numpy(zero_copy_only=False))
             found = links(value, owner, n.astype(np.int64), num, den, label, queries)
             if found:
-                a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], names=["src", "dst"])
+                least = np.arange(len(key))  # rows come by key, so the smallest number is the smallest key
+                for a, b in found:
+                    low, high = sorted((least[a], least[b]))
+                    least[least == high] = low
+                linked = np.flatnonzero(np.isin(least, least[np.array(found)[:, 0]]))
+                whole = np.full(len(linked), table.column("__parts")[0].as_py() == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key[linked]), pa.array(key[least[linked]]), pa.array(whole)], names=["src", "dst", "whole"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "__key").mapInArrow(run, "src long, dst long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "__key").mapInArrow(run, "src long, dst long, whole boolean")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -217,28 +223,32 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     members = materialised(families.join(sizes, "__family"))
 
     source = df.select(F.xxhash64(text).alias("__key"), F.col(text).alias("__text"))
-    texts = source.join(members, "__key").dropDuplicates(["__key"])
+    texts = materialised(source.join(members, "__key").dropDuplicates(["__key"]))  # of families only, for both searches
     own = F.pmod(F.xxhash64("__key"), F.col("__parts")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("__parts") - 1)
     parts = F.explode(F.when(F.col("__key") == F.col("__family"), everywhere).otherwise(F.array(own)))
     found = materialised(_search(texts.withColumn("__part", parts), ["__family", "__part"], k, num, den))
-    classes = connected_components(found).select(F.col("node").alias("__key"), F.col("component").alias("__class"))
+    classes = found.where("whole").select(F.col("src").alias("__key"), F.col("dst").alias("__class"))
 
-    large = members.where("__parts > 1").join(classes, "__key", "left").withColumn("__label", F.coalesce("__class", "__key")).drop("__class")
-    if not members.where("__parts > 1").isEmpty():
-        large = materialised(large)
+    def over_parts(links: DataFrame) -> DataFrame:
+        return connected_components(links).select(F.col("node").alias("__key"), F.col("component").alias("__class"))
+
+    large = members.where("__parts > 1")
+    if not large.isEmpty():
+        within = found.where("not whole").drop("whole")
+        large = materialised(large.join(over_parts(within), "__key", "left").withColumn("__label", F.coalesce("__class", "__key")).drop("__class"))
         per_label = large.groupBy("__family", "__label").agg(F.count("*").alias("c"))
         main = per_label.groupBy("__family").agg(F.max(F.struct("c", "__label")).alias("m"), F.sum("c").alias("all"))
         main = main.select("__family", F.col("m.__label").alias("__main"), (F.col("all") - F.col("m.c")).alias("__rest")).where("__rest > 0")
         open_ = large.join(main, "__family").withColumn("__asks", F.ceil(F.col("__rest") / block).cast("int"))
-        told = source.join(open_, "__key").dropDuplicates(["__key"]).withColumn("__part", own)
+        told = texts.select("__key", "__text").join(open_, "__key").withColumn("__part", own)
         ask = F.pmod(F.xxhash64("__key"), F.col("__asks")).cast("int")
         each_ask, each_part = F.explode(F.sequence(F.lit(0), F.col("__asks") - 1)), F.explode(everywhere)
-        columns = ["__family", "__ask", "__part", "__key", "__text", "__label", "__query"]
+        columns = ["__family", "__ask", "__part", "__key", "__text", "__label", "__query", "__parts"]
         held = told.withColumn("__ask", each_ask).withColumn("__query", F.lit(False))
         asked = told.where("__label <> __main").withColumn("__ask", ask).withColumn("__part", each_part).withColumn("__query", F.lit(True))
         more = materialised(_search(held.select(columns).union(asked.select(columns)), ["__family", "__ask", "__part"], k, num, den))
-        classes = connected_components(found.union(more)).select(F.col("node").alias("__key"), F.col("component").alias("__class"))
+        classes = classes.union(over_parts(within.union(more.drop("whole"))))
     rows = base.drop("__prefix").join(classes, "__key", "left")
     return rows.select(*keep, "__n", F.when(F.col("__n") > 0, F.coalesce("__class", "__key")).alias("__class"), "__key")
 
