@@ -77,7 +77,7 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key:
     )
     sizes = {r[0]: r[1] for r in rows.groupBy("__s").agg(F.sum("size")).collect()}
     per_source = source_table(spark, sizes, seed, weights)
-    placed = position_within(rows, ["__s"], ["size", F.xxhash64(key), key, "__h"], "__i")
+    placed = position_within(rows, ["__s"], ["size", key, "__h"], "__i")
     joined = placed.join(per_source, F.col("__s").eqNullSafe(F.col("__source")))
     drawn = [F.sum(_copies(F.col("__offsets")[i]) * F.col("size")) for i in range(DRAWS)]
     taken = joined.groupBy("__source", "target", "__offsets").agg(F.array(*drawn).alias("__taken"))
