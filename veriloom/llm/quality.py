@@ -41,8 +41,8 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.float64)
 
 
-def style(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Shares that set prose apart from junk, one row per text; each lies within [0, 1]."""
+def style(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Shares that set prose apart from junk, one row per text; each lies within [0, 1]. hashes: of the words."""
     n = len(offsets) - 1
     size = np.maximum(1, np.diff(offsets)).astype(np.float64)
     n_words = np.bincount(owner, minlength=n).astype(np.float64)
@@ -55,11 +55,11 @@ def style(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.nd
     out[:, 4] = letters / size
     out[:, 5] = np.minimum(1, letters / np.maximum(1, n_words) / 16)
     out[:, 6] = _sums(_SPACES[data], offsets) / size
-    hashes = mix(span(prefix_hash(data), starts, ends) + np.uint64(3))
-    order = np.lexsort((hashes, owner))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    out[:, 7] = 1 - np.bincount(owner[order][fresh], minlength=n) / np.maximum(1, n_words)
+    # A text's number and 40 bits of a word's hash in one sortable word.
+    keyed = np.sort((owner.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    fresh = np.ones(len(keyed), bool)
+    fresh[1:] = keyed[1:] != keyed[:-1]
+    out[:, 7] = 1 - np.bincount((keyed[fresh] >> np.uint64(40)).astype(np.int64), minlength=n) / np.maximum(1, n_words)
     return out
 
 
@@ -77,7 +77,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: list[tuple[np.ndarr
     low = LOWER[data]
     starts, ends, owner = words(low, offsets, LETTERS)
     tokens = _token_hashes(low, starts, ends)
-    shape = style(data, offsets, starts, ends, owner)
+    shape = style(data, offsets, starts, ends, owner, tokens[0])
     n = len(shape)
     out = np.zeros((n, len(lexicon), N_STYLE + 3))
     out[:, :, 0] = 1
@@ -85,14 +85,19 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: list[tuple[np.ndarr
     for t, (known, odds) in enumerate(lexicon):
         if not len(known):
             continue
+        low_bits = np.zeros(1 << 16, bool)
+        low_bits[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
         best = np.zeros(len(starts))
         for h in tokens:
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            best = np.maximum(best, np.where(known[at] == h, odds[at], 0))
-        out[:, t, N_STYLE + 1] = np.log1p(np.bincount(owner, best > 0, minlength=n))
-        most = np.zeros(n)
-        np.maximum.at(most, owner, best)
-        out[:, t, N_STYLE + 2] = most / 4
+            maybe = np.flatnonzero(low_bits[(h & np.uint64(0xFFFF)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+            best[maybe] = np.maximum(best[maybe], np.where(known[at] == h[maybe], odds[at], 0))
+        found = np.flatnonzero(best)
+        out[:, t, N_STYLE + 1] = np.log1p(np.bincount(owner[found], minlength=n))
+        if len(found):
+            of = owner[found]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            out[of[first], t, N_STYLE + 2] = np.maximum.reduceat(best[found], first) / 4
     return out
 
 
