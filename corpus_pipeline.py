@@ -11,9 +11,22 @@ from veriloom.llm import decontamination, jaccard, mixing, quality, sharding
 from veriloom.session import checkpoint_dir, table
 
 
+def _held(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that a stage looks at, and the others beside them, safe from names that the stage adds."""
+    others = [F.col(c) for c in docs.columns if c not in columns] or [F.lit(True).alias("none")]
+    return docs.select(*columns, F.struct(*others).alias("__row"))
+
+
+def _back(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of docs again, after `_held`."""
+    return rows.select(*[F.col(c) if c in columns else F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    looked_at = ("doc_id", "source", "lang", "text")
+    kept = quality.classify(_held(docs, *looked_at), table(spark, sf_dir, "labels")).where("keep")
+    return _back(kept, docs, *looked_at)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +42,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; copies are rows of their own."""
-    taken = mixing.mix_sources(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return taken.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    looked_at = ("doc_id", "source", "text")
+    taken = mixing.mix_sources(_held(docs, *looked_at), keep=("text", "__row"))
+    copies = taken.where("copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "copies")))
+    return _back(copies, docs, *looked_at)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard."""
-    return sharding.shard(docs).select(*docs.columns, "size", "law", "shard", "grown_shard")
+    """The documents with their shard; columns of the names that are added are replaced."""
+    added = ("size", "law", "shard", "grown_shard")
+    return sharding.shard(docs).select(*[c for c in docs.columns if c not in added], *added)
 
 
 STAGES = [

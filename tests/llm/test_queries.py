@@ -78,3 +78,17 @@ def test_pipeline(spark, documents):
     assert out[5].count() == out[4].count()
     whole = queries.pipeline(spark, SF)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, out[5].collect()))
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    docs = table(spark, SF, "documents").limit(40)
+    for name in ("size", "keep", "copies", "taken", "target", "key", "p_quality", "host_good", "start", "head", "shard"):
+        docs = docs.withColumn(name, F.lit("own"))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.where("size = 'own' and keep = 'own' and copies = 'own'").count() == out.count() > 0
+    last = p.STAGES[-1][1](spark, docs, SF)
+    assert len(set(last.columns)) == len(last.columns) and last.count() == 40
