@@ -175,6 +175,10 @@ def test_sharding(spark, texts):
             assert r["size"] == len(text.encode()) + 8 and r.c == zlib.crc32(text.encode())
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(got) == len(texts) + 20
     assert len({r.shard for r in got if r.doc_id is None}) == 1
+    more = {r.doc_id: r.shard for r in sharding.shard(rows, 25).where("doc_id is not null").collect()}
+    assert more == {r.doc_id: r.grown_shard for r in got if r.doc_id is not None}
+    with pytest.raises(ValueError):
+        sharding.shard(rows, 12)
     ids = spark.range(40_000)
     counts = Counter(r[0] for r in ids.select(sharding.shard_of(F.col("id"), sharding.tree(24))).collect())
     assert min(counts.values()) > 0.85 * 40_000 / 24 and len(counts) == 24

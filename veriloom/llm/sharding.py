@@ -69,23 +69,26 @@ def _descend(key: Column, below: list[tuple[str, float, Column]]) -> Column:
     return out
 
 
-def shard(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text", base: int = 24) -> DataFrame:
     """Adds size, law, shard and grown_shard to every row; `with_slots` numbers them.
 
     Law `key`: the key and the shard count decide the shard; with one more shard (`grown_shard`) a row
-    stays or moves into the new shard. size is the UTF-8 length of the text (null: 0) plus 8. A slot numbers
+    stays or moves into the new shard. `base` is the count that the cluster started with, and stays as it is when
+    n_shards grows: with 25 shards a row is where grown_shard says it is with 24. size is the UTF-8 length of the text (null: 0) plus 8. A slot numbers
     a shard's rows from 0 without gaps, by key and text. Null keys share one shard; repeated rows share
     their shard and take neighbouring slots; an empty table gives an empty result. Columns of `df` with
     the names that are added are replaced.
     """
+    if n_shards < base:
+        raise ValueError(f"{n_shards} shards are fewer than the base of {base}")
     added = ("size", "law", "shard", "grown_shard")
     rows = df.drop(*added)
     rows = rows.withColumns(
         {
             "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8),
             "law": F.lit("key"),
-            "shard": shard_of(F.col(key), tree(n_shards, n_shards)),
-            "grown_shard": shard_of(F.col(key), tree(n_shards + 1, n_shards)),
+            "shard": shard_of(F.col(key), tree(n_shards, base)),
+            "grown_shard": shard_of(F.col(key), tree(n_shards + 1, base)),
         }
     )
     return rows
