@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veriloom.functions.hashing import canonical_sha256
-from veriloom.operators import contracts, features, metrics, pairs, policy, ranking, schedule, scoring, similarity
+from veriloom.operators import contracts, features, metrics, pairs, policy, policy_tables, ranking, schedule, scoring, similarity
 from veriloom.operators.graph import connected_components
 
 
@@ -296,3 +296,18 @@ def test_scorers(spark):
     fit = lambda train: (lambda test: scoring.expert_scores(scoring.linear_expert(train, terms, "y", "w", 1 << 10, 10), test, terms, "e"))
     scored = scoring.out_of_fold(docs, range(5), fit)
     assert scored.count() == 40 and scored.where("e_prediction = y").count() == 40
+
+
+def test_policy_tables(spark):
+    t = policy_tables
+    rows = spark.createDataFrame([(1, 0, "это бад к пище"), (1, 1, "просто supplement"), (2, 0, "спортивное питание и протеин"), (3, 0, "бадминтон")], "id int, evidence_id int, k string")
+    bases = t.allowed(t.SUPPLEMENT, 1, "B")
+    best = {r.id: (r.score, r.evidence_id, r.basis) for r in policy.best_evidence(rows, t.scores(F.col("k"), bases, "B")).collect()}
+    assert best == {1: (6, 0, "explicit_bad_status")}
+    sport = policy.best_evidence(rows, t.scores(F.col("k"), t.allowed(t.SUPPLEMENT, 0, "A"), "A")).where("id = 2").first()
+    assert (sport.score, sport.basis) == (2, "sport_nutrition")
+    kit = spark.createDataFrame([("газовый баллон и спички в комплекте",), ("только в комплекте",)], "k string")
+    assert [r[0] for r in kit.select(t.scores(F.col("k"), ["included_flammable_content"], "B")["included_flammable_content"]).collect()] == [7, 0]
+    assert set(t.MARKERS) == set(t.PHRASES) == {b for v in t.ALLOWED.values() for b in v}
+    assert "mushroom_product" not in t.allowed(t.SUPPLEMENT, 0, "A") and t.phrase("sport_nutrition", "A") != t.phrase("sport_nutrition", "B")
+    assert all(50 <= len(v) <= 300 for v in t.FALLBACK.values())

@@ -104,7 +104,11 @@ def middle_truncate(c: Column | str, limit: int) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, head), F.lit(" … "), F.right(c, F.lit(tail))))
 
 
-def prompt_window(name: Column | str, description: Column | str, title: int = 1000, most: int = 9000, head: int = 6500, tail: int = 2500, empty: str = "[нет]", gap: str = "\n[середина длинного текста опущена]\n") -> Column:
+#: What stands for an empty field and for the middle of a long body.
+EMPTY_FIELD, LEFT_OUT = "[нет]", "\n[середина длинного текста опущена]\n"
+
+
+def prompt_window(name: Column | str, description: Column | str, title: int = 1000, most: int = 9000, head: int = 6500, tail: int = 2500, empty: str = EMPTY_FIELD, gap: str = LEFT_OUT) -> Column:
     """The two fields as prompt lines; a long body keeps its head and tail, an empty field says so."""
     field = lambda c: F.coalesce(F.nullif(F.trim(_col(c)), F.lit("")), F.lit(empty))
     body = field(description)
