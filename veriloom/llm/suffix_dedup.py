@@ -237,9 +237,10 @@ def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
     whole = copies.where((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
 
     every = _occurrences(df, text)
-    often = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    found = materialised(every.join(often, "core").distinct())
-    alike = found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    # Written on either side of the join: its tasks can be split where a core is very common only if they do nothing else.
+    often = materialised(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    found = materialised(materialised(every.join(often, "core")).distinct())
+    alike = materialised(found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("key").alias("least")))
     per_core = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
     twice = found.join(alike.where("n > 1").select("core", "around"), ["core", "around"])
     reach = copies.select("key", "size").distinct()
