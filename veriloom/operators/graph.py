@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if len(hops) == rounds:
             raise RuntimeError(f"components did not settle within {rounds} rounds")
         both = live.select(F.col("u").alias("node"), F.col("v").alias("other")).union(live.select("v", "u"))
-        near = both.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("to"))
+        # Written before it is followed: the join's tasks can then be split at a label that many nodes have.
+        near = materialised(both.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("to")))
         hop = materialised(_follow(near, near))
         hops.append(hop)
         at_u = hop.select(F.col("node").alias("u"), F.col("to").alias("a"))

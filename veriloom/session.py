@@ -42,3 +42,14 @@ def materialised(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder: later readers neither recompute it nor lose it with an executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of an Arrow batch of texts, unless the session sets its own.
+BATCH_BYTES, _BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as ten thousand long texts fill an executor. Plans read the setting when they
+    run, so it stays; a session that has set it keeps its own."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
