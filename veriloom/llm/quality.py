@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.textbytes import LETTERS, LOWER, mix, prefix_hash, slices, span, words
-from veriloom.session import materialised
+from veriloom.session import bound_batches, materialised
 
 #: Labelled rows that the classifier is fitted on at most (taken in hash order), and its lexicon's size.
 SAMPLE_ROWS, LEXICON = 20_000, 4_000
@@ -167,7 +167,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
                 x = features(data, offsets, chosen).reshape(rows.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([rows.column("bad"), rows.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["bad", "toxic", "x"])
 
-    held = sample.mapInArrow(vectors, "bad int, toxic int, x array<double>").orderBy("bad", "toxic", "x").collect()
+    # At most sample_rows rows, put in one order so that sums are the same in every run.
+    held = sorted(sample.mapInArrow(vectors, "bad int, toxic int, x array<double>").collect())
     x = np.array([r[2] for r in held], float).reshape(len(held), len(chosen), width)
     weights, prior = [], []
     for t, total in enumerate(of_class):
@@ -251,6 +252,7 @@ def classify(documents: DataFrame, labels: DataFrame, text: str = "text", key: s
     the intercept's evidence; repeated rows are judged alike; an empty table gives an empty result; without
     usable labels every row has the evidence 0. columns: those of documents to carry (default: all).
     """
+    bound_batches(documents.sparkSession)
     added = ["host_good", "path_good", "p_quality", "p_toxic", "keep"]
     model = fit(documents, labels, text, key)
     rows = documents.drop(*added)
