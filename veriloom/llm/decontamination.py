@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.textbytes import LETTERS, LOWER, flat, grams, mix, prefix_hash, slices, span, words
-from veriloom.session import materialised
+from veriloom.session import bound_batches, materialised
 
 #: Words of a window, and of a fingerprint's k-gram: among any WINDOW - GRAM + 1 neighbouring k-grams one is kept.
 WINDOW, GRAM = 10, 5
@@ -157,6 +157,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     empty tables give no hits; documents' own columns stay, those named __n_words, __hits or __items are replaced.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     out = documents.drop("__n_words", "__hits", "__items").withColumns(
         {
             "__n_words": F.lit(0).cast("long"),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from veriloom.llm.textbytes import LOWER, NOT_SPACE, SLICE_BYTES, flat, grams, grouped, mix, prefix_hash, slices, span, words
 from veriloom.operators.graph import connected_components
-from veriloom.session import materialised
+from veriloom.session import bound_batches, materialised
 
 #: Share of a set's size that a prefix holds beyond the least that could be needed.
 SPARE = 0.05
@@ -209,6 +209,7 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     the largest one are searched against every part, in blocks. No pair is capped or sampled. Shingles are
     64-bit hashes. An empty table gives an empty result; repeated rows are copies.
     """
+    bound_batches(df.sparkSession)
     base = materialised(signatures(df, text, list(keep), k, num, den))
     entries = base.select("__key", "__n", F.explode("__prefix").alias("__h"))
     seen = entries.groupBy("__h").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count("*").alias("__df"))
@@ -216,7 +217,8 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     ranked = common.groupBy("__key", "__n").agg(F.array_sort(F.collect_set(F.struct("__df", "__h"))).alias("s"))
     n_kept = F.size("s") - _fewest_shared(F.col("__n"), num, den) + 1
     kept = materialised(ranked.where(n_kept > 0).select("__key", F.explode(F.slice("s", 1, n_kept)).alias("e")).select("__key", F.col("e.__h").alias("__h")))
-    heads = kept.groupBy("__h").agg(F.min("__key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # Written, so that the join with it has tasks of its own, which can be split at very common shingles.
+    heads = materialised(kept.groupBy("__h").agg(F.min("__key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
     star = kept.join(heads, "__h").where(F.col("__key") != F.col("head")).select("__key", "head").distinct()
     families = connected_components(star, "__key", "head").select(F.col("node").alias("__key"), F.col("component").alias("__family"))
     sizes = families.groupBy("__family").agg(F.ceil(F.count("*") / block).cast("int").alias("__parts"))

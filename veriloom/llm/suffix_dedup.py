@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.llm.textbytes import flat, grouped, mix, prefix_hash, slices, span
-from veriloom.session import materialised
+from veriloom.session import bound_batches, materialised
 
 LENGTH, GRAM, WINDOW = 400, 16, 100
 #: Bytes from an anchor on that every string with that anchor holds.
@@ -233,6 +233,7 @@ def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
     strings of a core are dealt out by the half side that they share, so boilerplate in unlike contexts
     spreads over all tasks. Hashes are 64 bits wide.
     """
+    bound_batches(df.sparkSession)
     copies = df.groupBy(F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("size")).agg(F.count("*").alias("n"))
     whole = copies.where((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
 

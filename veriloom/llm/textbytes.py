@@ -1,7 +1,8 @@
 """Vectorised kernels over whole UTF-8 texts, shared by the operators of this subpackage.
 
 Texts of an Arrow batch are handled as one byte buffer with offsets; batches are cut into slices of
-about `SLICE_BYTES` (a longer text is a slice of its own), so memory does not grow with the batch.
+about `SLICE_BYTES` (a longer text is a slice of its own), so memory does not grow with the batch, and workers that
+Spark keeps between stages stay small.
 Hashes are polynomials modulo 2**64 over a fixed random byte table, finished by a mixer.
 """
 
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.session import checkpoint_dir
+from veriloom.session import bound_batches, checkpoint_dir
 
 #: Fixed values of the WARC 1.1 format.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -127,6 +127,7 @@ def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: s
     archive. Files hold RECORDS_PER_FILE records at most, so one page is the largest thing held beside them.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = folder or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     text = F.coalesce(payload, F.lit(""))
     raw = pages.select(
