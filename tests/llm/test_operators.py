@@ -245,6 +245,27 @@ def test_html_text(spark):
     assert any(p == 6 and n == len("long words " * 40_000) - 1 for p, _, n in out) and any(p == 7 for p, _, _ in out)
 
 
+@pytest.mark.parametrize("wrapper", ["div class='site-content has-sidebar'", "div class=no-sidebar", "div id=layout-right-sidebar", "div class='row menu-open'", "form action=x.aspx", "div class=postAdFree"])
+def test_html_layout_wrappers(wrapper):
+    """A wrapper with a boilerplate name is layout; marked blocks beside or inside the article stay out."""
+    want = html_text.main_text(PAGE)
+    body = PAGE[PAGE.index("<article>") :].replace("</body></html>", "")
+    tag = wrapper.split()[0]
+    wrapped = f"<html><body><nav>Home and more</nav><{wrapper}>{body}</{tag}></body></html>"
+    assert html_text.main_text(wrapped) == want
+    assert html_text.main_text(wrapped.replace("<article>", "<main><article>").replace("</article>", "</article></main>")) == want
+    assert html_text.main_text(f"<main><p>x</p><{wrapper}>{body}</{tag}></main>").endswith(want)
+    bare = html_text.main_text(wrapped.replace("<article>", "<div>").replace("</article>", "</div>"))
+    assert "First long paragraph" in bare and "Last paragraph" in bare and not re.search("footer|reader says|Sign up|Related|Buy this", bare)
+
+
+def test_html_long_comments_stay_out():
+    comments = "<section id=comments>" + "<article><p>A reader says that this is a very long comment with many words in it.</p></article>" * 30 + "</section>"
+    text = "One paragraph of the text, with words enough to be dense."
+    for tag in ("div", "article"):
+        assert html_text.main_text(f"<body><{tag}><p>{text}</p><p>{text}</p></{tag}>{comments}</body>") == f"{text}\n{text}"
+
+
 def test_html_pages_of_the_tables(spark):
     """Article text of the tables' pages, taken with a pattern that fits only them."""
     import html
