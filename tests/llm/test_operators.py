@@ -266,6 +266,22 @@ def test_html_long_comments_stay_out():
         assert html_text.main_text(f"<body><{tag}><p>{text}</p><p>{text}</p></{tag}>{comments}</body>") == f"{text}\n{text}"
 
 
+def test_html_article_over_sibling_blocks():
+    """Without <article>, text beside the block that holds most of it is kept."""
+    line = lambda i: f"Sentence number {i} of this article, which is long enough to be dense."
+    p = lambda a, b: "".join(f"<p>{line(i)}</p>" for i in range(a, b))
+    head, n = "<h1>Title</h1><p>A short intro.</p>", 20
+    want = ["Title", "A short intro.", *map(line, range(n))]
+    for body in (
+        f"<div>{head}<section>{p(0, 14)}</section><section>{p(14, n)}</section></div>",
+        f"<div>{head}{p(0, 3)}<blockquote>{p(3, 17)}</blockquote>{p(17, n)}</div>",
+        f"<div>{head}<ul><li>" + "<li>".join(map(line, range(n))) + "</ul></div>",
+        f"<div>{head}{p(0, 2)}<table><tr><td>{p(2, 18)}</td><td>{p(18, n)}</td></tr></table></div>",
+    ):
+        got = html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>All the long footer words that go on and on</footer></body></html>")
+        assert got.split("\n") == want
+
+
 def test_html_pages_of_the_tables(spark):
     """Article text of the tables' pages, taken with a pattern that fits only them."""
     import html
