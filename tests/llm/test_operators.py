@@ -357,3 +357,41 @@ def test_licenses(spark):
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert licenses.scan(source.limit(0)).count() == 0
+
+
+HEADERS = {
+    "mit": "Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one",
+}
+
+
+def granted(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("confirmed").collect()
+    return sorted((r.doc_id, r.paragraph, r.family) for r in rows)
+
+
+def test_licenses_of_wrapped_headers(spark):
+    texts = [f"a\n\n{t}" for t in HEADERS.values()] + ["/*\n * " + t.replace("\n", "\n * ") + "\n */" for t in HEADERS.values()] + ["dnl " + t.replace("\n", "\ndnl ") for t in HEADERS.values()]
+    got = granted(spark, texts)
+    assert [(d, f) for d, _, f in got] == [(i, f) for i, f in enumerate([*HEADERS] * 3)]
+    assert [p for _, p, _ in got[:4]] == [4, 2, 2, 2]
+
+
+def test_licenses_by_short_name(spark):
+    names = {
+        "Distributed under GPL-3.0": ["gpl"], "CC-BY-SA 4.0": ["cc-by-sa"], "Apache-2.0": ["apache"], "Dual MIT/GPLv2": ["gpl", "mit"], "SPDX-License-Identifier: BSD-3-Clause": ["bsd"], "MPL-2.0": ["mpl"],
+        "CC-BY-4.0": ["cc-by"], "CC-BY-NC-4.0": ["cc-by-nc"], "SPDX-License-Identifier: MIT": ["mit"], "Distributed under the MIT License": ["mit"], "LGPL-2.1": [], "er kam mit den anderen": [], "a lecture at MIT": [], "an Apache server": [],
+        "permission was granted to modify the binary": [], "CC-BY-NC-SA 4.0": [],
+    }
+    assert granted(spark, names) == sorted((i, 0, f) for i, fs in enumerate(names.values()) for f in fs)
+
+
+def test_license_keys_lose_nothing():
+    """A text without any of the keys of a template that does not name its licence cannot hold CONFIRM of it."""
+    for name in ("bsd-0", "mit-1", "mit-0"):
+        grams = [g for _, t, g, _ in licenses.template_grams() if t == name]
+        left = [g for g in grams if not re.search(rf"(?:^| )(?:{licenses.KEYS[name]})(?: |$)", g)]
+        assert len(left) < licenses.CONFIRM * len(grams)
+    assert all(re.search(licenses._HINT, t.lower()) for family in licenses.TEMPLATES.values() for t in family)

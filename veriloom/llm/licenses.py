@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from collections.abc import Iterable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriloom.functions.text import let
+from veriloom.session import materialised
+
 #: Opening or grant sentences of public licences, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
@@ -45,10 +49,31 @@ BACKGROUND = (
     "A license may be obtained from the ministry",
 )
 UNKNOWN = "unknown"
-#: A paragraph is looked at if it has one of these; nothing else grants a licence here.
+#: A line is classified by itself if it has one of these; paragraphs of several lines, and others, see `grants`.
 CUE = r"(?i)licen[cs]|copyright|\bspdx\b|redistribut|permission is hereby granted|creative commons|\bcc by"
 #: Longest word n-gram; share of a template's shingles that confirms a prediction; probability below which the class is unknown.
 N_MAX, CONFIRM, CERTAIN = 3, 0.7, 0.5
+#: Words one of which a paragraph needs beside CONFIRM of a template: the licence's name, or, of the two templates without
+#: one, words of which one is in every text that reaches CONFIRM.
+KEYS: dict[str, str] = {
+    "apache-0": "apache", "apache-1": "apache", "bsd-0": "redistribution|binary|modification|permitted", "bsd-1": "bsd", "cc-by-0": "cc by", "cc-by-1": "creative commons",
+    "cc-by-nc-0": "cc by nc", "cc-by-nc-1": "noncommercial", "cc-by-sa-0": "cc by sa", "cc-by-sa-1": "sharealike", "gpl-0": "gnu", "gpl-1": "gnu", "mit-0": "the mit|mit licen[cs]e",
+    "mit-1": "hereby|granted|obtaining|documentation", "mpl-0": "mozilla",
+}
+#: Short names by family, as SPDX and common use write them; MIT only where the context is a licence's.
+SHORT: dict[str, str] = {
+    "apache": r"\bApache-2\.0\b", "bsd": r"\b(?:0BSD\b|BSD-[1-4]-Clause)", "cc-by": r"\bCC[- ]BY[- ][1-4]\.\d\b", "cc-by-nc": r"\bCC[- ]BY-NC[- ][1-4]\.\d\b", "cc-by-sa": r"\bCC[- ]BY-SA[- ][1-4]\.\d\b",
+    "gpl": r"\bGPL(?:-[1-3]\.\d|[- ]?v[1-3])",
+    "mit": r"SPDX-License-Identifier:[^\n]*\bMIT\b|(?:[Dd]ual|[Ll]icen[cs]ed under|[Rr]eleased under|[Dd]istributed under)(?: the)?\s+MIT\b|\bMIT ?/ ?(?:L?GPL|Apache|BSD|X11)|\b(?:L?GPL[-v.\d]*|Apache-2\.0|BSD[-\w]*) ?/ ?MIT\b",
+    "mpl": r"\bMPL(?:-|v| )?[12]\.\d",
+}
+#: A lower-case text without this has neither a key nor a short name.
+_HINT = (
+    r"(?<![a-z0-9])(?:apache|0?bsd|cc[^a-z0-9]+by|commons|noncommercial|sharealike|gnu|gpl|lgpl|mozilla|mpl|redistribution|binary|modification|permitted|hereby|granted|obtaining|documentation"
+    r"|the[^a-z0-9]+mit(?![a-z0-9])|(?:dual|under)\s+mit(?![a-z0-9])|spdx-license-identifier:[^\n]*mit|mit[^a-z0-9]+licen[cs]e|mit ?/)"
+)
+#: Comment marks that are words.
+_COMMENT = r"(?i)^\s*(?:dnl|rem)\s"
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -116,47 +141,132 @@ def template_grams() -> list[tuple[str, str, str, float]]:
     return out
 
 
-def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(`keep`, paragraph, family, probability, similarity, confirmed) for every paragraph with a licence cue.
+def _normal(line: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
-    Paragraphs are lines, numbered from 0. family is the class of the highest probability, or "unknown" if that is
-    below CERTAIN. similarity is the greatest share of a template's n-grams, of that family, that the
-    paragraph holds; confirmed says whether it reaches CONFIRM. Each distinct paragraph is classified once,
-    so a line that a third of the documents share costs one classification. Null texts have no paragraph; repeated
-    rows are reported each; an empty table gives an empty result. The model's size depends on the templates alone.
-    """
-    spark = documents.sparkSession
-    weights, bias = trained()
-    lines = documents.select(*keep, F.col(text).alias("__text")).where(F.col("__text").rlike(CUE))
-    lines = lines.select(*keep, F.posexplode(F.split("__text", "\n")).alias("paragraph", "__line")).where(F.col("__line").rlike(CUE))
-    lines = lines.withColumn("__norm", F.array_join(F.regexp_extract_all(F.lower("__line"), F.lit("[a-z0-9]+"), 0), " ")).drop("__line")
-    distinct = lines.select("__norm").distinct()
-    tokens = F.split("__norm", " ")
-    size = F.size(tokens)
 
-    def of_length(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), size), lambda i: i + n - 1 <= size)
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+def _list(words: Iterable[str]) -> Column:
+    return F.split(F.lit("|".join(sorted(words))), r"\|")
 
-    of_n = [of_length(n) for n in range(1, N_MAX + 1)]
-    grams = distinct.withColumn("__grams", F.array_distinct(F.concat(*of_n))).withColumn("__scale", F.lit(1.0) / F.sqrt(F.size("__grams").cast("double")))
-    exploded = grams.select("__norm", "__scale", F.explode("__grams").alias("gram"))
+
+def _all_grams(norm: Column) -> Column:
+    """Distinct word n-grams; the tokens are bound once and read by position, as a line may be long."""
+
+    def of_length(tokens: Column, n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: i + n <= F.size(tokens))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[tokens[i + k] for k in range(n)]))
+
+    def of_tokens(tokens: Column) -> Column:
+        return F.array_distinct(F.concat(*[of_length(tokens, n) for n in range(1, N_MAX + 1)]))
+
+    return let(F.split(norm, " "), of_tokens)
+
+
+def _with_grams(distinct: DataFrame, all_: bool) -> DataFrame:
+    """Adds __grams, those of __norm that the model or a template knows, and __scale, by all grams or by those."""
+    known = {g for _, g in trained()[0]} | {g for _, _, g, _ in template_grams()}
+    of = lambda grams: let(F.array_intersect(grams, _list(known)), lambda held: F.struct(held.alias("held"), F.greatest(F.lit(1), F.size(grams if all_ else held)).alias("n")))
+    rows = distinct.withColumn("__g", let(_all_grams(F.col("__norm")), of))
+    return rows.select(*distinct.columns, F.col("__g.held").alias("__grams"), (F.lit(1.0) / F.sqrt(F.col("__g.n").cast("double"))).alias("__scale"))
+
+
+def _probabilities(grams: DataFrame) -> DataFrame:
+    """(__norm, family, p) of every family."""
+    spark = grams.sparkSession
+    weights, bias = trained()
     model = _rows(spark, [(f, g, w) for (f, g), w in weights.items()], ["family", "gram", "w"])
+    exploded = grams.select("__norm", "__scale", F.explode("__grams").alias("gram"))
     summed = exploded.join(model, "gram").groupBy("__norm", "__scale", "family").agg(F.sum("w").alias("z"))
     start = _rows(spark, list(bias.items()), ["family", "b"])
-    pairs = distinct.withColumn("family", F.explode(F.array(*[F.lit(f) for f in bias])))
+    pairs = grams.select("__norm").withColumn("family", F.explode(F.array(*[F.lit(f) for f in bias])))
     logits = pairs.join(summed, ["__norm", "family"], "left").join(start, "family")
     logits = logits.withColumn("z", F.col("b") + F.coalesce(F.col("__scale") * F.col("z"), F.lit(0.0)))
     total = F.sum(F.exp("z")).over(Window.partitionBy("__norm"))
-    ranked = logits.withColumn("p", F.exp("z") / total).groupBy("__norm").agg(F.max(F.struct("p", "family")).alias("m"))
+    return logits.select("__norm", "family", (F.exp("z") / total).alias("p"))
+
+
+def _classified(distinct: DataFrame) -> DataFrame:
+    """(__norm, family, probability, similarity, confirmed) of lines, each by itself."""
+    spark = distinct.sparkSession
+    grams = _with_grams(distinct, all_=True)
+    ranked = _probabilities(grams).groupBy("__norm").agg(F.max(F.struct("p", "family")).alias("m"))
     known = F.when(F.col("m.p") >= CERTAIN, F.col("m.family")).otherwise(F.lit(UNKNOWN))
     predicted = ranked.select("__norm", known.alias("family"), F.round("m.p", 4).alias("probability"))
     templates = _rows(spark, template_grams(), ["family", "template", "gram", "n"])
+    exploded = grams.select("__norm", F.explode("__grams").alias("gram"))
     shared = exploded.join(templates, "gram").groupBy("__norm", "family", "template").agg((F.count("*") / F.max("n")).alias("s"))
     best = shared.groupBy("__norm", "family").agg(F.round(F.max("s"), 4).alias("similarity"))
     out = predicted.join(best, ["__norm", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    joined = lines.join(out.withColumn("confirmed", F.col("similarity") >= CONFIRM), "__norm")
-    return joined.select(*keep, "paragraph", "family", "probability", "similarity", "confirmed")
+    return out.withColumn("confirmed", F.col("similarity") >= CONFIRM)
+
+
+def _found(paragraph: Column) -> Column:
+    """Array of (family, similarity) of the grants in a paragraph: short names, and templates of any family held to CONFIRM with a
+    key of theirs, unless one of another family that is alike (the two share half of their grams) is held to a greater share."""
+    held: dict[tuple[str, str], set[str]] = {}
+    for family, template, gram, _ in template_grams():
+        held.setdefault((family, template), set()).add(gram)
+    at = {k: i for i, k in enumerate(held)}
+    known = _list(set().union(*held.values()))
+
+    def of_shares(norm: Column, shares: Column) -> Column:
+        out = []
+        for family in TEMPLATES:
+            granted = paragraph.rlike(SHORT[family])
+            for k in (k for k in held if k[0] == family):
+                alike = [shares[at[o]] for o in held if o[0] != family and 2 * len(held[o] & held[k]) >= min(len(held[o]), len(held[k]))]
+                named = norm.rlike(rf"(?:^| )(?:{KEYS[k[1]]})(?: |$)")
+                fits = [shares[at[k]] >= CONFIRM, named, *[shares[at[k]] >= o for o in alike]]
+                granted = granted | reduce(lambda a, b: a & b, fits)
+            most = F.array_max(F.array(*[shares[at[k]] for k in held if k[0] == family]))
+            out.append(F.when(granted, F.struct(F.lit(family).alias("family"), F.round(most, 4).alias("similarity"))))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    def of_norm(norm: Column) -> Column:
+        shares = lambda grams: F.array(*[F.size(F.array_intersect(grams, _list(g))) / F.lit(float(len(g))) for g in held.values()])
+        return let(let(F.array_intersect(_all_grams(norm), known), shares), lambda x: of_shares(norm, x))
+
+    return let(_normal(paragraph), of_norm)
+
+
+def grants(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`scan`'s columns for every grant that `scan` does not confirm on a line by itself: paragraphs are consecutive lines
+    with letters or digits, numbered by their first line, and all of them are compared with the templates and short
+    names of all families. A paragraph may grant several. probability is the model's for the family.
+    """
+    lines = F.transform(
+        F.split(F.col(text), "\n"),
+        lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(F.lit("\2"), i.cast("string"), F.lit("\3"), F.regexp_replace(F.translate(x, "\1\2\3", ""), _COMMENT, " "))).otherwise(F.lit("\1")),
+    )
+    parts = documents.where(F.lower(F.col(text)).rlike(_HINT)).select(*keep, F.explode(F.split(F.array_join(lines, "\n"), "\1")).alias("__part"))
+    parts = parts.where(F.lower(F.regexp_replace("__part", "\2\\d+\3", "")).rlike(_HINT))
+    number = F.regexp_extract("__part", "\2(\\d+)\3", 1).cast("int")
+    rows = parts.select(*keep, number.alias("paragraph"), F.trim(F.regexp_replace("__part", "\2\\d+\3", "")).alias("__text"))
+    rows = rows.select("*", F.explode(_found(F.col("__text"))).alias("__f"))
+    rows = materialised(rows.select(*keep, "paragraph", "__text", _normal(F.col("__text")).alias("__norm"), "__f.family", "__f.similarity"))
+    each = rows.select("__text", "family", F.explode(F.split("__text", "\n")).alias("__line")).where(F.col("__line").rlike(CUE)).select("__text", "family", _normal(F.col("__line")).alias("__norm"))
+    by_line = _classified(each.select("__norm").distinct()).where("confirmed").select("__norm", "family")
+    done = each.join(by_line, ["__norm", "family"], "left_semi").select("__text", "family").distinct()
+    new = rows.join(done, ["__text", "family"], "left_anti")
+    p = _probabilities(_with_grams(new.select("__norm").distinct(), all_=False)).select("__norm", "family", F.round("p", 4).alias("probability"))
+    return new.join(p, ["__norm", "family"]).select(*keep, "paragraph", "family", "probability", "similarity", F.lit(True).alias("confirmed"))
+
+
+def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(`keep`, paragraph, family, probability, similarity, confirmed) for every line with a licence cue, and for every
+    paragraph with a grant that no line of it confirms (see `grants`; `scan_sql` gives the lines only).
+
+    Lines are numbered from 0. family is the class of the highest probability, or "unknown" if that is
+    below CERTAIN. similarity is the greatest share of a template's n-grams, of that family, that the
+    line holds; confirmed says whether it reaches CONFIRM. Each distinct line is classified once,
+    so a line that a third of the documents share costs one classification. Null texts have no paragraph; repeated
+    rows are reported each; an empty table gives an empty result. The model's size depends on the templates alone.
+    """
+    lines = documents.select(*keep, F.col(text).alias("__text")).where(F.col("__text").rlike(CUE))
+    lines = lines.select(*keep, F.posexplode(F.split("__text", "\n")).alias("paragraph", "__line")).where(F.col("__line").rlike(CUE))
+    lines = lines.withColumn("__norm", _normal(F.col("__line"))).drop("__line")
+    joined = lines.join(_classified(lines.select("__norm").distinct()), "__norm")
+    return joined.select(*keep, "paragraph", "family", "probability", "similarity", "confirmed").unionByName(grants(documents, text, keep))
 
 
 def scan_sql(table: str = "documents") -> str:
