@@ -395,3 +395,15 @@ def test_license_keys_lose_nothing():
         left = [g for g in grams if not re.search(rf"(?:^| )(?:{licenses.KEYS[name]})(?: |$)", g)]
         assert len(left) < licenses.CONFIRM * len(grams)
     assert all(re.search(licenses._HINT, t.lower()) for family in licenses.TEMPLATES.values() for t in family)
+
+
+def test_licenses_in_long_lines(spark):
+    """A whole template in a line of any length, and two of different families in one line."""
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"{rng.choice(WORDS)} w{rng.randint(0, 99)}" for _ in range(n))
+    grant = {f: t[-1] for f, t in licenses.TEMPLATES.items()}
+    texts = [f"{filler(400)} {t} {filler(400)}" for t in grant.values()] + [f"{filler(300)} {grant['mit']} {filler(300)} {grant['gpl']} {filler(5000)}"]
+    want = [(i, 0, f) for i, f in enumerate(grant) if f != "apache"] + [(len(grant), 0, "gpl"), (len(grant), 0, "mit")]
+    apache = f"{filler(400)} {licenses.TEMPLATES['apache'][0]} {filler(400)}"
+    texts[list(grant).index("apache")] = apache
+    assert granted(spark, texts) == sorted([*want, (list(grant).index("apache"), 0, "apache")])
