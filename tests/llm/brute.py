@@ -27,6 +27,16 @@ def remove_repeats(texts: list[str | None], length: int = 400) -> list[tuple[int
     return out
 
 
+def starts_elsewhere(texts: list[str | None], length: int) -> list[bool]:
+    """Whether a string of `length` bytes of the text also starts at another place, copies of a text taken as one."""
+    seen: dict[bytes, int] = defaultdict(int)
+    for r in {(t or "").encode() for t in texts}:
+        for i in range(len(r) - length + 1):
+            seen[r[i : i + length]] += 1
+    raw = [(t or "").encode() for t in texts]
+    return [any(seen[r[i : i + length]] > 1 for i in range(len(r) - length + 1)) for r in raw]
+
+
 def shingles(text: str | None, k: int) -> set[tuple[str, ...]]:
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:

@@ -53,6 +53,19 @@ def test_suffix_dedup(spark, texts):
     assert rows[0].key == "clash"
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in rows)
     assert suffix_dedup.remove_repeats(frame(spark, texts).limit(0)).count() == 0
+    longer, least = (brute.starts_elsewhere(texts, n) for n in (suffix_dedup.SHARED, suffix_dedup.NEAR))
+    for r, whole, some in zip(rows, longer, least, strict=True):
+        assert (not whole or r.n_shared) and (some or not r.n_shared)
+
+
+def test_suffix_dedup_of_hot_cores(spark, texts, monkeypatch):
+    """With room for few surroundings, common cores have their strings hashed; the rows are the same."""
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 2)
+    rng = random.Random(3)
+    passage = prose(rng, 110)
+    many = texts[:40] + [prose(rng, 25) + passage[rng.randint(0, 90) :] + prose(rng, 25) for _ in range(40)]
+    rows = suffix_dedup.remove_repeats(frame(spark, many)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute.remove_repeats(many)
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -38,7 +38,7 @@ def documents(spark):
 
 def test_suffix_dedup(spark, documents):
     got = queries.op1_suffix_dedup(spark, SF).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute.remove_repeats([t for _, t in documents])
+    assert [tuple(r)[1:5] for r in got] == brute.remove_repeats([t for _, t in documents])
 
 
 def test_decontamination(spark, documents):

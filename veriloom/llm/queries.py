@@ -13,7 +13,7 @@ from veriloom.session import table
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

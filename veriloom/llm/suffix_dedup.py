@@ -5,7 +5,8 @@ occurrences select it (winnowing), at one offset, and the CORE bytes that follow
 places whose CORE repeats are anchors; strings around an anchor differ only in less than WINDOW bytes at either
 side. Anchors with the same whole surroundings repeat as a whole. For those that differ, the sides are
 inserted into a Burrows-Wheeler transform one symbol per string and round, with the core as one symbol;
-a common prefix that spans the needed symbols is a repeated string.
+a common prefix that spans the needed symbols is a repeated string. A core with so many surroundings that they do
+not fit a transform has each of its strings hashed whole and counted instead.
 """
 
 from __future__ import annotations
@@ -19,28 +20,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriloom.llm.rows import hold, release
 from veriloom.llm.textbytes import flat, grouped, mix, prefix_hash, slices, span
 from veriloom.session import bound_batches, materialised
 
 LENGTH, GRAM, WINDOW = 400, 16, 100
 #: Bytes from an anchor on that every string with that anchor holds.
 CORE = LENGTH - WINDOW + 1
+#: The same for strings of SHARED bytes, some 45 words: the places where they begin are counted beside (n_shared).
+SHARED = 260
+NEAR = SHARED - WINDOW + 1
 #: Sides reach this far at most; half of one is fixed by the group, the rest is sorted.
 REACH = WINDOW - 1
 HALF = WINDOW // 2
-#: Strings of one transform.
+#: Strings of one transform; a core with more surroundings than this has its strings hashed.
 COLLECTION = 6000
 _PAD, _FIRST_CORE = 256, 257
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the buffer, text number, hash of the core, hash of the surroundings) of the places that are the
-    rightmost least k-gram of some WINDOW neighbouring ones and have a whole core."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place in the buffer, text number, hash of NEAR bytes, whether the core is whole, hash of the core, hash of the
+    surroundings) of the places that are the rightmost least k-gram of some WINDOW neighbouring ones and have NEAR bytes."""
     none = np.zeros(0, np.int64)
+    empty = (none, none, none.view(np.uint64), none.astype(bool), none.view(np.uint64), none.view(np.uint64))
     sizes = np.diff(offsets)
     n = len(data) - GRAM + 1
-    if n < WINDOW or sizes.max(initial=0) < LENGTH:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+    if n < WINDOW or sizes.max(initial=0) < SHARED:
+        return empty
     prefix = prefix_hash(data)
     at = np.arange(n)
     h = mix(span(prefix, at, at + GRAM))
@@ -53,17 +59,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
     starts = np.arange(len(low))
     owner = np.repeat(np.arange(len(sizes)), sizes)[: len(low)]
-    whole = starts + LENGTH <= offsets[owner + 1]
-    low = low[whole]
+    low = low[starts + SHARED <= offsets[owner + 1]]
     chosen = np.uint64(0xFFFFFFFF) - (low & np.uint64(0xFFFFFFFF))
     place = np.unique(chosen.astype(np.int64))
     text = np.searchsorted(offsets, place, "right") - 1
-    keep = place + CORE <= offsets[text + 1]
-    place, text = place[keep], text[keep]
-    a, b = surroundings(place, offsets[text], offsets[text + 1])
-    core = mix(span(prefix, place, place + CORE))
+    end = offsets[text + 1]
+    keep = place + NEAR <= end
+    place, text, end = place[keep], text[keep], end[keep]
+    near = mix(span(prefix, place, place + NEAR))
+    whole = place + CORE <= end
+    core = mix(span(prefix, place, np.minimum(place + CORE, end)))
+    a, b = surroundings(place, offsets[text], end)
     around = mix(span(prefix, a, b) + mix(((place - a) * 4096 + (b - place)).astype(np.uint64)))
-    return place, text, core, around
+    return place, text, near, whole, core, around
 
 
 def surroundings(place: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,27 +149,28 @@ def collection_repeats(strings: np.ndarray, need: int) -> np.ndarray:
     return mask.reshape(count, width + 1)[:, :width]
 
 
-def _occurrences(df: DataFrame, text: str) -> DataFrame:
-    """(core, around, key, place) of every text's anchors; key is the text's hash."""
+def _occurrences(df: DataFrame) -> DataFrame:
+    """(near, core, around, key, place) of the anchors of texts (text); key is the text's hash, core null where it is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
-                place, owner, core, around = anchors(data, offsets)
+                place, owner, near, whole, core, around = anchors(data, offsets)
                 if len(place):
                     key = rows.column("key").to_numpy()[owner]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(key), pa.array((place - offsets[owner]).astype(np.int32))],
-                        names=["core", "around", "key", "place"],
+                        [pa.array(near.view(np.int64)), pa.array(core.view(np.int64), mask=~whole), pa.array(around.view(np.int64)), pa.array(key), pa.array((place - offsets[owner]).astype(np.int32))],
+                        names=["near", "core", "around", "key", "place"],
                     )
 
-    source = df.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
-    return source.mapInArrow(run, "core long, around long, key long, place int")
+    source = df.select(F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= SHARED)
+    return source.mapInArrow(run, "near long, core long, around long, key long, place int")
 
 
 def _sides(rows: DataFrame) -> DataFrame:
-    """Strings of anchors, from rows (text, key, wanted: array of (core, around, place)): for the left and the right
-    side one of 2 * HALF - 1 symbols, named by the core and the half of that side which the group has in common."""
+    """Strings of anchors, from rows (text, key, wanted: array of (core, around, place, hot)): for the left and the right
+    side one of 2 * HALF - 1 symbols, named by the core and the half of that side which the group has in common.
+    For a hot core, each string of LENGTH bytes around the anchor, as a group name alone (side 2, place: its first byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +179,11 @@ def _sides(rows: DataFrame) -> DataFrame:
                 raw = text.encode()
                 for w in wanted:
                     p = w["place"]
+                    if w["hot"]:
+                        for start in range(max(0, p - REACH), min(p, len(raw) - LENGTH) + 1):
+                            out["group_id"].append(_name(w["core"], 2, raw[start : start + LENGTH]))
+                            _add(out, key, start, 2, 0, 0, b"")
+                        continue
                     left, right = raw[max(0, p - REACH) : p], raw[p + CORE : p + CORE + REACH]
                     fixed, far = HALF, REACH - HALF
                     # Strings that start HALF to REACH bytes before the anchor, then those that start less before it.
@@ -181,14 +195,14 @@ def _sides(rows: DataFrame) -> DataFrame:
                         body = left[max(0, len(left) - far) :].rjust(far, b"\0") + right[fixed:].ljust(far, b"\0")
                         out["group_id"].append(_name(w["core"], 1, right[:fixed]))
                         _add(out, key, p, 1, far - min(far, len(left)), far + len(right) - fixed, body)
-            kinds = (("group_id", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("side", pa.int8()), ("low", pa.int16()), ("high", pa.int16()), ("body", pa.binary()))
+            kinds = (("group_id", pa.binary()), ("key", pa.int64()), ("place", pa.int32()), ("side", pa.int8()), ("low", pa.int16()), ("high", pa.int16()), ("body", pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in kinds], names=[c for c, _ in kinds])
 
-    return rows.mapInArrow(run, "group_id long, key long, place int, side byte, low short, high short, body binary")
+    return rows.mapInArrow(run, "group_id binary, key long, place int, side byte, low short, high short, body binary")
 
 
-def _name(core: int, side: int, fixed: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(fixed, digest_size=8, key=core.to_bytes(8, "little", signed=True), salt=bytes([side])).digest(), "little", signed=True)
+def _name(core: int, side: int, fixed: bytes) -> bytes:
+    return hashlib.blake2b(fixed, digest_size=16, key=core.to_bytes(8, "little", signed=True), salt=bytes([side])).digest()
 
 
 def _add(out: dict[str, list], key: int, place: int, side: int, low: int, high: int, body: bytes) -> None:
@@ -225,24 +239,22 @@ def _repeated(tables: list[pa.Table]) -> pa.RecordBatch:
     )
 
 
-def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """(key, start, end): byte ranges, of the texts whose hash is key, covered by strings of LENGTH bytes that also
-    start anywhere else. Ranges may overlap. Texts that occur more than once are given as a whole.
-
-    Hot passages: occurrences are counted before they are joined, equal surroundings become one string, and the
-    strings of a core are dealt out by the half side that they share, so boilerplate in unlike contexts
-    spreads over all tasks. Hashes are 64 bits wide.
-    """
-    bound_batches(df.sparkSession)
-    copies = df.groupBy(F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("size")).agg(F.count("*").alias("n"))
+def _repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of texts (text): (key, start, end) of `repeated_spans`, and (key, shared): how many of the text's anchors begin a
+    string of NEAR bytes that begins elsewhere too, copies of a text taken as one."""
+    bound_batches(texts.sparkSession)
+    copies = texts.groupBy(F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("size")).agg(F.count("*").alias("n"))
     whole = copies.where((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
 
-    every = _occurrences(df, text)
+    every = _occurrences(texts)
+    at = F.xxhash64("key", "place")
     # Written on either side of the join: its tasks can be split where a core is very common only if they do nothing else.
-    often = materialised(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    found = materialised(materialised(every.join(often, "core")).distinct())
+    often = materialised(every.groupBy("near").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("near"))
+    found = materialised(materialised(every.join(often, "near").drop("near")).distinct())
+    shared = found.groupBy("key").agg(F.count("*").alias("shared"))
+    found = found.where("core is not null")
     alike = materialised(found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("key").alias("least")))
-    per_core = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+    per_core = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core", (F.col("kinds") > COLLECTION).alias("hot"))
     twice = found.join(alike.where("n > 1").select("core", "around"), ["core", "around"])
     reach = copies.select("key", "size").distinct()
     sure = twice.join(reach, "key").select(
@@ -250,9 +262,9 @@ def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
     ).where(F.col("end") - F.col("start") >= LENGTH)
 
     one = found.join(alike.select("core", "around", F.col("least").alias("key")), ["core", "around", "key"]).groupBy("core", "around", "key").agg(F.min("place").alias("place"))
-    wanted = one.join(per_core, "core").groupBy("key").agg(F.collect_list(F.struct("core", "around", "place")).alias("wanted"))
-    texts = df.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
-    strings = _sides(texts.join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "wanted"))
+    wanted = materialised(one.join(per_core, "core")).groupBy("key").agg(F.collect_list(F.struct("core", "around", "place", "hot")).alias("wanted"))
+    long_ = texts.select(F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+    strings = _sides(long_.join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -267,32 +279,63 @@ def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield _repeated(held)
 
-    edges = strings.repartition("group_id").sortWithinPartitions("group_id").mapInArrow(run, "key long, start long, end long")
-    return sure.union(edges).union(whole)
+    spans = [sure, whole]
+    if per_core.where("hot").isEmpty():
+        cold = strings
+    else:
+        strings = materialised(strings)
+        cold, hot = strings.where("side < 2"), strings.where("side = 2").select("group_id", "key", "place")
+        place = F.xxhash64("key", "place")
+        common = materialised(hot.groupBy("group_id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("group_id"))
+        begin = F.col("place").cast("long")
+        spans.append(hot.join(common, "group_id").select("key", begin.alias("start"), (begin + LENGTH).alias("end")))
+    edges = cold.repartition("group_id").sortWithinPartitions("group_id").mapInArrow(run, "key long, start long, end long")
+    for more in spans:
+        edges = edges.union(more)
+    return edges, shared
+
+
+def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """(key, start, end): byte ranges, of the texts whose hash is key, covered by strings of LENGTH bytes that also
+    start anywhere else. Ranges may overlap. Texts that occur more than once are given as a whole.
+
+    Hot passages: occurrences are counted before they are joined, equal surroundings become one string, and the
+    strings of a core are dealt out by the half side that they share. As both halves can lie inside a long passage,
+    a core with over COLLECTION surroundings is not dealt out: its strings of LENGTH bytes, at most WINDOW an anchor, are
+    hashed whole (128 bits) and counted. So no group is larger than COLLECTION, whatever is common.
+    """
+    return _repeats(hold(df, {"text": text}).select("text"))[0]
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, kept_sha256 and spans (maximal removed runs as first byte and one past
-    the last) to every row; columns of those names are replaced. See `repeated_spans`.
+    """Adds n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs as first byte and one past
+    the last) and n_shared to every row; columns of those names are replaced. See `repeated_spans`.
 
-    Null counts as empty text; a row that repeats another's text loses all of it if it has LENGTH bytes; short
-    texts lose nothing; an empty table gives an empty result.
+    n_shared counts shorter passages: the text's anchors whose NEAR bytes begin at another place too (copies of the text
+    aside). A passage of SHARED bytes or more that occurs elsewhere gives at least one; those under LENGTH bytes are
+    not removed. Null counts as empty text; a row that repeats another's text loses all of it if it has LENGTH
+    bytes; short texts lose nothing; an empty table gives an empty result.
     """
-    found = repeated_spans(df, text).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("__ranges"))
-    rows = df.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans").withColumn("__key", F.xxhash64(text))
-    joined = rows.join(found.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
-    names = [c for c in joined.columns if c != "__ranges"]
-    schema = joined.drop("__ranges").schema
+    used = {"text": text}
+    held = hold(df, used)
+    spans, shared = _repeats(held.select("text"))
+    ranges = F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))
+    none = F.lit(None).cast("long")
+    found = spans.withColumn("shared", none).unionByName(shared.select("key", none.alias("start"), none.alias("end"), "shared"))
+    found = found.groupBy("key").agg(ranges.alias("ranges"), F.max("shared").alias("shared"))
+    joined = held.withColumn("key", F.xxhash64("text")).join(found, "key", "left").select("text", "row", "ranges", F.coalesce("shared", F.lit(0)).cast("long").alias("n_shared"))
     run_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    for c, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("spans", run_type)):
+    added = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("spans", run_type))
+    schema = joined.drop("ranges").schema
+    for c, t in added:
         schema = schema.add(c, t)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(text))
+            data, offsets = flat(batch.column("text"))
             raw, sizes, removed, spans, kept = memoryview(data), [], [], [], []
-            for i, ranges in enumerate(batch.column("__ranges").to_pylist()):
+            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 runs: list[list[int]] = []
                 for start, end in sorted((r["start"], r["end"]) for r in ranges or ()):
@@ -309,8 +352,9 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
                 removed.append(sum(e - s for s, e in runs))
                 spans.append([{"start": s, "end": e} for s, e in runs])
                 kept.append(digest.hexdigest())
-            columns = [batch.column(n) for n in names]
+            columns = [batch.column(n) for n in ("text", "row", "n_shared")]
             columns += [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept), pa.array(spans, span_type)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "row", "n_shared", *[c for c, _ in added]])
 
-    return joined.mapInArrow(run, schema)
+    names = [c for c, _ in added] + ["n_shared"]
+    return release(joined.mapInArrow(run, schema), df, used, {c: F.col(c) for c in names})
