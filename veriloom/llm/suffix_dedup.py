@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,49 +170,62 @@ def _occurrences(df: DataFrame) -> DataFrame:
 def _sides(rows: DataFrame) -> DataFrame:
     """Strings of anchors, from rows (text, key, wanted: array of (core, around, place, hot)): for the left and the right
     side one of 2 * HALF - 1 symbols, named by the core and the half of that side which the group has in common.
-    For a hot core, each string of LENGTH bytes around the anchor, as a group name alone (side 2, place: its first byte)."""
+    For a hot core, each string of LENGTH bytes around the anchor, as a group name alone (side 2, start: its first byte).
+    Anchors whose core is not in the text belong to another text of the same hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("group_id", "key", "place", "side", "low", "high", "body")}
+            out: dict[str, list] = {c: [] for c in _STRING}
             for text, key, wanted in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 raw = text.encode()
-                for w in wanted:
-                    p = w["place"]
+                places, cores = np.array([w["place"] for w in wanted]), np.array([w["core"] for w in wanted])
+                for w in (w for w, ok in zip(wanted, _cores_at(np.frombuffer(raw, np.uint8), places, cores), strict=True) if ok):
+                    p, core = w["place"], w["core"]
                     if w["hot"]:
                         for start in range(max(0, p - REACH), min(p, len(raw) - LENGTH) + 1):
-                            out["group_id"].append(_name(w["core"], 2, raw[start : start + LENGTH]))
-                            _add(out, key, start, 2, 0, 0, b"")
+                            _add(out, _name(core, 2, raw[start : start + LENGTH]), key, core, p, start, 2, 0, 0, b"")
                         continue
                     left, right = raw[max(0, p - REACH) : p], raw[p + CORE : p + CORE + REACH]
                     fixed, far = HALF, REACH - HALF
                     # Strings that start HALF to REACH bytes before the anchor, then those that start less before it.
                     if len(left) >= fixed:
                         body = left[: len(left) - fixed].rjust(far, b"\0") + right[:far].ljust(far, b"\0")
-                        out["group_id"].append(_name(w["core"], 0, left[len(left) - fixed :]))
-                        _add(out, key, p, 0, far - (len(left) - fixed), far + min(far, len(right)), body)
+                        _add(out, _name(core, 0, left[len(left) - fixed :]), key, core, p, 0, 0, far - (len(left) - fixed), far + min(far, len(right)), body)
                     if len(right) >= fixed:
                         body = left[max(0, len(left) - far) :].rjust(far, b"\0") + right[fixed:].ljust(far, b"\0")
-                        out["group_id"].append(_name(w["core"], 1, right[:fixed]))
-                        _add(out, key, p, 1, far - min(far, len(left)), far + len(right) - fixed, body)
-            kinds = (("group_id", pa.binary()), ("key", pa.int64()), ("place", pa.int32()), ("side", pa.int8()), ("low", pa.int16()), ("high", pa.int16()), ("body", pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in kinds], names=[c for c, _ in kinds])
+                        _add(out, _name(core, 1, right[:fixed]), key, core, p, 0, 1, far - min(far, len(left)), far + len(right) - fixed, body)
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in _STRING.items()], names=list(_STRING))
 
-    return rows.mapInArrow(run, "group_id binary, key long, place int, side byte, low short, high short, body binary")
+    return rows.mapInArrow(run, "group_id binary, key long, core long, place int, start int, side byte, low short, high short, body binary")
 
 
 def _name(core: int, side: int, fixed: bytes) -> bytes:
     return hashlib.blake2b(fixed, digest_size=16, key=core.to_bytes(8, "little", signed=True), salt=bytes([side])).digest()
 
 
-def _add(out: dict[str, list], key: int, place: int, side: int, low: int, high: int, body: bytes) -> None:
-    """low and high bound the symbols of `body` that are there; the others pad."""
-    for c, v in (("key", key), ("place", place), ("side", side), ("low", low), ("high", high), ("body", body)):
-        out[c].append(v)
+#: Columns of a string: its group's name, its text and anchor, and the symbols on either side of the core; low and high
+#: bound those of `body` that are there, the others pad.
+_STRING = {
+    "group_id": pa.binary(), "key": pa.int64(), "core": pa.int64(), "place": pa.int32(), "start": pa.int32(), "side": pa.int8(), "low": pa.int16(), "high": pa.int16(), "body": pa.binary(),
+}
+
+
+def _add(out: dict[str, list], *values: object) -> None:
+    for column, value in zip(_STRING, values, strict=True):
+        out[column].append(value)
+
+
+def _cores_at(data: np.ndarray, places: np.ndarray, cores: np.ndarray) -> np.ndarray:
+    """Whether the text's CORE bytes at each place have the hash given."""
+    fits = places + CORE <= len(data)
+    at = places[fits]
+    out = np.zeros(len(places), bool)
+    out[fits] = mix(span(prefix_hash(data), at, at + CORE)).view(np.int64) == cores[fits]
+    return out
 
 
 def _repeated(tables: list[pa.Table]) -> pa.RecordBatch:
-    """(key, place, start, end) of the anchors of some groups: bytes start..end of the text are in repeated strings."""
+    """(key, core, place, start, end) of the anchors of some groups: bytes start..end of the text are in repeated strings."""
     table = pa.concat_tables(tables)
     far = REACH - HALF
     body = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8).reshape(-1, 2 * far)
@@ -234,17 +247,23 @@ def _repeated(tables: list[pa.Table]) -> pa.RecordBatch:
     place = table.column("place").to_numpy()[hit].astype(np.int64)
     before = np.where(side[hit] == 0, HALF, 0) + far
     begin, end = place - before + first, place - before + last + LENGTH
-    return pa.RecordBatch.from_arrays(
-        [table.column("key").combine_chunks().take(pa.array(hit)), pa.array(begin), pa.array(end)], names=["key", "start", "end"]
-    )
+    of = [table.column(c).combine_chunks().take(pa.array(hit)) for c in ("key", "core", "place")]
+    return pa.RecordBatch.from_arrays([*of, pa.array(begin), pa.array(end)], names=["key", "core", "place", "start", "end"])
+
+
+def _second(text: str) -> Column:
+    """A second hash of a text, independent of its key."""
+    return F.xxhash64(F.lit(1), F.col(text))
 
 
 def _repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts (text): (key, start, end) of `repeated_spans`, and (key, shared): how many of the text's anchors begin a
-    string of NEAR bytes that begins elsewhere too, copies of a text taken as one."""
+    """Of texts (text): (key, core, place, start, end) of `repeated_spans`, and (key, shared): how many of the text's anchors
+    begin a string of NEAR bytes that begins elsewhere too, copies of a text taken as one. Spans of a whole text have no
+    place, and the text's second hash as core."""
     bound_batches(texts.sparkSession)
-    copies = texts.groupBy(F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("size")).agg(F.count("*").alias("n"))
-    whole = copies.where((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    copies = texts.groupBy(F.xxhash64("text").alias("key"), _second("text").alias("core"), F.octet_length("text").cast("long").alias("size")).agg(F.count("*").alias("n"))
+    begin, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    whole = copies.where((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("key", "core", none.alias("place"), begin.alias("start"), F.col("size").alias("end"))
 
     every = _occurrences(texts)
     at = F.xxhash64("key", "place")
@@ -254,17 +273,16 @@ def _repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = found.groupBy("key").agg(F.count("*").alias("shared"))
     found = found.where("core is not null")
     alike = materialised(found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("key").alias("least")))
-    per_core = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core", (F.col("kinds") > COLLECTION).alias("hot"))
+    per_core = materialised(alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core", (F.col("kinds") > COLLECTION).alias("hot")))
     twice = found.join(alike.where("n > 1").select("core", "around"), ["core", "around"])
     reach = copies.select("key", "size").distinct()
-    sure = twice.join(reach, "key").select(
-        "key", F.greatest(F.col("place") - REACH, F.lit(0)).cast("long").alias("start"), F.least(F.col("place") + CORE + REACH, F.col("size")).alias("end")
-    ).where(F.col("end") - F.col("start") >= LENGTH)
+    first, last = F.greatest(F.col("place") - REACH, F.lit(0)).cast("long"), F.least(F.col("place") + CORE + REACH, F.col("size"))
+    sure = twice.join(reach, "key").select("key", "core", "place", first.alias("start"), last.alias("end")).where(F.col("end") - F.col("start") >= LENGTH)
 
     one = found.join(alike.select("core", "around", F.col("least").alias("key")), ["core", "around", "key"]).groupBy("core", "around", "key").agg(F.min("place").alias("place"))
     wanted = materialised(one.join(per_core, "core")).groupBy("key").agg(F.collect_list(F.struct("core", "around", "place", "hot")).alias("wanted"))
-    long_ = texts.select(F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
-    strings = _sides(long_.join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "wanted"))
+    long_ = texts.select(F.xxhash64("text").alias("key"), _second("text").alias("second"), "text").where(F.octet_length("text") >= LENGTH)
+    strings = _sides(long_.join(wanted, "key").dropDuplicates(["key", "second"]).select("key", "text", "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -284,20 +302,21 @@ def _repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         cold = strings
     else:
         strings = materialised(strings)
-        cold, hot = strings.where("side < 2"), strings.where("side = 2").select("group_id", "key", "place")
-        place = F.xxhash64("key", "place")
-        common = materialised(hot.groupBy("group_id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("group_id"))
-        begin = F.col("place").cast("long")
-        spans.append(hot.join(common, "group_id").select("key", begin.alias("start"), (begin + LENGTH).alias("end")))
-    edges = cold.repartition("group_id").sortWithinPartitions("group_id").mapInArrow(run, "key long, start long, end long")
+        cold, hot = strings.where("side < 2"), strings.where("side = 2").select("group_id", "key", "core", "place", F.col("start").cast("long").alias("start"))
+        at = F.xxhash64("key", "start")
+        common = materialised(hot.groupBy("group_id").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("group_id"))
+        spans.append(hot.join(common, "group_id").select("key", "core", "place", "start", (F.col("start") + LENGTH).alias("end")))
+    edges = cold.repartition("group_id").sortWithinPartitions("group_id").mapInArrow(run, "key long, core long, place int, start long, end long")
     for more in spans:
         edges = edges.union(more)
     return edges, shared
 
 
 def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """(key, start, end): byte ranges, of the texts whose hash is key, covered by strings of LENGTH bytes that also
-    start anywhere else. Ranges may overlap. Texts that occur more than once are given as a whole.
+    """(key, core, place, start, end): byte ranges, of the texts whose hash is key and whose CORE bytes at place have the
+    hash core, covered by strings of LENGTH bytes that also start anywhere else. Ranges may overlap. Texts that occur
+    more than once are given as a whole, with no place and their second hash as core: so no text gets another's
+    ranges because 64 bits of theirs are equal.
 
     Hot passages: occurrences are counted before they are joined, equal surroundings become one string, and the
     strings of a core are dealt out by the half side that they share. As both halves can lie inside a long passage,
@@ -307,6 +326,14 @@ def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return _repeats(hold(df, {"text": text}).select("text"))[0]
 
 
+def _own(data: np.ndarray, ranges: list[dict], second: int) -> set[tuple[int, int]]:
+    """(start, end) of the ranges that are this text's."""
+    placed = [r for r in ranges if r["place"] is not None]
+    right = _cores_at(data, np.array([r["place"] for r in placed], np.int64), np.array([r["core"] for r in placed], np.int64)) if placed else ()
+    out = {(r["start"], r["end"]) for r, ok in zip(placed, right, strict=True) if ok}
+    return out | {(r["start"], r["end"]) for r in ranges if r["place"] is None and r["core"] == second and r["end"] == len(data)}
+
+
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs as first byte and one past
     the last) and n_shared to every row; columns of those names are replaced. See `repeated_spans`.
@@ -319,14 +346,15 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     used = {"text": text}
     held = hold(df, used)
     spans, shared = _repeats(held.select("text"))
-    ranges = F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))
-    none = F.lit(None).cast("long")
-    found = spans.withColumn("shared", none).unionByName(shared.select("key", none.alias("start"), none.alias("end"), "shared"))
-    found = found.groupBy("key").agg(ranges.alias("ranges"), F.max("shared").alias("shared"))
-    joined = held.withColumn("key", F.xxhash64("text")).join(found, "key", "left").select("text", "row", "ranges", F.coalesce("shared", F.lit(0)).cast("long").alias("n_shared"))
+    span = F.struct("start", "end", "place", "core")
+    none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in (n.split() for n in names)]
+    found = spans.select("key", *none("shared long"), "start", "end", "place", "core").union(shared.select("key", "shared", *none("start long", "end long", "place int", "core long")))
+    found = found.groupBy("key").agg(F.collect_set(F.when(F.col("start").isNotNull(), span)).alias("ranges"), F.max("shared").alias("shared"))
+    joined = held.withColumns({"key": F.xxhash64("text"), "second": _second("text")}).join(found, "key", "left")
+    joined = joined.select("text", "row", "ranges", "second", F.coalesce("shared", F.lit(0)).cast("long").alias("n_shared"))
     run_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     added = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("spans", run_type))
-    schema = joined.drop("ranges").schema
+    schema = joined.drop("ranges", "second").schema
     for c, t in added:
         schema = schema.add(c, t)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -335,10 +363,10 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             raw, sizes, removed, spans, kept = memoryview(data), [], [], [], []
-            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+            for i, (ranges, second) in enumerate(zip(batch.column("ranges").to_pylist(), batch.column("second").to_pylist(), strict=True)):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 runs: list[list[int]] = []
-                for start, end in sorted((r["start"], r["end"]) for r in ranges or ()):
+                for start, end in sorted(_own(data[a:b], ranges or [], second)):
                     if runs and runs[-1][1] >= start:
                         runs[-1][1] = max(runs[-1][1], end)
                     else:
