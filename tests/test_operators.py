@@ -26,10 +26,21 @@ def test_position_of_null_groups_and_ties(spark):
     assert ranking.position_within(rows.limit(0), ["g"], ["v"], "at").count() == 0
 
 
+def test_positions_and_totals_keep_clashing_columns(spark):
+    names = ("__at", "__part", "__p", "__n", "__g0", "__shift", "__task", "__first", "__S0")
+    rows = spark.range(60).select((F.col("id") % 2).alias("g"), "id", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for out in (ranking.position_within(rows, ["g"], ["id"], "at"), ranking.running_totals(rows, ["g"], "id", {"at": "id"})):
+        assert out.columns == [*rows.columns, "at"]
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+    totals = {r.id: r.at for r in ranking.running_totals(rows, ["g"], F.desc("id"), {"at": "id"}).collect()}
+    assert totals == {i: sum(j for j in range(i, 60, 2)) for i in range(60)}
+
+
 def test_ranks_and_zscores_of_ties_and_single_rows(spark):
     frame = pd.DataFrame({"f": [0, 0, 0, 0, 1, 2, 2], "x": [3.0, 1.0, 3.0, 2.0, 9.0, 5.0, 5.0], "i": range(7)})
     rows = spark.createDataFrame(frame)
-    got = rows.select("i", ranking.pct_rank("x", ["f"]).alias("r"), ranking.zscore("x", ["f"]).alias("z")).toPandas().sort_values("i")
+    got = ranking.zscores(rows, ["f"], {"z": "x"}).join(ranking.pct_ranks(rows, "i", ["f"], {"r": "x", "again": "x"}), "i").toPandas().sort_values("i")
+    assert list(got.r) == list(got.again)
     assert list(got.r) == list(frame.groupby("f").x.rank(pct=True))
     deviation = frame.groupby("f").x.transform("std").fillna(1.0).replace(0, 1.0)
     assert got.z.values == pytest.approx(((frame.x - frame.groupby("f").x.transform("mean")) / deviation).values)
@@ -210,10 +221,12 @@ def test_draws():
     assert canonical_sha256([]).startswith("4f53cda18c2b")
 
 
-def test_checkpoints():
-    assert schedule.checkpoint_steps(172) == {43: 0.25, 86: 0.5, 172: 1.0}
-    with pytest.raises(ValueError):
-        schedule.checkpoint_steps(1)
+def test_checkpoints(spark):
+    assert {r.step: r.fraction for r in schedule.checkpoint_steps(spark, 172).collect()} == {43: 0.25, 86: 0.5, 172: 1.0}
+    assert [r.step for r in schedule.checkpoint_steps(spark, 10).orderBy("step").collect()] == [2, 5, 10]
+    for broken in ((1, (0.25, 0.5, 1.0)), (8, (0.25, 0.5)), (0, (1.0,))):
+        with pytest.raises(ValueError):
+            schedule.checkpoint_steps(spark, *broken)
     plan = schedule.plan_draws(5502, 32, 4, 4, 2, True, 0.03)
     assert (plan["steps"], plan["warmup"], plan["real"], plan["synthetic"], plan["query"]) == (172, 6, 688, 688, 344)
     assert schedule.same_arms({"ce_sha256": 1, "query": 0}, {"ce_sha256": 1, "query": 5}) == []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.operators.metrics import row_stats
-from veriloom.operators.ranking import pct_rank, zscore
+from veriloom.operators.ranking import pct_ranks, zscores
 
 #: The five score sources, and the three of the second arm.
 BASES = ("b1", "char", "lora025", "lora050", "lora100")
@@ -16,11 +16,9 @@ META = ("id", "blind_uid", "component_key", "fold", "label")
 
 
 def _normalised(df: DataFrame, sources: dict[str, str], fold: str) -> DataFrame:
-    """Rank and z-score within the fold of each score; one shuffle by fold serves all of them."""
-    added: dict[str, Column] = {}
-    for name, score in sources.items():
-        added |= {f"{name}_rank": pct_rank(score, [fold]), f"{name}_z": zscore(score, [fold])}
-    return df.withColumns(added)
+    """Rank and z-score within the fold of each score. Ranks are made of (id, fold, score) alone; no task holds a fold."""
+    ranks = pct_ranks(df.select("id", fold, *sources.values()), "id", [fold], {f"{n}_rank": s for n, s in sources.items()})
+    return zscores(df, [fold], {f"{n}_z": s for n, s in sources.items()}).join(ranks, "id")
 
 
 def base_features(rows: DataFrame, signals: DataFrame) -> DataFrame:

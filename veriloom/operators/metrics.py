@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.operators.ranking import running_totals
+
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
@@ -22,10 +24,10 @@ def binary_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str]
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sum over distinct scores, from high to low, of the recall gained times the precision reached."""
+    """Sum over distinct scores, from high to low, of the recall gained times the precision reached. Scores are
+    placed by range partitions, so no task holds all of them."""
     ties = df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("tp"))
-    down = Window.partitionBy(*by).orderBy(F.desc("s"))
-    running = ties.withColumns({"cn": F.sum("n").over(down), "ctp": F.sum("tp").over(down)})
+    running = running_totals(ties, by, F.desc("s"), {"cn": "n", "ctp": "tp"})
     return running.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp").cast("double")), F.lit(0.0)).alias("ap"))
 
 

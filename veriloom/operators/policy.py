@@ -27,7 +27,7 @@ LOWER_RULES: tuple[tuple[tuple[str, str, bool], ...], ...] = (
     ),
     (
         ("name", r"ролл|растоп|стружк", True),
-        ("description", r"без химическ|химическ.{0,80}отсутств|отсутств.{0,80}химическ ", True),
+        ("description", r"без химическ|химическ.{0,80}отсутств|отсутств.{0,80}химическ", True),
         ("description", r"парафин|жидкост|пропитан", False),
     ),
 )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veriloom.functions.hashing import fold_of, mock_margin
 from veriloom.functions.text import surface_key
 from veriloom.operators.features import BASES, TRAJECTORY
+from veriloom.operators.ranking import position_within
 from veriloom.session import table
 
 
@@ -83,11 +84,8 @@ OOF = ",\noof AS (" + " UNION ALL ".join(
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrast pairs of one fold: the i-th positive of a fold, by blind uid, with its i-th negative and that after."""
-    from pyspark.sql import Window
-
-    rows = labelled(spark, sf_dir)
-    order = F.row_number().over(Window.partitionBy("fold", "label").orderBy("blind_uid"))
-    ranked = rows.select("id", "fold", "label", "blind_uid", order.alias("i"))
+    rows = labelled(spark, sf_dir).select("id", "fold", "label", "blind_uid")
+    ranked = position_within(rows, ["fold", "label"], ["blind_uid", "id"], "i").withColumn("i", F.col("i") + 1)
     p = ranked.where("label = 1").select(F.col("id").alias("positive_id"), "fold", "i", F.col("blind_uid").alias("pu"))
     n = ranked.where("label = 0").select(F.col("id").alias("negative_id"), "fold", F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("i"), F.col("blind_uid").alias("nu"))
     both = p.join(n, ["fold", "i"])

@@ -104,7 +104,7 @@ def apportion(spark, sf_dir):
 @query("SELECT * FROM (VALUES (43, 0.25), (86, 0.5), (172, 1.0)) t(step, fraction)")
 def checkpoint_plan(spark, sf_dir):
     steps = schedule.plan_draws(5502, 32, 4, 4, 2, True, 0.03)["steps"]
-    return spark.createDataFrame([(s, f) for s, f in schedule.checkpoint_steps(steps).items()], "step int, fraction double").withColumn("fraction", F.col("fraction").cast("decimal(3,2)"))
+    return schedule.checkpoint_steps(spark, steps).withColumn("fraction", F.col("fraction").cast("decimal(3,2)"))
 
 
 @query("WITH a AS (SELECT unnest(['red', 'blue', 'green']) AS color, unnest([0, 1, 2]) AS i), b AS (SELECT unnest(['card', 'film']) AS material, unnest([0, 1]) AS j) SELECT (i * 2 + j)::INT AS note, color, material FROM a, b")

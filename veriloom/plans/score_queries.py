@@ -24,8 +24,9 @@ def _z_sql(x: str, part: str = "fold") -> str:
 
 @query(f"SELECT p_partkey, round({_rank_sql('p_retailprice', 'p_brand')}, 9) AS pct, round({_z_sql('p_retailprice', 'p_brand')}, 6) AS z FROM part")
 def pct_rank_fold(spark, sf_dir):
-    rows = table(spark, sf_dir, "part")
-    return rows.select("p_partkey", F.round(ranking.pct_rank("p_retailprice", ["p_brand"]), 9).alias("pct"), F.round(ranking.zscore("p_retailprice", ["p_brand"]), 6).alias("z"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    ranks = ranking.pct_ranks(rows, "p_partkey", ["p_brand"], {"pct": "p_retailprice"})
+    return ranking.zscores(rows, ["p_brand"], {"z": "p_retailprice"}).join(ranks, "p_partkey").select("p_partkey", F.round("pct", 9).alias("pct"), F.round("z", 6).alias("z"))
 
 
 @query("SELECT o_orderkey, round((rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE) / count(*) OVER (), 9) AS pct FROM orders")
@@ -37,7 +38,8 @@ def pct_rank_roster(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, round({_z_sql('o_totalprice', 'o_orderpriority')}, 6) AS z FROM orders")
 def zscore_fold(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(ranking.zscore("o_totalprice", ["o_orderpriority"]), 6).alias("z"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranking.zscores(rows, ["o_orderpriority"], {"z": "o_totalprice"}).select("o_orderkey", F.round("z", 6).alias("z"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_samp(o_totalprice) FROM orders), 6) AS z FROM orders")
