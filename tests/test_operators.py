@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veriloom.functions.hashing import canonical_sha256
+from veriloom.functions.text import padded_ngrams, spaced_words
 from veriloom.operators import contracts, features, metrics, pairs, policy, policy_tables, ranking, schedule, scoring, similarity
 from veriloom.operators.graph import connected_components
 
@@ -90,16 +92,69 @@ def test_cosine_join_is_exact(spark):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 9))) for _ in range(60)]
-    from veriloom.functions.text import char_wb_ngrams
-
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    vectors = similarity.tfidf(docs, "id", char_wb_ngrams("t"))
+    vectors = similarity.tfidf(docs, "id", spaced_words("t"), padded_ngrams)
     frame = vectors.toPandas()
     by = {i: dict(zip(g.term, g.w, strict=True)) for i, g in frame.groupby("id")}
     expected = {(a, b) for a in by for b in by if a < b and sum(w * by[b].get(t, 0) for t, w in by[a].items()) + 1e-7 >= 0.9}
     assert {(r.left_id, r.right_id) for r in similarity.cosine_pairs(vectors, 0.9).collect()} == expected and expected
     lonely = spark.createDataFrame([(1, "abc"), (2, "xyz")], "id long, t string")
-    assert similarity.tfidf(lonely, "id", char_wb_ngrams("t"), min_df=3).count() == 0
+    assert similarity.tfidf(lonely, "id", spaced_words("t"), padded_ngrams, min_df=3).count() == 0
+    key = lambda v: sorted((r.id, r.df, round(r.w, 9)) for r in v.collect())
+    whole = similarity.tfidf(docs, "id", spaced_words("t"), padded_ngrams, 1, None)
+    assert key(whole) == key(similarity.tfidf(docs, "id", spaced_words("t"), padded_ngrams, 1, 10**6)) == key(similarity.tfidf(docs, "id", spaced_words("t"), padded_ngrams, 1, 10**4))
+
+
+def cosine(a, b):
+    return sum(w * b.get(t, 0) for t, w in a.items())
+
+
+@pytest.mark.parametrize("texts", [["aa bb", "aa bc", "xx yy", "aa bb"], ["one", "two", "six"], ["same", "same"], ["abcd abce", "abcd wxyz", "klmn wxyz"], []])
+def test_cross_group_similarity(spark, texts):
+    """Against all pairs of rows; the greatest similarity is found below the threshold too, and copies count."""
+    rows = [(i, t, f"g{i % 2}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, t string, grp string")
+    first = docs.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    vectors = similarity.tfidf(first, "id", spaced_words("t"), padded_ngrams, 1, None, "copies")
+    groups = docs.groupBy("t", "grp").agg(F.count("*").alias("copies")).join(first.select("t", "id"), "t")
+    got = similarity.cross_group_similarity(vectors, groups, 0.94).first()
+    by = {i: dict(zip(g.term, g.w, strict=True)) for i, g in vectors.toPandas().groupby("id")}
+    at = {t: by.get(i, {}) for t, i in ((r.t, r.id) for r in first.collect())}
+    sims = [1.0 if a[1] == b[1] else cosine(at[a[1]], at[b[1]]) for n, a in enumerate(rows) for b in rows[n + 1 :] if a[2] != b[2]]
+    assert got.n_edges == sum(s >= 0.94 for s in sims) and got.max_sim == pytest.approx(max(sims, default=0.0))
+
+
+def test_dense_pairs_of_a_hot_label(spark):
+    rng = random.Random(8)
+    rows = [(i, None if i == 7 else [0.0] * 4 if i == 9 else [rng.gauss(0, 1) for _ in range(4)], "hot" if i % 5 else "cold") for i in range(90)]
+    got = {(r.left_id, r.right_id): r.sim for r in similarity.dense_pairs(spark.createDataFrame(rows, "id long, v array<float>, l string"), "id", "v", "l", 0.5, block=7).collect()}
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    good = [(i, unit(v), lab) for i, v, lab in rows if v and any(v)]
+    want = {(a[0], b[0]): sum(x * y for x, y in zip(a[1], b[1], strict=True)) for n, a in enumerate(good) for b in good[n + 1 :] if a[2] == b[2]}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_evidence_of_empty_and_repeated_cards(spark):
+    rows = [(1, None, None), (2, "", "  "), (3, ";", None), (4, "Газ. Газ. Спички и газ", "газ"), (5, "&lt;b&gt;", "<br>\0"), (6, "слово " * 60, None)]
+    got = {}
+    for r in policy.evidence(spark.createDataFrame(rows, "id int, name string, description string"), "id", ("name", "description"), ("газ",), 2, 40).orderBy("id", "evidence_id").collect():
+        got.setdefault(r.id, []).append((r.evidence_id, r.evidence, r.hits))
+    assert got[1] == got[2] == [(0, "Карточка товара", 0)] and got[3] == [(0, ";", 0)] and got[5] == [(0, "Карточка товара", 0)]
+    assert got[4] == [(0, "Газ.", 1), (1, "Спички и газ", 1)]
+    assert got[6] == [(0, " ".join(["слово"] * 6), 0)]
+
+
+def test_shipped_rules_at_their_borders(spark):
+    rows = [("Ролл", "отсутствует химическая пропитка", 1, 0), ("Ролл", "без химической основы, пропитан", 1, 1), ("Печь", "Работает на дровах", 1, 0), ("Печь газовая", "Работает на дровах", 1, 1),
+            ("Плита и баллон 450 мл", "", 0, 1), ("Плитаи баллон 450 мл", "", 0, 0), ("Бруски", "парафин, пропитаны", 0, 1)]
+    frame = spark.createDataFrame(rows, "name string, description string, label int, want int")
+    got = frame.select("want", policy.rule_label("name", "description", F.col("label")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    sku = {"box AB123- x": True, "a-AB123 x": False, "AB-123": True, "AB12": False, "ABCDEF": False, "x AB1234": True}
+    marked = spark.createDataFrame([(t,) for t in sku], "t string").select("t", F.col("t").rlike(policy.SKU).alias("y")).collect()
+    edge = re.compile(r"\b(?=[A-ZА-Я0-9-]{6,}\b)(?=[A-ZА-Я0-9-]*\d)(?=[A-ZА-Я0-9-]*[A-ZА-Я])[A-ZА-Я0-9-]+\b")
+    assert {r.t: r.y for r in marked} == {t: bool(edge.search(t)) for t in sku}
 
 
 def test_metrics(spark):

@@ -99,3 +99,11 @@ def test_odd_hash_and_positions(spark):
         assert one(spark, value, lambda c: hashing.odd_hash(F.col(c))) == bool(int(hashlib.sha256(value.encode()).hexdigest(), 16) % 2)
     row = spark.range(1).select(hashing.even_positions(F.lit(10), F.lit(4)), hashing.even_positions(F.lit(10), F.lit(1))).first()
     assert row[0] == [0, 3, 6, 9] and row[1] == [0]
+
+
+def test_json_of_objects_and_arrays(spark):
+    schema = "items array<struct<a:int>>"
+    read = lambda raw: spark.createDataFrame([(raw,)], "x string").select(text.json_object(F.col("x"), schema, "items").alias("y")).first().y
+    for raw in ('{"items": [{"a": 1}, {"a": 2}]}', 'so: {"items": [{"a": 1}, {"a": 2}]} .', '[{"a": 1}, {"a": 2}]', '```json\n[{"a": 1}, {"a": 2}]\n```'):
+        assert [i["a"] for i in read(raw)["items"]] == [1, 2]
+    assert read("nothing") is None and read(None) is None

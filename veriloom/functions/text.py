@@ -131,6 +131,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def ngram_hashes(tokens: Column, width: int) -> Column:
+    """(a, b) of every run of `width` tokens: two independent 64-bit hashes of it, without making its text."""
+    words = F.transform(tokens, lambda t: F.xxhash64(t))
+
+    def runs(held: Column) -> Column:
+        last = F.size(held) - width + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(held, i, F.lit(width))).alias("a"), F.xxhash64(F.lit(width), F.slice(held, i, F.lit(width))).alias("b")))
+
+    return let(words, runs)
+
+
 def token_ngrams(tokens: Column, width: int) -> Column:
     """All runs of `width` tokens, in order, joined by spaces; none if there are fewer tokens."""
 
@@ -142,24 +154,29 @@ def token_ngrams(tokens: Column, width: int) -> Column:
     return let(tokens, runs)
 
 
-def char_wb_ngrams(c: Column | str, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside words padded by one space on either side, n from low to high; a padded word
+def spaced_words(c: Column | str) -> Column:
+    """Lower-cased runs of other than white space."""
+    return F.filter(F.split(collapse(F.lower(F.coalesce(_col(c), F.lit("")))), " "), lambda w: F.length(w) > 0)
+
+
+def padded_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams of a word padded by one space on either side, n from low to high; a padded word
     shorter than n is emitted once, whole, and then no longer n is tried."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    size = F.length(padded)
 
-    def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1))
+        grams = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+        # The first n that is not below the word's length gives the word itself; later ones nothing.
+        return grams if n == low else F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
 
-        def of_size(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1))
-            grams = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
-            # The first n that is not below the word's length gives the word itself; later ones nothing.
-            return grams if n == low else F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
-        return F.concat(*[of_size(n) for n in range(low, high + 1)])
 
-    words = F.filter(F.split(collapse(F.lower(F.coalesce(_col(c), F.lit("")))), " "), lambda w: F.length(w) > 0)
-    return F.flatten(F.transform(words, of_word))
+def char_wb_ngrams(c: Column | str, low: int = 3, high: int = 5) -> Column:
+    """`padded_ngrams` of every word of a text, in order."""
+    return F.flatten(F.transform(spaced_words(c), lambda word: padded_ngrams(word, low, high)))
 
 
 def word_ngrams(c: Column | str, high: int = 2) -> Column:
@@ -207,9 +224,14 @@ def greedy_chunks(c: Column, most: int = 120) -> Column:
     return let(F.aggregate(words, start, add), close)
 
 
-def json_object(c: Column, schema: str) -> Column:
-    """The outermost {...} of a text, parsed; null where there is none or it is malformed."""
-    return F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), schema, {"mode": "PERMISSIVE"})
+def json_object(c: Column, schema: str, array_key: str | None = None) -> Column:
+    """The outermost {...} of a text, parsed; null where there is none or it is malformed. With array_key, a text that is
+    an array at its top level (in a code fence or not) counts as the object {array_key: array}."""
+    bare = F.trim(F.regexp_replace(F.trim(c), r"(?i)^```(?:json)?\s*|\s*```$", ""))
+    found = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    if array_key is not None:
+        found = F.when(bare.startswith("["), F.concat(F.lit('{"' + array_key + '":'), bare, F.lit("}"))).otherwise(found)
+    return F.from_json(found, schema, {"mode": "PERMISSIVE"})
 
 
 def chat_messages(*turns: tuple[str, Column]) -> Column:

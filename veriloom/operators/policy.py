@@ -88,14 +88,23 @@ def route(df: DataFrame, category: str, branches: Mapping[str, Column], out: str
     return df.withColumn(out, value)
 
 
-def evidence(df: DataFrame, id_: str, fields: Sequence[str], keywords: Sequence[str], limit: int = 32, chunk: int = 120) -> DataFrame:
-    """(id, evidence_id, evidence): sentences of the fields, cut into chunks; of equal ones (folded) the first; of more
-    than `limit` the ones with most keyword hits, in their original order."""
-    pieces = [F.flatten(F.transform(sentences(middle_truncate(collapse(F.regexp_replace(unescape(c), "<[^>]*>|\0", " ")), 9000)), lambda s: greedy_chunks(F.trim(s), chunk))) for c in fields]
-    parts = df.select(F.col(id_).alias("id"), F.posexplode(F.concat(*pieces)).alias("at", "evidence")).withColumn("key", folded("evidence")).where("key <> ''")
-    first = parts.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy("at"))).where("n = 1")
-    hits = first.withColumn("hits", keyword_score(F.col("key"), tuple(keywords)))
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("hits"), "at"))).where(F.col("r") <= limit)
+#: What stands for a card without any text.
+STAND_IN = "Карточка товара"
+
+
+def evidence(df: DataFrame, id_: str, fields: Sequence[str], keywords: Sequence[str], limit: int = 32, chunk: int = 120, stand_in: str = STAND_IN) -> DataFrame:
+    """(id, evidence_id, evidence, hits): sentences of the fields, cut into chunks; of equal ones (folded) the first; of more
+    than `limit` the ones with most keyword hits, in their original order. A card without a piece has one all the same:
+    its first field, cleaned, or `stand_in`."""
+    cleaned = [middle_truncate(collapse(F.regexp_replace(unescape(c), "<[^>]*>|\0", " ")), 9000) for c in fields]
+    pieces = [F.flatten(F.transform(sentences(c), lambda s: greedy_chunks(F.trim(s), chunk))) for c in cleaned]
+    spare = F.struct(F.coalesce(F.nullif(cleaned[0], F.lit("")), F.lit(stand_in)).alias("evidence"), F.lit(1).alias("spare"))
+    every = F.concat(F.transform(F.concat(*pieces), lambda x: F.struct(x.alias("evidence"), F.lit(0).alias("spare"))), F.array(spare))
+    parts = df.select(F.col(id_).alias("id"), F.posexplode(every).alias("at", "o")).select("id", "at", "o.evidence", "o.spare").withColumn("key", folded("evidence"))
+    parts = parts.where("spare = 1 or key <> ''")
+    first = parts.withColumn("n", F.row_number().over(Window.partitionBy("id", "spare", "key").orderBy("at"))).where("n = 1")
+    hits = first.withColumn("hits", F.when(F.col("spare") == 1, 0).otherwise(keyword_score(F.col("key"), tuple(keywords))))
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("spare", F.desc("hits"), "at"))).where((F.col("r") <= limit) & ((F.col("spare") == 0) | (F.col("r") == 1)))
     return ranked.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1).alias("evidence_id"), "evidence", "hits")
 
 
@@ -158,7 +167,8 @@ def render_slots(template: Column, slot: Column, placeholder: str = "{{SLOT}}")
 #: Vocabulary that a synthetic card must not hold.
 META = r"(?iU)organizer|организатор|target|label|метк[аи]|класс\s*[01]|P[123]|N[1-7]|соревнован|датасет"
 BRAND = r"(?i)(?<![\p{L}\p{N}_])(weber|zippo|campingaz|kovea|coleman|forester|boyscout|remington|ronson)(?![\p{L}\p{N}_])"
-SKU = r"(?<![\p{L}\p{N}_])(?=[A-ZА-Я0-9-]{6,}(?![\p{L}\p{N}_]))(?=[A-ZА-Я0-9-]*\d)(?=[A-ZА-Я0-9-]*[A-ZА-Я])[A-ZА-Я0-9-]+(?![\p{L}\p{N}_])"
+_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+SKU = rf"{_EDGE}(?=[A-ZА-Я0-9-]{{6,}}{_EDGE})(?=[A-ZА-Я0-9-]*\d)(?=[A-ZА-Я0-9-]*[A-ZА-Я])[A-ZА-Я0-9-]+{_EDGE}"
 
 
 def structural_checks(positive: Mapping[str, Column], negative: Mapping[str, Column], changed: Column, placeholder: str = "{{SLOT}}", most: int = 35) -> Column:
@@ -182,4 +192,5 @@ def structural_checks(positive: Mapping[str, Column], negative: Mapping[str, Col
 
 
 def passes(checks: Column) -> Column:
-    return F.forall(F.map_values(checks), lambda x: x)
+    """Whether all checks hold; one that cannot be made, as a side was not rendered, does not."""
+    return F.forall(F.map_values(checks), lambda x: F.coalesce(x, F.lit(False)))

@@ -1,10 +1,13 @@
-"""Queries of rules, results, evidence comments and synthetic pairs. Patterns are adapted to the tables' invented words."""
+"""Queries of rules, results, evidence comments and synthetic pairs, with the shipped rules over cards that use their words."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from veriloom.operators import policy
+from veriloom.functions.text import collapse, folded, middle_truncate
+from veriloom.operators import policy, policy_tables
 from veriloom.plans.cards import CARDS, LABELLED, cards, labelled
 from veriloom.plans.query import query
 from veriloom.session import table
@@ -13,29 +16,58 @@ DEFAULTS = {
     1: "The card confirms the rules of its category, and no exception takes precedence.",
     0: "The card does not confirm the rules of its category, or an exception takes precedence.",
 }
-_RAISE = ((("name", "tion.{0,40}ing", True),), (("name", "ou", True), ("description", "thing|ring.{0,30}the", True)))
-_LOWER = ((("name", "^the", True), ("description", "licensed", False)), (("name", r"\d", True),))
+#: Card texts in the words of the shipped rules, put before the tables' own: every name meets every description.
+_NAMES = (
+    "Печь походная", "Печь газовая", "Плита туристическая и баллон 450 мл", "Горелка и картридж 0.5 л", "Бруски для костра", "Ролл растопочный", "Стружка и парафин", "Набор бальзамов",
+)
+_BODIES = (
+    "Работает на дровах", "В качестве топлива используется уголь", "Бруски, парафин и состав, пропитанный смолой", "отсутствует химическая пропитка", "Без химических добавок",
+    "Без химии; жидкость для розжига в комплекте", "Продукт не является лекарством и БАД", "Не БАД, а напиток", "Это БАД к пище, капсулы", "Спортивное питание BCAA и протеин", "Сухое горючее, спички",
+    "Набор для розжига и баллон в комплекте", "Дымовая шашка, хлопушка; свеча фонтан", "Горелка заправляемая, переходник", "Сыворотка и крем для наружного применения", "Гриб ежовик, порошок",
+    "Бадминтон и чайник", "Не относится к лекарствам или бадам",
+)
+_IN_WORDS = (
+    f"{{cards}}, worded AS (SELECT * EXCLUDE (name, description), {list(_NAMES)}[1 + id % {len(_NAMES)}] || ' ' || name AS name, {list(_BODIES)}[1 + id % {len(_BODIES)} ] || '. ' || description AS description, "
+    "CASE WHEN id % 2 = 0 THEN 'БАД' ELSE 'Легковоспламеняющиеся' END AS kind FROM {source})"
+)
+
+
+def _worded(rows):
+    """Cards whose name and description begin with the shipped rules' words; kind: one of the two categories."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("id") % len(words) + 1).cast("int"))
+    kind = F.when(F.col("id") % 2 == 0, policy_tables.SUPPLEMENT).otherwise(policy_tables.FLAMMABLE)
+    return rows.withColumns({"name": F.concat(pick(_NAMES), F.lit(" "), "name"), "description": F.concat(pick(_BODIES), F.lit(". "), "description"), "kind": kind})
+
+
+# The rules in RE2, which has no \b beyond ASCII and no look-around.
+_B = r"[^\p{L}\p{N}_]"
 
 
 @query(
-    "WITH " + LABELLED + ", x AS (SELECT id, label, lower(name) AS n, lower(description) AS d FROM labelled) SELECT id, "
-    r"CASE WHEN label = 0 AND (regexp_matches(n, 'tion.{0,40}ing') OR (regexp_matches(n, 'ou') AND regexp_matches(d, 'thing|ring.{0,30}the'))) THEN 1 "
-    r"WHEN label = 1 AND ((regexp_matches(n, '^the') AND NOT regexp_matches(d, 'licensed')) OR regexp_matches(n, '\d')) THEN 0 ELSE label END AS ruled FROM x"
+    "WITH " + _IN_WORDS.format(cards=LABELLED, source="labelled") + ", x AS (SELECT id, label, lower(name) AS n, lower(description) AS d FROM worded) SELECT id, "
+    rf"CASE WHEN label = 0 AND (regexp_matches(n, '(?:плита|горелк|печь)(?:.{{0,79}}{_B})и{_B}.{{0,79}}(?:баллон|картридж).{{0,20}}\d+\s*(?:мл|л(?:{_B}|$))') OR (n LIKE '%бруск%' AND regexp_matches(d, 'парафин.{{0,120}}пропитан|пропитан.{{0,120}}парафин'))) THEN 1 "
+    "WHEN label = 1 AND ((n LIKE '%печь%' AND regexp_matches(d, 'в качестве топлива использ|топливо.*использ|работает на|требует.*топлив') AND NOT regexp_matches(n, 'баллон|картридж|топливо|газ')) "
+    "OR (regexp_matches(n, 'ролл|растоп|стружк') AND regexp_matches(d, 'без химическ|химическ.{0,80}отсутств|отсутств.{0,80}химическ') AND NOT regexp_matches(d, 'парафин|жидкост|пропитан'))) THEN 0 ELSE label END AS ruled FROM x"
 )
 def rule_override(spark, sf_dir):
-    return labelled(spark, sf_dir).select("id", policy.rule_label("name", "description", F.col("label"), _RAISE, _LOWER).alias("ruled"))
+    return _worded(labelled(spark, sf_dir)).select("id", policy.rule_label("name", "description", F.col("label")).alias("ruled"))
 
 
 def _mock(ns: str, id_: str = "id") -> str:
     return f"((((('0x' || substr(sha256('{ns}' || chr(0) || {id_}::VARCHAR), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551615.0::DOUBLE) * 2) - 1)"
 
 
-@query("WITH " + CARDS + f" SELECT id, ({_mock('strict')} + {_mock('broad')} >= 0.6875 AND NOT regexp_matches(lower(description), '(^|[^a-z])(not|nicht|ne pas) (is|ist|est)'))::INT AS prediction FROM cards")
+_DENIED = (
+    rf"не\s+(?:является|считается|относится)(?:\s+[а-яa-z-]+){{0,6}}\s+(?:и|или)\s+бад(?:{_B}|$)|не\s+(?:является|считается|относится)\s+бад(?:{_B}|$)|(?:^|{_B})не\s+бад(?:{_B}|$)"
+)
+
+
+@query("WITH " + _IN_WORDS.format(cards=CARDS, source="cards") + f" SELECT id, ({_mock('strict')} + {_mock('broad')} >= 0.6875 AND NOT regexp_matches(lower(name || chr(10) || description), '{_DENIED}'))::INT AS prediction FROM worded")
 def threshold_veto(spark, sf_dir):
     from veriloom.functions.hashing import mock_margin
 
-    veto = r"(^|[^a-z])(not|nicht|ne pas) (is|ist|est)"
-    return cards(spark, sf_dir).select("id", policy.threshold_veto(mock_margin("strict", F.col("id")), mock_margin("broad", F.col("id")), F.lower("description"), veto).alias("prediction"))
+    text = F.lower(F.concat("name", F.lit("\n"), "description"))
+    return _worded(cards(spark, sf_dir)).select("id", policy.threshold_veto(mock_margin("strict", F.col("id")), mock_margin("broad", F.col("id")), text).alias("prediction"))
 
 
 _RESULT = (
@@ -56,27 +88,34 @@ def parse_result(spark, sf_dir):
 
 
 _KEYS = ("tion", "ing", "the", "licen")
+_HITS = " + ".join(f"((length(k) - length(replace(k, '{w}', ''))) // {len(w)})" for w in _KEYS)
 
 
-def _evidence(spark, sf_dir, limit: int = 6):
-    short = cards(spark, sf_dir).select("id", "name")
-    return policy.evidence(short, "id", ("name",), _KEYS, limit, 40)
+def _evidence(spark, sf_dir):
+    """Pieces of whole cards by the policy's keywords: (id, evidence_id, evidence, hits)."""
+    rows = _worded(cards(spark, sf_dir)).select("id", "name", "description", "kind")
+    each = [policy.evidence(rows.where(F.col("kind") == kind), "id", ("name", "description"), words) for kind, words in policy_tables.KEYWORDS.items()]
+    return each[0].union(each[1])
 
 
-_HITS = " + ".join(f"((length(k) - length(replace(k, '{w}', ''))) // {len(w)})" for w in _KEYS)
-# Sentences first, then words; a piece takes words while it stays within 40 characters.
-_EVIDENCE = "WITH RECURSIVE " + CARDS + r""",
-flat AS (SELECT id, trim(regexp_replace(name, '\s+', ' ', 'g')) AS x FROM cards), cut AS (SELECT id, CASE WHEN length(x) <= 9000 THEN x ELSE x[1:6000] || ' … ' || x[-3000:] END AS name FROM flat),
-s AS (SELECT id, unnest(string_split(regexp_replace(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), '[;\n]+', chr(1), 'g'), chr(1))) AS s,
-  generate_subscripts(string_split(regexp_replace(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), '[;\n]+', chr(1), 'g'), chr(1)), 1) AS si FROM cut),
-w AS (SELECT id, si, string_split(trim(s), ' ') AS ws FROM s WHERE trim(s) <> ''),
-pack(id, si, ws, i, n, cur) AS (SELECT id, si, ws, 2, 0, ws[1] FROM w UNION ALL
-  SELECT id, si, ws, i + 1, CASE WHEN length(cur || ' ' || ws[i]) > 40 THEN n + 1 ELSE n END, CASE WHEN length(cur || ' ' || ws[i]) > 40 THEN ws[i] ELSE cur || ' ' || ws[i] END FROM pack WHERE i <= len(ws)),
-pieces AS (SELECT id, si, n, arg_max(cur, i) AS evidence FROM pack GROUP BY 1, 2, 3),
-k AS (SELECT *, lower(evidence) AS k, row_number() OVER (PARTITION BY id, lower(evidence) ORDER BY si, n) AS dup FROM pieces),
-h AS (SELECT id, si, n, evidence, k, (""" + _HITS + r""")::INT AS hits FROM k WHERE dup = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, si, n) AS r FROM h),
-evidence AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY si, n) - 1)::INT AS evidence_id, evidence, k, hits FROM r WHERE r <= 6)"""
+def _count_sql(words) -> str:
+    return " + ".join(f"((length(k) - length(replace(k, '{w}', ''))) // {len(w)})" for w in words)
+
+
+_SPLIT = r"string_split(regexp_replace(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), '[;\n]+', chr(1), 'g'), chr(1))"
+# Fields, sentences, then words; a piece takes words while it stays within 120 characters.
+_EVIDENCE = "WITH RECURSIVE " + _IN_WORDS.format(cards=CARDS, source="cards") + r""",
+flat AS (SELECT id, kind, f, trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM (SELECT id, kind, 0 AS f, name AS x FROM worded UNION ALL SELECT id, kind, 1, description FROM worded)),
+cut AS (SELECT id, kind, f, CASE WHEN length(x) <= 9000 THEN x ELSE x[1:6000] || ' … ' || x[-3000:] END AS x FROM flat),
+s AS (SELECT id, kind, f, unnest(""" + _SPLIT + ") AS s, generate_subscripts(" + _SPLIT + r""", 1) AS si FROM cut),
+w AS (SELECT id, kind, f, si, list_filter(string_split(trim(s), ' '), lambda x: x <> '') AS ws FROM s WHERE trim(s) <> ''),
+pack(id, kind, f, si, ws, i, n, cur) AS (SELECT id, kind, f, si, ws, 2, 0, ws[1] FROM w UNION ALL
+  SELECT id, kind, f, si, ws, i + 1, CASE WHEN length(cur || ' ' || ws[i]) > 120 THEN n + 1 ELSE n END, CASE WHEN length(cur || ' ' || ws[i]) > 120 THEN ws[i] ELSE cur || ' ' || ws[i] END FROM pack WHERE i <= len(ws)),
+pieces AS (SELECT id, kind, f, si, n, arg_max(cur, i) AS evidence FROM pack GROUP BY 1, 2, 3, 4, 5),
+k AS (SELECT *, lower(evidence) AS k, row_number() OVER (PARTITION BY id, lower(evidence) ORDER BY f, si, n) AS dup FROM pieces),
+h AS (SELECT id, kind, f, si, n, evidence, k, CASE kind """ + " ".join(f"WHEN '{kind}' THEN {_count_sql(words)}" for kind, words in policy_tables.KEYWORDS.items()) + r""" END::INT AS hits FROM k WHERE dup = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, f, si, n) AS r FROM h),
+evidence AS (SELECT id, kind, (row_number() OVER (PARTITION BY id ORDER BY f, si, n) - 1)::INT AS evidence_id, evidence, k, hits FROM r WHERE r <= 32)"""
 
 
 @query(_EVIDENCE + " SELECT id, evidence_id, evidence FROM evidence")
@@ -96,26 +135,58 @@ def keyword_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), score(F.lower("text"), _KEYS).alias("hits"))
 
 
-_LADDERS = {"motion": (("tion ing|tioning", 6), ("tion", 4)), "article": (("the and|and the", 5), ("(^| )the( |$)", 2)), "other": (("[aeiou]{3}", 3),)}
+# The ladders of candidate B in RE2; a basis that is not here has 3 points for any marker.
+_W = r"[\p{L}\p{N}_]"
+_RUNGS = {
+    "explicit_bad_status": ((f"regexp_matches(k, 'биологически активн{_W}* добавк|пищев{_W}* добавк|бад к пище')", 6), (f"regexp_matches(k, 'supplement|(?:^|{_B})бад(?:{_B}|$)')", 4)),
+    "explicit_not_bad": (("regexp_matches(k, 'не является.{0,35}(?:бад|биологически активн)')", 8),),
+    "sport_nutrition": ((f"regexp_matches(k, 'спортивн{_W}* питан|(?:^|{_B})(?:bcaa|бцаа)(?:{_B}|$)|протеин|предтренировоч')", 5),),
+    "ordinary_food": ((f"regexp_matches(k, '(?:^|{_B})(?:напиток|сок|чай|кофе|батончик|конфета|еда)(?:{_B}|$)')", 4),),
+    "sold_fuel": (("regexp_matches(k, 'сухое горючее|топлив|бензин|горючий материал|угол[ья]|брикет')", 6),),
+    "ignition_source": ((f"regexp_matches(k, 'спич|набор.{{0,20}}розжиг|средств{_W}* розжиг|зажигал')", 5),),
+    "included_flammable_content": ((f"regexp_matches(k, 'в комплект|в состав.{{0,20}}набор') AND regexp_matches(k, 'горюч|топлив|спич|газов{_W}* баллон|бензин')", 7),),
+    "pyrotechnic_article": ((f"regexp_matches(k, 'хлопуш|дымовая шашка|цветн{_W}* дым|пиротех|фейервер|бенгальск|свеч{_W}* фонтан')", 6),),
+    "refillable_flame_device": (("regexp_matches(k, 'перезаправ|заправляем|газовая зажигал')", 6),),
+    "device_only": (("regexp_matches(k, 'плита|горелка|устройство|гриль')", 5),),
+}
+#: Stand-in labels of cards that have none: every third is positive.
+_LABEL_SQL = "(id % 3 = 0)::INT"
+_GROUPS = tuple((kind, label) for kind in policy_tables.KEYWORDS for label in (1, 0))
+
+
+def _points_sql(basis: str) -> str:
+    if basis in _RUNGS:
+        return "CASE " + " ".join(f"WHEN {found} THEN {points}" for found, points in _RUNGS[basis]) + " ELSE 0 END"
+    return "CASE WHEN " + " OR ".join(f"contains(k, '{m}')" for m in policy_tables.MARKERS[basis]) + " THEN 3 ELSE 0 END"
 
 
-def _ladder_sql(rungs) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(k, '{p}') THEN {n}" for p, n in rungs) + " ELSE 0 END"
+_SCORED = _EVIDENCE + ", o AS (" + " UNION ALL ".join(
+    f"SELECT id, evidence_id, '{basis}' AS basis, {i} AS bi, {_points_sql(basis)} AS score FROM evidence WHERE kind = '{kind}' AND {_LABEL_SQL} = {label}"
+    for kind, label in _GROUPS
+    for i, basis in enumerate(policy_tables.allowed(kind, label, "B"))
+) + ")"
 
 
-_SCORED = _EVIDENCE + ", o AS (" + " UNION ALL ".join(f"SELECT id, evidence_id, '{b}' AS basis, {i} AS bi, {_ladder_sql(r)} AS score FROM evidence" for i, (b, r) in enumerate(_LADDERS.items())) + ")"
+def _groups(spark, sf_dir):
+    """Each category and label: its pieces, with the folded text k, and the points of its bases."""
+    rows = _evidence(spark, sf_dir).withColumn("k", folded("evidence"))
+    for kind, label in _GROUPS:
+        mine = (F.col("id") % 2 == (0 if kind == policy_tables.SUPPLEMENT else 1)) & ((F.col("id") % 3 == 0).cast("int") == label)
+        bases = policy_tables.allowed(kind, label, "B")
+        yield mine, rows.where(mine), bases, policy_tables.scores(F.col("k"), bases, "B")
+
+
+def _union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 @query(_SCORED + " SELECT id, evidence_id, basis, score FROM o WHERE score > 0")
 def weighted_evidence(spark, sf_dir):
-    rows = _evidence(spark, sf_dir).withColumn("k", F.lower("evidence"))
-    options = F.array(*[F.struct(F.lit(b).alias("basis"), policy.ladder_score(F.col("k"), r).alias("score")) for b, r in _LADDERS.items()])
-    return rows.select("id", "evidence_id", F.explode(options).alias("o")).select("id", "evidence_id", "o.basis", "o.score").where("score > 0")
-
+    def scored(rows, points):
+        options = F.array(*[F.struct(F.lit(b).alias("basis"), p.cast("int").alias("score")) for b, p in points.items()])
+        return rows.select("id", "evidence_id", F.explode(options).alias("o")).select("id", "evidence_id", "o.basis", "o.score").where("score > 0")
 
-def _best(spark, sf_dir):
-    rows = _evidence(spark, sf_dir).withColumn("k", F.lower("evidence"))
-    return rows, policy.best_evidence(rows, {b: policy.ladder_score(F.col("k"), r) for b, r in _LADDERS.items()})
+    return _union(scored(rows, points) for _, rows, _, points in _groups(spark, sf_dir))
 
 
 _BEST = _SCORED + ", best AS (SELECT id, score, evidence_id, basis FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, evidence_id, bi) AS r FROM o WHERE score > 0) WHERE r = 1)"
@@ -123,34 +194,44 @@ _BEST = _SCORED + ", best AS (SELECT id, score, evidence_id, basis FROM (SELECT
 
 @query(_BEST + " SELECT id, score, evidence_id, basis FROM best")
 def argmax_evidence(spark, sf_dir):
-    return _best(spark, sf_dir)[1]
+    return _union(policy.best_evidence(rows, points) for _, rows, _, points in _groups(spark, sf_dir))
+
+
+_FIRST_BASIS = "CASE " + " ".join(f"WHEN kind = '{k}' AND {_LABEL_SQL} = {v} THEN '{policy_tables.allowed(k, v, 'B')[0]}'" for k, v in _GROUPS) + " END"
+_LAST_BASIS = "CASE " + " ".join(f"WHEN kind = '{k}' AND {_LABEL_SQL} = {v} THEN '{policy_tables.allowed(k, v, 'B')[-1]}'" for k, v in _GROUPS) + " END"
 
 
 @query(
-    _BEST + ", c AS (SELECT id, (id % 9 - 1)::INT AS evidence_id, CASE WHEN id % 4 = 0 THEN 'nonsense' WHEN id % 2 = 0 THEN 'motion' ELSE 'article' END AS basis FROM cards) "
+    _BEST + f", c AS (SELECT id, (id % 9 - 1)::INT AS evidence_id, CASE WHEN id % 4 < 2 THEN 'nonsense' ELSE {_FIRST_BASIS} END AS basis, {_LAST_BASIS} AS last FROM worded) "
     "SELECT c.id, (CASE WHEN o.score > 0 THEN c.evidence_id WHEN b.id IS NOT NULL THEN b.evidence_id WHEN e.id IS NOT NULL THEN c.evidence_id ELSE 0 END)::INT AS evidence_id, "
-    "CASE WHEN o.score > 0 THEN c.basis WHEN b.id IS NOT NULL THEN b.basis WHEN c.basis IN ('motion', 'article', 'other') THEN c.basis ELSE 'other' END AS basis, NOT coalesce(o.score > 0, false) AS repaired "
+    "CASE WHEN o.score > 0 THEN c.basis WHEN b.id IS NOT NULL THEN b.basis WHEN c.basis <> 'nonsense' THEN c.basis ELSE c.last END AS basis, NOT coalesce(o.score > 0, false) AS repaired "
     "FROM c LEFT JOIN o ON o.id = c.id AND o.evidence_id = c.evidence_id AND o.basis = c.basis LEFT JOIN best b ON b.id = c.id LEFT JOIN evidence e ON e.id = c.id AND e.evidence_id = c.evidence_id"
 )
 def comment_repair(spark, sf_dir):
     """Choices made up by id, some of them out of range or not allowed."""
-    rows = _evidence(spark, sf_dir).withColumn("k", F.lower("evidence"))
-    basis = F.when(F.col("id") % 4 == 0, "nonsense").when(F.col("id") % 2 == 0, "motion").otherwise("article")
-    choices = cards(spark, sf_dir).select("id", (F.col("id") % 9 - 1).cast("int").alias("evidence_id"), basis.alias("basis"))
-    return policy.repair_choice(choices, rows, {b: policy.ladder_score(F.col("k"), r) for b, r in _LADDERS.items()})
+    ids = cards(spark, sf_dir).select("id")
+
+    def repaired(mine, rows, bases, points):
+        basis = F.when(F.col("id") % 4 < 2, "nonsense").otherwise(bases[0])
+        return policy.repair_choice(ids.where(mine).select("id", (F.col("id") % 9 - 1).cast("int").alias("evidence_id"), basis.alias("basis")), rows, points)
 
+    return _union(repaired(*group) for group in _groups(spark, sf_dir))
 
-_PHRASE = "CASE basis WHEN 'motion' THEN 'the motion of the goods' WHEN 'article' THEN 'a plain article' ELSE 'another kind of goods' END"
+
+_PHRASE = "CASE basis " + " ".join(f"WHEN '{b}' THEN '{policy_tables.phrase(b, 'B')}'" for b in policy_tables.PHRASES) + " END"
 _COMMENT = f"'Решающий фрагмент карточки — «' || e.evidence || '»; он указывает на ' || {_PHRASE} || '.'"
 
 
 @query(_BEST + f" SELECT b.id, {_COMMENT} AS comment, length({_COMMENT}) BETWEEN 50 AND 300 AS valid FROM best b JOIN evidence e USING (id, evidence_id)")
 def comment_render(spark, sf_dir):
-    rows, best = _best(spark, sf_dir)
-    phrase = F.when(F.col("basis") == "motion", "the motion of the goods").when(F.col("basis") == "article", "a plain article").otherwise("another kind of goods")
-    joined = best.join(rows.select("id", "evidence_id", "evidence"), ["id", "evidence_id"]).join(cards(spark, sf_dir).select("id", "name"), "id")
+    """Of pieces that were cut out of a field as they stand, all are in their source."""
+    source = F.concat_ws(" ", *[middle_truncate(collapse(F.regexp_replace(c, "<[^>]*>", " ")), 9000) for c in ("name", "description")])
+    whole = _worded(cards(spark, sf_dir)).select("id", source.alias("source"))
+    pieces = _evidence(spark, sf_dir).select("id", "evidence_id", "evidence")
+    joined = argmax_evidence(spark, sf_dir).join(pieces, ["id", "evidence_id"]).join(whole, "id")
+    phrase = F.element_at(F.create_map(*[F.lit(x) for b in policy_tables.PHRASES for x in (b, policy_tables.phrase(b, "B"))]), F.col("basis"))
     comment = policy.render_comment(F.col("evidence"), phrase)
-    return joined.select("id", comment.alias("comment"), policy.valid_comment(F.col("name"), F.col("evidence"), comment).alias("valid"))
+    return joined.select("id", comment.alias("comment"), policy.valid_comment(F.col("source"), F.col("evidence"), comment).alias("valid"))
 
 
 @query("WITH " + LABELLED + f" SELECT id, CASE WHEN label = 1 THEN '{DEFAULTS[1]}' ELSE '{DEFAULTS[0]}' END AS comment FROM labelled WHERE length(trim(name)) NOT BETWEEN 50 AND 300")
@@ -177,33 +258,47 @@ def render_slots(spark, sf_dir):
     return _templates(spark, sf_dir).select("id", "changed", policy.render_slots(F.col("template"), F.col("slot_a")).alias("positive"), policy.render_slots(F.col("template"), F.col("slot_b")).alias("negative"))
 
 
+#: Faults of the field that does not change, by row; the last differs between the sides.
+_FAULTS = ((17, "Zippo case"), (19, "box AB123-"), (23, "label here"), (29, None))
+
+
 def _audited(spark, sf_dir):
-    rows = _templates(spark, sf_dir).where("id % 13 <> 0")
-    side = lambda slot: {
-        "name": F.when(F.col("changed") == "name", policy.render_slots(F.col("template"), F.col(slot))).otherwise(F.col("fixed")),
-        "description": F.when(F.col("changed") == "name", F.col("fixed")).otherwise(policy.render_slots(F.col("template"), F.col(slot))),
+    """Checks of synthetic pairs, some with two slots, a brand, an article number, meta words or two unlike fields."""
+    rows = _templates(spark, sf_dir)
+    fixed = F.col("fixed")
+    for step, fault in _FAULTS[:3]:
+        fixed = F.when(F.col("id") % step == 0, F.lit(fault)).otherwise(fixed)
+    other = F.when(F.col("id") % _FAULTS[3][0] == 0, F.concat(fixed, F.lit("!"))).otherwise(fixed)
+    side = lambda slot, field: {
+        "name": F.when(F.col("changed") == "name", policy.render_slots(F.col("template"), F.col(slot))).otherwise(field),
+        "description": F.when(F.col("changed") == "name", field).otherwise(policy.render_slots(F.col("template"), F.col(slot))),
         "span": F.col(slot),
     }
-    return rows.withColumn("checks", policy.structural_checks(side("slot_a"), side("slot_b"), F.col("changed")))
+    return rows.withColumn("checks", policy.structural_checks(side("slot_a", fixed), side("slot_b", other), F.col("changed")))
 
 
-_AUDIT = f"""WITH p AS ({_PAIR}), r AS (SELECT *, 'set with ' || slot_a || ' inside' AS a, 'set with ' || slot_b || ' inside' AS b FROM p WHERE id % 13 <> 0),
-c AS (SELECT id, changed, slot_a, slot_b, a <> b AS differs, (length(a) - length(replace(a, slot_a, ''))) / length(slot_a) = 1 AS once_a, (length(b) - length(replace(b, slot_b, ''))) / length(slot_b) = 1 AS once_b,
-  replace(a, slot_a, '{{{{SLOT}}}}') = replace(b, slot_b, '{{{{SLOT}}}}') AS masked, abs(length(slot_a) - length(slot_b)) <= 35 AS balanced, NOT regexp_matches(lower(a || ' ' || b || ' ' || fixed), 'organizer|target|label|p[123]|n[1-7]') AS clean,
-  NOT regexp_matches(fixed, '\\b[A-Z0-9-]*[A-Z][A-Z0-9-]*\\d[A-Z0-9-]*\\b') AS no_sku FROM r)"""
+_BY_ID = "CASE WHEN id % 23 = 0 THEN 'label here' WHEN id % 19 = 0 THEN 'box AB123-' WHEN id % 17 = 0 THEN 'Zippo case' ELSE fixed END"
+_AUDIT = f"""WITH p AS ({_PAIR}), r AS (SELECT * EXCLUDE (fixed), {_BY_ID} AS fa, ({_BY_ID}) || CASE WHEN id % 29 = 0 THEN '!' ELSE '' END AS fb,
+  CASE WHEN {_ONCE} THEN 'set with ' || slot_a || ' inside' END AS a, CASE WHEN {_ONCE} THEN 'set with ' || slot_b || ' inside' END AS b FROM p),
+c AS (SELECT id, changed, a IS NOT NULL AND a <> b AS differs, fa = fb AS fixed_alike, coalesce((length(a) - length(replace(a, slot_a, ''))) / length(slot_a) = 1, false) AS once_a, coalesce((length(b) - length(replace(b, slot_b, ''))) / length(slot_b) = 1, false) AS once_b,
+  coalesce(replace(a, slot_a, '{{{{SLOT}}}}') = replace(b, slot_b, '{{{{SLOT}}}}'), false) AS masked, abs(length(slot_a) - length(slot_b)) <= 35 AS balanced,
+  NOT regexp_matches(lower(concat_ws(' ', a, b, fa, fb)), 'organizer|target|label|p[123]|n[1-7]') AS clean, NOT regexp_matches(lower(concat_ws(' ', a, b, fa, fb)), '\\b(?:zippo|weber|kovea|coleman)\\b') AS no_brand,
+  -- A hyphen may end an article number only before a word character.
+  len(list_filter(regexp_extract_all(concat_ws(' ', a, b, fa, fb), '[A-Za-z0-9_-]+'), lambda x: regexp_matches(regexp_replace(x, '^-+|-+$', '', 'g'), '^[A-Z0-9-]{{6,}}$') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]'))) = 0 AS no_sku FROM r)"""
 
 
-@query(_AUDIT + " SELECT id, changed, differs AND once_a AND once_b AND masked AND balanced AND clean AS passed FROM c")
+@query(_AUDIT + " SELECT id, changed, differs AND fixed_alike AND once_a AND once_b AND masked AND balanced AND clean AND no_brand AND no_sku AS passed FROM c")
 def structural_audit(spark, sf_dir):
     return _audited(spark, sf_dir).select("id", "changed", policy.passes(F.col("checks")).alias("passed"))
 
 
-@query(_AUDIT + " SELECT changed, count(*) AS n, count(*) FILTER (masked) AS masked, count(*) FILTER (once_a AND once_b) AS bound, round(avg(balanced::INT), 9) AS balanced_rate FROM c GROUP BY 1")
+@query(_AUDIT + " SELECT changed, count(*) AS n, count(*) FILTER (masked) AS masked, count(*) FILTER (once_a AND once_b) AS bound, count(*) FILTER (NOT differs) AS unrendered, round(avg(balanced::INT), 9) AS balanced_rate FROM c GROUP BY 1")
 def audit_rates(spark, sf_dir):
-    check = lambda name: F.col("checks")[name]
+    check = lambda name: F.coalesce(F.col("checks")[name], F.lit(False))
     return _audited(spark, sf_dir).groupBy("changed").agg(
         F.count("*").alias("n"), F.count_if(check("masking_slot_makes_identical")).alias("masked"),
-        F.count_if(check("positive_slot_binds_once") & check("negative_slot_binds_once")).alias("bound"), F.round(F.avg(check("balanced_slot_length").cast("int")), 9).alias("balanced_rate"),
+        F.count_if(check("positive_slot_binds_once") & check("negative_slot_binds_once")).alias("bound"), F.count_if(~check("changed_field_differs")).alias("unrendered"),
+        F.round(F.avg(check("balanced_slot_length").cast("int")), 9).alias("balanced_rate"),
     )
 
 

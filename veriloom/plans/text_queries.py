@@ -9,7 +9,7 @@ from veriloom.operators import similarity
 from veriloom.operators.graph import connected_components
 from veriloom.plans.cards import CARDS, cards
 from veriloom.plans.query import query
-from veriloom.session import table
+from veriloom.session import materialised, table
 
 _W = r"[\p{L}\p{N}_]"
 
@@ -77,9 +77,10 @@ def char_wb_ngrams(spark, sf_dir):
     return rows.groupBy("id", "gram").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + CARDS + rf", t AS (SELECT id, list_filter({_words_sql('lower(name)')}, lambda w: length(w) >= 2) AS t FROM cards), g AS (SELECT id, unnest({_grams_sql('t', 1)} || {_grams_sql('t', 2)}) AS gram FROM t) SELECT id, gram, count(*) AS n FROM g GROUP BY 1, 2")
+@query(rf"WITH t AS (SELECT doc_id AS id, list_filter({_words_sql('lower(text)')}, lambda w: length(w) >= 2) AS t FROM documents), g AS (SELECT id, unnest({_grams_sql('t', 1)} || {_grams_sql('t', 2)}) AS gram FROM t) SELECT id, gram, count(*) AS n FROM g GROUP BY 1, 2")
 def word_ngrams(spark, sf_dir):
-    return cards(spark, sf_dir).select("id", F.explode(text.word_ngrams("name")).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(text.word_ngrams("text")).alias("gram"))
+    return rows.groupBy("id", "gram").agg(F.count("*").alias("n"))
 
 
 @query("WITH " + CARDS + " SELECT id, 'title ' || name || chr(10) || ' description ' || description AS feature, round(ln(1 + length(name)), 9) AS name_log, length(description) AS description_chars FROM cards")
@@ -158,17 +159,17 @@ def exact_overlap(spark, sf_dir):
 def ngram_contamination(spark, sf_dir):
     """Documents that share a run of 13 tokens with the benchmark, and at how many positions."""
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    known = benchmark.select(F.explode(text.token_ngrams(text.contract_tokens("text"), 13)).alias("gram"))
-    return similarity.ngram_hits(documents, "doc_id", text.token_ngrams(text.contract_tokens("text"), 13), known)
+    grams = text.ngram_hashes(text.contract_tokens("text"), 13)
+    return similarity.ngram_hits(documents, "doc_id", grams, benchmark.select(F.explode(grams).alias("gram")))
 
 
 def _name_vectors(spark, sf_dir):
     """Vectors of the distinct first lines, each named by its smallest card id: copies cost one vector."""
-    first = cards(spark, sf_dir).groupBy("name").agg(F.min("id").alias("id"), F.min("stratum").alias("grp"))
-    return first, similarity.tfidf(first, "id", text.char_wb_ngrams("name"))
+    first = cards(spark, sf_dir).groupBy("name").agg(F.min("id").alias("id"))
+    return first, similarity.tfidf(first, "id", text.spaced_words("name"), text.padded_ngrams)
 
 
-_NAMES = "WITH " + CARDS + r""", first AS (SELECT name, min(id) AS id, min(stratum) AS grp FROM cards GROUP BY name),
+_NAMES = "WITH " + CARDS + r""", first AS (SELECT name, min(id) AS id FROM cards GROUP BY name),
 w AS (SELECT id, unnest(string_split(trim(regexp_replace(lower(name), '\s+', ' ', 'g')), ' ')) AS x FROM first), p AS (SELECT id, ' ' || x || ' ' AS w FROM w WHERE x <> ''),
 """ + f"""tf AS (SELECT id, g AS term, count(*) AS tf FROM ({_WB}) GROUP BY 1, 2),
 stats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 60000),
@@ -188,10 +189,29 @@ def near_dup_pairs(spark, sf_dir):
     return similarity.cosine_pairs(vectors, 0.90).select("left_id", "right_id", F.round("sim", 6).alias("sim"))
 
 
-@query(_NAMES + ", s AS (SELECT sum(a.w * b.w) AS sim FROM vec a JOIN first fa ON fa.id = a.id JOIN vec b ON a.term = b.term AND a.id < b.id JOIN first fb ON fb.id = b.id WHERE fa.grp <> fb.grp GROUP BY a.id, b.id) SELECT count(*) FILTER (sim >= 0.94) AS n_edges, round(coalesce(max(sim), 0), 6) AS max_sim FROM s")
+#: Whole cards as the audit sees them, each distinct text once, with its rows by group.
+_WHOLE = "WITH " + CARDS + r""", texts AS (SELECT id, stratum AS grp, trim(regexp_replace(lower(name || ' ' || description), '[^0-9a-zа-яё]+', ' ', 'g')) AS t FROM cards), first AS (SELECT t, min(id) AS id, count(*) AS copies FROM texts GROUP BY t),
+w AS (SELECT id, unnest(string_split(t, ' ')) AS x FROM first), p AS (SELECT id, ' ' || x || ' ' AS w FROM w WHERE x <> ''),
+""" + f"""tf AS (SELECT id, g AS term, count(*) AS tf FROM ({_WB}) GROUP BY 1, 2), stats AS (SELECT term, sum(copies) AS df FROM tf JOIN first USING (id) GROUP BY 1),
+raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM cards)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN stats USING (term)),
+vec AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
+s AS (SELECT a.id AS l, b.id AS r, sum(a.w * b.w) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
+g AS (SELECT f.id, t.grp, count(*) AS c FROM texts t JOIN first f USING (t) GROUP BY 1, 2),
+e AS (SELECT sim, x.c * y.c AS n FROM s JOIN g x ON x.id = l JOIN g y ON y.id = r AND y.grp <> x.grp UNION ALL SELECT 1.0::DOUBLE, x.c * y.c FROM g x JOIN g y ON x.id = y.id AND x.grp < y.grp)"""
+
+
+def _whole_cards(spark, sf_dir, threshold):
+    rows = cards(spark, sf_dir).select("id", F.col("stratum").alias("grp"), text.audit_text(F.concat_ws(" ", "name", "description")).alias("t"))
+    texts = materialised(rows.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("t").alias("t")))
+    groups = rows.groupBy(F.sha2("t", 256).alias("h"), "grp").agg(F.count("*").alias("copies")).join(texts.select("h", "id"), "h")
+    vectors = similarity.tfidf(texts, "id", text.spaced_words("t"), text.padded_ngrams, min_df=1, max_features=None, copies="copies")
+    return similarity.cross_group_similarity(vectors, groups, threshold)
+
+
+@query(_WHOLE + " SELECT coalesce(sum(n) FILTER (sim >= 0.94), 0)::BIGINT AS n_edges, round(coalesce(max(sim), 0), 6) AS max_sim FROM e")
 def cross_group_similarity(spark, sf_dir):
-    first, vectors = _name_vectors(spark, sf_dir)
-    return similarity.cross_group_similarity(vectors, first.select("id", "grp"), 0.94).select("n_edges", F.round("max_sim", 6).alias("max_sim"))
+    """Whole cards of different sources that are near copies, exact copies included, and the nearest such pair."""
+    return _whole_cards(spark, sf_dir, 0.94).select("n_edges", F.round("max_sim", 6).alias("max_sim"))
 
 
 _EDGES = _NAMES.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT a.id AS l, b.id AS r FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) + 1e-7 >= 0.9),
@@ -212,16 +232,15 @@ def _card_edges(spark, sf_dir):
 
 
 @query(
-    _NAMES + ", s AS (SELECT sum(a.w * b.w) AS sim FROM vec a JOIN first fa ON fa.id = a.id JOIN vec b ON a.term = b.term AND a.id < b.id JOIN first fb ON fb.id = b.id WHERE fa.grp <> fb.grp GROUP BY a.id, b.id) "
-    "SELECT (SELECT count(*) - count(DISTINCT component_key) FROM cards) AS duplicate_cards, (SELECT count(*) - count(DISTINCT name) FROM cards) AS duplicate_names, count(*) FILTER (sim >= 0.94) AS cross_group_edges, "
-    "(SELECT round(avg(length(name)), 6) FROM cards) AS mean_chars, (SELECT round(median(length(name)), 6) FROM cards) AS median_chars FROM s"
+    _WHOLE + " SELECT (SELECT count(*) - count(DISTINCT component_key) FROM cards) AS duplicate_cards, (SELECT count(*) - count(DISTINCT t) FROM texts) AS duplicate_masked, coalesce(sum(n) FILTER (sim >= 0.94), 0)::BIGINT AS cross_group_edges, "
+    "round(coalesce(max(sim), 0), 6) AS max_similarity, (SELECT round(avg(length(name)), 6) FROM cards) AS mean_chars, (SELECT round(median(length(name)), 6) FROM cards) AS median_chars FROM e"
 )
 def population_audit(spark, sf_dir):
-    """Duplicates, near-equal names across groups, and lengths, in one row."""
-    first, vectors = _name_vectors(spark, sf_dir)
-    edges = similarity.cross_group_similarity(vectors, first.select("id", "grp"), 0.94).select(F.col("n_edges").alias("cross_group_edges"))
-    counts = cards(spark, sf_dir).agg(
-        (F.count("*") - F.count_distinct("component_key")).alias("duplicate_cards"), (F.count("*") - F.count_distinct("name")).alias("duplicate_names"),
+    """Duplicates, near-equal whole cards across groups, and lengths, in one row."""
+    rows = cards(spark, sf_dir).withColumn("t", F.sha2(text.audit_text(F.concat_ws(" ", "name", "description")), 256))
+    edges = _whole_cards(spark, sf_dir, 0.94).select(F.col("n_edges").alias("cross_group_edges"), F.round("max_sim", 6).alias("max_similarity"))
+    counts = rows.agg(
+        (F.count("*") - F.count_distinct("component_key")).alias("duplicate_cards"), (F.count("*") - F.count_distinct("t")).alias("duplicate_masked"),
         F.round(F.avg(F.length("name")), 6).alias("mean_chars"), F.round(F.percentile(F.length("name"), F.lit(0.5)), 6).alias("median_chars"),
     )
     return counts.join(edges)
