@@ -135,10 +135,14 @@ def ngram_hashes(tokens: Column, width: int) -> Column:
     """(a, b) of every run of `width` tokens: two independent 64-bit hashes of it, without making its text."""
     words = F.transform(tokens, lambda t: F.xxhash64(t))
 
+    def of_run(held: Column, i: Column) -> Column:
+        run = [held[i + k] for k in range(width)]
+        return F.struct(F.xxhash64(*run).alias("a"), F.xxhash64(F.lit(width), *run).alias("b"))
+
     def runs(held: Column) -> Column:
-        last = F.size(held) - width + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(held, i, F.lit(width))).alias("a"), F.xxhash64(F.lit(width), F.slice(held, i, F.lit(width))).alias("b")))
+        last = F.size(held) - width
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: of_run(held, i))
 
     return let(words, runs)
 
@@ -147,9 +151,9 @@ def token_ngrams(tokens: Column, width: int) -> Column:
     """All runs of `width` tokens, in order, joined by spaces; none if there are fewer tokens."""
 
     def runs(held: Column) -> Column:
-        last = F.size(held) - width + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(held, i, F.lit(width)), " "))
+        last = F.size(held) - width
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[held[i + k] for k in range(width)]))
 
     return let(tokens, runs)
 
