@@ -295,6 +295,64 @@ def test_html_article_over_sibling_blocks():
         assert got.split("\n") == want
 
 
+def sentences(start, n):
+    return [f"Sentence number {i} of this article, which goes on for long enough to be taken for dense text." for i in range(start, start + n)]
+
+
+BODIES = {
+    "flat": ("<h1>A title</h1><p>{0}</p><p>{1}</p><p>Short.</p><p>{2}</p>", ["A title", 0, 1, "Short.", 2]),
+    "parts": ("<h1>A title</h1><p>Intro.</p><section><h2>One</h2><p>{0}</p><p>{1}</p></section><section><h2>Two</h2><ul><li>{2}<li>item</ul></section>", ["A title", "Intro.", "One", 0, 1, "Two", 2, "item"]),
+    "ads": ("<h1>A title</h1><p>{0}</p><div class='ad'>Buy this thing today, on offer for everyone and all.</div><p class='related-work'>{1}</p><p>{2}</p><nav><a href=/>next</a></nav>", ["A title", 0, 1, 2]),
+    "open": ("<h1>A title<p>One <b><i><u><em><span><a><b><i><u><s>words here<p>{0}<p>{1}<blockquote><p>{2}</blockquote>", ["A title", "One words here", 0, 1, 2]),
+}
+WRAPPERS = (
+    "", "<div class='wrap has-sidebar'>", "<div class='layout has-sidebar'>", "<div class='with-menu'>", "<div class='search-form-page'>", "<div id='has-related'>", "<form action=x>", "<nav><ul><li><a href=/>Home</a><li>",
+    "<div>" * 200, "<div class='widget-area'><div class='page-with-comments'>",
+)
+NOISE = (
+    "<ul class=menu><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact us</a></li></ul>",
+    "<div class=cookie-notice>We use cookies and would like you to agree to all of them.</div>",
+    "<div id=comments><div class=comment><p>A reader says that this is a long comment with many words.</p></div><div class=comment><p>Another reader does not agree with that at all, and says so.</p></div></div>",
+    "<aside>Other things that are long enough to look like the text of the article.</aside><footer>Copyright of all the long footer words that go on and on</footer>",
+)
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_pages_made_by_hand(wrapper, tag):
+    """Pages put together from known blocks, with and without <article>: the text is the article's blocks."""
+    long_ = sentences(0, 3)
+    for body, parts in BODIES.values():
+        want = "\n".join(long_[x] if isinstance(x, int) else x for x in parts)
+        page = f"<html><head><title>T</title></head><body>{NOISE[0]}{NOISE[1]}{wrapper}<{tag}>{body.format(*long_)}</{tag}>{NOISE[2]}{NOISE[3]}</body></html>"
+        if tag == "div" and "nav" in wrapper:
+            # Nothing tells such an article from the open menu but its density.
+            assert set(long_) <= set(html_text.main_text(page).split("\n"))
+        else:
+            assert html_text.main_text(page) == want
+
+
+def test_html_page_builder_blocks():
+    long_ = sentences(0, 6)
+    blocks = "".join(f"<div class='builder-widget text-block'><p>{x}</p></div>" for x in long_)
+    page = f"<body>{NOISE[0]}<div class=row>{blocks}</div>{NOISE[2]}{NOISE[3]}</body>"
+    assert html_text.main_text(page) == "\n".join(long_)
+
+
+def test_html_depth_costs_no_more_than_length():
+    """Tens of thousands of open elements, stray end tags and marks are walked once."""
+    import time
+
+    began, n = time.perf_counter(), 20_000
+    text = sentences(0, 1)[0]
+    for page in (
+        "<div>" * n + f"<p>{text}</p>", "<b>" * n + "<div>x</div>" * n, "<div>" * n + "</p></i></li>" * n, "".join(f"<div class='ad x{i}'>" for i in range(n)) + text,
+        "<ul>" + "<li class=comment><p>words here" * n, "<p>" + "<b>" * n + f"{text}<p>{text}",
+    ):
+        html_text.main_text(page)
+    assert time.perf_counter() - began < 60
+
+
 def test_html_pages_of_the_tables(spark):
     """Article text of the tables' pages, taken with a pattern that fits only them."""
     import html
