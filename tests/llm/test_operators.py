@@ -423,8 +423,8 @@ def test_licenses(spark):
     source = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("clash"))
     scanned = licenses.scan(source)
     got = sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in scanned.collect())
-    assert [g for g in got if g[0] in (1, 2, 6, 7, 10)] == [(1, 1, "apache", True), (1, 1, "apache", True), (2, 0, "mit", True), (6, 0, "gpl", True), (7, 0, "cc-by-nc", True), (10, 1, "apache", True)]
-    assert all(g[2] == "unknown" for g in got if g[0] in (3, 9)) and not any(g[0] in (4, 5, 8) for g in got)
+    assert [g for g in got if g[0] in (1, 2, 6, 7, 10)] == [(1, 0, "apache", True), (1, 0, "apache", True), (2, 0, "mit", True), (6, 0, "gpl", True), (7, 0, "cc-by-nc", True), (10, 0, "apache", True)]
+    assert [g for g in got if g[0] in (3, 9)] == [(9, 0, "unknown", False)] and not any(g[0] in (4, 5, 8) for g in got)
     plan = scanned._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert licenses.scan(source.limit(0)).count() == 0
@@ -453,28 +453,49 @@ def test_licenses_of_wrapped_headers(spark):
 def test_licenses_by_short_name(spark):
     names = {
         "Distributed under GPL-3.0": ["gpl"], "CC-BY-SA 4.0": ["cc-by-sa"], "Apache-2.0": ["apache"], "Dual MIT/GPLv2": ["gpl", "mit"], "SPDX-License-Identifier: BSD-3-Clause": ["bsd"], "MPL-2.0": ["mpl"],
-        "CC-BY-4.0": ["cc-by"], "CC-BY-NC-4.0": ["cc-by-nc"], "SPDX-License-Identifier: MIT": ["mit"], "Distributed under the MIT License": ["mit"], "LGPL-2.1": [], "er kam mit den anderen": [], "a lecture at MIT": [], "an Apache server": [],
-        "permission was granted to modify the binary": [], "CC-BY-NC-SA 4.0": [],
+        "CC-BY-4.0": ["cc-by"], "CC-BY-NC-4.0": ["cc-by-nc"], "SPDX-License-Identifier: MIT": ["mit"], "Distributed under the MIT License": ["mit"], "LGPL-2.1": ["lgpl"], "er kam mit den anderen": [], "a lecture at MIT": [],
+        "an Apache server": [], "permission was granted to modify the binary": [], "CC-BY-NC-SA 4.0": ["cc-by-nc-sa"], "CC0-1.0": ["cc0"], "EPL-2.0": ["epl"], "EUPL-1.2": ["eupl"], "CC BY-ND 4.0": ["cc-by-nd"],
+        "MIT or Apache-2.0": ["apache", "mit"], "GPLv3": ["gpl"], "SPDX-License-Identifier: AGPL-3.0-only": ["agpl"], "This is free and unencumbered software released into the public domain.": ["unlicense"],
     }
     assert granted(spark, names) == sorted((i, 0, f) for i, fs in enumerate(names.values()) for f in fs)
 
 
-def test_license_keys_lose_nothing():
-    """A text without any of the keys of a template that does not name its licence cannot hold CONFIRM of it."""
-    for name in ("bsd-0", "mit-1", "mit-0"):
-        grams = [g for _, t, g, _ in licenses.template_grams() if t == name]
-        left = [g for g in grams if not re.search(rf"(?:^| )(?:{licenses.KEYS[name]})(?: |$)", g)]
-        assert len(left) < licenses.CONFIRM * len(grams)
-    assert all(re.search(licenses._HINT, t.lower()) for family in licenses.TEMPLATES.values() for t in family)
+def test_unknown_licenses(spark):
+    texts = ["All rights reserved.", "Copyright (c) 2021 Some Body", "Licensed under terms that nobody has seen", "You need a license to drive a car", "a driving licence", "plain words"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.family, r.confirmed) for r in got] == [(i, "unknown", False) for i in range(3)]
+
+
+def test_license_search_loses_nothing(spark):
+    """Texts without a cue have no n-gram that is a feature, whatever stands between words."""
+    rng = random.Random(2)
+    pieces = [*licenses.STEMS, *(w for r in licenses.RUNS for w in r.split()), "nc", "sa", "4", "x", "Ünd", "é"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "-", "/", "\n", "_", ". ", "", "é"]) for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    texts = [t.upper() if i % 3 == 0 else t for i, t in enumerate(texts)]
+    kept = {r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").where(licenses.has_cue(F.col("text"))).collect()}
+    held = {t for t in texts if re.search(licenses.CUES, " ".join(licenses._words(t)))}
+    assert held <= kept and len(kept) < len(set(texts))
+
+
+def test_license_model_is_calibrated():
+    """Of the rows that the fit did not see, nearly all have their classes, and certain ones are right."""
+    rows = licenses.training_rows()
+    order = random.Random(7).sample(range(len(rows)), len(rows))
+    vocabulary = {g: i for i, g in enumerate(sorted({g for tokens, _ in rows for g in licenses._grams(tokens) if re.search(licenses.CUES, g)}))}
+    x, y = licenses._matrix(rows, vocabulary)
+    held, kept = order[: len(rows) // licenses.HELD_OUT], order[len(rows) // licenses.HELD_OUT :]
+    w, b = licenses._fit(x[kept], y[kept])
+    p = 1 / (1 + np.exp(-(x[held] @ w + b)))
+    assert ((p >= 0.5) == (y[held] > 0)).all(axis=1).mean() > 0.85 and (y[held] > 0)[p >= 0.9].mean() > 0.97
+    weights, start = licenses.trained()
+    assert len(weights) < 0.2 * len(vocabulary) * len(start) and all(v < 0 for v in start.values())
 
 
 def test_licenses_in_long_lines(spark):
     """A whole template in a line of any length, and two of different families in one line."""
     rng = random.Random(5)
     filler = lambda n: " ".join(f"{rng.choice(WORDS)} w{rng.randint(0, 99)}" for _ in range(n))
-    grant = {f: t[-1] for f, t in licenses.TEMPLATES.items()}
+    grant = {f: t[0] for f, t in licenses.TEMPLATES.items()}
     texts = [f"{filler(400)} {t} {filler(400)}" for t in grant.values()] + [f"{filler(300)} {grant['mit']} {filler(300)} {grant['gpl']} {filler(5000)}"]
-    want = [(i, 0, f) for i, f in enumerate(grant) if f != "apache"] + [(len(grant), 0, "gpl"), (len(grant), 0, "mit")]
-    apache = f"{filler(400)} {licenses.TEMPLATES['apache'][0]} {filler(400)}"
-    texts[list(grant).index("apache")] = apache
-    assert granted(spark, texts) == sorted([*want, (list(grant).index("apache"), 0, "apache")])
+    want = [(i, 0, f) for i, f in enumerate(grant)] + [(len(grant), 0, "gpl"), (len(grant), 0, "mit")]
+    assert granted(spark, texts) == sorted(want)

@@ -1,148 +1,252 @@
-"""License scans: a trained paragraph classifier over word n-grams, confirmed against templates. DataFrame operations only."""
+"""License scans: a trained paragraph classifier over word n-grams, confirmed against templates. DataFrame operations only.
+
+One-against-the-rest logistic regressions, one per licence family and one for licence text of any kind, over the n-grams
+of a paragraph that hold a word of licences (`CUES`). A paragraph without such an n-gram has no feature, so leaving it
+out before anything else is done loses nothing. Longer texts only add n-grams, never weigh others down.
+"""
 
 from __future__ import annotations
 
-import math
+import random
 import re
 from collections.abc import Iterable
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions.text import let
+from veriloom.llm.rows import ROW, hold
 from veriloom.session import materialised
 
-#: Opening or grant sentences of public licences, by family.
+_CC = {"cc-by": "by", "cc-by-sa": "by sa", "cc-by-nd": "by nd", "cc-by-nc": "by nc", "cc-by-nc-sa": "by nc sa", "cc-by-nc-nd": "by nc nd"}
+_CC_WORDS = {"by": "Attribution", "sa": "ShareAlike", "nd": "NoDerivatives", "nc": "NonCommercial"}
+#: Names of public licences by family, as SPDX and common use write them.
+NAMES: dict[str, tuple[str, ...]] = {
+    "agpl": ("AGPL-3.0", "AGPLv3", "GNU Affero General Public License"),
+    "apache": ("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0"),
+    "boost": ("BSL-1.0", "Boost Software License"),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "0BSD", "BSD License", "BSD licence", "BSD-style license"),
+    "cc0": ("CC0-1.0", "CC0 1.0 Universal", "CC0"),
+    **{f: (*(f"CC {c} {v}".upper() for c in (code,) for v in ("4.0", "3.0", "2.0")), f"CC {code.upper()} license") for f, code in _CC.items()},
+    "epl": ("EPL-2.0", "EPL-1.0", "Eclipse Public License"),
+    "eupl": ("EUPL-1.2", "EUPL-1.1", "European Union Public Licence", "European Union Public License"),
+    "gpl": ("GPL-3.0", "GPL-2.0", "GPLv3", "GPLv2", "GPL v3", "GPL v2", "GNU GPL", "GNU General Public License"),
+    "isc": ("ISC License", "ISC licence"),
+    "lgpl": ("LGPL-2.1", "LGPL-3.0", "LGPLv2", "LGPLv3", "GNU LGPL", "GNU Lesser General Public License", "GNU Library General Public License"),
+    "mit": ("MIT License", "MIT licence", "MIT-style license"),
+    "mpl": ("MPL-2.0", "MPL-1.1", "MPL 2.0", "Mozilla Public License"),
+    "unlicense": ("Unlicense",),
+    "wtfpl": ("WTFPL",),
+    "zlib": ("zlib License",),
+}
+#: Grants and conditions of public licences, paragraph by paragraph.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
         "Licensed under the Apache License, Version 2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE 2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Released under the BSD License",
-    ),
-    "cc-by": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    "boost": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",),
+    **{f: (f"This work is licensed under a Creative Commons {'-'.join(_CC_WORDS[c] for c in code.split())} 4.0 International License",) for f, code in _CC.items()},
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
     "mit": (
-        "Released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
-}
-#: Texts near licences that grant none: the training rows of the unknown class beside cut templates.
-BACKGROUND = (
-    "Licensed under terms that are not stated here",
-    "All rights reserved by the author",
-    "You need a license to drive a car in this country",
-    "The version of the file was released under the name of the author",
-    "Released under the title of the first album",
-    "This work is under way and the general public may see it free of charge",
-    "Please contact us for a license",
-    "Copyright by the author",
-    "A license may be obtained from the ministry",
-)
-UNKNOWN = "unknown"
-#: A line is classified by itself if it has one of these; paragraphs of several lines, and others, see `grants`.
-CUE = r"(?i)licen[cs]|copyright|\bspdx\b|redistribut|permission is hereby granted|creative commons|\bcc by"
-#: Longest word n-gram; share of a template's shingles that confirms a prediction; probability below which the class is unknown.
-N_MAX, CONFIRM, CERTAIN = 3, 0.7, 0.5
-#: Words one of which a paragraph needs beside CONFIRM of a template: the licence's name, or, of the two templates without
-#: one, words of which one is in every text that reaches CONFIRM.
-KEYS: dict[str, str] = {
-    "apache-0": "apache", "apache-1": "apache", "bsd-0": "redistribution|binary|modification|permitted", "bsd-1": "bsd", "cc-by-0": "cc by", "cc-by-1": "creative commons",
-    "cc-by-nc-0": "cc by nc", "cc-by-nc-1": "noncommercial", "cc-by-sa-0": "cc by sa", "cc-by-sa-1": "sharealike", "gpl-0": "gnu", "gpl-1": "gnu", "mit-0": "the mit|mit licen[cs]e",
-    "mit-1": "hereby|granted|obtaining|documentation", "mpl-0": "mozilla",
-}
-#: Short names by family, as SPDX and common use write them; MIT only where the context is a licence's.
-SHORT: dict[str, str] = {
-    "apache": r"\bApache-2\.0\b", "bsd": r"\b(?:0BSD\b|BSD-[1-4]-Clause)", "cc-by": r"\bCC[- ]BY[- ][1-4]\.\d\b", "cc-by-nc": r"\bCC[- ]BY-NC[- ][1-4]\.\d\b", "cc-by-sa": r"\bCC[- ]BY-SA[- ][1-4]\.\d\b",
-    "gpl": r"\bGPL(?:-[1-3]\.\d|[- ]?v[1-3])",
-    "mit": r"SPDX-License-Identifier:[^\n]*\bMIT\b|(?:[Dd]ual|[Ll]icen[cs]ed under|[Rr]eleased under|[Dd]istributed under)(?: the)?\s+MIT\b|\bMIT ?/ ?(?:L?GPL|Apache|BSD|X11)|\b(?:L?GPL[-v.\d]*|Apache-2\.0|BSD[-\w]*) ?/ ?MIT\b",
-    "mpl": r"\bMPL(?:-|v| )?[12]\.\d",
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "unlicense": ("This is free and unencumbered software released into the public domain",),
+    "wtfpl": ("Do What The Fuck You Want To Public License",),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",),
 }
-#: A lower-case text without this has neither a key nor a short name.
-_HINT = (
-    r"(?<![a-z0-9])(?:apache|0?bsd|cc[^a-z0-9]+by|commons|noncommercial|sharealike|gnu|gpl|lgpl|mozilla|mpl|redistribution|binary|modification|permitted|hereby|granted|obtaining|documentation"
-    r"|the[^a-z0-9]+mit(?![a-z0-9])|(?:dual|under)\s+mit(?![a-z0-9])|spdx-license-identifier:[^\n]*mit|mit[^a-z0-9]+licen[cs]e|mit ?/)"
+FAMILIES = tuple(sorted(NAMES))
+#: How grants name a licence; in the second row, and of a name that stands alone, only names of two words or more, and MIT.
+_CARRIERS = ("released under the {}", "licensed under the {}", "licensed under {}", "distributed under {}", "this project is licensed under the terms of the {}", "SPDX-License-Identifier: {}", "license: {}", "under the {}")
+#: What training calls licence text of no known family.
+_UNKNOWN_TEXTS = (
+    "All rights reserved.", "Copyright by the author. All rights reserved.", "Copyright (c) 2020 A. Person", "Licensed under terms that are not stated here", "All rights reserved by the author",
+    "Please contact us for a commercial license", "Released under a proprietary license", "This software is licensed under the terms of the end user license agreement", "See the LICENSE file for license terms",
+    "license", "licensed", "License terms may change", "Copyright notice", "No part of this work may be copied without permission of the copyright holder", "Licence to be decided", "This work is licensed to you, not sold",
+    "Redistribution is not permitted", "copyright reserved", "the license of this file is unknown", "Provided without warranty of any kind", "by permission of the publisher, all rights reserved",
+)
+#: Texts with words of licences that are no licences.
+_OTHER_TEXTS = (
+    "You need a license to drive a car in this country", "His driver's licence was taken away", "The driving licence office is closed on Mondays", "A fishing license may be obtained from the ministry",
+    "The copyright office opened a new building", "An Apache helicopter landed near the town", "the Apache people of the plains", "an Apache server", "permission was granted by the city to build", "permission was granted to modify the binary",
+    "He asked for her permission to leave", "The seat was reserved for the guest", "a reserved man of few words", "the domain of the king", "a table reserved by the window", "the public domain of the park was granted to the town",
+    "the house of commons met on Friday", "they own the commons together", "the attribution of the painting is open", "The gnu is an animal of the plains", "the Mozilla browser was installed", "hereby we tell you that the shop is closed", "the warranty of the car ends in May", "a warrant was issued for his arrest",
+    "The file was released under the name of the author", "Released under the title of the first album", "the wine was obtained from a licensed shop", "a licensed pilot flew the plane", "the licensed premises close at ten", "poetic licence", "artistic license was taken with the story",
+    "the eclipse public viewing takes place at noon", "the rights were granted to the miners", "a grant was given for obtaining books", "domain name", "boost the software sales", "she was granted leave", "the bank granted him a loan", "mit dem Auto und mit Freunden", "er kam mit den anderen", "a lecture at MIT", "das Haus mit or und mit and an", "the license fee was paid by the viewers",
+    "students of MIT and others met", "the license plate of the car", "his license to practise medicine", "licensed taxi drivers", "the permission slip was signed", "No permission needed to enter the park", "obtaining a copy of the key is easy",
+)
+LICENCE, UNKNOWN = "licence", "unknown"
+#: N-grams with one of these are features: parts of words, and whole words or runs of words.
+STEMS = tuple(
+    "licen copyright reserved spdx apache mozilla commons domain redistribut permission permitted hereby granted obtaining warrant unencumbered attribution noncommercial sharealike "
+    "noderivatives wtfpl zlib eupl gpl bsd".split()
 )
+RUNS = ("gnu", "mpl", "epl", "bsl", "isc", "cc by", "cc 0", "cc zero", "cc0", "under mit", "under the mit", "mit or", "mit and", "mit gplv2", "mit gplv3", "mit apache", "mit x11", "or mit", "and mit", "identifier mit")
+#: The same as a regular expression over normal words, one space apart ("cc by nc" is one word there, see `_normal`), and of RUNS
+#: over lower-case text, where any one of their first three words is.
+CUES = f"{'|'.join(STEMS)}|(?:^| )(?:{'|'.join(r.replace('cc by', 'ccby[a-z]*') for r in RUNS)})(?: |$)"
+_RUN_IN_TEXT = f"(?<![a-z0-9])(?:{'|'.join(r.replace(' ', '[^a-z0-9]+') for r in RUNS)})(?![a-z0-9])"
+_RUN_PARTS = ("gnu", "mpl", "epl", "bsl", "isc", "cc", "mit")
+#: Longest word n-gram; share of a template's n-grams that confirms a prediction (names have to be whole); least probability of a family.
+N_MAX, CONFIRM, CERTAIN = 3, 0.7, 0.5
+#: Weight of the absolute penalty, which makes the model sparse; one training row in HELD_OUT is kept for the calibration.
+PENALTY, HELD_OUT, STEPS = 0.1, 4, 300
 #: Comment marks that are words.
 _COMMENT = r"(?i)^\s*(?:dnl|rem)\s"
-_WORD = re.compile(r"[a-z0-9]+")
+#: The parts of a Creative Commons code make one word.
+_GLUE = ((r"\bcc by\b", "ccby"), (r"\bccby nc\b", "ccbync"), (r"\b(ccby|ccbync) (sa|nd)\b", "{1}{2}"))
+
+
+def _words(text: str) -> list[str]:
+    norm = " ".join(re.findall("[a-z0-9]+", text.lower()))
+    for pattern, whole in _GLUE:
+        norm = re.sub(pattern, re.sub(r"\{(\d)\}", r"\\\1", whole), norm)
+    return norm.split()
 
 
 def _grams(tokens: list[str]) -> list[str]:
     return sorted({" ".join(tokens[i : i + n]) for n in range(1, N_MAX + 1) for i in range(len(tokens) - n + 1)})
 
 
-def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def training_rows(seed: int = 5) -> list[tuple[list[str], frozenset[str]]]:
+    """(words, classes) of texts made from the names and templates: each in the ways that grants use it, whole and cut at
+    either end, and two licences together; licence texts of no family; and other texts. Cuts to a quarter of a template
+    that do not name it are of no family."""
+    rng, rows = random.Random(seed), []
+    named = {f: [*NAMES[f], *(["MIT"] if f == "mit" else [])] for f in FAMILIES}
+    for family, names in named.items():
+        for name in names:
+            rows += [(c.format(name), {family}) for c in _CARRIERS]
+            rows += [(name, {family})] * 2 if name != "MIT" else []
+        for template in TEMPLATES.get(family, ()):
+            tokens = _words(template)
+            n = len(tokens)
+            for size in sorted({n, int(0.9 * n), int(0.75 * n), int(0.6 * n), n // 4}):
+                for start in range(0, n - size + 1, 1 if size >= 0.9 * n else 2):
+                    cut = " ".join(tokens[start : start + size])
+                    sure = size >= 0.6 * n or any(f" {' '.join(_words(name))} " in f" {cut} " for name in names)
+                    rows.append((cut, {family} if sure else set()))
+            rows += [(template, {family})] * 4
+    forms = ("{} or {}", "dual licensed under {} and {}", "dual {}/{}", "SPDX-License-Identifier: {} OR {}", "released under the {} or the {}")
+    for _ in range(300):
+        a, b = rng.sample(FAMILIES, 2)
+        rows.append((rng.choice(forms).format(rng.choice(named[a]), rng.choice(named[b])), {a, b}))
+    for other in (f for f in FAMILIES if f != "mit"):  # its name alone is the only one of one common word
+        for form in forms:
+            for name in named[other]:
+                rows += [(form.format("MIT", name), {"mit", other}), (form.format(name, "MIT"), {"mit", other})]
+    texts = [(f, t) for f, held in TEMPLATES.items() for t in held]
+    for _ in range(200):
+        (a, one), (b, two) = rng.sample(texts, 2)
+        rows.append((f"{one} | {two}", {a, b}))
+    out = [(_words(t), frozenset({*classes, LICENCE} if classes else ())) for t, classes in rows]
+    # Short cuts of a template are licence text where they hold a cue, whatever family they are of: left to the other classes.
+    out = [(w, c) for w, c in out if c or re.search(CUES, " ".join(w))]
+    out = [(w, c or frozenset({LICENCE})) for w, c in out]
+    out += [(_words(t), frozenset({LICENCE})) for t in _UNKNOWN_TEXTS for _ in range(4)]
+    return out + [(_words(t), frozenset()) for t in _OTHER_TEXTS for _ in range(6)]
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, intercepts) of logistic regressions with an absolute penalty, by accelerated proximal gradients."""
+    v = np.ones(x.shape[1] + 1)
+    one = np.hstack([x, np.ones((len(x), 1))])
+    for _ in range(30):
+        v = one.T @ (one @ v)
+        v /= np.linalg.norm(v)
+    step = 4 / float(np.linalg.norm(one @ v) ** 2)
+    w = ahead = np.zeros((one.shape[1], y.shape[1]))
+    t = 1.0
+    for _ in range(STEPS):
+        new = ahead - step * (one.T @ (1 / (1 + np.exp(-np.clip(one @ ahead, -30, 30))) - y))
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * PENALTY, 0)
+        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    return w[:-1], w[-1]
+
+
+def _matrix(rows: list[tuple[list[str], frozenset[str]]], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    classes = (*FAMILIES, LICENCE)
+    x, y = np.zeros((len(rows), len(vocabulary))), np.zeros((len(rows), len(classes)))
+    for i, (tokens, held) in enumerate(rows):
+        x[i, [vocabulary[g] for g in _grams(tokens) if g in vocabulary]] = 1
+        y[i, [classes.index(c) for c in held]] = 1
+    return x, y
 
 
 @lru_cache(maxsize=1)
 def trained() -> tuple[dict[tuple[str, str], float], dict[str, float]]:
-    """(weights by (family, gram), intercepts) of a multinomial logistic regression, fitted by gradient steps on the
-    templates, their stretches of at least three quarters, and the background; shorter stretches of templates are
-    rows of the unknown class, which calibrates it. The same in every run."""
-    families = [*TEMPLATES, UNKNOWN]
-    rows: list[tuple[list[str], int]] = []
-    for f, family in enumerate(TEMPLATES):
-        for template in TEMPLATES[family]:
-            tokens = _words(template)
-            n = len(tokens)
-            for size in range(1, n + 1):
-                whole = size >= 0.75 * n
-                for start in range(0, n - size + 1, 1 if whole else max(1, n // 4)):
-                    if whole or size <= 0.4 * n:
-                        rows.append((_grams(tokens[start : start + size]), f if whole else len(families) - 1))
-    rows += [(_grams(_words(t)), len(families) - 1) for t in BACKGROUND for _ in range(4)]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for grams, _ in rows for g in grams}))}
-    weights = [[0.0] * len(families) for _ in vocabulary]
-    bias = [0.0] * len(families)
-    coded = [([vocabulary[g] for g in grams], y) for grams, y in rows]
-    for step in range(60):
-        rate = 0.5 / (1 + 0.05 * step)
-        for grams, y in coded:
-            scale = 1 / math.sqrt(len(grams))
-            z = [b + scale * sum(weights[g][c] for g in grams) for c, b in enumerate(bias)]
-            top = max(z)
-            e = [math.exp(x - top) for x in z]
-            total = sum(e)
-            for c in range(len(families)):
-                slope = rate * ((c == y) - e[c] / total)
-                if abs(slope) > 1e-6:
-                    bias[c] += 0.1 * slope
-                    for g in grams:
-                        weights[g][c] += slope * scale - 1e-4 * rate * weights[g][c]
-    kept = {(families[c], g): round(weights[i][c], 4) for g, i in vocabulary.items() for c in range(len(families)) if abs(weights[i][c]) >= 0.02}
-    return kept, {family: round(b, 4) for family, b in zip(families, bias, strict=True)}
+    """(weights by (class, n-gram), intercepts by class). A fit on three rows in four gives the temperature that makes the
+    others most likely; the model is the fit on all rows with its logits divided by it. The same in every run."""
+    rows = training_rows()
+    order = random.Random(7).sample(range(len(rows)), len(rows))
+    vocabulary = {g: i for i, g in enumerate(sorted({g for tokens, _ in rows for g in _grams(tokens) if re.search(CUES, g)}))}
+    x, y = _matrix(rows, vocabulary)
+    kept, held = order[len(rows) // HELD_OUT :], order[: len(rows) // HELD_OUT]
+    w, b = _fit(x[kept], y[kept])
+    z = x[held] @ w + b
+
+    def loss(temperature: float) -> float:
+        return float(np.logaddexp(0, np.where(y[held] > 0, -z, z) / temperature).sum())
+
+    temperature = min((round(0.25 + 0.05 * i, 2) for i in range(76)), key=loss)
+    w, b = _fit(x, y)
+    classes = (*FAMILIES, LICENCE)
+    weights = {(classes[c], g): round(float(w[i, c]) / temperature, 4) for g, i in vocabulary.items() for c in np.flatnonzero(np.abs(w[i]) >= 0.005)}
+    # Without a feature, no class is reached.
+    start = {c: min(round(float(b[i]) / temperature, 4), -0.01) for i, c in enumerate(classes)}
+    return weights, start
+
+
+def template_grams() -> list[tuple[str, str, str, float, float]]:
+    """(family, template, n-gram, n-grams in all, least share): names and templates; MIT's name is too short to be one."""
+    out = []
+    for family in FAMILIES:
+        for kind, texts, least in (("name", NAMES[family], 1.0), ("text", TEMPLATES.get(family, ()), CONFIRM)):
+            for i, text in enumerate(texts):
+                grams = _grams(_words(text))
+                out += [(family, f"{family}-{kind}-{i}", g, float(len(grams)), least) for g in grams]
+    for i, run in enumerate(("under mit", "under the mit", "identifier mit", "or mit", "mit or", "mit gplv2", "mit apache", "license mit")):
+        out.append(("mit", f"mit-run-{i}", run, 1.0, 1.0))
+    return out
 
 
 def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small constant table, as SQL values."""
-    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)"
-    body = ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+    return spark.sql(f"SELECT * FROM VALUES {_values(rows, lambda v: f'CAST({v!r} AS DOUBLE)')} AS t({', '.join(names)})")
 
 
-def template_grams() -> list[tuple[str, str, str, float]]:
-    """(family, template, gram, grams in all): the word n-grams of each template."""
-    out = []
-    for family, texts in TEMPLATES.items():
-        for i, text in enumerate(texts):
-            grams = _grams(_words(text))
-            out += [(family, f"{family}-{i}", g, float(len(grams))) for g in grams]
-    return out
+def _values(rows: list[tuple], number) -> str:
+    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else number(v)
+    return ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
+
 
+def _normal(text: Column) -> Column:
+    norm = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    for pattern, whole in _GLUE:
+        norm = F.regexp_replace(norm, pattern, re.sub(r"\{(\d)\}", r"$\1", whole))
+    return norm
 
-def _normal(line: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+
+def has_cue(text: Column) -> Column:
+    """Whether a text can hold a cue: most do not, and plain searches tell."""
+
+    def of_lower(low: Column) -> Column:
+        stem = reduce(lambda a, b: a | b, [low.contains(x) for x in STEMS])
+        return stem | (reduce(lambda a, b: a | b, [low.contains(x) for x in _RUN_PARTS]) & low.rlike(_RUN_IN_TEXT))
+
+    return let(F.lower(text), of_lower)
 
 
 def _list(words: Iterable[str]) -> Column:
@@ -150,7 +254,7 @@ def _list(words: Iterable[str]) -> Column:
 
 
 def _all_grams(norm: Column) -> Column:
-    """Distinct word n-grams; the tokens are bound once and read by position, as a line may be long."""
+    """Distinct word n-grams; the tokens are bound once and read by position, as a paragraph may be long."""
 
     def of_length(tokens: Column, n: int) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: i + n <= F.size(tokens))
@@ -162,134 +266,81 @@ def _all_grams(norm: Column) -> Column:
     return let(F.split(norm, " "), of_tokens)
 
 
-def _with_grams(distinct: DataFrame, all_: bool) -> DataFrame:
-    """Adds __grams, those of __norm that the model or a template knows, and __scale, by all grams or by those."""
-    known = {g for _, g in trained()[0]} | {g for _, _, g, _ in template_grams()}
-    of = lambda grams: let(F.array_intersect(grams, _list(known)), lambda held: F.struct(held.alias("held"), F.greatest(F.lit(1), F.size(grams if all_ else held)).alias("n")))
-    rows = distinct.withColumn("__g", let(_all_grams(F.col("__norm")), of))
-    return rows.select(*distinct.columns, F.col("__g.held").alias("__grams"), (F.lit(1.0) / F.sqrt(F.col("__g.n").cast("double"))).alias("__scale"))
-
-
-def _probabilities(grams: DataFrame) -> DataFrame:
-    """(__norm, family, p) of every family."""
-    spark = grams.sparkSession
-    weights, bias = trained()
+def paragraphs(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(ROW, paragraph, norm) of the paragraphs with a cue: runs of lines that have letters or digits, numbered by their
+    first line (from 0), as lower-case words. ROW holds the other columns. Texts without a cue are left where they are read."""
+    held = hold(documents, {"text": text}).where(has_cue(F.col("text")))
+    marked = lambda x, i: F.concat(F.lit("\2"), i.cast("string"), F.lit("\3"), F.regexp_replace(F.translate(x, "\1\2\3", ""), _COMMENT, " "))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), marked(x, i)).otherwise(F.lit("\1")))
+    parts = held.select(ROW, F.explode(F.split(F.array_join(lines, "\n"), "\1")).alias("part")).where("part <> ''")
+    number = F.regexp_extract("part", "\2(\\d+)\3", 1).cast("int")
+    return parts.select(ROW, number.alias("paragraph"), _normal(F.regexp_replace("part", "\2\\d+\3", "")).alias("norm")).where(F.col("norm").rlike(CUES))
+
+
+def _classified(norms: DataFrame) -> DataFrame:
+    """(a, b, family, probability, similarity, confirmed) of distinct paragraphs (a, b: two hashes; norm)."""
+    spark = norms.sparkSession
+    weights, start = trained()
+    templates = template_grams()
+    known = {g for _, g in weights} | {g for _, _, g, _, _ in templates}
+    grams = materialised(norms.select("a", "b", F.explode(F.array_intersect(_all_grams(F.col("norm")), _list(known))).alias("gram")))
     model = _rows(spark, [(f, g, w) for (f, g), w in weights.items()], ["family", "gram", "w"])
-    exploded = grams.select("__norm", "__scale", F.explode("__grams").alias("gram"))
-    summed = exploded.join(model, "gram").groupBy("__norm", "__scale", "family").agg(F.sum("w").alias("z"))
-    start = _rows(spark, list(bias.items()), ["family", "b"])
-    pairs = grams.select("__norm").withColumn("family", F.explode(F.array(*[F.lit(f) for f in bias])))
-    logits = pairs.join(summed, ["__norm", "family"], "left").join(start, "family")
-    logits = logits.withColumn("z", F.col("b") + F.coalesce(F.col("__scale") * F.col("z"), F.lit(0.0)))
-    total = F.sum(F.exp("z")).over(Window.partitionBy("__norm"))
-    return logits.select("__norm", "family", (F.exp("z") / total).alias("p"))
-
-
-def _classified(distinct: DataFrame) -> DataFrame:
-    """(__norm, family, probability, similarity, confirmed) of lines, each by itself."""
-    spark = distinct.sparkSession
-    grams = _with_grams(distinct, all_=True)
-    ranked = _probabilities(grams).groupBy("__norm").agg(F.max(F.struct("p", "family")).alias("m"))
-    known = F.when(F.col("m.p") >= CERTAIN, F.col("m.family")).otherwise(F.lit(UNKNOWN))
-    predicted = ranked.select("__norm", known.alias("family"), F.round("m.p", 4).alias("probability"))
-    templates = _rows(spark, template_grams(), ["family", "template", "gram", "n"])
-    exploded = grams.select("__norm", F.explode("__grams").alias("gram"))
-    shared = exploded.join(templates, "gram").groupBy("__norm", "family", "template").agg((F.count("*") / F.max("n")).alias("s"))
-    best = shared.groupBy("__norm", "family").agg(F.round(F.max("s"), 4).alias("similarity"))
-    out = predicted.join(best, ["__norm", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return out.withColumn("confirmed", F.col("similarity") >= CONFIRM)
-
-
-def _found(paragraph: Column) -> Column:
-    """Array of (family, similarity) of the grants in a paragraph: short names, and templates of any family held to CONFIRM with a
-    key of theirs, unless one of another family that is alike (the two share half of their grams) is held to a greater share."""
-    held: dict[tuple[str, str], set[str]] = {}
-    for family, template, gram, _ in template_grams():
-        held.setdefault((family, template), set()).add(gram)
-    at = {k: i for i, k in enumerate(held)}
-    known = _list(set().union(*held.values()))
-
-    def of_shares(norm: Column, shares: Column) -> Column:
-        out = []
-        for family in TEMPLATES:
-            granted = paragraph.rlike(SHORT[family])
-            for k in (k for k in held if k[0] == family):
-                alike = [shares[at[o]] for o in held if o[0] != family and 2 * len(held[o] & held[k]) >= min(len(held[o]), len(held[k]))]
-                named = norm.rlike(rf"(?:^| )(?:{KEYS[k[1]]})(?: |$)")
-                fits = [shares[at[k]] >= CONFIRM, named, *[shares[at[k]] >= o for o in alike]]
-                granted = granted | reduce(lambda a, b: a & b, fits)
-            most = F.array_max(F.array(*[shares[at[k]] for k in held if k[0] == family]))
-            out.append(F.when(granted, F.struct(F.lit(family).alias("family"), F.round(most, 4).alias("similarity"))))
-        return F.filter(F.array(*out), lambda x: x.isNotNull())
-
-    def of_norm(norm: Column) -> Column:
-        shares = lambda grams: F.array(*[F.size(F.array_intersect(grams, _list(g))) / F.lit(float(len(g))) for g in held.values()])
-        return let(let(F.array_intersect(_all_grams(norm), known), shares), lambda x: of_shares(norm, x))
-
-    return let(_normal(paragraph), of_norm)
-
-
-def grants(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`scan`'s columns for every grant that `scan` does not confirm on a line by itself: paragraphs are consecutive lines
-    with letters or digits, numbered by their first line, and all of them are compared with the templates and short
-    names of all families. A paragraph may grant several. probability is the model's for the family.
-    """
-    lines = F.transform(
-        F.split(F.col(text), "\n"),
-        lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(F.lit("\2"), i.cast("string"), F.lit("\3"), F.regexp_replace(F.translate(x, "\1\2\3", ""), _COMMENT, " "))).otherwise(F.lit("\1")),
-    )
-    parts = documents.where(F.lower(F.col(text)).rlike(_HINT)).select(*keep, F.explode(F.split(F.array_join(lines, "\n"), "\1")).alias("__part"))
-    parts = parts.where(F.lower(F.regexp_replace("__part", "\2\\d+\3", "")).rlike(_HINT))
-    number = F.regexp_extract("__part", "\2(\\d+)\3", 1).cast("int")
-    rows = parts.select(*keep, number.alias("paragraph"), F.trim(F.regexp_replace("__part", "\2\\d+\3", "")).alias("__text"))
-    rows = rows.select("*", F.explode(_found(F.col("__text"))).alias("__f"))
-    rows = materialised(rows.select(*keep, "paragraph", "__text", _normal(F.col("__text")).alias("__norm"), "__f.family", "__f.similarity"))
-    each = rows.select("__text", "family", F.explode(F.split("__text", "\n")).alias("__line")).where(F.col("__line").rlike(CUE)).select("__text", "family", _normal(F.col("__line")).alias("__norm"))
-    by_line = _classified(each.select("__norm").distinct()).where("confirmed").select("__norm", "family")
-    done = each.join(by_line, ["__norm", "family"], "left_semi").select("__text", "family").distinct()
-    new = rows.join(done, ["__text", "family"], "left_anti")
-    p = _probabilities(_with_grams(new.select("__norm").distinct(), all_=False)).select("__norm", "family", F.round("p", 4).alias("probability"))
-    return new.join(p, ["__norm", "family"]).select(*keep, "paragraph", "family", "probability", "similarity", F.lit(True).alias("confirmed"))
+    begin = _rows(spark, list(start.items()), ["family", "start"])
+    z = grams.join(F.broadcast(model), "gram").groupBy("a", "b", "family").agg(F.sum("w").alias("z")).join(F.broadcast(begin), "family")
+    p = materialised(z.select("a", "b", "family", (1 / (1 + F.exp(-(F.col("z") + F.col("start"))))).alias("p")).where(F.col("p") >= CERTAIN))
+    found = p.where(F.col("family") != LICENCE)
+    other = p.where(F.col("family") == LICENCE).join(found.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(UNKNOWN))
+    known_rows = _rows(spark, templates, ["family", "template", "gram", "n", "least"])
+    share = (F.count("*") / F.max("n")).alias("s")
+    shares = grams.join(F.broadcast(known_rows), "gram").groupBy("a", "b", "family", "template", "least").agg(share).where(F.col("s") >= F.least("least", F.lit(CONFIRM)))
+    best = shares.where((F.col("least") < 1) | (F.col("s") >= 1)).groupBy("a", "b", "family").agg(F.round(F.max("s"), 4).alias("similarity"))
+    out = found.unionByName(other).join(best, ["a", "b", "family"], "left")
+    similarity = F.coalesce("similarity", F.lit(0.0))
+    return out.select("a", "b", "family", F.round("p", 4).alias("probability"), similarity.alias("similarity"), (similarity >= CONFIRM).alias("confirmed"))
 
 
 def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(`keep`, paragraph, family, probability, similarity, confirmed) for every line with a licence cue, and for every
-    paragraph with a grant that no line of it confirms (see `grants`; `scan_sql` gives the lines only).
-
-    Lines are numbered from 0. family is the class of the highest probability, or "unknown" if that is
-    below CERTAIN. similarity is the greatest share of a template's n-grams, of that family, that the
-    line holds; confirmed says whether it reaches CONFIRM. Each distinct line is classified once,
-    so a line that a third of the documents share costs one classification. Null texts have no paragraph; repeated
-    rows are reported each; an empty table gives an empty result. The model's size depends on the templates alone.
+    """(`keep`, paragraph, family, probability, similarity, confirmed): for every paragraph of licence text a row for each
+    family of CERTAIN probability, or one of family "unknown" if there is none.
+
+    similarity is the greatest share of a template's n-grams, of that family, that the paragraph holds, from CONFIRM on
+    (0 below; names count if they are held whole); confirmed says whether there is one. Texts are read once; each
+    distinct paragraph is classified once, so a grant that a third of the documents share costs one classification. Null
+    and empty texts have no paragraph; repeated rows are reported each; an empty table gives an empty result; columns of
+    `keep` with the names of the result's are left out. The model's size depends on names and templates alone.
     """
-    lines = documents.select(*keep, F.col(text).alias("__text")).where(F.col("__text").rlike(CUE))
-    lines = lines.select(*keep, F.posexplode(F.split("__text", "\n")).alias("paragraph", "__line")).where(F.col("__line").rlike(CUE))
-    lines = lines.withColumn("__norm", _normal(F.col("__line"))).drop("__line")
-    joined = lines.join(_classified(lines.select("__norm").distinct()), "__norm")
-    return joined.select(*keep, "paragraph", "family", "probability", "similarity", "confirmed").unionByName(grants(documents, text, keep))
+    added = ("paragraph", "family", "probability", "similarity", "confirmed")
+    kept = [c for c in dict.fromkeys(keep) if c not in added]
+    rows = paragraphs(documents.select(*[c for c in dict.fromkeys([*kept, text])]).withColumnRenamed(text, "text") if text not in kept else documents.select(*kept), "text" if text not in kept else text)
+    rows = materialised(rows.withColumns({"a": F.xxhash64("norm"), "b": F.xxhash64(F.lit(1), "norm")}))
+    labels = _classified(rows.select("a", "b", "norm").dropDuplicates(["a", "b"]))
+    return rows.drop("norm").join(labels, ["a", "b"]).select(*[F.col(ROW).getField(c).alias(c) for c in kept], *added)
 
 
 def scan_sql(table: str = "documents") -> str:
-    """DuckDB SQL for `scan` with the fitted weights as values."""
-    weights, bias = trained()
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    model = ", ".join(f"({q(f)}, {q(g)}, {w!r}::DOUBLE)" for (f, g), w in weights.items())
-    start = ", ".join(f"({q(f)}, {b!r}::DOUBLE)" for f, b in bias.items())
-    templates = ", ".join(f"({q(f)}, {q(t)}, {q(g)}, {n!r}::DOUBLE)" for f, t, g, n in template_grams())
+    """DuckDB SQL for `scan` with the fitted weights as values; it looks at every paragraph's words, not at texts first."""
+    weights, start = trained()
+    number = lambda v: f"{v!r}::DOUBLE"
+    norm = "array_to_string(regexp_extract_all(lower(p), '[a-z0-9]+'), ' ')"
+    for pattern, whole in _GLUE:
+        norm = f"regexp_replace({norm}, '{pattern}', '{re.sub(r'{(.)}', chr(92) * 2 + chr(92) + '1', whole)}', 'g')"
     of_n = " || ".join(f"[array_to_string(t[i:i+{n - 1}], ' ') FOR i IN range(1, len(t) + 2 - {n})]" for n in range(1, N_MAX + 1))
     return f"""
-WITH model(family, gram, w) AS (VALUES {model}), start(family, b) AS (VALUES {start}),
-templates(family, template, gram, n) AS (VALUES {templates}),
-split AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM {table} WHERE regexp_matches(text, '{CUE}')),
-pairs AS (SELECT doc_id, unnest(range(0, len(p)))::INT AS paragraph, unnest(p) AS line FROM split),
-lines AS (SELECT doc_id, paragraph, array_to_string(regexp_extract_all(lower(line), '[a-z0-9]+'), ' ') AS norm FROM pairs WHERE regexp_matches(line, '{CUE}')),
-norms AS (SELECT DISTINCT norm, string_split(norm, ' ') AS t FROM lines),
-grams AS (SELECT norm, list_distinct({of_n}) AS gs FROM norms),
-exploded AS (SELECT norm, 1.0::DOUBLE / sqrt(len(gs)::DOUBLE) AS scale, unnest(gs) AS gram FROM grams),
-summed AS (SELECT norm, scale, family, sum(w) AS z FROM exploded JOIN model USING (gram) GROUP BY ALL),
-logits AS (SELECT n.norm, s.family, s.b + coalesce(x.scale * x.z, 0) AS z FROM norms n CROSS JOIN start s LEFT JOIN summed x ON x.norm = n.norm AND x.family = s.family),
-ranked AS (SELECT norm, family, exp(z) / sum(exp(z)) OVER (PARTITION BY norm) AS p FROM logits),
-top AS (SELECT norm, CASE WHEN max(p) >= {CERTAIN} THEN arg_max(family, p) ELSE '{UNKNOWN}' END AS family, round(max(p), 4) AS probability FROM ranked GROUP BY norm),
-best AS (SELECT norm, family, round(max(s), 4) AS similarity FROM (SELECT norm, family, template, count(*) / max(n) AS s FROM exploded JOIN templates USING (gram) GROUP BY ALL) GROUP BY ALL)
-SELECT l.doc_id, l.paragraph, t.family, t.probability, coalesce(b.similarity, 0.0) AS similarity, coalesce(b.similarity, 0.0) >= {CONFIRM} AS confirmed
-FROM lines l JOIN top t USING (norm) LEFT JOIN best b ON b.norm = l.norm AND b.family = t.family"""
+WITH model(family, gram, w) AS (VALUES {_values([(f, g, w) for (f, g), w in weights.items()], number)}), start(family, b) AS (VALUES {_values(list(start.items()), number)}),
+templates(family, template, gram, n, least) AS (VALUES {_values(template_grams(), number)}),
+lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM (SELECT row_number() OVER () AS r, doc_id, text FROM {table})),
+marked AS (SELECT doc_id, text, i, line, regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS full_, i - row_number() OVER (PARTITION BY doc_id, text, regexp_matches(line, '[\\p{{L}}\\p{{N}}]') ORDER BY i) AS run FROM lines),
+paras AS (SELECT doc_id, min(i)::INT AS paragraph, string_agg(regexp_replace(line, '(?i)^\\s*(?:dnl|rem)\\s', ' '), chr(10) ORDER BY i) AS p FROM marked WHERE full_ GROUP BY doc_id, text, run),
+normal AS (SELECT doc_id, paragraph, {norm} AS norm FROM paras),
+found AS (SELECT * FROM normal WHERE regexp_matches(norm, '{CUES}')),
+norms AS (SELECT DISTINCT norm, string_split(norm, ' ') AS t FROM found),
+exploded AS (SELECT norm, unnest(list_distinct({of_n})) AS gram FROM norms),
+z AS (SELECT norm, family, sum(w) AS z FROM exploded JOIN model USING (gram) GROUP BY ALL),
+p AS (SELECT norm, family, 1 / (1 + exp(-(z + b))) AS p FROM z JOIN start USING (family)),
+sure AS (SELECT * FROM p WHERE p >= {CERTAIN}),
+labels AS (SELECT * FROM sure WHERE family <> '{LICENCE}' UNION ALL
+  SELECT norm, '{UNKNOWN}', p FROM sure WHERE family = '{LICENCE}' AND norm NOT IN (SELECT norm FROM sure WHERE family <> '{LICENCE}')),
+shares AS (SELECT norm, family, template, count(*) / max(n) AS s, max(least) AS least FROM exploded JOIN templates USING (gram) GROUP BY ALL),
+best AS (SELECT norm, family, round(max(s), 4) AS similarity FROM shares WHERE s >= least GROUP BY ALL)
+SELECT f.doc_id, f.paragraph, l.family, round(l.p, 4) AS probability, coalesce(b.similarity, 0.0) AS similarity, coalesce(b.similarity, 0.0) >= {CONFIRM} AS confirmed
+FROM found f JOIN labels l USING (norm) LEFT JOIN best b ON b.norm = l.norm AND b.family = l.family"""
