@@ -139,18 +139,36 @@ def test_keep_one(spark, texts):
     assert jaccard.keep_one(doubled).where("text rlike '[^ \\\\n\\\\t]'").count() == sum(1 for c in classes if not isinstance(c, tuple))
 
 
-def test_contamination(spark, texts):
+def test_contamination(spark, texts, monkeypatch):
     rng = random.Random(8)
     items = [(i, prose(rng, 25)) for i in range(6)] + [(6, "one two three"), (7, None), (8, " . "), (9, "ONE, two"), (10, "1 2 3 4 5 6 7 8 9 10"), (11, "1 2 3 4 5 6 7 8 9 10"), (12, "zz " * 30)]
     docs = [*texts, prose(rng, 5) + " " + items[0][1] + " " + items[1][1][30:] + " " + prose(rng, 5), "so one two three! One, TWO", "0 1 2 3 4 5 6 7 8 9 10 11", "zz " * 11, items[2][1][:60], "zz " * 9 + "one"]
     benchmark = spark.createDataFrame(items, "item_id int, text string")
     expected = brute.contamination(docs, items)
-    for block in (1 << 25, 40):
-        rows = decontamination.digest(decontamination.decontaminate(frame(spark, docs), benchmark, block_bytes=block)).orderBy("doc_id").collect()
+    source = frame(spark, docs).withColumn("__hits", F.lit("clash")).withColumn("found", F.lit("own"))
+    for most in (1 << 25, 3):  # beyond it, fingerprints are joined by shuffle
+        monkeypatch.setattr(decontamination, "MAX_PRINTS", most)
+        rows = decontamination.digest(decontamination.search(source, benchmark, ("doc_id", "found"))).orderBy("doc_id").collect()
         assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows] == expected
-        assert all(r.contaminated == (r.n_hit > 0) for r in rows)
-    empty = decontamination.digest(decontamination.decontaminate(frame(spark, docs), benchmark.limit(0))).collect()
+        assert all(r.contaminated == (r.n_hit > 0) and r.found == "own" for r in rows)
+        whole = decontamination.decontaminate(source, benchmark).orderBy("doc_id")
+        assert set(whole.columns) == {*source.columns, *decontamination.ADDED}
+        assert [(r.text, sum(h.b - h.a for h in r["__hits"]), len(r["__items"])) for r in whole.collect()] == [(t, e[1], e[2]) for t, e in zip(docs, expected, strict=True)]
+        clean = decontamination.without_hits(source, benchmark, few=most)
+        assert clean.columns == source.columns
+        assert sorted(r.doc_id for r in clean.collect()) == [i for i, e in enumerate(expected) if not e[1]]
+    empty = decontamination.digest(decontamination.search(source, benchmark.limit(0))).collect()
     assert len(empty) == len(docs) and not any(r.contaminated for r in empty)
+    assert decontamination.search(source.limit(0), benchmark).count() == decontamination.without_hits(source.limit(0), benchmark).count() == 0
+
+
+def test_contamination_of_a_large_benchmark():
+    """What a worker holds of a benchmark is its fingerprints: 8 bytes for about every second word."""
+    rng = np.random.default_rng(1)
+    raw = np.frombuffer(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 200_000)).encode(), np.uint8)
+    held = decontamination.Words.of(raw, np.array([0, len(raw)]))
+    (size, at, h), *_ = decontamination.fingerprints(held, [], decontamination.WINDOW, decontamination.GRAM)
+    assert size == decontamination.WINDOW and 0.4 < len(at) / 200_000 < 0.6 and h.nbytes < 0.7 * len(raw)
 
 
 def test_top_k(spark):
@@ -380,19 +398,66 @@ def test_warc(spark, tmp_path):
     assert kinds == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "revisit", 2), (3, "response", None), (4, "revisit", 5), (5, "response", None), (6, "response", None)]
     files = list((tmp_path / "w" / "deduplicated").glob("*.gz"))
     records = [x for f in files for x in warc.parse(gzip.decompress(f.read_bytes()))]
-    assert len(records) == len(rows) and sum(len(b) for _, h, b in records if h["WARC-Type"] == "revisit") == 0
+    assert len(records) == len(rows) and all(b.endswith(b"\r\n\r\n") and h["WARC-Profile"] for _, h, b in records if h["WARC-Type"] == "revisit")
+    # A revisit names the record it revisits, by the id that this has in the same archives.
+    ids = {h["WARC-Record-ID"]: h for _, h, _ in records}
+    assert len(ids) == len(rows)
+    for _, h, _ in records:
+        if h["WARC-Type"] == "revisit":
+            original = ids[h["WARC-Refers-To"]]
+            assert original["WARC-Type"] == "response" and original["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    assert not (tmp_path / "w" / "raw").exists()
     small = warc.archive(source.where("page_id < 3"), least_bytes=100).collect()
     assert {r.record_type for r in small} == {"response"}
     assert warc.archive(source.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4_000)
+    rows = [(i, "u", chr(97 + i) * 1_000) for i in range(20)]
+    assert warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder=str(tmp_path / "w")).count() == 20
+    assert len(list((tmp_path / "w" / "deduplicated").glob("*.gz"))) >= 5
+
+
 def test_quality(spark):
     documents, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     held = labels.where("doc_id % 3 = 0")
     got = quality.classify(documents, labels.where("doc_id % 3 <> 0")).join(held, "doc_id").toPandas()
     clean = got[(got.quality == 1) & (got.toxic == 0)]
     junk = got[got.quality == 0]
-    assert clean.keep.mean() > 0.95 and junk.keep.mean() < 0.4 and got[got.toxic == 1].keep.mean() < 0.6
+    assert clean.keep.mean() > 0.95 and junk.keep.mean() < 0.2 and got[got.toxic == 1].keep.mean() < 0.35
+    narrow = quality.classify(documents, labels.where("doc_id % 3 <> 0"), columns=("doc_id", "lang")).join(held, "doc_id").toPandas()
+    both = got.merge(narrow, on="doc_id")
+    assert len(both) == len(got) and (both.keep_x == both.keep_y).all() and np.allclose(both.p_quality_x, both.p_quality_y)
+
+
+def test_quality_against_plain_sums(spark):
+    """Site posteriors and decisions from the document's evidence, by loops over all rows."""
+    documents, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality.fit(documents, labels)
+    held = [(r.doc_id, r.source, r.lang, r.bad, r.toxic) for r in quality.evidence(documents.select("doc_id", "source", "lang", "text"), model, False).collect()]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    good = {d: sig(-(bad + model.prior[0])) for d, _, _, bad, _ in held}
+    sites = {level: {} for level in ("host", "path")}
+    for d, host, path, *_ in held:
+        for level, name in (("host", host), ("path", (host, path))):
+            n, g = sites[level].get(name, (0, 0.0))
+            sites[level][name] = (n + 1, g + good[d])
+    n, g = len(held), sum(good.values())
+    share = (g + 1) / (n + 2)
+
+    def strength(level):
+        spread = sum(b * b / a for a, b in sites[level].values()) / n - share**2 - share * (1 - share) * len(sites[level]) / n
+        return min(1e4, max(2.0, share * (1 - share) / spread - 1)) if spread > 1e-9 else 1e4
+
+    host_good = {h: (b + strength("host") * share) / (a + strength("host")) for h, (a, b) in sites["host"].items()}
+    path_good = {p: (b + strength("path") * host_good[p[0]]) / (a + strength("path")) for p, (a, b) in sites["path"].items()}
+    got = {r.doc_id: r for r in quality.classify(documents, labels).collect()}
+    for d, host, path, bad, toxic in held:
+        prior = min(1 - 1e-4, max(1e-4, path_good[host, path]))
+        p_quality, p_toxic = sig(np.log(prior / (1 - prior)) - bad), sig(toxic + model.prior[1])
+        assert got[d].path_good == pytest.approx(path_good[host, path], rel=1e-6) and got[d].p_quality == pytest.approx(p_quality, rel=1e-6, abs=1e-12)
+        assert got[d].keep == (p_quality >= 0.5 and p_toxic < 0.5)
 
 
 def test_quality_edges(spark, texts):
@@ -406,9 +471,9 @@ def test_quality_edges(spark, texts):
 
 def test_posteriors_shrink(spark):
     rows = [("big", "p", -4.0)] * 200 + [("big", "q", -4.0)] * 200 + [("bad", "p", 4.0)] * 200 + [("tiny", "p", 4.0)] + [(None, None, 0.0)]
-    scored = spark.createDataFrame(rows, "source string, lang string, __bad double").withColumn("__toxic", F.lit(0.0))
+    scored = spark.createDataFrame(rows, "host string, path string, bad double").withColumn("toxic", F.lit(0.0))
     model = quality.Model([], [], [0.0, 0.0])
-    got = {(r[0], r[1]): r for r in quality.posteriors(scored, model, "source", "lang").collect()}
+    got = {(r[0], r[1]): r for r in quality.posteriors(scored, model).collect()}
     assert got["big", "p"].path_good > 0.9 and got["bad", "p"].path_good < 0.1
     assert 0.1 < got["tiny", "p"].path_good < 0.7, "one bad row does not condemn a site"
     assert (None, None) in got
@@ -499,3 +564,47 @@ def test_licenses_in_long_lines(spark):
     texts = [f"{filler(400)} {t} {filler(400)}" for t in grant.values()] + [f"{filler(300)} {grant['mit']} {filler(300)} {grant['gpl']} {filler(5000)}"]
     want = [(i, 0, f) for i, f in enumerate(grant)] + [(len(grant), 0, "gpl"), (len(grant), 0, "mit")]
     assert granted(spark, texts) == sorted(want)
+
+
+#: Names that the operators use inside, or add, or that they once lost.
+CLASHES = (
+    "key", "id", "row", "text2", "size", "shard", "slot", "law", "copies", "taken", "target", "source_size", "rate", "offset", "offsets", "of", "i", "h", "hash", "place", "n_words", "found", "hits", "items", "k1", "k2",
+    "host", "path", "bad", "toxic", "keep", "host_good", "site_host", "p_quality", "start", "end", "ranges", "shared", "core", "around", "near", "second", "paragraph", "family", "norm", "a", "b", "w", "html2",
+    "__ranges", "__hash", "__place", "__id", "__host", "__path", "__n", "__bad", "__g0", "__p", "__shift", "__at", "__part", "__s", "__rate", "__of", "__line", "__hits", "__row", "__key", "__class", "with.dot", "none",
+)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, texts):
+    rows = spark.createDataFrame([(i, t, f"s{i % 3}", "en") for i, t in enumerate(texts[:60])], "doc_id long, text string, source string, lang string")
+    return rows.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in CLASHES])
+
+
+def _clash_values(out, left=()):
+    """Every clashing column that the operator does not replace has its own values."""
+    names = [n for n in CLASHES if n not in left]
+    for r in out.select("doc_id", *[F.col(f"`{n}`") for n in names]).collect():
+        assert all(r[n] == f"{n}-{r.doc_id}" for n in names), r
+
+
+def test_clashing_columns(spark, clashing):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, " ".join(WORDS))], "item_id int, text string")
+    _clash_values(suffix_dedup.remove_repeats(clashing))
+    _clash_values(jaccard.keep_one(clashing))
+    _clash_values(quality.classify(clashing, labels), ("keep", "host_good", "p_quality"))
+    _clash_values(decontamination.without_hits(clashing, benchmark))
+    _clash_values(decontamination.decontaminate(clashing, benchmark), ("__hits",))
+    _clash_values(decontamination.search(clashing, benchmark, ("doc_id", *CLASHES)), ("__hits",))
+    added = ("size", "source_size", "target", "copies", "taken")
+    _clash_values(mixing.mix_sources(clashing, keep=CLASHES), added)
+    _clash_values(sharding.with_slots(sharding.shard(clashing)), ("size", "law", "shard", "slot", "grown_shard"))
+    _clash_values(html_text.extract(clashing.withColumn("html", F.col("text"))))
+    _clash_values(licenses.scan(clashing.withColumn("text", F.lit("MIT License")), keep=("doc_id", *CLASHES)), ("paragraph", "family"))
+    rows = jaccard.near_duplicates(clashing, keep=("doc_id", *CLASHES))
+    _clash_values(rows, ("__n", "__class", "__key"))
+
+
+def test_sharding_of_an_empty_table(spark, texts):
+    none = frame(spark, texts).limit(0)
+    assert sharding.with_slots(sharding.shard(none)).count() == 0

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriloom.llm.rows import hold, named, packed, release
 from veriloom.llm.textbytes import LOWER, NOT_SPACE, SLICE_BYTES, flat, grams, grouped, mix, prefix_hash, slices, span, words
 from veriloom.operators.graph import connected_components
 from veriloom.session import bound_batches, materialised
@@ -201,7 +202,8 @@ def _search(dealt: DataFrame, keys: list[str], k: int, num: int, den: int) -> Da
 
 
 def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
-    """`keep`, __n (set size) and __class of every row: rows share a class exactly if links connect them.
+    """`keep`, __n (set size), __class and __key (the text's hash) of every row: rows share a class exactly if links connect
+    them. Columns of `keep` with those three names are left out.
 
     Equal texts are one set throughout, so copies cost nothing and link with no work. Empty sets (null or empty
     text, no words) have a null class and link with nothing. Families over `block` texts are searched in
@@ -210,21 +212,23 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     64-bit hashes. An empty table gives an empty result; repeated rows are copies.
     """
     bound_batches(df.sparkSession)
-    base = materialised(signatures(df, text, list(keep), k, num, den))
+    kept = [c for c in dict.fromkeys(keep) if c not in ("__n", "__class", "__key")]
+    df = df.select(packed(kept), named(text).alias("text"))
+    base = materialised(signatures(df, "text", ["row"], k, num, den))
     entries = base.select("__key", "__n", F.explode("__prefix").alias("__h"))
     seen = entries.groupBy("__h").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count("*").alias("__df"))
     common = entries.join(seen.where("lo < hi").select("__h", "__df"), "__h")
     ranked = common.groupBy("__key", "__n").agg(F.array_sort(F.collect_set(F.struct("__df", "__h"))).alias("s"))
     n_kept = F.size("s") - _fewest_shared(F.col("__n"), num, den) + 1
-    kept = materialised(ranked.where(n_kept > 0).select("__key", F.explode(F.slice("s", 1, n_kept)).alias("e")).select("__key", F.col("e.__h").alias("__h")))
+    chosen = materialised(ranked.where(n_kept > 0).select("__key", F.explode(F.slice("s", 1, n_kept)).alias("e")).select("__key", F.col("e.__h").alias("__h")))
     # Written, so that the join with it has tasks of its own, which can be split at very common shingles.
-    heads = materialised(kept.groupBy("__h").agg(F.min("__key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    star = kept.join(heads, "__h").where(F.col("__key") != F.col("head")).select("__key", "head").distinct()
+    heads = materialised(chosen.groupBy("__h").agg(F.min("__key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    star = chosen.join(heads, "__h").where(F.col("__key") != F.col("head")).select("__key", "head").distinct()
     families = connected_components(star, "__key", "head").select(F.col("node").alias("__key"), F.col("component").alias("__family"))
     sizes = families.groupBy("__family").agg(F.ceil(F.count("*") / block).cast("int").alias("__parts"))
     members = materialised(families.join(sizes, "__family"))
 
-    source = df.select(F.xxhash64(text).alias("__key"), F.col(text).alias("__text"))
+    source = df.select(F.xxhash64("text").alias("__key"), F.col("text").alias("__text"))
     texts = materialised(source.join(members, "__key").dropDuplicates(["__key"]))  # of families only, for both searches
     own = F.pmod(F.xxhash64("__key"), F.col("__parts")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("__parts") - 1)
@@ -252,7 +256,8 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         more = materialised(_search(held.select(columns).union(asked.select(columns)), ["__family", "__ask", "__part"], k, num, den))
         classes = classes.union(over_parts(within.union(more.drop("whole"))))
     rows = base.drop("__prefix").join(classes, "__key", "left")
-    return rows.select(*keep, "__n", F.when(F.col("__n") > 0, F.coalesce("__class", "__key")).alias("__class"), "__key")
+    out = [F.col("row").getField(c).alias(c) for c in kept]
+    return rows.select(*out, "__n", F.when(F.col("__n") > 0, F.coalesce("__class", "__key")).alias("__class"), "__key")
 
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -268,13 +273,15 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int =
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of df without all but one of each class: the one with the smallest key (null last) and text hash,
     one of those that repeat it. Rows without shingles stay. Columns and texts stay as they are."""
-    rows = near_duplicates(df, text, (key,), k, num, den).where("__class is not null")
-    first = rows.groupBy("__class").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("__key").alias("hash"))).alias("f"))
-    chosen = first.select(F.col("f.id").alias("__id"), F.col("f.hash").alias("__hash"))
+    used = {"id": key, "text": text}
+    held = hold(df, used)
+    rows = near_duplicates(held.select("id", "text"), "text", ("id",), k, num, den).where("__class is not null")
+    first = rows.groupBy("__class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("__key").alias("hash"))).alias("f"))
+    chosen = first.select(F.col("f.id").alias("chosen_id"), F.col("f.hash").alias("chosen_hash"))
     # Words are runs of other than white space; a text without any has no shingles.
-    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = df.withColumn("__hash", F.xxhash64(text))
-    stays = keyed.where(has_words).join(chosen, (F.col(key).eqNullSafe(F.col("__id"))) & (keyed["__hash"] == chosen["__hash"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy(F.col(key), F.col("__hash")).orderBy(F.lit(0)))
-    single = stays.withColumn("__place", place).where("__place = 1").drop("__place", "__hash")
-    return single.unionByName(df.where(~has_words))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = held.withColumn("hash", F.xxhash64("text"))
+    stays = keyed.where(has_words).join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("hash") == F.col("chosen_hash")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
+    single = stays.withColumn("place", place).where("place = 1").drop("place", "hash")
+    return release(single.unionByName(held.where(~has_words)), df, used)

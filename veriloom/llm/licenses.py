@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions.text import let
-from veriloom.llm.rows import ROW, hold
+from veriloom.llm.rows import ROW, named, packed
 from veriloom.session import materialised
 
 _CC = {"cc-by": "by", "cc-by-sa": "by sa", "cc-by-nd": "by nd", "cc-by-nc": "by nc", "cc-by-nc-sa": "by nc sa", "cc-by-nc-nd": "by nc nd"}
@@ -266,10 +266,10 @@ def _all_grams(norm: Column) -> Column:
     return let(F.split(norm, " "), of_tokens)
 
 
-def paragraphs(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(ROW, paragraph, norm) of the paragraphs with a cue: runs of lines that have letters or digits, numbered by their
-    first line (from 0), as lower-case words. ROW holds the other columns. Texts without a cue are left where they are read."""
-    held = hold(documents, {"text": text}).where(has_cue(F.col("text")))
+def paragraphs(held: DataFrame) -> DataFrame:
+    """(ROW, paragraph, norm) of the paragraphs with a cue of rows (ROW, text): runs of lines that have letters or digits, numbered
+    by their first line (from 0), as lower-case words. Texts without a cue are left where they are read."""
+    held = held.where(has_cue(F.col("text")))
     marked = lambda x, i: F.concat(F.lit("\2"), i.cast("string"), F.lit("\3"), F.regexp_replace(F.translate(x, "\1\2\3", ""), _COMMENT, " "))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), marked(x, i)).otherwise(F.lit("\1")))
     parts = held.select(ROW, F.explode(F.split(F.array_join(lines, "\n"), "\1")).alias("part")).where("part <> ''")
@@ -311,7 +311,7 @@ def scan(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     """
     added = ("paragraph", "family", "probability", "similarity", "confirmed")
     kept = [c for c in dict.fromkeys(keep) if c not in added]
-    rows = paragraphs(documents.select(*[c for c in dict.fromkeys([*kept, text])]).withColumnRenamed(text, "text") if text not in kept else documents.select(*kept), "text" if text not in kept else text)
+    rows = paragraphs(documents.select(packed(kept), named(text).alias("text")))
     rows = materialised(rows.withColumns({"a": F.xxhash64("norm"), "b": F.xxhash64(F.lit(1), "norm")}))
     labels = _classified(rows.select("a", "b", "norm").dropDuplicates(["a", "b"]))
     return rows.drop("norm").join(labels, ["a", "b"]).select(*[F.col(ROW).getField(c).alias(c) for c in kept], *added)

@@ -7,15 +7,17 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom.llm.rows import named, packed
 from veriloom.operators.ranking import position_within
+from veriloom.session import materialised
 
 #: Words, in full: other than space and the controls from tab to carriage return.
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def word_count(text: str) -> Column:
-    """Number of words of a text column (null: 0): a word starts where a word character follows none."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
+def word_count(text: Column) -> Column:
+    """Number of words of a text column (null: 0)."""
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> dict[str | None, float]:
@@ -50,13 +52,13 @@ def offsets(seed: int, source: str | None, draws: int = DRAWS) -> list[float]:
 def source_table(spark: SparkSession, sizes: dict[str | None, int], seed: int, weights: tuple[float, ...]) -> DataFrame:
     goal = targets(sizes, weights)
     rows = [(s, int(n), float(goal[s]), float(goal[s]) / n if n else 0.0, offsets(seed, s)) for s, n in sizes.items()]
-    return spark.createDataFrame(rows, "__source string, source_size long, target double, __rate double, __offsets array<double>")
+    return spark.createDataFrame(rows, "of string, source_size long, target double, rate double, offsets array<double>")
 
 
 def _copies(offset: Column) -> Column:
     """Whole numbers that a document's span of the running sum of expected copies crosses."""
-    upto = F.floor(offset + F.col("__rate") * (F.col("__i") + F.lit(1)))
-    return (upto - F.floor(offset + F.col("__rate") * F.col("__i"))).cast("int")
+    upto = F.floor(offset + F.col("rate") * (F.col("i") + F.lit(1)))
+    return (upto - F.floor(offset + F.col("rate") * F.col("i"))).cast("int")
 
 
 def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,23 +70,24 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key:
     most. By ordering on size the words taken are within about one large document of the target for any offset;
     of DRAWS random offsets the nearest is taken.
     Documents of size 0 take no words. Null sources are one source; null keys and repeated rows count as
-    rows; an empty table gives an empty result. The number of sources is taken to fit the driver (one sum
-    each is collected); documents are not collected.
+    rows; an empty table gives an empty result; columns of `keep` with the names of the result's are left out. The
+    number of sources is taken to fit the driver (one sum each is collected); documents are not collected.
     """
     spark = df.sparkSession
-    rows = df.select(
-        F.col(key), *keep, F.col(source).alias("__s"), word_count(text).alias("size"), F.xxhash64(text).alias("__h")
-    )
-    sizes = {r[0]: r[1] for r in rows.groupBy("__s").agg(F.sum("size")).collect()}
+    added = ("size", "source_size", "target", "copies", "taken")
+    kept = [c for c in dict.fromkeys(keep) if c not in (*added, key, source)]
+    rows = df.select(named(key).alias("key"), named(source).alias("source"), word_count(named(text)).alias("size"), F.xxhash64(named(text)).alias("h"), packed(kept))
+    if not kept:  # narrow rows are written once, so that words are counted once
+        rows = materialised(rows)
+    sizes = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("size")).collect()}
     per_source = source_table(spark, sizes, seed, weights)
-    placed = position_within(rows, ["__s"], ["size", key, "__h"], "__i")
-    joined = placed.join(per_source, F.col("__s").eqNullSafe(F.col("__source")))
-    drawn = [F.sum(_copies(F.col("__offsets")[i]) * F.col("size")) for i in range(DRAWS)]
-    taken = joined.groupBy("__source", "target", "__offsets").agg(F.array(*drawn).alias("__taken"))
-    gaps = F.zip_with("__taken", "__offsets", lambda words, offset: F.struct(F.abs(words - F.col("target")), offset.alias("offset")))
-    best = taken.select(F.col("__source").alias("__of"), F.array_min(gaps)["offset"].alias("__offset"))
-    joined = joined.join(best, F.col("__s").eqNullSafe(F.col("__of")))
-    copies = _copies(F.col("__offset"))
-    return joined.select(
-        key, *keep, F.col("__s").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+    placed = position_within(rows, ["source"], ["size", "key", "h"], "i")
+    joined = placed.join(per_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    drawn = [F.sum(_copies(F.col("offsets")[i]) * F.col("size")) for i in range(DRAWS)]
+    words = joined.groupBy("source", "target", "offsets").agg(F.array(*drawn).alias("words"))
+    gaps = F.zip_with("words", "offsets", lambda n, offset: F.struct(F.abs(n - F.col("target")), offset.alias("offset")))
+    best = words.select(F.col("source").alias("of"), F.array_min(gaps)["offset"].alias("offset"))
+    copies = _copies(F.col("offset"))
+    out = joined.join(best, F.col("source").eqNullSafe(F.col("of")))
+    out = out.select("*", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("key").alias(key), *[F.col("row").getField(c).alias(c) for c in kept], F.col("source").alias(source), *added)

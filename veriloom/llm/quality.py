@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.rows import hold, named, release
 from veriloom.llm.textbytes import LETTERS, LOWER, mix, prefix_hash, slices, span, words
 from veriloom.session import bound_batches, materialised
 
@@ -127,7 +128,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     rated = rated.select(key, (1 - F.col("quality")).cast("int").alias("bad"), F.col("toxic").cast("int").alias("toxic"))
     rated = rated.orderBy(F.xxhash64(key), key).limit(sample_rows)
     # At most sample_rows rows of two numbers and a key, so texts are picked out where they are read.
-    sample = documents.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(rated), key).select("text", "bad", "toxic")
+    texts = documents.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text"))
+    sample = materialised(texts.join(F.broadcast(rated.withColumnRenamed(key, "key")), "key").select("text", "bad", "toxic"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,19 +184,19 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     return Model(chosen, weights, prior)
 
 
-def evidence(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds __bad and __toxic: the document's log-likelihood ratios for low quality and toxicity."""
-    names = documents.drop("__bad", "__toxic").columns
-    schema = documents.drop("__bad", "__toxic").schema.add("__bad", "double").add("__toxic", "double")
+def evidence(rows: DataFrame, model: Model, keep_text: bool) -> DataFrame:
+    """rows (text and others), with bad and toxic: the text's log-likelihood ratios for low quality and toxicity."""
+    names = [c for c in rows.columns if keep_text or c != "text"]
+    schema = rows.select(names).schema.add("bad", "double").add("toxic", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch, text):
+            for part, data, offsets in slices(batch, "text"):
                 x = features(data, offsets, model.lexicon)
                 ratio = [pa.array(np.clip(x[:, t] @ model.weights[t] - model.prior[t], -20, 20)) for t in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *ratio], names=[*names, "__bad", "__toxic"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *ratio], names=[*names, "bad", "toxic"])
 
-    return documents.drop("__bad", "__toxic").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _sigmoid(x: Column) -> Column:
@@ -206,16 +208,17 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posteriors(scored: DataFrame, model: Model, host: str, path: str) -> DataFrame:
-    """(__host, __path, __n, host_good, path_good): posterior shares of good documents, by grouped aggregation.
+def posteriors(scored: DataFrame, model: Model) -> DataFrame:
+    """(site_host, site_path, host_good, path_good) of scored (host, path, bad): posterior shares of good documents, by
+    grouped aggregation.
 
     A document counts as good by its own probability. Hosts are shrunk toward the corpus share, and paths toward
     their host's posterior, by prior strengths estimated from the spread between hosts and between paths:
     the wider the spread beyond chance, the weaker the prior. A site of few rows stays near its prior.
     """
-    good = _sigmoid(-(F.col("__bad") + F.lit(model.prior[0])))
-    leaves = scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.count("*").alias("n"), F.sum(good).alias("g"))
-    hosts = leaves.groupBy("__host").agg(F.sum("n").alias("host_n"), F.sum("g").alias("host_g"))
+    good = _sigmoid(-(F.col("bad") + F.lit(model.prior[0])))
+    leaves = materialised(scored.groupBy(F.col("host").alias("site_host"), F.col("path").alias("site_path")).agg(F.count("*").alias("n"), F.sum(good).alias("g")))
+    hosts = leaves.groupBy("site_host").agg(F.sum("n").alias("host_n"), F.sum("g").alias("host_g"))
     total = hosts.agg(F.sum("host_n"), F.sum("host_g"), F.count("*"), F.sum(F.col("host_g") * F.col("host_g") / F.col("host_n"))).first()
     n, g, n_hosts, squares = (float(x or 0) for x in total)
     share = (g + 1) / (n + 2)
@@ -228,20 +231,18 @@ def posteriors(scored: DataFrame, model: Model, host: str, path: str) -> DataFra
     inner = leaves.agg(F.count("*"), F.sum(F.col("g") * F.col("g") / F.col("n"))).first()
     m_path = strength(float(inner[1] or 0), float(inner[0]))
     hosts = hosts.withColumn("host_good", (F.col("host_g") + F.lit(m_host * share)) / (F.col("host_n") + F.lit(m_host)))
-    joined = leaves.join(hosts.select(F.col("__host").alias("h"), "host_good"), F.col("__host").eqNullSafe(F.col("h"))).drop("h")
-    return joined.select("__host", "__path", F.col("n").alias("__n"), "host_good", ((F.col("g") + F.lit(m_path) * F.col("host_good")) / (F.col("n") + F.lit(m_path))).alias("path_good"))
+    joined = leaves.join(hosts.select(F.col("site_host").alias("h"), "host_good"), F.col("site_host").eqNullSafe(F.col("h"))).drop("h")
+    return joined.select("site_host", "site_path", "host_good", ((F.col("g") + F.lit(m_path) * F.col("host_good")) / (F.col("n") + F.lit(m_path))).alias("path_good"))
 
 
-def judge(scored: DataFrame, sites: DataFrame, model: Model, host: str, path: str, threshold: float = 0.5) -> DataFrame:
-    """Adds host_good, path_good, p_quality, p_toxic and keep, and drops the evidence."""
-    at = F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path"))
-    joined = scored.join(sites, at)
+def judge(scored: DataFrame, sites: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """Adds host_good, path_good, p_quality, p_toxic and keep to scored rows (host, path, bad, toxic)."""
+    at = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
     # A document's own share of its site's posterior is one row among the site's; sites only move the prior.
-    p_quality = _sigmoid(_logit(F.col("path_good")) - F.col("__bad"))
-    p_toxic = _sigmoid(F.col("__toxic") + F.lit(model.prior[1]))
-    out = joined.withColumns({"p_quality": p_quality, "p_toxic": p_toxic})
-    out = out.withColumn("keep", (F.col("p_quality") >= threshold) & (F.col("p_toxic") < threshold))
-    return out.drop("__bad", "__toxic", "__host", "__path", "__n")
+    p_quality = _sigmoid(_logit(F.col("path_good")) - F.col("bad"))
+    p_toxic = _sigmoid(F.col("toxic") + F.lit(model.prior[1]))
+    out = scored.join(sites, at).withColumns({"p_quality": p_quality, "p_toxic": p_toxic})
+    return out.withColumn("keep", (F.col("p_quality") >= threshold) & (F.col("p_toxic") < threshold))
 
 
 def classify(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", path: str = "lang", columns: tuple[str, ...] | None = None) -> DataFrame:
@@ -250,18 +251,22 @@ def classify(documents: DataFrame, labels: DataFrame, text: str = "text", key: s
     keep: the posterior of good quality is at least one half and that of toxicity below it. `path` is the level
     under `host`. Null hosts or paths are sites of their own; null and empty texts have only their site's and
     the intercept's evidence; repeated rows are judged alike; an empty table gives an empty result; without
-    usable labels every row has the evidence 0. columns: those of documents to carry (default: all).
+    usable labels every row has the evidence 0. columns: those of documents to carry (default: all); without the text
+    among them, texts are read once besides the fit, as their evidence is written and used for sites and rows.
     """
     bound_batches(documents.sparkSession)
-    added = ["host_good", "path_good", "p_quality", "p_toxic", "keep"]
+    added = ("host_good", "path_good", "p_quality", "p_toxic", "keep")
     model = fit(documents, labels, text, key)
-    rows = documents.drop(*added)
-    scored = evidence(rows.select(host, path, text), model, text).drop(text)
-    sites = materialised(posteriors(scored, model, host, path))
+    carried = list(dict.fromkeys(columns)) if columns is not None else documents.columns
+    kept = documents.select(*[named(c) for c in dict.fromkeys([*carried, host, path, text])])
+    used = {"host": host, "path": path, "text": text}
+    held = hold(kept, used)
+    if text in carried:
+        scored = evidence(held, model, keep_text=True)
+        sites = materialised(posteriors(evidence(held.select("host", "path", "text"), model, keep_text=False), model))
+    else:
+        scored = materialised(evidence(held, model, keep_text=False))
+        sites = materialised(posteriors(scored, model))
     if sites.count() <= BROADCAST_SITES:  # else rows and sites are shuffled
         sites = F.broadcast(sites)
-    carried = list(columns) if columns is not None else rows.columns
-    wide = evidence(rows.select(*dict.fromkeys([*carried, host, path, text])), model, text)
-    if text not in carried:
-        wide = wide.drop(text)
-    return judge(wide, sites, model, host, path).select(*carried, *added)
+    return release(judge(scored, sites, model), kept.select(*[named(c) for c in carried]), used, {c: F.col(c) for c in added})

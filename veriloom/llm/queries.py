@@ -35,8 +35,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return decontamination.digest(rows.drop("text"))
+    return decontamination.digest(decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,4 +134,4 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIXING_SQL, "op6_decontamination": _CONTAMINATION_SQL, "op4_topk": _TOPK_SQL, "op5_licenses": licenses.scan_sql(), "op8_warc": _WARC_SQL, "op10_jaccard": _jaccard_sql()}
+    return {"op2_sharding": sharding.shard_sql(), "op3_mixing": _MIXING_SQL, "op6_decontamination": _CONTAMINATION_SQL, "op4_topk": _TOPK_SQL, "op5_licenses": licenses.scan_sql(), "op8_warc": _WARC_SQL, "op10_jaccard": _jaccard_sql()}

@@ -14,10 +14,14 @@ def named(column: str) -> Column:
     return F.col(f"`{column.replace('`', '``')}`")
 
 
+def packed(columns: list[str]) -> Column:
+    """Columns as one struct, under the name ROW."""
+    return F.struct(*([named(c).alias(c) for c in columns] or [F.lit(True).alias("none")])).alias(ROW)
+
+
 def hold(df: DataFrame, used: dict[str, str]) -> DataFrame:
     """The columns that an operator looks at, under its own names ({own: caller's}), and ROW with all the others."""
-    others = [named(c).alias(c) for c in df.columns if c not in used.values()] or [F.lit(True).alias("none")]
-    return df.select(*[named(c).alias(own) for own, c in used.items()], F.struct(*others).alias(ROW))
+    return df.select(*[named(c).alias(own) for own, c in used.items()], packed([c for c in df.columns if c not in used.values()]))
 
 
 def release(rows: DataFrame, df: DataFrame, used: dict[str, str], added: dict[str, Column] | None = None, replaced: tuple[str, ...] = ()) -> DataFrame:

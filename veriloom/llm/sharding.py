@@ -95,5 +95,36 @@ def shard(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "t
 
 
 def with_slots(rows: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Adds slot; `rows` should be narrow, as they are sorted."""
-    return position_within(rows, ["shard"], [F.xxhash64(key), key, *ties], "slot").withColumn("slot", F.col("slot").cast("long"))
+    """Adds slot, by key within the shard; `rows` should be narrow, as they are sorted."""
+    return position_within(rows, ["shard"], [key, *ties], "slot").withColumn("slot", F.col("slot").cast("long"))
+
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32, by its rule."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def shard_sql(n_shards: int = 24, base: int = 24) -> str:
+    """DuckDB SQL for the query's rows: every draw of every level and tree, and the least at each."""
+    nodes = []
+    for grown, nodes_of in ((False, tree(n_shards, base)), (True, tree(n_shards + 1, base))):
+        for i, (region, racks) in enumerate(nodes_of.items()):
+            of_region = sum(sum(s.values()) for s in racks.values())
+            for j, (rack, shards) in enumerate(racks.items()):
+                nodes += [f"({grown}, '{region}', {i}, {of_region}, '{region}/{rack}', {j}, {sum(shards.values())}, '{region}/{rack}/{s}', {s}, {w})" for s, w in shards.items()]
+    draw = lambda node, weight: f"-ln((('0x' || substr(md5(k || '|' || {node}), 1, {_DIGITS}))::BIGINT + 0.5::DOUBLE) / {16**_DIGITS}.0::DOUBLE) / {weight}::DOUBLE"
+    pick = lambda columns, node, weight, order: f"SELECT r, k, grown, {columns} FROM (SELECT *, row_number() OVER (PARTITION BY r, grown ORDER BY {draw(node, weight)}, {order}) AS n FROM %s) WHERE n = 1"
+    return f"""
+WITH leaves(grown, region, ri, rw, rack, ki, kw, leaf, shard, sw) AS (VALUES {", ".join(nodes)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(strlen(text), 0)::BIGINT + 8 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+regions AS ({pick("region", "region", "rw", "ri") % "(SELECT r, k, l.* FROM d, (SELECT DISTINCT grown, region, ri, rw FROM leaves) l)"}),
+racks AS ({pick("rack", "rack", "kw", "ki") % "(SELECT r, k, l.* FROM regions x JOIN (SELECT DISTINCT grown, region, rack, ki, kw FROM leaves) l USING (grown, region))"}),
+shards AS ({pick("shard", "leaf", "sw", "shard") % "(SELECT r, k, l.* FROM racks x JOIN leaves l USING (grown, rack))"}),
+crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM d, (SELECT {_crc_table()}::BIGINT[] AS t)),
+s AS (SELECT doc_id, size, text_crc32, 'key' AS law, a.shard::INT AS shard, b.shard::INT AS grown_shard FROM d JOIN crc USING (r) JOIN shards a ON a.r = d.r AND NOT a.grown JOIN shards b ON b.r = d.r AND b.grown)
+SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM s"""

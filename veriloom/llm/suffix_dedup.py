@@ -328,10 +328,12 @@ def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _own(data: np.ndarray, ranges: list[dict], second: int) -> set[tuple[int, int]]:
     """(start, end) of the ranges that are this text's."""
+    whole = {(r["start"], r["end"]) for r in ranges if r["place"] is None and r["core"] == second and r["end"] == len(data)}
+    if whole:
+        return whole
     placed = [r for r in ranges if r["place"] is not None]
     right = _cores_at(data, np.array([r["place"] for r in placed], np.int64), np.array([r["core"] for r in placed], np.int64)) if placed else ()
-    out = {(r["start"], r["end"]) for r, ok in zip(placed, right, strict=True) if ok}
-    return out | {(r["start"], r["end"]) for r in ranges if r["place"] is None and r["core"] == second and r["end"] == len(data)}
+    return {(r["start"], r["end"]) for r, ok in zip(placed, right, strict=True) if ok}
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -366,7 +368,7 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
             for i, (ranges, second) in enumerate(zip(batch.column("ranges").to_pylist(), batch.column("second").to_pylist(), strict=True)):
                 a, b = int(offsets[i]), int(offsets[i + 1])
                 runs: list[list[int]] = []
-                for start, end in sorted(_own(data[a:b], ranges or [], second)):
+                for start, end in sorted(_own(data[a:b], ranges, second)) if ranges else ():
                     if runs and runs[-1][1] >= start:
                         runs[-1][1] = max(runs[-1][1], end)
                     else:

@@ -133,13 +133,13 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        columns = [batch.column(k) for k in keys]
         change = np.zeros(batch.num_rows - 1, bool)
         for c in columns:
-            change |= c[1:] != c[:-1]
+            change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[a] for c in columns)
+            key = tuple(c[a].as_py() for c in columns)
             if held and key != last:
                 yield pa.Table.from_batches(held)
                 held = []

@@ -12,16 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.session import bound_batches, checkpoint_dir
+from veriloom.llm.rows import named
+from veriloom.session import bound_batches, checkpoint_dir, materialised, remove
 
 #: Fixed values of the WARC 1.1 format.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of one archive file, which is read back as a whole.
-RECORDS_PER_FILE = 4000
+#: Records of one archive file, which is read back as a whole, and bytes of their payloads, whichever are fewer; a longer
+#: record is a file of its own.
+RECORDS_PER_FILE, FILE_BYTES = 4000, 128 << 20
 
 _DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-_SCHEMA = "file string, offset long, record_type string, record_id string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload string"
+_SCHEMA = "file string, offset long, record_type string, record_id string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, payload string"
 
 
 def sha1_base32(text: Column) -> Column:
@@ -37,28 +39,41 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")), F.lit(""))
 
 
-def write_archive(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Writes (record_type, record_id, uri, page_id, payload_bytes, payload_digest, refers_to, payload) as gzipped
-    WARC files. Spark's own writer commits them, so lost executors leave no half files; a record ends with the
-    line separator. A revisit has no block."""
-    block = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.coalesce("payload", F.lit("")))
+def _derived(record_id: Column) -> Column:
+    """The id of the record that a deduplicated archive holds in place of another's, as a UUID."""
+    h = F.md5(F.concat(F.lit("deduplicated|"), record_id))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def write_archive(records: DataFrame, path: str, most_bytes: int) -> str:
+    """Writes (record_type, record_id, uri, page_id, payload_bytes, payload_digest, refers_to, refers_to_id, payload) as
+    gzipped WARC files; most_bytes: of the longest payload. Spark's own writer commits them, so lost executors leave no half
+    files; a record ends with the line separator. A block is an HTTP response, of a revisit without the payload."""
+    revisit = F.col("record_type") == "revisit"
+    payload = F.coalesce("payload", F.lit(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    block = F.concat(http, F.when(revisit, F.lit("")).otherwise(payload))
+    size = F.octet_length(http) + F.when(revisit, 0).otherwise(F.octet_length(payload))
+    urn = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     head = F.concat(
         F.lit(f"{VERSION}\r\n"),
         _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), "record_id", F.lit(">"))),
-        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Record-ID", urn(F.col("record_id"))),
+        _line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", F.col("uri")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        _line("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(REVISIT_PROFILE))),
-        _line("WARC-Refers-To-Page", F.when(F.col("record_type") == "revisit", F.col("refers_to"))),
+        _line("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
+        _line("WARC-Refers-To", F.when(revisit, urn(F.col("refers_to_id")))),
+        _line("WARC-Refers-To-Page", F.when(revisit, F.col("refers_to"))),
         _line("X-Page-Id", F.col("page_id")),
         _line("X-Payload-Length", F.col("payload_bytes")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "),
-        F.octet_length(block).cast("string"),
+        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
+        size.cast("string"),
         F.lit("\r\n\r\n"),
     )
     rows = records.select(F.concat(head, block).alias("value"))
-    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, most_bytes)))
+    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
     return path
 
 
@@ -76,77 +91,101 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def read_archive(records: DataFrame, payloads: bool) -> DataFrame:
-    """Records of archives, given as rows of Spark's binaryFile source. The digest of a block that is there is
-    made anew and must be the one that its header states. payloads: whether to return the blocks too."""
+def _records(path: str, data: bytes, payloads: bool) -> Iterator[tuple]:
+    """The values of _SCHEMA of each record of an unpacked archive. The digest of a payload that is there is made anew and
+    must be the one that its header states."""
+    urn = lambda x: x.removeprefix("<urn:uuid:").removesuffix(">") if x is not None else None
+    number = lambda x: int(x) if x is not None else None
+    for offset, h, block in parse(data):
+        payload = block[block.index(b"\r\n\r\n") + 4 :]
+        digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+        if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+            raise ValueError(f"payload of {h['WARC-Record-ID']} does not match its digest")
+        refers = number(h.get("WARC-Refers-To-Page")), urn(h.get("WARC-Refers-To"))
+        yield path, offset, h["WARC-Type"], urn(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), number(h.get("X-Page-Id")), int(h["X-Payload-Length"]), digest, *refers, payload.decode() if payloads else None
+
+
+def read_archive(files: DataFrame) -> DataFrame:
+    """Records of archives (path, content: rows of Spark's binaryFile source), and, where they have `verdicts` (array of
+    offset, new_type, new_refers_to, new_refers_to_id), with those and the payloads."""
+    judged = "verdicts" in files.columns
+    schema = _SCHEMA + (", new_type string, new_refers_to long, new_refers_to_id string" if judged else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            verdicts = batch.column("verdicts").to_pylist() if judged else [None] * batch.num_rows
+            for path, content, told in zip(batch.column("path").to_pylist(), batch.column("content"), verdicts, strict=True):
+                by = {v["offset"]: (v["new_type"], v["new_refers_to"], v["new_refers_to_id"]) for v in told or ()}
                 out, size = [], 0
-                for offset, h, block in parse(gzip.decompress(content.as_buffer())):
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
-                        raise ValueError(f"payload of {h['WARC-Record-ID']} does not match its digest")
-                    number = lambda x: int(x) if x is not None else None
-                    out.append((path, offset, h["WARC-Type"], h["WARC-Record-ID"].removeprefix("<urn:uuid:").removesuffix(">"), h.get("WARC-Target-URI"), number(h.get("X-Page-Id")), int(h["X-Payload-Length"]), digest, number(h.get("WARC-Refers-To-Page")), block.decode() if payloads else None))
-                    size += len(block) if payloads else 0
+                for record in _records(path, gzip.decompress(content.as_buffer()), judged):
+                    out.append((*record, *by[record[1]]) if judged else record)
+                    size += len(record[-1] or "")
                     if size > 8 << 20:
-                        yield _batch(out)
+                        yield _batch(out, judged)
                         out, size = [], 0
-                yield _batch(out)
+                yield _batch(out, judged)
 
-    return records.select("path", "content").mapInArrow(run, _SCHEMA)
+    return files.select("path", "content", *(["verdicts"] if judged else [])).mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("file", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())]
+def _batch(rows: list[tuple], judged: bool) -> pa.RecordBatch:
+    text, number = pa.string(), pa.int64()
+    kinds = [("file", text), ("offset", number), ("record_type", text), ("record_id", text), ("uri", text), ("page_id", number), ("payload_bytes", number), ("payload_digest", text), ("refers_to", number), ("refers_to_id", text), ("payload", text)]
+    kinds += [("new_type", text), ("new_refers_to", number), ("new_refers_to_id", text)] if judged else []
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(file, offset, record_type, refers_to) of every record: of those with one payload digest and length of at
-    least `least_bytes`, the one with the largest page_id is the response (null is the smallest; of equal ones
+    """(file, offset, new_type, new_refers_to, new_refers_to_id) of every record: of those with one payload digest and length of
+    at least `least_bytes`, the one with the largest page_id is the response (null is the smallest; of equal ones
     the last in the archive), the others revisit it. Only headers are shuffled."""
-    who = F.struct("page_id", "file", "offset")
+    who = F.struct("page_id", "file", "offset", "record_id")
     same = ["payload_digest", "payload_bytes"]
-    first = headers.groupBy(*same).agg(F.max(who).alias("original"))
+    first = materialised(headers.groupBy(*same).agg(F.max(who).alias("original")))
     joined = headers.join(first, same)
     is_original = (F.col("file") == F.col("original.file")) & (F.col("offset") == F.col("original.offset"))
     revisit = ~is_original & (F.col("payload_bytes") >= least_bytes)
-    return joined.select("file", "offset", F.when(revisit, "revisit").otherwise("response").alias("new_type"), F.when(revisit, F.col("original.page_id")).alias("new_refers_to"))
+    return joined.select(
+        "file", "offset", F.when(revisit, "revisit").otherwise("response").alias("new_type"), F.when(revisit, F.col("original.page_id")).alias("new_refers_to"), F.when(revisit, _derived(F.col("original.record_id"))).alias("new_refers_to_id")
+    )
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: str = "url", payload: str = "html", folder: str | None = None) -> DataFrame:
     """Writes a response record per row, resolves revisits, writes the deduplicated archives, and returns the
     records read back from those: file, offset, record_type, record_id, uri, page_id, payload_bytes,
-    payload_digest, refers_to.
+    payload_digest, refers_to, refers_to_id.
 
     A null payload is empty; empty payloads are equal payloads; a null key or uri leaves its header out;
     repeated rows are records of their own, of which one is the response; an empty table gives an empty
-    archive. Files hold RECORDS_PER_FILE records at most, so one page is the largest thing held beside them.
+    archive. Payloads are not shuffled: the headers' verdicts go to the files, which are unpacked once more. A file
+    holds at most RECORDS_PER_FILE records and about FILE_BYTES of payloads, or one longer page. Files are one gzip
+    stream each, as Spark's text writer makes them. The first archives are removed when the others are whole; those stay.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     folder = folder or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    text = F.coalesce(payload, F.lit(""))
+    text = F.coalesce(named(payload), F.lit(""))
     raw = pages.select(
         F.lit("response").alias("record_type"),
         F.uuid().alias("record_id"),
-        F.col(uri).alias("uri"),
-        F.col(key).cast("long").alias("page_id"),
+        named(uri).alias("uri"),
+        named(key).cast("long").alias("page_id"),
         F.octet_length(text).cast("long").alias("payload_bytes"),
         sha1_base32(text).alias("payload_digest"),
         F.lit(None).cast("long").alias("refers_to"),
+        F.lit(None).cast("string").alias("refers_to_id"),
         text.alias("payload"),
     )
-    write_archive(raw, f"{folder}/raw")
+    most = pages.agg(F.max(F.octet_length(named(payload)))).first()[0] or 0
+    write_archive(raw, f"{folder}/raw", most)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary")
-    before = files.load(f"{folder}/raw")
-    kinds = resolve(read_archive(before, False), least_bytes)
-    fresh = read_archive(before, True).join(kinds, ["file", "offset"]).select(
-        F.col("new_type").alias("record_type"), F.uuid().alias("record_id"), "uri", "page_id", "payload_bytes", "payload_digest",
-        F.col("new_refers_to").alias("refers_to"), "payload",
+    before = files.load(f"{folder}/raw").select("path", "content")
+    headers = materialised(read_archive(before).drop("payload"))
+    verdicts = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("offset", "new_type", "new_refers_to", "new_refers_to_id")).alias("verdicts"))
+    fresh = read_archive(before.join(verdicts, F.col("path") == F.col("file")).select("path", "content", "verdicts")).select(
+        F.col("new_type").alias("record_type"), _derived(F.col("record_id")).alias("record_id"), "uri", "page_id", "payload_bytes", "payload_digest",
+        F.col("new_refers_to").alias("refers_to"), F.col("new_refers_to_id").alias("refers_to_id"), "payload",
     )
-    write_archive(fresh, f"{folder}/deduplicated")
-    return read_archive(files.load(f"{folder}/deduplicated"), False).drop("payload")
+    write_archive(fresh, f"{folder}/deduplicated", most)
+    remove(spark, f"{folder}/raw")
+    return read_archive(files.load(f"{folder}/deduplicated")).drop("payload")
