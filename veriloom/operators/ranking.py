@@ -25,6 +25,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(columns: Sequence[str]) -> list[str]:
+    """Names that mean the columns as they are called, dots included."""
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
 def _ranged(df: DataFrame, by: Sequence[Column]) -> tuple[DataFrame, str, str]:
     """df sorted by range partitions and materialised, as range bounds must not change between two reads; with the
     names of two columns that are added: the row's number, rising in that order, and its partition's."""
@@ -50,7 +55,7 @@ def position_within(df: DataFrame, group: Sequence[str], order: Sequence[str | C
     same = F.col(part) == F.col(task)
     for k, g in zip(group, names, strict=True):
         same = same & F.col(k).eqNullSafe(F.col(g))
-    return placed.join(shares, same).withColumn(out, F.col(at) + F.col(shift)).select(*df.columns, out)
+    return placed.join(shares, same).withColumn(out, F.col(at) + F.col(shift)).select(*quoted(df.columns), out)
 
 
 def running_totals(df: DataFrame, group: Sequence[str], order: str | Column, amounts: Mapping[str, str]) -> DataFrame:
@@ -68,7 +73,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str | Column, amo
         same = same & F.col(k).eqNullSafe(F.col(g))
     here = Window.partitionBy(part, *group).orderBy(at)
     added = {out: F.sum(amount).over(here) + F.col(s) for (out, amount), s in zip(amounts.items(), sums, strict=True)}
-    return placed.join(shares, same).withColumns(added).select(*df.columns, *amounts)
+    return placed.join(shares, same).withColumns(added).select(*quoted(df.columns), *amounts)
 
 
 def running_total(df: DataFrame, order: str | Column, amount: str, out: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def local_session(cpus: int = 8, app: str = "veriloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("VERILOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -28,16 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one is made only where none is set."""
+    """The shared folder of spark.checkpoint.dir. Where none is set, a local session gets one; on a cluster that is an
+    error, as executors cannot read a folder of the driver's machine."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="veriloom-checkpoint-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the session's own intermediate files, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder: later readers neither recompute it nor lose it with an executor."""
     checkpoint_dir(df.sparkSession)
