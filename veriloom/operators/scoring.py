@@ -70,7 +70,12 @@ def out_of_fold(rows: DataFrame, folds: Iterable[int], fit: Callable[[DataFrame]
     return out
 
 
-def selector(rows: DataFrame, features: Sequence[str], label: str, weight: str, trees: int = 20, depth: int = 4) -> PipelineModel:
-    """Gradient-boosted trees over a feature matrix."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, weightCol=weight, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=1)]
+#: The selector's trees, depth and step.
+TREES, DEPTH, STEP = 800, 4, 0.03
+
+
+def selector(rows: DataFrame, features: Sequence[str], label: str, weight: str, trees: int = TREES, depth: int = DEPTH, step: float = STEP) -> PipelineModel:
+    """Gradient-boosted trees over a feature matrix. Trees are grown one after the other, so fewer of them, with a larger
+    step, are what tests and trials should ask for."""
+    stages = [VectorAssembler(inputCols=list(features), outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, weightCol=weight, maxIter=trees, maxDepth=depth, stepSize=step, seed=1)]
     return Pipeline(stages=stages).fit(rows)

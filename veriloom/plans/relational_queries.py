@@ -93,11 +93,13 @@ def multiset_difference(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).exceptAll(table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
-@query("WITH " + CARDS + " SELECT component_key FROM cards WHERE fold = 0 INTERSECT SELECT component_key FROM cards WHERE fold <> 0")
+@query("WITH " + CARDS + " SELECT 'stratum' AS split, component_key FROM (SELECT component_key FROM cards WHERE stratum = 'src0' INTERSECT SELECT component_key FROM cards WHERE stratum <> 'src0') UNION ALL SELECT 'fold', component_key FROM (SELECT component_key FROM cards WHERE fold = 0 INTERSECT SELECT component_key FROM cards WHERE fold <> 0)")
 def component_intersection(spark, sf_dir):
-    """Must be empty: a component has one fold."""
-    rows = cards(spark, sf_dir).select("component_key", "fold")
-    return rows.where("fold = 0").select("component_key").intersect(rows.where("fold <> 0").select("component_key"))
+    """Components on both sides of a split: copies cross strata, but must not cross folds."""
+    rows = cards(spark, sf_dir).select("component_key", "stratum", "fold")
+    both = lambda side: rows.where(side).select("component_key").intersect(rows.where(~side).select("component_key"))
+    crossing = both(F.col("stratum") == "src0").select(F.lit("stratum").alias("split"), "component_key")
+    return crossing.union(both(F.col("fold") == 0).select(F.lit("fold").alias("split"), "component_key"))
 
 
 @query("SELECT doc_id AS id, lang AS category, CASE WHEN lang IN ('en', 'de') THEN 'a' ELSE 'b' END AS branch, CASE WHEN lang IN ('en', 'de') THEN n_chars ELSE -n_chars END AS score, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS category_position FROM documents")
