@@ -191,6 +191,27 @@ def test_top_k(spark):
     assert topk.top_k(source.limit(0)).count() == 0
 
 
+def test_top_k_of_clusters(spark):
+    """Far clusters are not asked, whatever holds most rows; the result is that of all pairs."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 3, (12, 6))
+    vectors = np.concatenate([m + rng.normal(0, 0.05, (n, 6)) for m, n in zip(middle, [400, *[30] * 11], strict=True)])
+    source = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    q = np.floor(vectors * 64).astype(int)
+    expected = []
+    for i in range(0, len(q), 20):
+        order = sorted((-int(q[i] @ q[j]), j) for j in range(len(q)) if j != i)[:20]
+        expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(order)]
+    got = topk.top_k(source, shard_rows=60, block_queries=5)
+    assert sorted(tuple(r) for r in got.collect()) == expected
+    c = topk.centres(q, 12)
+    placed = topk._place(spark.createDataFrame([(i, [int(x) for x in v]) for i, v in enumerate(q)], "id long, x array<long>"), c).toPandas()
+    radius = np.array([placed[placed.cluster == i].distance.max() if (placed.cluster == i).any() else -1 for i in range(len(c))])
+    best = {i: min(s for q_, _, _, s in expected if q_ == i) for i in range(0, len(q), 20)}
+    asking = spark.createDataFrame([(i, [int(x) for x in q[i]], 0, 0, 0, best[i]) for i in best], "id long, x array<long>, block int, cluster int, sub int, floor long")
+    assert topk._reach(asking, c, radius).count() < 0.7 * len(best) * (radius >= 0).sum()
+
+
 def test_sharding(spark, texts):
     rows = frame(spark, texts)
     rows = rows.union(rows.limit(20).withColumn("doc_id", F.lit(None).cast("long")))

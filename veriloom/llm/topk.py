@@ -1,17 +1,26 @@
-"""Exact top-k inner-product search with ball trees, shard by shard."""
+"""Exact top-k inner-product search with ball trees, shard by shard.
+
+Shards are cuts of clusters, so that a shard lies in a small ball too: before any vector is sent anywhere, a query leaves
+out all clusters whose ball cannot reach the kth score that it found in its own shard.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.llm.rows import named
 from veriloom.session import materialised
 
 #: Rows of a shard, and queries of a block: what one task holds at once.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Clusters at most, and rows (the first in hash order) that their centres are made of at most.
+CLUSTERS, SAMPLE = 512, 8192
 #: Rows of a leaf.
 LEAF = 256
 #: Sums of products up to this size are exact in doubles.
@@ -111,47 +120,134 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     return who, row[who, rank], best[who, rank]
 
 
-def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of longs as rows; shorter ones end in zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.diff(lists.offsets.to_numpy())
+    x = np.zeros((len(lists), int(lengths.max(initial=0))), np.int64)
+    x[np.arange(x.shape[1])[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
+    return x
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles of one width; missing components are zeros."""
+    width = max(a.shape[1], b.shape[1])
+    return tuple(np.pad(m.astype(np.float64), ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+
+
+def centres(sample: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
+    """Centres of a sample: rows far from those before, then moved to the means of the rows nearest to them."""
+    x = sample.astype(np.float64)
+    if not len(x):
+        return np.zeros((1, 0))
+    chosen, gap = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(clusters, len(x)) and gap.max() > 0:
+        chosen.append(int(np.argmax(gap)))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    c = x[chosen]
+    for _ in range(rounds):
+        near = np.argmin((c**2).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
+        sums, counts = np.zeros_like(c), np.bincount(near, minlength=len(c))
+        np.add.at(sums, near, x)
+        c = np.where(counts[:, None] > 0, sums / np.maximum(1, counts)[:, None], c)
+    return c
+
+
+def _place(rows: DataFrame, middle: np.ndarray) -> DataFrame:
+    """rows (id, x) with the nearest centre (cluster) and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, c = _alike(_matrix(batch.column("x")), middle)
+            near = np.argmin((c**2).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
+            distance = np.sqrt(((x - c[near]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(near.astype(np.int32)), pa.array(distance)], names=["id", "x", "cluster", "distance"])
+
+    return rows.mapInArrow(run, "id long, x array<long>, cluster int, distance double")
+
+
+def _reach(asking: DataFrame, middle: np.ndarray, radius: np.ndarray) -> DataFrame:
+    """asking (id, x, block, cluster, sub, floor) once for each cluster (target) whose ball reaches the floor."""
+    names = ["id", "x", "block", "cluster", "sub", "floor"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, c = _alike(_matrix(batch.column("x")), middle)
+            norm = np.sqrt((q**2).sum(axis=1))[:, None]
+            top = q @ c.T + radius[None, :] * norm
+            top += 1e-6 * (1 + np.abs(top) + radius[None, :] * norm)
+            floor = pc.fill_null(batch.column("floor"), -np.iinfo(np.int64).max).to_numpy()
+            who, target = np.nonzero((top >= floor[:, None]) & (radius >= 0)[None, :])
+            for a in range(0, len(who), 1 << 14):
+                part = batch.select(names).take(pa.array(who[a : a + (1 << 14)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(target[a : a + (1 << 14)].astype(np.int32))], names=[*names, "target"])
+
+    return asking.mapInArrow(run, "id long, x array<long>, block int, cluster int, sub int, floor long, target int")
+
+
+def top_k(
+    df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, clusters: int = CLUSTERS
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose key is divisible by `every`, its k best other rows.
 
-    Rows are hashed into shards and queries into blocks, both of bounded size; each pair of block and shard is
-    one ball-tree search. A query first searches the shard that it hashes into itself; its kth score from there
-    goes with it to the other shards, and the k best of all are merged. Ties go to the smaller key. Vectors that
+    Rows belong to the nearest of some centres, made of a bounded sample; a cluster is cut by hash into shards of about
+    shard_rows, and queries are put in blocks of about block_queries, those of a cluster together. Each pair of block and
+    shard that is asked is one ball-tree search. A query first searches its own shard; its kth score from there
+    goes with it to the shards of the clusters whose ball can reach it, and the k best of all are merged. Vectors are
+    copied only to the blocks that ask their cluster. Ties go to the smaller key. Vectors that
     are null or hold null or non-finite components take no part, nor do rows without a key; of rows that
     repeat a key, the one with the smallest vector stands; a shorter vector counts as ended by zeros. An
     empty table gives an empty result. All rows are scored or bounded away; nothing is capped.
     """
-    rows = quantise(df.select(F.col(key).alias("id"), F.col(vector).alias("x")).where(F.col(key).isNotNull()), "x", scale)
-    rows = rows.groupBy("id").agg(F.min("x").alias("x"))
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_queries))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    held = rows.select("id", "x", shard.alias("shard"), every_block.alias("block"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("floor"))
-    asking = rows.where(F.col("id") % every == 0)
+    spark = df.sparkSession
+    rows = quantise(df.select(named(key).alias("id"), named(vector).alias("x")).where("id is not null"), "x", scale)
+    rows = materialised(rows.groupBy("id").agg(F.min("x").alias("x")))
+    wanted = min(clusters, max(1, -(-rows.count() // shard_rows)))
+    middle = np.zeros((1, 0))
+    if wanted > 1:
+        middle = centres(_matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow().column("x")), wanted)
+    placed = materialised(_place(rows, middle))
+    sizes = placed.groupBy("cluster").agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max("distance")).collect()
+    radius, layout, block, room = np.full(len(middle), -1.0), [], 0, block_queries
+    for cluster, n, n_queries, most in sorted(sizes):
+        radius[cluster] = most * (1 + 1e-9)
+        if n_queries > room:  # small clusters share a block, a large one has some of its own
+            block, room = block + 1, block_queries
+        n_blocks = max(1, -(-n_queries // block_queries))
+        layout.append((cluster, max(1, -(-n // shard_rows)), block, n_blocks))
+        block, room = block + n_blocks - 1, (room - n_queries if n_blocks == 1 else 0)
+    layout = F.broadcast(spark.createDataFrame(layout, "cluster int, subs int, first int, n_blocks int"))
+    held = placed.join(layout, "cluster").withColumns(
+        {"sub": F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"), "block": (F.col("first") + F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n_blocks"))).cast("int")}
+    )
+    asking = held.where(F.col("id") % every == 0)
     none = -np.iinfo(np.int64).max
 
     def run(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy()
-        lists = table.column("x").combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy())
-        x = np.zeros((len(ids), int(lengths.max(initial=0))), np.int64)
-        x[np.arange(x.shape[1])[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
+        x = _matrix(table.column("x"))
         floor = pc.fill_null(table.column("floor"), none).to_numpy()
         who, row, score = search(x[~query], ids[~query], x[query], ids[query], k, floor[query])
         return pa.table({"query_id": ids[query][who], "vec_id": ids[~query][row], "score": score.astype(np.int64)})
 
-    def ask(asked: DataFrame) -> DataFrame:
-        return held.union(asked).groupBy("block", "shard").applyInArrow(run, "query_id long, vec_id long, score long")
+    def ask(searched: DataFrame, asked: DataFrame) -> DataFrame:
+        """Both have id, x, block, cluster and sub; those asked a floor too."""
+        columns = ["id", "x", "block", "cluster", "sub"]
+        both = searched.select(*columns, F.lit(False).alias("query"), F.lit(None).cast("long").alias("floor")).union(asked.select(*columns, F.lit(True), "floor"))
+        return both.groupBy("block", "cluster", "sub").applyInArrow(run, "query_id long, vec_id long, score long")
 
-    home = ask(asking.select("id", "x", shard.alias("shard"), block.alias("block"), F.lit(True), F.lit(None).cast("long")))
-    if shards > 1:
+    own_blocks = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_blocks") - 1)).alias("block")
+    home = ask(held.drop("block").select("id", "x", "cluster", "sub", own_blocks), asking.withColumn("floor", F.lit(None).cast("long")))
+    if len(sizes) > 1 or any(n > shard_rows for _, n, *_ in sizes):
         home = materialised(home)
         kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        away = asking.join(kth, F.col("id") == F.col("query_id"), "left").withColumn("at", every_shard).where(F.col("at") != shard)
-        home = home.union(ask(away.select("id", "x", F.col("at").alias("shard"), block.alias("block"), F.lit(True), "floor")))
+        told = asking.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "x", "block", "cluster", "sub", "floor")
+        reached = _reach(told, middle, radius).join(layout.select(F.col("cluster").alias("target"), "subs"), "target")
+        each = F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("at")
+        away = materialised(reached.select("id", "x", "block", "floor", "target", "cluster", "sub", each).where("target <> cluster or at <> sub"))
+        asked = away.select("id", "x", "block", F.col("target").alias("cluster"), F.col("at").alias("sub"), "floor")
+        pairs = asked.select("block", "cluster", "sub").distinct()
+        home = home.union(ask(held.drop("block").join(pairs, ["cluster", "sub"]), asked))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
