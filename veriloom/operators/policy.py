@@ -148,6 +148,31 @@ def repair_choice(choices: DataFrame, pieces: DataFrame, scores: Mapping[str, Co
     return out.select("id", piece.cast("int").alias("evidence_id"), basis.alias("basis"), (~stands).alias("repaired"))
 
 
+def criticised(repaired: DataFrame, critic: DataFrame, pieces: DataFrame, scores: Mapping[str, Column]) -> DataFrame:
+    """`repaired` (id, evidence_id, basis, repaired), with what a critic (id, action, evidence_id, basis) replaces: only
+    choices that had to be repaired, and only by a piece and a basis that exist and score."""
+    options = F.array(*[F.struct(F.lit(b).alias("new_basis"), s.cast("int").alias("score")) for b, s in scores.items()])
+    held = pieces.select("id", F.col("evidence_id").cast("int").alias("new_id"), F.explode(options).alias("o")).select("id", "new_id", "o.new_basis", "o.score").where("score > 0")
+    asked = critic.where("action = 'replace'").select("id", F.col("evidence_id").cast("int").alias("new_id"), F.col("basis").alias("new_basis"))
+    found = asked.join(held, ["id", "new_id", "new_basis"], "left_semi")
+    out = repaired.join(found, "id", "left")
+    taken = F.col("repaired") & F.col("new_id").isNotNull()
+    return out.select("id", F.when(taken, F.col("new_id")).otherwise(F.col("evidence_id")).alias("evidence_id"), F.when(taken, F.col("new_basis")).otherwise(F.col("basis")).alias("basis"), "repaired")
+
+
+def chosen_comments(first: DataFrame, second: DataFrame, choices: DataFrame, sources: DataFrame, fallback: Column) -> DataFrame:
+    """(id, comment, source): of two comments (id, evidence, comment) the one that a chooser (id, choice) names, "A" where
+    it names none; where that is not valid for the card's text (sources: id, source and what `fallback` needs), the fallback,
+    whose source is "fallback". Labels have no part in it and cannot change."""
+    both = first.select("id", F.struct("evidence", "comment").alias("a")).join(second.select("id", F.struct("evidence", "comment").alias("b")), "id")
+    rows = both.join(choices.select("id", "choice"), "id", "left").join(sources, "id")
+    is_b = F.coalesce(F.col("choice") == "B", F.lit(False))
+    picked = rows.withColumn("picked", F.when(is_b, F.col("b")).otherwise(F.col("a")))
+    valid = F.coalesce(valid_comment(F.col("source"), F.col("picked.evidence"), F.col("picked.comment")), F.lit(False))
+    named = F.when(valid, F.when(is_b, F.lit("B")).otherwise(F.lit("A"))).otherwise(F.lit("fallback"))
+    return picked.select("id", F.when(valid, F.col("picked.comment")).otherwise(fallback).alias("comment"), named.alias("source"))
+
+
 def render_comment(piece: Column, phrase: Column) -> Column:
     return F.concat(F.lit("Решающий фрагмент карточки — «"), piece, F.lit("»; он указывает на "), phrase, F.lit("."))
 

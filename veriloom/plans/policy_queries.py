@@ -10,7 +10,7 @@ from veriloom.functions.text import collapse, folded, middle_truncate
 from veriloom.operators import policy, policy_tables
 from veriloom.plans.cards import CARDS, LABELLED, cards, labelled
 from veriloom.plans.query import query
-from veriloom.session import table
+from veriloom.session import materialised, table
 
 DEFAULTS = {
     1: "The card confirms the rules of its category, and no exception takes precedence.",
@@ -168,8 +168,8 @@ _SCORED = _EVIDENCE + ", o AS (" + " UNION ALL ".join(
 
 
 def _groups(spark, sf_dir):
-    """Each category and label: its pieces, with the folded text k, and the points of its bases."""
-    rows = _evidence(spark, sf_dir).withColumn("k", folded("evidence"))
+    """Each category and label: its pieces, with the folded text k, and the points of its bases. Pieces are written once."""
+    rows = materialised(_evidence(spark, sf_dir).withColumn("k", folded("evidence")))
     for kind, label in _GROUPS:
         mine = (F.col("id") % 2 == (0 if kind == policy_tables.SUPPLEMENT else 1)) & ((F.col("id") % 3 == 0).cast("int") == label)
         bases = policy_tables.allowed(kind, label, "B")
@@ -218,6 +218,35 @@ def comment_repair(spark, sf_dir):
     return _union(repaired(*group) for group in _groups(spark, sf_dir))
 
 
+_REPAIRED = (
+    _BEST + f", c AS (SELECT id, (id % 9 - 1)::INT AS evidence_id, CASE WHEN id % 4 < 2 THEN 'nonsense' ELSE {_FIRST_BASIS} END AS basis, {_FIRST_BASIS} AS first, {_LAST_BASIS} AS last FROM worded), "
+    "mended AS (SELECT c.id, (CASE WHEN o.score > 0 THEN c.evidence_id WHEN b.id IS NOT NULL THEN b.evidence_id WHEN e.id IS NOT NULL THEN c.evidence_id ELSE 0 END)::INT AS evidence_id, "
+    "CASE WHEN o.score > 0 THEN c.basis WHEN b.id IS NOT NULL THEN b.basis WHEN c.basis <> 'nonsense' THEN c.basis ELSE c.last END AS basis, NOT coalesce(o.score > 0, false) AS repaired, c.first "
+    "FROM c LEFT JOIN o ON o.id = c.id AND o.evidence_id = c.evidence_id AND o.basis = c.basis LEFT JOIN best b ON b.id = c.id LEFT JOIN evidence e ON e.id = c.id AND e.evidence_id = c.evidence_id), "
+    "judged AS (SELECT m.id, CASE WHEN m.repaired AND x.score > 0 THEN x.evidence_id ELSE m.evidence_id END AS evidence_id, CASE WHEN m.repaired AND x.score > 0 THEN x.basis ELSE m.basis END AS basis, m.repaired "
+    "FROM mended m LEFT JOIN o x ON x.id = m.id AND m.id % 3 <> 1 AND x.evidence_id = m.id % 3 AND x.basis = m.first)"
+)
+
+
+def _judged(spark, sf_dir):
+    """Choices made up by id, repaired, and judged by a critic that is made up too."""
+    ids = cards(spark, sf_dir).select("id")
+
+    def judged(mine, rows, bases, points):
+        basis = F.when(F.col("id") % 4 < 2, "nonsense").otherwise(bases[0])
+        own = ids.where(mine)
+        mended = policy.repair_choice(own.select("id", (F.col("id") % 9 - 1).cast("int").alias("evidence_id"), basis.alias("basis")), rows, points)
+        critic = own.select("id", F.when(F.col("id") % 3 == 1, "keep").otherwise("replace").alias("action"), (F.col("id") % 3).cast("int").alias("evidence_id"), F.lit(bases[0]).alias("basis"))
+        return policy.criticised(mended, critic, rows, points)
+
+    return _union(judged(*group) for group in _groups(spark, sf_dir))
+
+
+@query(_REPAIRED + " SELECT id, evidence_id, basis, repaired FROM judged")
+def comment_critic(spark, sf_dir):
+    return _judged(spark, sf_dir)
+
+
 _PHRASE = "CASE basis " + " ".join(f"WHEN '{b}' THEN '{policy_tables.phrase(b, 'B')}'" for b in policy_tables.PHRASES) + " END"
 _COMMENT = f"'Решающий фрагмент карточки — «' || e.evidence || '»; он указывает на ' || {_PHRASE} || '.'"
 
@@ -234,6 +263,31 @@ def comment_render(spark, sf_dir):
     return joined.select("id", comment.alias("comment"), policy.valid_comment(F.col("source"), F.col("evidence"), comment).alias("valid"))
 
 
+_FALLBACK = "CASE " + " ".join(f"WHEN w.kind = '{k}' AND {_LABEL_SQL.replace('id', 'w.id')} = {v} THEN '{t}'" for (k, v), t in policy_tables.FALLBACK.items()) + " END"
+_OF_A = "'Решающий фрагмент карточки — «' || p.evidence || '»; он указывает на ' || " + _PHRASE.replace("CASE basis", "CASE j.basis") + " || '.'"
+
+
+@query(
+    _REPAIRED + f", first_ AS (SELECT id, evidence, evidence AS comment FROM evidence WHERE evidence_id = 0), second_ AS (SELECT j.id, p.evidence, {_OF_A} AS comment FROM judged j JOIN evidence p USING (id, evidence_id)), "
+    "pick AS (SELECT w.id, CASE WHEN w.id % 5 < 3 THEN 'B' ELSE 'A' END AS source, CASE WHEN w.id % 5 < 3 THEN s.comment ELSE f.comment END AS comment, " + _FALLBACK + " AS fallback FROM worded w JOIN first_ f USING (id) JOIN second_ s USING (id)) "
+    "SELECT id, CASE WHEN length(comment) BETWEEN 50 AND 300 THEN comment ELSE fallback END AS comment, CASE WHEN length(comment) BETWEEN 50 AND 300 THEN source ELSE 'fallback' END AS source FROM pick"
+)
+def comment_choice(spark, sf_dir):
+    """The first comment is a bare piece, too short for some cards; the chooser is made up, and at times names neither."""
+    rows = _worded(cards(spark, sf_dir))
+    source = F.concat_ws(" ", *[middle_truncate(collapse(F.regexp_replace(c, "<[^>]*>", " ")), 9000) for c in ("name", "description")])
+    sources = rows.select("id", "kind", source.alias("source"))
+    pieces = _evidence(spark, sf_dir).select("id", "evidence_id", "evidence")
+    phrase = F.element_at(F.create_map(*[F.lit(x) for b in policy_tables.PHRASES for x in (b, policy_tables.phrase(b, "B"))]), F.col("basis"))
+    first = pieces.where("evidence_id = 0").select("id", "evidence", F.col("evidence").alias("comment"))
+    second = _judged(spark, sf_dir).join(pieces, ["id", "evidence_id"]).select("id", "evidence", policy.render_comment(F.col("evidence"), phrase).alias("comment"))
+    choices = rows.where("id % 5 <> 4").select("id", F.when(F.col("id") % 5 < 3, "B").otherwise("A").alias("choice"))
+    fallback = F.lit(None).cast("string")
+    for (kind, label), text in policy_tables.FALLBACK.items():
+        fallback = F.when((F.col("kind") == kind) & ((F.col("id") % 3 == 0).cast("int") == label), text).otherwise(fallback)
+    return policy.chosen_comments(first, second, choices, sources, fallback)
+
+
 @query("WITH " + LABELLED + f" SELECT id, CASE WHEN label = 1 THEN '{DEFAULTS[1]}' ELSE '{DEFAULTS[0]}' END AS comment FROM labelled WHERE length(trim(name)) NOT BETWEEN 50 AND 300")
 def comment_fallback(spark, sf_dir):
     rows = labelled(spark, sf_dir).where(~F.length(F.trim("name")).between(50, 300))
