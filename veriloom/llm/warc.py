@@ -22,6 +22,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: record is a file of its own.
 RECORDS_PER_FILE, FILE_BYTES = 4000, 128 << 20
 
+#: Records whose verdicts (some 60 bytes each) are sent to all files at most; beyond, files and verdicts are joined by shuffle.
+FEW_RECORDS = 1 << 20
+
 _DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _SCHEMA = "file string, offset long, record_type string, record_id string, uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, refers_to_id string, payload string"
 
@@ -157,7 +160,8 @@ def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: s
 
     A null payload is empty; empty payloads are equal payloads; a null key or uri leaves its header out;
     repeated rows are records of their own, of which one is the response; an empty table gives an empty
-    archive. Payloads are not shuffled: the headers' verdicts go to the files, which are unpacked once more. A file
+    archive. The headers' verdicts go to the files, which are unpacked once more; beyond FEW_RECORDS the packed files are
+    shuffled to them, never unpacked payloads. A file
     holds at most RECORDS_PER_FILE records and about FILE_BYTES of payloads, or one longer page. Files are one gzip
     stream each, as Spark's text writer makes them. The first archives are removed when the others are whole; those stay.
     """
@@ -182,6 +186,8 @@ def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: s
     before = files.load(f"{folder}/raw").select("path", "content")
     headers = materialised(read_archive(before).drop("payload"))
     verdicts = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("offset", "new_type", "new_refers_to", "new_refers_to_id")).alias("verdicts"))
+    if headers.count() <= FEW_RECORDS:
+        verdicts = F.broadcast(verdicts)
     fresh = read_archive(before.join(verdicts, F.col("path") == F.col("file")).select("path", "content", "verdicts")).select(
         F.col("new_type").alias("record_type"), _derived(F.col("record_id")).alias("record_id"), "uri", "page_id", "payload_bytes", "payload_digest",
         F.col("new_refers_to").alias("refers_to"), F.col("new_refers_to_id").alias("refers_to_id"), "payload",
