@@ -27,8 +27,8 @@ from veriloom.session import bound_batches, materialised
 LENGTH, GRAM, WINDOW = 400, 16, 100
 #: Bytes from an anchor on that every string with that anchor holds.
 CORE = LENGTH - WINDOW + 1
-#: The same for strings of SHARED bytes, some 45 words: the places where they begin are counted beside (n_shared).
-SHARED = 260
+#: The same for strings of SHARED bytes, some 50 words: the places where they begin are counted beside (n_shared).
+SHARED = 280
 NEAR = SHARED - WINDOW + 1
 #: Sides reach this far at most; half of one is fixed by the group, the rest is sorted.
 REACH = WINDOW - 1
@@ -258,8 +258,8 @@ def _second(text: str) -> Column:
 
 def _repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of texts (text): (key, core, place, start, end) of `repeated_spans`, and (key, shared): how many of the text's anchors
-    begin a string of NEAR bytes that begins elsewhere too, copies of a text taken as one. Spans of a whole text have no
-    place, and the text's second hash as core."""
+    begin a string of NEAR bytes that begins elsewhere too, copies of a text taken as one, and one more if there are copies.
+    Spans of a whole text have no place, and the text's second hash as core."""
     bound_batches(texts.sparkSession)
     copies = texts.groupBy(F.xxhash64("text").alias("key"), _second("text").alias("core"), F.octet_length("text").cast("long").alias("size")).agg(F.count("*").alias("n"))
     begin, none = F.lit(0).cast("long"), F.lit(None).cast("int")
@@ -270,7 +270,8 @@ def _repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Written on either side of the join: its tasks can be split where a core is very common only if they do nothing else.
     often = materialised(every.groupBy("near").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("near"))
     found = materialised(materialised(every.join(often, "near").drop("near")).distinct())
-    shared = found.groupBy("key").agg(F.count("*").alias("shared"))
+    shared = found.groupBy("key").agg(F.count("*").alias("shared")).union(copies.where((F.col("n") > 1) & (F.col("size") >= SHARED)).select("key", F.lit(1).cast("long")))
+    shared = shared.groupBy("key").agg(F.sum("shared").alias("shared"))
     found = found.where("core is not null")
     alike = materialised(found.groupBy("core", "around").agg(F.count("*").alias("n"), F.min("key").alias("least")))
     per_core = materialised(alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core", (F.col("kinds") > COLLECTION).alias("hot")))
@@ -340,9 +341,9 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs as first byte and one past
     the last) and n_shared to every row; columns of those names are replaced. See `repeated_spans`.
 
-    n_shared counts shorter passages: the text's anchors whose NEAR bytes begin at another place too (copies of the text
-    aside). A passage of SHARED bytes or more that occurs elsewhere gives at least one; those under LENGTH bytes are
-    not removed. Null counts as empty text; a row that repeats another's text loses all of it if it has LENGTH
+    n_shared counts shorter passages too: the text's anchors whose NEAR bytes begin at another place, copies of the text
+    aside, and one more if it has copies (of SHARED bytes or more). A passage of SHARED bytes or more that occurs elsewhere
+    gives at least one; those under LENGTH bytes are not removed. Null counts as empty text; a row that repeats another's text loses all of it if it has LENGTH
     bytes; short texts lose nothing; an empty table gives an empty result.
     """
     used = {"text": text}
