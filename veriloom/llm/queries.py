@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import decontamination, html_text, jaccard, licenses, mixing, quality, sharding, suffix_dedup, topk, warc
+from veriloom.llm import collocations, decontamination, html_text, jaccard, licenses, manifest, mixing, quality, records, sharding, suffix_dedup, topk, warc
 from veriloom.session import table
 
 
@@ -56,6 +56,27 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = records.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return records.digests(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of the rows as they were, held against rows of which a seventh has its n_chars raised by one."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows, root = manifest.manifest(table(spark, sf_dir, "documents"), fields, present=tuple(tampered if f == "n_chars" else F.col(f) for f in fields))
+    folded = manifest.fold(F.col("present"), F.col("path"))
+    rows = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", F.lit(root).alias("root"), F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_suffix_dedup, op2_sharding, op3_mixing, op4_topk, op5_licenses, op6_decontamination, op7_html_text, op8_warc, op9_quality, op10_jaccard, pipeline,
+        op1_suffix_dedup, op2_sharding, op3_mixing, op4_topk, op5_licenses, op6_decontamination, op7_html_text, op8_warc, op9_quality, op10_jaccard,
+        op11_collocations, op12_records, op13_manifest, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -134,4 +156,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.shard_sql(), "op3_mixing": _MIXING_SQL, "op6_decontamination": _CONTAMINATION_SQL, "op4_topk": _TOPK_SQL, "op5_licenses": licenses.scan_sql(), "op8_warc": _WARC_SQL, "op10_jaccard": _jaccard_sql()}
+    return {
+        "op2_sharding": sharding.shard_sql(), "op3_mixing": _MIXING_SQL, "op4_topk": _TOPK_SQL, "op5_licenses": licenses.scan_sql(), "op6_decontamination": _CONTAMINATION_SQL,
+        "op8_warc": _WARC_SQL, "op10_jaccard": _jaccard_sql(), "op11_collocations": collocations.collocations_sql(), "op13_manifest": manifest.manifest_sql(),
+    }

@@ -99,7 +99,7 @@ def with_slots(rows: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = ())
     return position_within(rows, ["shard"], [key, *ties], "slot").withColumn("slot", F.col("slot").cast("long"))
 
 
-def _crc_table() -> list[int]:
+def crc_table() -> list[int]:
     """The 256 remainders of CRC-32, by its rule."""
     out = []
     for n in range(256):
@@ -125,6 +125,6 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null'
 regions AS ({pick("region", "region", "rw", "ri") % "(SELECT r, k, l.* FROM d, (SELECT DISTINCT grown, region, ri, rw FROM leaves) l)"}),
 racks AS ({pick("rack", "rack", "kw", "ki") % "(SELECT r, k, l.* FROM regions x JOIN (SELECT DISTINCT grown, region, rack, ki, kw FROM leaves) l USING (grown, region))"}),
 shards AS ({pick("shard", "leaf", "sw", "shard") % "(SELECT r, k, l.* FROM racks x JOIN leaves l USING (grown, rack))"}),
-crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM d, (SELECT {_crc_table()}::BIGINT[] AS t)),
+crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM d, (SELECT {crc_table()}::BIGINT[] AS t)),
 s AS (SELECT doc_id, size, text_crc32, 'key' AS law, a.shard::INT AS shard, b.shard::INT AS grown_shard FROM d JOIN crc USING (r) JOIN shards a ON a.r = d.r AND NOT a.grown JOIN shards b ON b.r = d.r AND b.grown)
 SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot FROM s"""
