@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriloom.functions.text import clean_text
 from veriloom.operators.contracts import ContractError, require, require_columns, require_unique, roster_difference, verify_self_hash
+from veriloom.sources.delimited import read_csv
 
 
 def read_projected(spark: SparkSession, path: str, columns: Iterable[str], forbidden: str | None = None) -> DataFrame:
@@ -24,17 +26,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_inference_csv(spark: SparkSession, path: str, categories: Iterable[str]) -> DataFrame:
-    """id, name, description, category and the row's ordinal. Ids must be whole, present and unique; categories known.
-    An unnamed index column is dropped. Files keep their row order as ordinals of one reading task per file."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    raw = raw.drop(*[c for c in raw.columns if c in ("Unnamed: 0", "_c0", "")])
-    rows = require_columns(raw, ("id", "name", "description", "category"))
+def read_inference_csv(spark: SparkSession, path: str, categories: Iterable[str], split_bytes: int | None = None) -> DataFrame:
+    """id, name, description, category and the row's ordinal, 0, 1, ... over all files. Ids must be whole, present and unique;
+    categories, once cleaned, known. An unnamed index column is never looked at. Files are read by ranges of bytes (`delimited`)."""
+    rows = require_columns(read_csv(spark, path, split_bytes), ("ordinal", "id", "name", "description", "category"))
+    rows = rows.withColumn("category", clean_text(F.col("category")))
     number = F.expr("try_cast(id AS double)")
-    known = list(categories)
-    require(rows, id_is_whole=number.isNotNull() & (F.floor(number) == number), category_is_known=F.col("category").isin(*known))
-    out = rows.withColumn("id", number.cast("long")).withColumn("ordinal", F.monotonically_increasing_id())
-    return require_unique(out, "id")
+    require(rows, id_is_whole=number.isNotNull() & (F.floor(number) == number), category_is_known=F.col("category").isin(*categories))
+    return require_unique(rows.withColumn("id", number.cast("long")), "id")
 
 
 def read_self_hashed(path: str | Path) -> dict[str, Any]:

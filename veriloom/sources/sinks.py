@@ -1,4 +1,4 @@
-"""Sinks: write-once and validated Parquet, ordered CSV, canonical JSON lines, atomic JSON, event logs, keyed caches."""
+"""Sinks: write-once and validated Parquet, canonical JSON lines, atomic JSON, event logs, keyed caches."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.operators.contracts import ContractError
+from veriloom.sources import delimited
 
 
 def write_once(df: DataFrame, path: str) -> str:
@@ -36,8 +37,8 @@ def publish(df: DataFrame, path: str, validate: Callable[[DataFrame], Any]) -> s
 
 
 def write_ordered_csv(df: DataFrame, path: str, ordinal: str = "ordinal") -> str:
-    """One CSV file with a header, rows by ordinal. A result that people read: one task writes it."""
-    df.repartitionByRange(1, ordinal).sortWithinPartitions(ordinal).drop(ordinal).write.option("header", True).option("escape", '"').csv(path)
+    """A folder with one CSV file, rows by ordinal, which many tasks write (`delimited.write_ordered_csv`)."""
+    delimited.write_ordered_csv(df, f"{path}/part-00000.csv", ordinal)
     return path
 
 
