@@ -16,10 +16,10 @@ from veriloom.operators.ranking import position_within
 from veriloom.session import bound_batches, materialised
 
 #: Words of one trie, and bytes of text that are cut into words at once; both bound a task's memory.
-TRIE_WORDS, CUT_BYTES = 1 << 22, 4 << 20
+TRIE_WORDS, CUT_BYTES = 1 << 21, 4 << 20
 
 #: Bytes of text whose share of all tries is merged by one task, and sampled paths per range (a million in all at most).
-RANGE_BYTES, SAMPLED, MOST_SAMPLED = 16 << 20, 100, 1_000_000
+RANGE_BYTES, SAMPLED, MOST_SAMPLED = 8 << 20, 100, 1_000_000
 
 #: Bytes that end a piece ([.,;:!?\x0A-\x0D]) become line breaks, those between words ([\x20\x09]) spaces; A-Z small letters.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
