@@ -121,3 +121,17 @@ def roster_mismatch(pairs: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         ids = ids.unionByName(other.select("pair_id").distinct().withColumn("n", F.lit(1)))
     return ids.groupBy("pair_id").agg(F.sum("n").alias("n")).where(F.col("n") < 1 + len(others)).select("pair_id")
+
+
+def variants(df: DataFrame, out: str) -> DataFrame:
+    """Every combination of the values that df's columns have, numbered (`out`) in their order, the last column fastest. The
+    values of a column are few, and are held as a list; the combinations are made by exploding lists, in many tasks."""
+    lists = [F.array_sort(F.collect_set(c)).alias(f"__{c}") for c in df.columns]
+    rows, number = df.agg(*lists), F.lit(0).cast("long")
+    for i, c in enumerate(df.columns):
+        others = [F.col(x) for d in df.columns[:i] for x in (d, f"__at_{d}")]
+        rows = rows.select(*[f"__{d}" for d in df.columns], *others, F.posexplode(f"__{c}").alias(f"__at_{c}", c))
+        if i == 0:
+            rows = rows.repartition(F.col(c))
+        number = number * F.size(f"__{c}") + F.col(f"__at_{c}")
+    return rows.select(number.alias(out), *df.columns)

@@ -101,19 +101,26 @@ def apportion(spark, sf_dir):
     return schedule.apportion(weights, "w", 1001, "segment").select("segment", "draws")
 
 
-@query("SELECT * FROM (VALUES (43, 0.25), (86, 0.5), (172, 1.0)) t(step, fraction)")
+@query("""
+WITH t AS (SELECT o_orderpriority AS priority, year(o_orderdate)::INT AS year, ((count(*) + 31) // 32)::BIGINT AS steps FROM orders GROUP BY ALL),
+c AS (SELECT *, unnest([0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS fraction FROM t), s AS (SELECT *, greatest(1, round_even(steps * fraction, 0))::BIGINT AS step FROM c)
+SELECT priority, year, steps, fraction, step, (count(DISTINCT step) OVER (PARTITION BY priority, year) < 3) AS collides FROM s""")
 def checkpoint_plan(spark, sf_dir):
-    steps = schedule.plan_draws(5502, 32, 4, 4, 2, True, 0.03)["steps"]
-    return schedule.checkpoint_steps(spark, steps).withColumn("fraction", F.col("fraction").cast("decimal(3,2)"))
+    """Checkpoints of runs over the orders of each priority and year, in batches of 32, and whether two fall on one step."""
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year")).agg(F.ceil(F.count("*") / 32).cast("long").alias("steps"))
+    return runs.select("*", schedule.checkpoints(F.col("steps")).alias("c")).select("priority", "year", "steps", F.explode("c.at").alias("at"), "c.collides").select("priority", "year", "steps", "at.fraction", "at.step", "collides")
 
 
-@query("WITH a AS (SELECT unnest(['red', 'blue', 'green']) AS color, unnest([0, 1, 2]) AS i), b AS (SELECT unnest(['card', 'film']) AS material, unnest([0, 1]) AS j) SELECT (i * 2 + j)::INT AS note, color, material FROM a, b")
+@query("""
+WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i FROM (SELECT DISTINCT p_brand FROM part)), t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS j FROM (SELECT DISTINCT p_type FROM part)),
+s AS (SELECT p_size, row_number() OVER (ORDER BY p_size) - 1 AS k FROM (SELECT DISTINCT p_size FROM part))
+SELECT (i * (SELECT count(*) FROM t) + j) * (SELECT count(*) FROM s) + k AS note, p_brand AS brand, p_type AS type, p_size::INT AS size FROM b, t, s""")
 def cross_product(spark, sf_dir):
-    """Variant notes: two constant lists, crossed and numbered."""
-    colors, materials = ("red", "blue", "green"), ("card", "film")
-    a = spark.range(len(colors)).select(F.col("id").alias("i"), F.element_at(F.array(*map(F.lit, colors)), (F.col("id") + 1).cast("int")).alias("color"))
-    b = F.posexplode(F.array(*map(F.lit, materials))).alias("j", "material")
-    return a.select("i", "color", b).select((F.col("i") * len(materials) + F.col("j")).cast("int").alias("note"), "color", "material")
+    """Variant notes: every brand with every type and size that parts have, numbered."""
+    from veriloom.operators.synthetic import variants
+
+    parts = table(spark, sf_dir, "part")
+    return variants(parts.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("int").alias("size")), "note")
 
 
 @query("WITH r AS (SELECT p_partkey, p_brand, (p_size % 4 + 1)::BIGINT AS n, (sum(p_size % 4 + 1) OVER (ORDER BY p_partkey) - (p_size % 4 + 1))::BIGINT AS before FROM part), e AS (SELECT p_partkey, p_brand, before, unnest(range(0, n)) AS variant FROM r) SELECT before + variant AS task, p_brand AS brand, variant::INT AS variant_index FROM e")

@@ -145,14 +145,6 @@ def event_windows(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("start", F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
 
 
-@query("SELECT * FROM (VALUES ('scan', 0), ('split', 1), ('control', 2), ('candidate', 2), ('audit', 3), ('gate', 4), ('selector', 5), ('bundle', 6)) t(stage, level)")
-def dag_levels(spark, sf_dir):
-    from veriloom.operators.contracts import dag_levels as levels
-
-    edges = {"scan": [], "split": ["scan"], "control": ["split"], "candidate": ["split"], "audit": ["control", "candidate"], "gate": ["audit"], "selector": ["gate", "audit"], "bundle": ["selector", "candidate"]}
-    return spark.createDataFrame(levels(edges), "stage string, level int")
-
-
 @query("SELECT doc_id AS id, coalesce(l.quality, 1 - doc_id % 2)::INT AS label FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) LEFT JOIN labels l USING (doc_id)")
 def overlay_labels(spark, sf_dir):
     """Default labels for all documents, replaced by the recorded ones where there are any."""
