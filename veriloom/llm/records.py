@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 from urllib.parse import unquote
 
 import numpy as np
@@ -23,8 +24,8 @@ from veriloom.llm.textbytes import slices
 from veriloom.operators.ranking import running_totals
 from veriloom.session import bound_batches, checkpoint_dir, materialised
 
-#: Bytes of one file of records, of records framed or read at once, and of encoded pieces that a task remembers.
-FILE_BYTES, BLOCK_BYTES, REMEMBERED = 64 << 20, 4 << 20, 64 << 20
+#: Bytes of one file of records, of records read at once, and parts of texts whose ids a worker remembers.
+FILE_BYTES, BLOCK_BYTES, REMEMBERED = 64 << 20, 4 << 20, 1_000_000
 
 # Fixed values of CRC-32C (Castagnoli, reflected) and of its mask in length-delimited record files.
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
@@ -131,17 +132,50 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), unquote(plain) if plain != folder else plain) if plain.startswith("/") else fs.FileSystem.from_uri(folder)
 
 
-# A cut before a space that a small or capital letter follows and a visible ASCII sign precedes is one that the byte-level
-# pattern makes too, so pieces can be encoded on their own.
-_SIGN = np.zeros(256, bool)
-_SIGN[0x21:0x7F] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# Signs whose kind no version of Unicode doubts: letters (to U+024F) and signs that are neither letters, digits nor spaces.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_SIGNS = "!-/:-@\\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧"
+_STRANGE = re.compile(f"[^{_LETTERS}{_SIGNS}0-9\t-\r ]")
+#: The usual pattern of byte-level vocabularies, for texts of such signs alone.
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Places where that pattern parts any text: before a space that a letter follows and a visible sign precedes.
+_CUT = re.compile("(?<=[!-~])(?= [A-Za-z])")
+
+
+def _visible() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it is visible in Latin-1, else the next free
+    one from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_VISIBLE = _visible()
+
+
+class _Known(dict):
+    """The ids of parts of texts, by the tokenizer's merges; short ones are remembered."""
+
+    def __init__(self, model: object) -> None:
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        word = part[1:] if part[0] == " " else part
+        if word.isalpha() and word.isascii():  # most parts; their bytes stand for themselves
+            signs = part if word is part else _VISIBLE[0x20] + word
+        else:
+            signs = part.encode().decode("latin-1").translate(_VISIBLE)
+        ids = [t.id for t in self.model.tokenize(signs)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= 64:
+            self[part] = found
+        return found
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file. Where it is byte-level with its usual pattern, equal pieces between safe cuts are
-    encoded once and remembered, within REMEMBERED bytes; otherwise texts are encoded as they are."""
+    """Ids of whole texts by a tokenizer file. Where it is byte-level with the usual pattern, texts are parted by that pattern
+    and equal parts are merged once, REMEMBERED of them; pieces with signs that the pattern's versions may see differently, or
+    with names of special tokens, and texts of all other tokenizers are encoded by the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,46 +185,50 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         made = json.loads(self.tokenizer.to_str())
-        split, added = made["pre_tokenizer"] or {}, made["added_tokens"]
-        plain = all(not t[k] for t in added for k in ("lstrip", "rstrip", "single_word")) and not any(" " in t["content"] for t in added)
-        self.cuts = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made["normalizer"] is None and plain
-        self.cuts = self.cuts and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        split, model, added = made["pre_tokenizer"] or {}, made["model"], made["added_tokens"]
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made["normalizer"] is None
+        usual = usual and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.parted = usual and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
+        self.special = [t["content"] for t in added]
+        self.width = 2 if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
+        self.known = _Known(self.tokenizer.model)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _strange(self, text: str) -> bool:
+        return _STRANGE.search(text) is not None or any(s in text for s in self.special)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian uint32."""
-        ends = offsets.tolist()
-        raw = data.tobytes()
-        if not self.cuts:
-            return self._ids([raw[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)])
-        safe = np.zeros(len(data) + 1, bool)
-        if len(data) > 2:
-            safe[1:-2] = (data[1:-1] == 0x20) & _SIGN[data[:-2]] & _LETTER[data[2:]]
-        safe[offsets] = True
-        cuts = np.flatnonzero(safe)
-        places = cuts.tolist()
-        pieces = [raw[a:b] for a, b in zip(places, places[1:], strict=False)]
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        self.known |= zip(new, self._ids([p.decode() for p in new]), strict=True)
-        self.held += sum(len(p) for p in new) * 4 + 150 * len(new)
-        found = list(map(self.known.__getitem__, pieces))
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
-        firsts = np.searchsorted(cuts, offsets).tolist()
-        return [b"".join(found[a:b]) for a, b in zip(firsts, firsts[1:], strict=False)]
+        if not self.parted:
+            return self._whole(texts)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        out, part = [], self.known.__getitem__
+        for text in texts:
+            if not self._strange(text):
+                out.append(b"".join(map(part, _PARTS.findall(text))))
+                continue
+            pieces = _CUT.split(text)
+            odd = {p: b"" for p in pieces if self._strange(p)}
+            odd |= zip(odd, self._whole(list(odd)), strict=True)
+            out.append(b"".join([odd[p] if p in odd else b"".join(map(part, _PARTS.findall(p))) for p in pieces]))
+        return out
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker, which Spark keeps from task to task."""
+    return Encoder(path)
 
 
 class _Files:
     """Files of one task, in order, each with its index; a file counts only when the task's rows name it."""
 
-    def __init__(self, folder: str, width: int) -> None:
+    def __init__(self, folder: str, width: int, most_bytes: int) -> None:
         self.store, self.path = _store(folder)
-        self.width, self.number, self.out = width, 0, None
+        self.width, self.most_bytes, self.number, self.out = width, most_bytes, 0, None
         context = TaskContext.get()
         self.task = context.partitionId() if context else 0
 
@@ -207,7 +245,7 @@ class _Files:
             self.out.write(record)
             self.index += (self.size, len(record), len(value))
             self.size, self.tokens = self.size + len(record), self.tokens + len(value)
-            if self.size >= FILE_BYTES:
+            if self.size >= self.most_bytes:
                 yield self.close()
 
     def close(self) -> tuple:
@@ -219,14 +257,15 @@ class _Files:
         return self.name, len(self.index) // 3, self.tokens, self.size
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int | None = None, key: str = "doc_id", text: str = "text", folder: str | None = None) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end: int | None = None, key: str = "doc_id", text: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES) -> str:
     """Encodes every whole text, appends the id `end`, and writes records in ascending order of key; returns the folder.
 
     `folder`/data has files NAME.records and, for each, NAME.index: of every record its offset, its bytes and its ids (three
     little-endian uint64). `folder`/files is a table (file, n_records, n_tokens, n_bytes), whose names rise with the keys: files
     that it does not list are leftovers of lost tasks and are never read. Names of special tokens in a text become their ids,
     as the tokenizer does by itself. Null keys come first; null and empty texts have only the end id; rows of one key go by
-    their texts' hash; very long texts are one record each; an empty table has no files. Other columns are not read.
+    their texts' hash; a file ends with the record that fills its `file_bytes`, so very long texts are one record each; an empty
+    table has no files. Other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -238,11 +277,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int | None = None, key: s
     last = b"" if end is None else int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        files = _Files(f"{folder}/data", encoder.width)
+        encoder = encoder_of(tokenizer)
+        files = _Files(f"{folder}/data", encoder.width, file_bytes)
         for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                ids = [i + last for i in encoder.encode(data, offsets)]
+            for part, _, _ in slices(batch, "text"):
+                ids = [i + last for i in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 done = list(files.add(part.column("key").to_pylist(), ids))
                 if done:
                     yield _files(done)
