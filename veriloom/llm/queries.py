@@ -92,12 +92,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 _BASE32_SQL = "".join(
@@ -138,25 +138,9 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-# Sources that stop at three times their size are those first by that limit per weight, so one pass in that order finds them.
-_MIXING_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
-o AS (SELECT *, sum(weight) OVER w AS left_weight, (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_total
-  FROM s WINDOW w AS (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-c AS (SELECT *, left_total * weight / left_weight > 3.0::DOUBLE * source_size AS capped FROM o),
-f AS (SELECT (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) FILTER (capped), 0) AS total, sum(weight) FILTER (NOT capped) AS share FROM c),
-t AS (SELECT source, source_size, CASE WHEN capped THEN 3.0::DOUBLE * source_size ELSE total * weight / share END AS target FROM c, f),
-r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-u AS (SELECT source, ('0x' || substr(sha256('17|' || k || '|' || coalesce('s' || source, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM s, range({mixing.DRAWS}) g(k)),
-g AS (SELECT r.source, u.u, abs(sum((floor(u.u + rate * (i + 1)) - floor(u.u + rate * i)) * size) - any_value(target)) AS gap FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY 1, 2),
-b AS (SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, u) AS n FROM g) WHERE n = 1),
-x AS (SELECT r.*, least(floor(b.u + rate * (i + 1)) - floor(b.u + rate * i), 3)::INT AS copies FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM x"""
-
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_sharding": sharding.shard_sql(), "op3_mixing": _MIXING_SQL, "op4_topk": _TOPK_SQL, "op5_licenses": licenses.scan_sql(), "op6_decontamination": _CONTAMINATION_SQL,
+        "op2_sharding": sharding.shard_sql(), "op3_mixing": mixing.mixing_sql(), "op4_topk": _TOPK_SQL, "op5_licenses": licenses.scan_sql(), "op6_decontamination": _CONTAMINATION_SQL,
         "op8_warc": _WARC_SQL, "op10_jaccard": _jaccard_sql(), "op11_collocations": collocations.collocations_sql(), "op13_manifest": manifest.manifest_sql(),
     }

@@ -62,8 +62,9 @@ class BallTree:
         return me
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row number, score) of every query's k best rows of another id, ties to the smaller id.
+def search(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row's place, score) of every query's k best rows but itself (`rows`, `q_rows`: numbers of rows), ties to
+    the smaller id.
 
     Branch and bound for a block of queries at once: a node is entered, best bound first, by the queries whose
     bound centre.q + radius * |q| reaches the kth score that they have so far; all leaves share that score.
@@ -86,12 +87,12 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
         return top + 1e-6 * (1 + np.abs(top) + radius * norm[who])
 
     def leaf(a: int, b: int, who: np.ndarray) -> None:
-        rows = tree.order[a:b]
-        score = (qs[who] @ xs[rows].T).astype(np.int64)
-        score[q_ids[who][:, None] == ids[rows][None, :]] = none
+        some = tree.order[a:b]
+        score = (qs[who] @ xs[some].T).astype(np.int64)
+        score[q_rows[who][:, None] == rows[some][None, :]] = none
         held = np.concatenate([best[who], score], axis=1)
-        place = np.concatenate([row[who], np.broadcast_to(rows, score.shape)], axis=1)
-        named = np.concatenate([row_id[who], np.broadcast_to(ids[rows], score.shape)], axis=1)
+        place = np.concatenate([row[who], np.broadcast_to(some, score.shape)], axis=1)
+        named = np.concatenate([row_id[who], np.broadcast_to(ids[some], score.shape)], axis=1)
         if held.shape[1] > 4 * k:  # all that reach the kth score stay until ids settle the ties
             kth = np.partition(held, held.shape[1] - k, axis=1)[:, -k]
             most = int((held >= kth[:, None]).sum(axis=1).max())
@@ -154,21 +155,21 @@ def centres(sample: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
 
 
 def _place(rows: DataFrame, middle: np.ndarray) -> DataFrame:
-    """rows (id, x) with the nearest centre (cluster) and the distance to it."""
+    """rows (id, number, x) with the nearest centre (cluster) and the distance to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, c = _alike(_matrix(batch.column("x")), middle)
             near = np.argmin((c**2).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
             distance = np.sqrt(((x - c[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(near.astype(np.int32)), pa.array(distance)], names=["id", "x", "cluster", "distance"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "number", "x")], pa.array(near.astype(np.int32)), pa.array(distance)], names=["id", "number", "x", "cluster", "distance"])
 
-    return rows.mapInArrow(run, "id long, x array<long>, cluster int, distance double")
+    return rows.mapInArrow(run, "id long, number long, x array<long>, cluster int, distance double")
 
 
 def _reach(asking: DataFrame, middle: np.ndarray, radius: np.ndarray) -> DataFrame:
-    """asking (id, x, block, cluster, sub, floor) once for each cluster (target) whose ball reaches the floor."""
-    names = ["id", "x", "block", "cluster", "sub", "floor"]
+    """asking (id, number, x, block, cluster, sub, floor) once for each cluster (target) whose ball reaches the floor."""
+    names = ["id", "number", "x", "block", "cluster", "sub", "floor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +183,7 @@ def _reach(asking: DataFrame, middle: np.ndarray, radius: np.ndarray) -> DataFra
                 part = batch.select(names).take(pa.array(who[a : a + (1 << 14)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(target[a : a + (1 << 14)].astype(np.int32))], names=[*names, "target"])
 
-    return asking.mapInArrow(run, "id long, x array<long>, block int, cluster int, sub int, floor long, target int")
+    return asking.mapInArrow(run, "id long, number long, x array<long>, block int, cluster int, sub int, floor long, target int")
 
 
 def top_k(
@@ -195,17 +196,17 @@ def top_k(
     shard that is asked is one ball-tree search. A query first searches its own shard; its kth score from there
     goes with it to the shards of the clusters whose ball can reach it, and the k best of all are merged. Vectors are
     copied only to the blocks that ask their cluster. Ties go to the smaller key. Vectors that
-    are null or hold null or non-finite components take no part, nor do rows without a key; of rows that
-    repeat a key, the one with the smallest vector stands; a shorter vector counts as ended by zeros. An
+    are null or hold null or non-finite components take no part, nor do rows without a key; rows that repeat a key are
+    rows of their own, as queries and as candidates, of each other too; a shorter vector counts as ended by zeros. An
     empty table gives an empty result. All rows are scored or bounded away; nothing is capped.
     """
     spark = df.sparkSession
     rows = quantise(df.select(named(key).alias("id"), named(vector).alias("x")).where("id is not null"), "x", scale)
-    rows = materialised(rows.groupBy("id").agg(F.min("x").alias("x")))
+    rows = materialised(rows.withColumn("number", F.monotonically_increasing_id()))
     wanted = min(clusters, max(1, -(-rows.count() // shard_rows)))
     middle = np.zeros((1, 0))
     if wanted > 1:
-        middle = centres(_matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow().column("x")), wanted)
+        middle = centres(_matrix(rows.orderBy(F.xxhash64("number"), "number").limit(SAMPLE).select("x").toArrow().column("x")), wanted)
     placed = materialised(_place(rows, middle))
     sizes = placed.groupBy("cluster").agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max("distance")).collect()
     radius, layout, block, room = np.full(len(middle), -1.0), [], 0, block_queries
@@ -218,36 +219,36 @@ def top_k(
         block, room = block + n_blocks - 1, (room - n_queries if n_blocks == 1 else 0)
     layout = F.broadcast(spark.createDataFrame(layout, "cluster int, subs int, first int, n_blocks int"))
     held = placed.join(layout, "cluster").withColumns(
-        {"sub": F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"), "block": (F.col("first") + F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n_blocks"))).cast("int")}
+        {"sub": F.pmod(F.xxhash64("number"), F.col("subs")).cast("int"), "block": (F.col("first") + F.pmod(F.xxhash64(F.lit(1), "number"), F.col("n_blocks"))).cast("int")}
     )
     asking = held.where(F.col("id") % every == 0)
     none = -np.iinfo(np.int64).max
 
     def run(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
+        ids, number = table.column("id").to_numpy(), table.column("number").to_numpy()
         x = _matrix(table.column("x"))
         floor = pc.fill_null(table.column("floor"), none).to_numpy()
-        who, row, score = search(x[~query], ids[~query], x[query], ids[query], k, floor[query])
-        return pa.table({"query_id": ids[query][who], "vec_id": ids[~query][row], "score": score.astype(np.int64)})
+        who, row, score = search(x[~query], ids[~query], number[~query], x[query], number[query], k, floor[query])
+        return pa.table({"query": number[query][who], "query_id": ids[query][who], "vec_id": ids[~query][row], "score": score.astype(np.int64)})
 
     def ask(searched: DataFrame, asked: DataFrame) -> DataFrame:
-        """Both have id, x, block, cluster and sub; those asked a floor too."""
-        columns = ["id", "x", "block", "cluster", "sub"]
+        """Both have id, number, x, block, cluster and sub; those asked a floor too."""
+        columns = ["id", "number", "x", "block", "cluster", "sub"]
         both = searched.select(*columns, F.lit(False).alias("query"), F.lit(None).cast("long").alias("floor")).union(asked.select(*columns, F.lit(True), "floor"))
-        return both.groupBy("block", "cluster", "sub").applyInArrow(run, "query_id long, vec_id long, score long")
+        return both.groupBy("block", "cluster", "sub").applyInArrow(run, "query long, query_id long, vec_id long, score long")
 
     own_blocks = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_blocks") - 1)).alias("block")
-    home = ask(held.drop("block").select("id", "x", "cluster", "sub", own_blocks), asking.withColumn("floor", F.lit(None).cast("long")))
+    home = ask(held.drop("block").select("id", "number", "x", "cluster", "sub", own_blocks), asking.withColumn("floor", F.lit(None).cast("long")))
     if len(sizes) > 1 or any(n > shard_rows for _, n, *_ in sizes):
         home = materialised(home)
-        kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        told = asking.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "x", "block", "cluster", "sub", "floor")
+        kth = home.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        told = asking.join(kth, F.col("number") == F.col("query"), "left").select("id", "number", "x", "block", "cluster", "sub", "floor")
         reached = _reach(told, middle, radius).join(layout.select(F.col("cluster").alias("target"), "subs"), "target")
         each = F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("at")
-        away = materialised(reached.select("id", "x", "block", "floor", "target", "cluster", "sub", each).where("target <> cluster or at <> sub"))
-        asked = away.select("id", "x", "block", F.col("target").alias("cluster"), F.col("at").alias("sub"), "floor")
+        away = materialised(reached.select("id", "number", "x", "block", "floor", "target", "cluster", "sub", each).where("target <> cluster or at <> sub"))
+        asked = away.select("id", "number", "x", "block", F.col("target").alias("cluster"), F.col("at").alias("sub"), "floor")
         pairs = asked.select("block", "cluster", "sub").distinct()
         home = home.union(ask(held.drop("block").join(pairs, ["cluster", "sub"]), asked))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
