@@ -263,11 +263,11 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 def components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key that links reach from a row, itself included; a row
     without shingles has its own. Null keys are never the smallest unless a class has no other."""
-    rows = materialised(near_duplicates(df, text, (key,), k, num, den))
-    least = rows.where(F.col("__class").isNotNull()).groupBy("__class").agg(F.min(key).alias("__least"))
+    rows = materialised(near_duplicates(df.select(named(key).alias("id"), named(text).alias("text")), "text", ("id",), k, num, den))
+    least = rows.where(F.col("__class").isNotNull()).groupBy("__class").agg(F.min("id").alias("__least"))
     joined = rows.join(least, "__class", "left")
-    own = F.when(F.col("__class").isNull(), F.col(key)).otherwise(F.col("__least"))
-    return joined.select(key, F.col("__n").alias("n_shingles"), own.alias("component_id"))
+    own = F.when(F.col("__class").isNull(), F.col("id")).otherwise(F.col("__least"))
+    return joined.select(F.col("id").alias(key), F.col("__n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.rows import named
 from veriloom.operators.ranking import position_within
 
 #: A tree is {region: {rack: {shard: weight}}}.
@@ -76,22 +77,19 @@ def shard(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "t
     stays or moves into the new shard. `base` is the count that the cluster started with, and stays as it is when
     n_shards grows: with 25 shards a row is where grown_shard says it is with 24. size is the UTF-8 length of the text (null: 0) plus 8. A slot numbers
     a shard's rows from 0 without gaps, by key and text. Null keys share one shard; repeated rows share
-    their shard and take neighbouring slots; an empty table gives an empty result. Columns of `df` with
-    the names that are added are replaced.
+    their shard and take neighbouring slots; a text of any length is only measured; an empty table gives an empty result.
+    Columns of `df` with the names that are added are replaced.
     """
     if n_shards < base:
         raise ValueError(f"{n_shards} shards are fewer than the base of {base}")
     added = ("size", "law", "shard", "grown_shard")
-    rows = df.drop(*added)
-    rows = rows.withColumns(
-        {
-            "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(8),
-            "law": F.lit("key"),
-            "shard": shard_of(F.col(key), tree(n_shards, base)),
-            "grown_shard": shard_of(F.col(key), tree(n_shards + 1, base)),
-        }
+    return df.select(
+        *[named(c) for c in df.columns if c not in added],
+        (F.coalesce(F.octet_length(named(text)), F.lit(0)).cast("long") + F.lit(8)).alias("size"),
+        F.lit("key").alias("law"),
+        shard_of(named(key), tree(n_shards, base)).alias("shard"),
+        shard_of(named(key), tree(n_shards + 1, base)).alias("grown_shard"),
     )
-    return rows
 
 
 def with_slots(rows: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
