@@ -6,8 +6,10 @@ import hashlib
 import json
 import math
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(value: object) -> str:
@@ -24,6 +26,78 @@ def canonical_struct(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+#: Control characters whose hex digits JSON writers spell in different cases.
+_HEX_LETTERS = [c for c in range(0x20) if c not in (0x08, 0x09, 0x0A, 0x0C, 0x0D) and c % 16 > 9]
+
+
+def _json_text(text: Column) -> Column:
+    """A text as a JSON string: named escapes where there are any, other controls in small hex digits, the rest as it is."""
+    quoted = F.to_json(F.array(text))
+    quoted = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    spelled = quoted
+    for c in _HEX_LETTERS:  # an escape has an even number of backslashes before it
+        spelled = F.regexp_replace(spelled, rf"(?i)(?<!\\)((?:\\\\)*)\\u{c:04x}", rf"$1\\u{c:04x}")
+    return F.when(text.rlike("[" + "".join(f"\\x{c:02x}" for c in _HEX_LETTERS) + "]"), spelled).otherwise(quoted)
+
+
+@F.arrow_udf(T.StringType())
+def _python_numbers(values: pa.Array) -> pa.Array:
+    """Numbers in the shortest form that reads back as the same number; NaN and infinities are errors."""
+    return pa.array([None if v is None else json.dumps(v, allow_nan=False) for v in values.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _python_lists(values: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else [None if v is None else json.dumps(v, allow_nan=False) for v in x] for x in values.to_pylist()], pa.list_(pa.string()))
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return True
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.valueType] if isinstance(kind, T.MapType) else []
+    return any(map(_has_floats, inner))
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of a column of any nested type, made by its schema: keys in order at every level, no spaces, nulls kept,
+    numbers as Python writes them. The same bytes as `canonical_json` of the value.
+
+    Structs and maps of texts are objects, lists are lists; texts, booleans and whole numbers are themselves. Floats are written
+    by an Arrow function, in a column or a list of them; deeper inside lists they are no part of this, nor are other types: an error.
+    """
+    null = F.lit("null")
+    if isinstance(kind, T.StringType):
+        out = _json_text(value)
+    elif isinstance(kind, T.BooleanType):
+        out = value.cast("string")
+    elif isinstance(kind, T.IntegralType):
+        out = value.cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        out = _python_numbers(value.cast("double"))
+    elif isinstance(kind, T.StructType):
+        names = sorted(f.name for f in kind.fields)
+        if len(set(names)) < len(names):
+            raise TypeError(f"keys repeat: {names}")
+        fields = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), canonical(value.getField(n), kind[n].dataType)) for n in names]
+        out = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
+        out = F.concat(F.lit("["), F.array_join(_python_lists(value.cast("array<double>")), ",", "null"), F.lit("]"))
+    elif isinstance(kind, T.ArrayType) and not _has_floats(kind):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType) and not _has_floats(kind):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("k"), canonical(e["value"], kind.valueType).alias("v"))))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_json_text(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    else:
+        raise TypeError(f"{kind.simpleString()} has no canonical JSON here")
+    return F.coalesce(out, null)
+
+
+def canonical_row(df: DataFrame, *columns: str) -> Column:
+    """Canonical JSON of a row's columns, by default all, as one object."""
+    kind = T.StructType([df.schema[c] for c in columns or df.columns])
+    return canonical(F.struct(*[F.col(f"`{f.name.replace('`', '``')}`").alias(f.name) for f in kind.fields]), kind)
+
+
 #: Fixed value: the namespace of row ids.
 ROW_NAMESPACE = "v108-production-row-v1"
 

@@ -141,16 +141,34 @@ def prevalence(n: int, share: float) -> int:
     return max(0, min(n, int(n * share + 0.5)))
 
 
+def medians(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """(group, out): the median of each group's values that are not null, of two the mean. Equal values are counted, the counts
+    placed by range partitions, so no task or buffer holds a group."""
+    names = [f"g{i}" for i in range(len(group))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(g) for c, g in zip(group, names, strict=True)], F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    placed = running_totals(counts, names, "x", {"upto": "n"})
+    sizes = placed.groupBy(*[F.col(g).alias(f"of_{g}") for g in names]).agg(F.sum("n").alias("all"))
+    same = reduce(lambda p, q: p & q, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in names], F.lit(True))
+    holds = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
+    low, high = (F.max(F.when(holds(p), F.col("x"))) for p in (F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)))
+    return placed.join(F.broadcast(sizes) if not names else sizes, same).groupBy(*names).agg(((low + high) / 2).alias(out)).withColumnsRenamed(dict(zip(names, group, strict=True)))
+
+
 def label_top(df: DataFrame, k: int, score: str, tie: str, out: str) -> DataFrame:
-    """`out` is 1 for the k rows of highest score, ties to the smaller tie key, else 0. The k-th row is found by a
-    top-k and the others are compared with it, so no task sorts the table."""
+    """`out` is 1 for the k rows of highest score, ties to the smaller tie key, else 0; a null score is the lowest. The k-th row
+    is found by its place among range partitions and the others are compared with it, so no task sorts the table, nor its
+    first k rows."""
     if k <= 0:
         return df.withColumn(out, F.lit(0))
-    last = df.select(score, tie).orderBy(F.desc(score), tie).limit(k).orderBy(F.asc(score), F.desc(tie)).first()
-    if last is None:
-        return df.withColumn(out, F.lit(0))
-    inside = (F.col(score) > F.lit(last[0])) | ((F.col(score) == F.lit(last[0])) & (F.col(tie) <= F.lit(last[1])))
-    return df.withColumn(out, inside.cast("int"))
+    order = [F.desc_nulls_last("s"), F.asc("t")]
+    last = position_within(df.select(F.col(score).alias("s"), F.col(tie).alias("t")), [], order, "at").where(F.col("at") == k - 1).first()
+    if last is None:  # there are no more than k
+        return df.withColumn(out, F.lit(1))
+    if last.s is None:
+        inside = F.col(score).isNotNull() | (F.col(tie) <= F.lit(last.t))
+    else:
+        inside = (F.col(score) > F.lit(last.s)) | ((F.col(score) == F.lit(last.s)) & (F.col(tie) <= F.lit(last.t)))
+    return df.withColumn(out, F.coalesce(inside, F.lit(False)).cast("int"))
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
