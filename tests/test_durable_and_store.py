@@ -78,3 +78,13 @@ def test_store_fails_closed(spark, tmp_path):
     assert store.version(spark, folder) == 0
     _, at = store.complete(a, folder, F.col("q"), respond("a", []), cost=F.length("q"), cap=3.0)
     assert at == 1
+
+
+def test_inventory_without_some_files(spark, tmp_path):
+    from veriloom.sources.readers import inventory
+
+    for name in ("a.txt", "cache/a.txt", "b/.hidden/x.txt", "b/c.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = lambda *without: sorted(r.path.split(str(tmp_path) + "/")[1] for r in inventory(spark, str(tmp_path), without=without).collect())
+    assert got() == ["a.txt", "b/c.txt", "cache/a.txt"] and got("^cache/") == ["a.txt", "b/c.txt"] and got("^cache/", "c[.]txt$") == ["a.txt"]

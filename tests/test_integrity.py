@@ -112,3 +112,40 @@ def test_checkpoints_and_variants(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 2), (None, 3)], "x string, y int")
     assert sorted(tuple(r) for r in variants(df, "n").collect()) == [(0, "a", 1), (1, "a", 2), (2, "a", 3), (3, "b", 1), (4, "b", 2), (5, "b", 3)]
     assert variants(df.limit(0), "n").count() == 0
+
+
+def test_population_audit(spark):
+    """Counts and deltas by loops; copies, masked copies and near texts of other frames are planted."""
+    import re
+    import statistics
+
+    from veriloom.operators.synthetic import population_audit
+
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        span, changed = rng.choice(["with oil", "with gas and fire"]), rng.choice(["name", "description"])
+        name, body = f"Box no. {i % 23}", "the big red box stands on the shelf in the hall " + "ab cd ef gh ij"[: i % 14]
+        pos = {"name": name, "description": body, "decisive_span": span}
+        pos[changed] += " " + span
+        neg = {"name": name, "description": body, "decisive_span": "none"}
+        neg[changed] += " empty" * (i % 3)
+        rows.append((pos, neg, rng.choice(["b1", "b2", None]), rng.choice(["f1", "f2", None]), changed))
+    rows += rows[:3]
+    side = "struct<name:string,description:string,decisive_span:string>"
+    df = spark.createDataFrame(rows, f"positive {side}, negative {side}, boundary string, style_frame_id string, changed_field string").repartition(3)
+    got = {r.boundary: r for r in population_audit(df).collect()}
+    norm = lambda t: re.sub("[^0-9a-zа-яё]+", " ", t.lower()).strip()
+    cards = [norm(s["name"] + " " + s["description"]) for r in rows for s in r[:2]]
+    other = {"name": "description", "description": "name"}
+    masked = [norm(p[other[c]] + " " + p[c].replace(p["decisive_span"], "{{SLOT}}")) for p, _, _, _, c in rows]
+    deltas = [len(p["name"] + p["description"]) - len(n["name"] + n["description"]) for p, n, *_ in rows]
+    whole = got[None]
+    assert whole.pairs == 43 and whole.duplicate_cards == len(cards) - len(set(cards)) and whole.duplicate_masked == len(masked) - len(set(masked))
+    assert whole.mean_delta == pytest.approx(statistics.mean(deltas)) and whole.median_delta == statistics.median(deltas)
+    for b in ("b1", "b2"):
+        mine = [d for d, r in zip(deltas, rows, strict=True) if r[2] == b]
+        assert got[b].pairs == len(mine) and got[b].mean_delta == pytest.approx(statistics.mean(mine)) and got[b].median_delta == statistics.median(mine)
+    equal = sum(masked[i] == masked[j] and rows[i][3] != rows[j][3] for i in range(43) for j in range(i))
+    assert whole.cross_frame_edges >= equal and 0.9 < whole.max_similarity <= 1.0
+    none = population_audit(df.limit(0)).collect()
+    assert len(none) == 1 and none[0].pairs == 0 and none[0].max_similarity == 0

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions.hashing import expit
+from veriloom.operators.contracts import ContractError, require_unique, roster_difference
+from veriloom.session import materialised
 
 #: Texts in, scores out; called once per batch on an executor.
 Scorer = Callable[[Sequence[str]], Sequence[float]]
@@ -59,14 +61,20 @@ def expert_scores(model: PipelineModel, rows: DataFrame, terms: Column, out: str
     return scored.select(*rows.columns, margin.alias(f"{out}_margin"), expit(margin).alias(f"{out}_score"), (margin >= 0).cast("int").alias(f"{out}_prediction"))
 
 
-def out_of_fold(rows: DataFrame, folds: Iterable[int], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fold: str = "fold") -> DataFrame:
-    """Each fold scored by a model fitted on the others."""
-    out = None
+def out_of_fold(rows: DataFrame, folds: Iterable[int], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], fold: str = "fold", id_: str = "id") -> DataFrame:
+    """Each fold scored by a model fitted on the others. Folds that share an id, rows of no such fold, and rows that are not
+    scored exactly once are errors."""
+    require_unique(rows, id_)
+    out, folds = None, list(folds)
     for k in folds:
         part = fit(rows.where(F.col(fold) != k))(rows.where(F.col(fold) == k))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no folds")
+    out = materialised(out)
+    require_unique(out, id_)
+    if lost := roster_difference(rows, out, id_).count():
+        raise ContractError(f"{lost} rows are not scored once by a fold of {folds}")
     return out
 
 

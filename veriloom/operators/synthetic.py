@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions.hashing import odd_hash
-from veriloom.functions.text import collapse, contract_tokens, surface_key, token_ngrams
+from veriloom.functions.text import audit_text, collapse, contract_tokens, padded_ngrams, spaced_words, surface_key, token_ngrams
+from veriloom.operators import similarity
 from veriloom.operators.contracts import ContractError
 from veriloom.operators.pairs import violations
 from veriloom.operators.policy import passes
+from veriloom.operators.ranking import medians
+from veriloom.session import materialised
 
 _FIELDS = ("name", "description", "decisive_span")
 
@@ -135,3 +138,41 @@ def variants(df: DataFrame, out: str) -> DataFrame:
             rows = rows.repartition(F.col(c))
         number = number * F.size(f"__{c}") + F.col(f"__at_{c}")
     return rows.select(number.alias(out), *df.columns)
+
+
+#: Fixed value: what stands for the decisive span in a masked text.
+PLACEHOLDER = "{{SLOT}}"
+
+
+def masked_text(changed: str = "changed_field", side: str = "positive") -> Column:
+    """The side's field that the pair does not change, then the one that it does with its decisive span masked, as compared texts."""
+    field = lambda own: F.when((F.col(changed) == "name") == F.lit(own), F.col(f"{side}.name")).otherwise(F.col(f"{side}.description"))
+    span = F.coalesce(F.col(f"{side}.decisive_span"), F.lit(""))
+    template = F.when(span == "", field(True)).otherwise(F.replace(field(True), span, F.lit(PLACEHOLDER)))
+    return audit_text(F.concat_ws(" ", F.coalesce(field(False), F.lit("")), F.coalesce(template, F.lit(""))))
+
+
+def population_audit(pairs: DataFrame, threshold: float = 0.94) -> DataFrame:
+    """One row a boundary, and one for all (boundary null): pairs, mean_delta and median_delta, the characters that the positive
+    side has more than the negative one; and in every row what holds for all pairs: duplicate_cards, duplicate_masked,
+    cross_frame_edges (pairs of pairs of different frames whose masked texts are as near as `threshold`) and max_similarity of such.
+
+    Both fields of both sides count, whole. Equal masked texts are one vector, so copies cost nothing; null fields are empty; a
+    null frame is a frame of its own; no pairs give the one row of zeros and nulls.
+    """
+    length = lambda side: F.length(F.concat(F.coalesce(F.col(f"{side}.name"), F.lit("")), F.coalesce(F.col(f"{side}.description"), F.lit(""))))
+    both = F.array(*[audit_text(F.concat_ws(" ", F.coalesce(F.col(f"{s}.name"), F.lit("")), F.coalesce(F.col(f"{s}.description"), F.lit("")))) for s in ("positive", "negative")])
+    frame = F.coalesce(F.concat(F.lit("="), F.col("style_frame_id").cast("string")), F.lit(""))
+    rows = materialised(pairs.select("boundary", frame.alias("grp"), (length("positive") - length("negative")).cast("long").alias("delta"), F.sha2(both[0], 256).alias("a"), F.sha2(both[1], 256).alias("b"), masked_text().alias("t")).withColumn("h", F.sha2("t", 256)))
+    cards = rows.select(F.explode(F.array("a", "b")).alias("c")).agg(F.count("*").alias("n"), F.count_distinct("c").alias("d")).first()
+    texts = materialised(rows.groupBy("h").agg(F.first("t").alias("t"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    groups = rows.groupBy("h", "grp").agg(F.count("*").alias("copies")).join(texts.select("h", "id"), "h")
+    vectors = similarity.tfidf(texts, "id", spaced_words("t"), padded_ngrams, min_df=1, max_features=None, copies="copies")
+    edges, nearest = similarity.cross_group_similarity(vectors, groups, threshold).first()
+    n = rows.count()
+    middle = medians(rows.where("boundary is not null"), ["boundary"], "delta", "median_delta").unionByName(medians(rows, [], "delta", "median_delta").withColumn("boundary", F.lit(None).cast("string")).where(F.lit(n > 0)))
+    means = rows.where("boundary is not null").groupBy("boundary").agg(F.count("*").alias("pairs"), F.avg("delta").alias("mean_delta"))
+    means = means.unionByName(rows.agg(F.count("*").alias("pairs"), F.avg("delta").alias("mean_delta")).withColumn("boundary", F.lit(None).cast("string")))
+    out = means.join(middle.select(F.col("boundary").alias("of"), "median_delta"), F.col("boundary").eqNullSafe(F.col("of")), "left").drop("of")
+    whole = {"duplicate_cards": cards.n - cards.d, "duplicate_masked": n - texts.count(), "cross_frame_edges": edges, "max_similarity": nearest}
+    return out.select("*", *[F.lit(v).alias(k) for k, v in whole.items()])

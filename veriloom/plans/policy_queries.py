@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.text import collapse, folded, middle_truncate
 from veriloom.operators import policy, policy_tables
+from veriloom.operators.ranking import medians
 from veriloom.plans.cards import CARDS, LABELLED, cards, labelled
 from veriloom.plans.query import query
 from veriloom.session import materialised, table
@@ -358,5 +359,7 @@ def audit_rates(spark, sf_dir):
 
 @query(f"WITH p AS ({_PAIR}) SELECT changed, round(avg(length(slot_a) - length(slot_b)), 9) AS mean_delta, round(median(length(slot_a) - length(slot_b)), 9) AS median_delta FROM p GROUP BY 1")
 def length_balance(spark, sf_dir):
-    delta = F.length("slot_a") - F.length("slot_b")
-    return _templates(spark, sf_dir).groupBy("changed").agg(F.round(F.avg(delta), 9).alias("mean_delta"), F.round(F.percentile(delta, F.lit(0.5)), 9).alias("median_delta"))
+    rows = _templates(spark, sf_dir).select("changed", (F.length("slot_a") - F.length("slot_b")).alias("delta"))
+    middle = medians(rows, ["changed"], "delta", "m").select(F.col("changed").alias("of"), F.round("m", 9).alias("median_delta"))
+    means = rows.groupBy("changed").agg(F.round(F.avg("delta"), 9).alias("mean_delta"))
+    return means.join(middle, F.col("changed").eqNullSafe(F.col("of")), "left").drop("of")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriloom.plans import contract_queries, draw_queries, fold_queries, integrity_queries, policy_queries, relational_queries, score_queries, source_queries, text_queries  # noqa: F401
+from veriloom.plans import contract_queries, draw_queries, expert_queries, fold_queries, integrity_queries, policy_queries, relational_queries, score_queries, source_queries, text_queries  # noqa: F401
 from veriloom.plans.query import QUERIES, SQL, Query
 
 

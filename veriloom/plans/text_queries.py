@@ -189,17 +189,20 @@ def near_dup_pairs(spark, sf_dir):
     return similarity.cosine_pairs(vectors, 0.90).select("left_id", "right_id", F.round("sim", 6).alias("sim"))
 
 
-#: Whole cards as the audit sees them, each distinct text once, with its rows by group.
-_WHOLE = "WITH " + CARDS + r""", texts AS (SELECT id, stratum AS grp, trim(regexp_replace(lower(name || ' ' || description), '[^0-9a-zа-яё]+', ' ', 'g')) AS t FROM cards), first AS (SELECT t, min(id) AS id, count(*) AS copies FROM texts GROUP BY t),
+#: Texts (id, grp, t) as audits see them, each distinct text once, with its rows by group.
+_ACROSS = r""", first AS (SELECT t, min(id) AS id, count(*) AS copies FROM texts GROUP BY t),
 w AS (SELECT id, unnest(string_split(t, ' ')) AS x FROM first), p AS (SELECT id, ' ' || x || ' ' AS w FROM w WHERE x <> ''),
 """ + f"""tf AS (SELECT id, g AS term, count(*) AS tf FROM ({_WB}) GROUP BY 1, 2), stats AS (SELECT term, sum(copies) AS df FROM tf JOIN first USING (id) GROUP BY 1),
-raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM cards)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN stats USING (term)),
+raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM texts)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN stats USING (term)),
 vec AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
 s AS (SELECT a.id AS l, b.id AS r, sum(a.w * b.w) AS sim FROM vec a JOIN vec b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
 g AS (SELECT f.id, t.grp, count(*) AS c FROM texts t JOIN first f USING (t) GROUP BY 1, 2),
 e AS (SELECT sim, x.c * y.c AS n FROM s JOIN g x ON x.id = l JOIN g y ON y.id = r AND y.grp <> x.grp UNION ALL SELECT 1.0::DOUBLE, x.c * y.c FROM g x JOIN g y ON x.id = y.id AND x.grp < y.grp)"""
 
 
+_WHOLE = "WITH " + CARDS + r""", texts AS (SELECT id, stratum AS grp, trim(regexp_replace(lower(name || ' ' || description), '[^0-9a-zа-яё]+', ' ', 'g')) AS t FROM cards)""" + _ACROSS
+
+
 def _whole_cards(spark, sf_dir, threshold):
     rows = cards(spark, sf_dir).select("id", F.col("stratum").alias("grp"), text.audit_text(F.concat_ws(" ", "name", "description")).alias("t"))
     texts = materialised(rows.groupBy(F.sha2("t", 256).alias("h")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("t").alias("t")))
@@ -231,19 +234,31 @@ def _card_edges(spark, sf_dir):
     return near.union(line).union(similarity.equal_key_edges(rows, "id", "component_key"))
 
 
-@query(
-    _WHOLE + " SELECT (SELECT count(*) - count(DISTINCT component_key) FROM cards) AS duplicate_cards, (SELECT count(*) - count(DISTINCT t) FROM texts) AS duplicate_masked, coalesce(sum(n) FILTER (sim >= 0.94), 0)::BIGINT AS cross_group_edges, "
-    "round(coalesce(max(sim), 0), 6) AS max_similarity, (SELECT round(avg(length(name)), 6) FROM cards) AS mean_chars, (SELECT round(median(length(name)), 6) FROM cards) AS median_chars FROM e"
-)
+_PAIRS_OF_PARTS = r"""WITH b AS (SELECT p_partkey AS id, 'b' || (p_partkey % 5) AS boundary, p_brand AS grp, p_partkey % 7 = 0 AS by_name, 'with ' || p_type AS span, p_name, p_type, p_brand, p_size FROM part),
+pairs AS (SELECT id, boundary, grp, by_name, span, CASE WHEN by_name THEN p_name || ' ' || span ELSE p_name END AS pn, CASE WHEN by_name THEN 'size ' || p_size || ' of ' || p_brand ELSE 'comes ' || span || ', ' || p_brand || ' no. ' || p_size END AS pd,
+  CASE WHEN by_name THEN p_name || ' quite empty' ELSE p_name END AS nn, CASE WHEN by_name THEN 'size ' || p_size || ' of ' || p_brand ELSE 'comes quite empty, ' || p_brand || ' no. ' || p_size END AS nd FROM b),
+norm AS (SELECT *, trim(regexp_replace(lower(pn || ' ' || pd), '[^0-9a-zа-яё]+', ' ', 'g')) AS a, trim(regexp_replace(lower(nn || ' ' || nd), '[^0-9a-zа-яё]+', ' ', 'g')) AS c, length(pn || pd) - length(nn || nd) AS delta,
+  trim(regexp_replace(lower(CASE WHEN by_name THEN pd || ' ' || replace(pn, span, '{{SLOT}}') ELSE pn || ' ' || replace(pd, span, '{{SLOT}}') END), '[^0-9a-zа-яё]+', ' ', 'g')) AS m FROM pairs),
+texts AS (SELECT id, grp, m AS t FROM norm)"""
+
+
+@query(_PAIRS_OF_PARTS + _ACROSS + """, whole AS (SELECT (SELECT count(*) - count(DISTINCT x) FROM (SELECT a AS x FROM norm UNION ALL SELECT c FROM norm)) AS duplicate_cards, (SELECT count(*) - count(DISTINCT m) FROM norm) AS duplicate_masked,
+  coalesce(sum(n) FILTER (sim + 1e-7 >= 0.94), 0)::BIGINT AS cross_frame_edges, round(coalesce(max(sim), 0), 6) AS max_similarity FROM e),
+d AS (SELECT boundary, count(*) AS pairs, round(avg(delta), 6) AS mean_delta, median(delta)::DOUBLE AS median_delta FROM norm GROUP BY GROUPING SETS ((boundary), ()))
+SELECT * FROM d, whole""")
 def population_audit(spark, sf_dir):
-    """Duplicates, near-equal whole cards across groups, and lengths, in one row."""
-    rows = cards(spark, sf_dir).withColumn("t", F.sha2(text.audit_text(F.concat_ws(" ", "name", "description")), 256))
-    edges = _whole_cards(spark, sf_dir, 0.94).select(F.col("n_edges").alias("cross_group_edges"), F.round("max_sim", 6).alias("max_similarity"))
-    counts = rows.agg(
-        (F.count("*") - F.count_distinct("component_key")).alias("duplicate_cards"), (F.count("*") - F.count_distinct("t")).alias("duplicate_masked"),
-        F.round(F.avg(F.length("name")), 6).alias("mean_chars"), F.round(F.percentile(F.length("name"), F.lit(0.5)), 6).alias("median_chars"),
+    """Contrast pairs made of parts: copies, masked texts that are near across brands, and what the sides' lengths differ by."""
+    from veriloom.operators import synthetic
+
+    span, by_name = F.concat(F.lit("with "), F.col("p_type")), F.col("p_partkey") % 7 == 0
+    size, kind = F.col("p_size").cast("string"), F.col("p_name")
+    side = lambda own, rest: F.struct(F.when(by_name, F.concat(kind, F.lit(" "), own)).otherwise(kind).alias("name"), F.when(by_name, F.concat(F.lit("size "), size, F.lit(" of "), F.col("p_brand"))).otherwise(F.concat(F.lit("comes "), rest, F.lit(", "), F.col("p_brand"), F.lit(" no. "), size)).alias("description"), span.alias("decisive_span"))
+    pairs = table(spark, sf_dir, "part").select(
+        side(span, span).alias("positive"), side(F.lit("quite empty"), F.lit("quite empty")).alias("negative"), F.concat(F.lit("b"), (F.col("p_partkey") % 5).cast("string")).alias("boundary"),
+        F.col("p_brand").alias("style_frame_id"), F.when(by_name, "name").otherwise("description").alias("changed_field"),
     )
-    return counts.join(edges)
+    found = synthetic.population_audit(pairs)
+    return found.withColumns({"mean_delta": F.round("mean_delta", 6), "max_similarity": F.round("max_similarity", 6), "median_delta": F.col("median_delta").cast("double")})
 
 
 @query(_EDGES + " SELECT id, component FROM comp")

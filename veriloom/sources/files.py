@@ -12,6 +12,12 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as Spark's sources name files."""
+    place, system = _place(spark, path)
+    return system.makeQualified(place).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, system = _place(spark, path)
     return system.exists(place)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from veriloom.functions.text import clean_text
 from veriloom.operators.contracts import ContractError, require, require_columns, require_unique, roster_difference, verify_self_hash
 from veriloom.sources.delimited import read_csv
+from veriloom.sources.files import qualified
 
 
 def read_projected(spark: SparkSession, path: str, columns: Iterable[str], forbidden: str | None = None) -> DataFrame:
@@ -45,9 +46,13 @@ def read_self_hashed(path: str | Path) -> dict[str, Any]:
     return payload
 
 
-def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files under a folder, hashed by the tasks."""
+def inventory(spark: SparkSession, folder: str, pattern: str = "*", without: Iterable[str] = ()) -> DataFrame:
+    """(path, bytes, sha256) of the files under a folder, hashed by the tasks. `without`: regular expressions; files whose path
+    below the folder one of them is found in are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    below = F.substr("path", F.lit(len(qualified(spark, folder)) + 2))
+    for expression in without:
+        files = files.where(~below.rlike(expression))
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
