@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,9 @@ from veriloom.session import bound_batches, checkpoint_dir, materialised, remove
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records of one archive file, which is read back as a whole, and bytes of their payloads, whichever are fewer; a longer
-#: record is a file of its own.
-RECORDS_PER_FILE, FILE_BYTES = 4000, 128 << 20
+#: record is a file of its own. Records of very different sizes lie in different files, so a long one leaves the others' as they
+#: are: payloads of up to FILE_BYTES / RECORDS_PER_FILE bytes together, then each STEP times longer.
+RECORDS_PER_FILE, FILE_BYTES, STEP = 4000, 128 << 20, 8
 
 #: Records whose verdicts (some 60 bytes each) are sent to all files at most; beyond, files and verdicts are joined by shuffle.
 FEW_RECORDS = 1 << 20
@@ -48,9 +50,22 @@ def _derived(record_id: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def write_archive(records: DataFrame, path: str, most_bytes: int) -> str:
+def size_class(payload_bytes: Column) -> Column:
+    """The number of the class of sizes that a payload belongs to."""
+    bounds = [max(1, FILE_BYTES // RECORDS_PER_FILE)]
+    while bounds[-1] < FILE_BYTES:
+        bounds.append(bounds[-1] * STEP)
+    return reduce(lambda a, b: a + b, [(payload_bytes > b).cast("int") for b in bounds])
+
+
+def records_per_file(size: int) -> int:
+    """Records of a class that a file may hold."""
+    return max(1, RECORDS_PER_FILE // STEP**size)
+
+
+def write_archive(records: DataFrame, path: str, per_file: int) -> str:
     """Writes (record_type, record_id, uri, page_id, payload_bytes, payload_digest, refers_to, refers_to_id, payload) as
-    gzipped WARC files; most_bytes: of the longest payload. Spark's own writer commits them, so lost executors leave no half
+    gzipped WARC files of at most `per_file` records. Spark's own writer commits them, so lost executors leave no half
     files; a record ends with the line separator. A block is an HTTP response, of a revisit without the payload."""
     revisit = F.col("record_type") == "revisit"
     payload = F.coalesce("payload", F.lit(""))
@@ -75,8 +90,7 @@ def write_archive(records: DataFrame, path: str, most_bytes: int) -> str:
         F.lit("\r\n\r\n"),
     )
     rows = records.select(F.concat(head, block).alias("value"))
-    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, most_bytes)))
-    rows.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    rows.write.mode("append").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
     return path
 
 
@@ -162,8 +176,9 @@ def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: s
     repeated rows are records of their own, of which one is the response; an empty table gives an empty
     archive. The headers' verdicts go to the files, which are unpacked once more; beyond FEW_RECORDS the packed files are
     shuffled to them, never unpacked payloads. A file
-    holds at most RECORDS_PER_FILE records and about FILE_BYTES of payloads, or one longer page. Files are one gzip
-    stream each, as Spark's text writer makes them. The first archives are removed when the others are whole; those stay.
+    holds at most RECORDS_PER_FILE records and about FILE_BYTES of payloads, or one longer page, whatever the longest page:
+    pages are written by classes of size, each to files of its own. Files are one gzip stream each, as Spark's text
+    writer makes them. The first archives are removed when the others are whole; those stay.
     """
     spark = pages.sparkSession
     bound_batches(spark)
@@ -180,18 +195,23 @@ def archive(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", uri: s
         F.lit(None).cast("string").alias("refers_to_id"),
         text.alias("payload"),
     )
-    most = pages.agg(F.max(F.octet_length(named(payload)))).first()[0] or 0
-    write_archive(raw, f"{folder}/raw", most)
+    sizes = sorted(r[0] for r in pages.select(size_class(F.coalesce(F.octet_length(named(payload)), F.lit(0)))).distinct().collect())
+    for size in sizes:
+        write_archive(raw.where(size_class(F.col("payload_bytes")) == size), f"{folder}/raw/{size}", records_per_file(size))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary")
-    before = files.load(f"{folder}/raw").select("path", "content")
-    headers = materialised(read_archive(before).drop("payload"))
+    if not sizes:
+        return read_archive(spark.createDataFrame([], "path string, content binary")).drop("payload")
+    first = files.load([f"{folder}/raw/{size}" for size in sizes])
+    headers = materialised(read_archive(first.select("path", "content")).drop("payload"))
     verdicts = resolve(headers, least_bytes).groupBy("file").agg(F.collect_list(F.struct("offset", "new_type", "new_refers_to", "new_refers_to_id")).alias("verdicts"))
     if headers.count() <= FEW_RECORDS:
         verdicts = F.broadcast(verdicts)
-    fresh = read_archive(before.join(verdicts, F.col("path") == F.col("file")).select("path", "content", "verdicts")).select(
-        F.col("new_type").alias("record_type"), _derived(F.col("record_id")).alias("record_id"), "uri", "page_id", "payload_bytes", "payload_digest",
-        F.col("new_refers_to").alias("refers_to"), F.col("new_refers_to_id").alias("refers_to_id"), "payload",
-    )
-    write_archive(fresh, f"{folder}/deduplicated", most)
+    for size in sizes:
+        before = files.load(f"{folder}/raw/{size}").select("path", "content")
+        fresh = read_archive(before.join(verdicts, F.col("path") == F.col("file")).select("path", "content", "verdicts")).select(
+            F.col("new_type").alias("record_type"), _derived(F.col("record_id")).alias("record_id"), "uri", "page_id", "payload_bytes", "payload_digest",
+            F.col("new_refers_to").alias("refers_to"), F.col("new_refers_to_id").alias("refers_to_id"), "payload",
+        )
+        write_archive(fresh, f"{folder}/deduplicated", records_per_file(size))
     remove(spark, f"{folder}/raw")
     return read_archive(files.load(f"{folder}/deduplicated")).drop("payload")
