@@ -544,6 +544,19 @@ def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "w" / "deduplicated").glob("*.gz"))) >= 5
 
 
+def test_one_long_page_leaves_the_other_files_as_they_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 20)
+    rows = [(i, "u", f"{i} " * 200) for i in range(60)]
+    number = []
+    for name, more in (("a", []), ("b", [(60, "u", "z" * 400_000), (61, "u", "z" * 400_000), (62, "u", "y" * 9_000)])):
+        got = warc.archive(spark.createDataFrame(rows + more, "page_id long, url string, html string").coalesce(1), folder=str(tmp_path / name)).collect()
+        assert sorted(r.page_id for r in got) == list(range(60 + len(more)))
+        number.append(len(list((tmp_path / name / "deduplicated").glob("*.gz"))))
+    assert 3 <= number[0] <= 4 and number[1] <= number[0] + 3
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.page_id > 59) == [(60, "revisit", 61), (61, "response", None), (62, "response", None)]
+
+
 def test_quality(spark):
     documents, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     held = labels.where("doc_id % 3 = 0")
@@ -579,7 +592,10 @@ def test_quality_against_plain_sums(spark):
     path_good = {p: (b + strength("path") * host_good[p[0]]) / (a + strength("path")) for p, (a, b) in sites["path"].items()}
     got = {r.doc_id: r for r in quality.classify(documents, labels).collect()}
     for d, host, path, bad, toxic in held:
-        prior = min(1 - 1e-4, max(1e-4, path_good[host, path]))
+        (host_n, host_g), (path_n, path_g) = sites["host"][host], sites["path"][host, path]
+        rest = (host_g - good[d] + strength("host") * share) / (host_n - 1 + strength("host"))  # the site without the document
+        prior = (path_g - good[d] + strength("path") * rest) / (path_n - 1 + strength("path"))
+        prior = min(1 - 1e-4, max(1e-4, prior))
         p_quality, p_toxic = sig(np.log(prior / (1 - prior)) - bad), sig(toxic + model.prior[1])
         assert got[d].path_good == pytest.approx(path_good[host, path], rel=1e-6) and got[d].p_quality == pytest.approx(p_quality, rel=1e-6, abs=1e-12)
         assert got[d].keep == (p_quality >= 0.5 and p_toxic < 0.5)

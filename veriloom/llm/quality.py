@@ -209,8 +209,8 @@ def _logit(p: Column) -> Column:
 
 
 def posteriors(scored: DataFrame, model: Model) -> DataFrame:
-    """(site_host, site_path, host_good, path_good) of scored (host, path, bad): posterior shares of good documents, by
-    grouped aggregation.
+    """(site_host, site_path, host_good, path_good, counted) of scored (host, path, bad): posterior shares of good documents, by
+    grouped aggregation, and what they are made of.
 
     A document counts as good by its own probability. Hosts are shrunk toward the corpus share, and paths toward
     their host's posterior, by prior strengths estimated from the spread between hosts and between paths:
@@ -231,15 +231,19 @@ def posteriors(scored: DataFrame, model: Model) -> DataFrame:
     inner = leaves.agg(F.count("*"), F.sum(F.col("g") * F.col("g") / F.col("n"))).first()
     m_path = strength(float(inner[1] or 0), float(inner[0]))
     hosts = hosts.withColumn("host_good", (F.col("host_g") + F.lit(m_host * share)) / (F.col("host_n") + F.lit(m_host)))
-    joined = leaves.join(hosts.select(F.col("site_host").alias("h"), "host_good"), F.col("site_host").eqNullSafe(F.col("h"))).drop("h")
-    return joined.select("site_host", "site_path", "host_good", ((F.col("g") + F.lit(m_path) * F.col("host_good")) / (F.col("n") + F.lit(m_path))).alias("path_good"))
+    joined = leaves.join(hosts.select(F.col("site_host").alias("h"), "host_good", "host_n", "host_g"), F.col("site_host").eqNullSafe(F.col("h"))).drop("h")
+    counted = F.struct("n", "g", "host_n", "host_g", F.lit(m_path).alias("m_path"), F.lit(m_host).alias("m_host"), F.lit(share).alias("share")).alias("counted")
+    return joined.select("site_host", "site_path", "host_good", ((F.col("g") + F.lit(m_path) * F.col("host_good")) / (F.col("n") + F.lit(m_path))).alias("path_good"), counted)
 
 
 def judge(scored: DataFrame, sites: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Adds host_good, path_good, p_quality, p_toxic and keep to scored rows (host, path, bad, toxic)."""
+    """Adds host_good, path_good, p_quality, p_toxic and keep to scored rows (host, path, bad, toxic). A document's prior is the
+    posterior of its site's other documents: its own evidence counts once."""
     at = F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path"))
-    # A document's own share of its site's posterior is one row among the site's; sites only move the prior.
-    p_quality = _sigmoid(_logit(F.col("path_good")) - F.col("bad"))
+    own, c = _sigmoid(-(F.col("bad") + F.lit(model.prior[0]))), F.col("counted")
+    host_rest = (c["host_g"] - own + c["m_host"] * c["share"]) / (c["host_n"] - 1 + c["m_host"])
+    path_rest = (c["g"] - own + c["m_path"] * host_rest) / (c["n"] - 1 + c["m_path"])
+    p_quality = _sigmoid(_logit(path_rest) - F.col("bad"))
     p_toxic = _sigmoid(F.col("toxic") + F.lit(model.prior[1]))
     out = scored.join(sites, at).withColumns({"p_quality": p_quality, "p_toxic": p_toxic})
     return out.withColumn("keep", (F.col("p_quality") >= threshold) & (F.col("p_toxic") < threshold))
