@@ -59,33 +59,33 @@ def _vocabulary(counted: DataFrame, block: Block, trained: DataFrame) -> DataFra
     return position_within(placed.select("query", "term", "df"), ["query"], ["term"], "number")
 
 
-def features(rows: DataFrame, id_: str, fold: str, column: str, blocks: Sequence[Block], trained: Mapping[int, Sequence[int]]) -> tuple[DataFrame, DataFrame]:
-    """(query, id, at, x) for every row and query fold: numbers and values of the terms that the fold's vocabulary has, and
-    (query, block, terms): the vocabularies' sizes.
+def features(rows: DataFrame, id_: str, fold: str, column: str, blocks: Sequence[Block], trained: Mapping[int, Sequence[int]]) -> tuple[DataFrame, dict[int, list[int]], int]:
+    """(query, id, at, x) for every row and query fold: numbers and values of the terms that the fold's vocabulary has; the sizes
+    of each fold's vocabularies; and the number of numbers.
 
     A block's terms are counted once; their rows by fold add up to every query fold's document frequencies. Values are
-    (1 + ln tf) times the smoothed idf, of unit length in each block; a block's numbers begin where the one before may end.
+    (1 + ln tf) times the smoothed idf, of unit length in each block; a block's numbers begin where the one before ends.
     Rows without a known term have empty lists.
     """
     spark = rows.sparkSession
     of = spark.createDataFrame([(q, k) for q, ks in trained.items() for k in ks], "query int, fold int")
     folds = materialised(rows.select(F.col(id_).alias("id"), F.col(fold).cast("int").alias("fold")))
     n = folds.join(F.broadcast(of), "fold").groupBy("query").agg(F.count("*").alias("n"))
-    parts, sizes, first = [], [], 0
+    parts, sizes, first = [], {q: [0] * len(blocks) for q in trained}, 0
     for b, block in enumerate(blocks):
         counted = materialised(block.terms(rows, id_, column).join(folds, "id"))
         known = materialised(_vocabulary(counted, block, of).join(F.broadcast(n), "query").select("query", "term", "number", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-        sizes.append(known.groupBy("query").agg(F.count("*").alias("terms")).withColumn("block", F.lit(b)))
+        for q, terms in known.groupBy("query").count().collect():
+            sizes[q][b] = terms
         values = counted.join(known, "term").select("query", "id", (F.col("number") + first).cast("int").alias("at"), ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("x"))
-        lists = values.groupBy("query", "id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v"))
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-        parts.append(lists.select("query", "id", F.transform("v", lambda e: F.struct(e["at"].alias("at"), (e["x"] / norm).alias("x"))).alias("v")))
-        first += block.most
+        lists = values.groupBy("query", "id").agg(F.collect_list(F.struct("at", "x")).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        parts.append(lists.select("query", "id", F.transform("v", lambda e: F.struct(e["at"].alias("at"), (e["x"] / F.col("norm")).alias("x"))).alias("v")))
+        first += max(x[b] for x in sizes.values())
     merged = reduce(DataFrame.unionByName, parts).groupBy("query", "id").agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("v"))
     every = folds.select("id").crossJoin(F.broadcast(spark.createDataFrame([(q,) for q in trained], "query int")))  # a handful of folds
     empty = F.array().cast("array<struct<at:int,x:double>>")
     out = every.join(merged, ["query", "id"], "left").withColumn("v", F.coalesce("v", empty))
-    return out.select("query", "id", F.col("v.at").alias("at"), F.col("v.x").alias("x")), reduce(DataFrame.unionByName, sizes)
+    return out.select("query", "id", F.col("v.at").alias("at"), F.col("v.x").alias("x")), sizes, first
 
 
 #: Weights of one chunk of a sum of gradients.
@@ -218,7 +218,7 @@ def margins(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, rows.select("query", "id").schema.add("margin", "double"))
 
 
-def out_of_fold(rows: DataFrame, column: str, blocks: Sequence[Block], weight: Column | None = None, balanced: bool = False, id_: str = "id", fold: str = "fold", label: str = "label", component: str = "component_key", forward: int | None = None, c: float = 1.0) -> tuple[DataFrame, dict[int, dict[str, Any]]]:
+def out_of_fold(rows: DataFrame, column: str, blocks: Sequence[Block], weight: Column | None = None, balanced: bool = False, id_: str = "id", fold: str = "fold", label: str = "label", component: str = "component_key", forward: int | None = None, c: float = 1.0, tolerance: float = 1e-4) -> tuple[DataFrame, dict[int, dict[str, Any]]]:
     """(id, fold, label, margin): every row scored by the model of its fold, all models fitted at once; and per fold the number of
     training rows, of positives among them, and the vocabularies' sizes.
 
@@ -232,7 +232,7 @@ def out_of_fold(rows: DataFrame, column: str, blocks: Sequence[Block], weight: C
         raise ContractError("a component lies in two folds")
     folds = sorted(r[0] for r in held.select("fold").distinct().collect())
     trained = train_folds(folds, forward)
-    vectors, sizes = features(held, "id", "fold", "text", blocks, trained)
+    vectors, sizes, size = features(held, "id", "fold", "text", blocks, trained)
     vectors = materialised(vectors.join(held.select("id", "fold", "label", "s"), "id"))
     of = rows.sparkSession.createDataFrame([(q, k) for q, ks in trained.items() for k in ks], "query int, fold int")
     train = vectors.join(F.broadcast(of), ["query", "fold"]).withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(-1.0))
@@ -246,16 +246,13 @@ def out_of_fold(rows: DataFrame, column: str, blocks: Sequence[Block], weight: C
         own = F.when(F.col("label") == 1, positives[F.col("query")]).otherwise(total[F.col("query")] - positives[F.col("query")])
         train = train.withColumn("s", F.col("s") * of_class[F.col("query")] / own)
     train = materialised(train.select("query", "at", "x", "y", "s"))
-    weights = fit(train, sum(b.most for b in blocks), c)
+    weights = fit(train, size, c, tolerance)
     own = vectors.where(F.col("query") == F.col("fold"))
     out = materialised(margins(own.select("query", "id", "at", "x"), weights).join(held.select("id", "fold", "label"), "id").select("id", "fold", "label", "margin"))
     n, ids, asked = out.count(), out.select("id").distinct().count(), held.count()
     if not n == ids == asked:
         raise ContractError(f"{asked} rows, {n} scores of {ids} ids")
-    told: dict[int, dict[str, Any]] = {q: {"rows": n, "positives": p, "terms": [0] * len(blocks)} for q, (n, p) in counts.items()}
-    for r in sizes.collect():
-        told[r.query]["terms"][r.block] = r.terms
-    return out, told
+    return out, {q: {"rows": n, "positives": p, "terms": sizes[q]} for q, (n, p) in counts.items()}
 
 
 def by_prevalence(scored: DataFrame, shares: Mapping[int, float], tie: str, out: str = "prediction") -> DataFrame:
