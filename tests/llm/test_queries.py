@@ -92,3 +92,19 @@ def test_stages_keep_clashing_columns(spark):
         assert out.columns == docs.columns and out.where("size = 'own' and keep = 'own' and copies = 'own'").count() == out.count() > 0
     last = p.STAGES[-1][1](spark, docs, SF)
     assert len(set(last.columns)) == len(last.columns) and last.count() == 40
+
+
+def test_stages_on_odd_tables(spark):
+    """Each stage on an empty table, and on null ids, texts, sources and languages, empty and very long texts and repeats."""
+    import corpus_pipeline as p
+
+    docs = table(spark, SF, "documents")
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, "en", None, 3), (3, "long words " * 40_000, None, "s", 9), (4, " \n", "en", "s", 2)]
+    odd = spark.createDataFrame([(i, t, lang, source, n) for i, t, lang, source, n in rows], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, odd, SF)
+        assert out.count() <= 3 * len(rows) and out.columns[:5] == docs.columns
+    assert p.STAGES[-1][1](spark, odd, SF).where("shard is null").count() == 0
+    assert p.near_duplicate_stage(spark, odd, SF).count() == len(rows)  # none has a shingle that another has
+    assert p.decontamination_stage(spark, odd, SF).count() == len(rows)

@@ -341,10 +341,13 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs as first byte and one past
     the last) and n_shared to every row; columns of those names are replaced. See `repeated_spans`.
 
-    n_shared counts shorter passages too: the text's anchors whose NEAR bytes begin at another place, copies of the text
+    n_shared is a feature of its own, beside the removal, which does not look at it. It counts shorter passages too, by equal
+    64-bit hashes that are not held against the text, and marks other documents as well: on sf0.1 8 % of those that share no 51
+    words with another document (repeats of their own, passages of 30 to 50 words). It is the number of the text's anchors whose NEAR bytes begin at another place, copies of the text
     aside, and one more if it has copies (of SHARED bytes or more). A passage of SHARED bytes or more that occurs elsewhere
-    gives at least one; those under LENGTH bytes are not removed. Null counts as empty text; a row that repeats another's text loses all of it if it has LENGTH
-    bytes; short texts lose nothing; an empty table gives an empty result.
+    gives at least one; those under LENGTH bytes are not removed. Null counts as empty text; a row that repeats another's text
+    loses all of it if it has LENGTH bytes; short texts lose nothing; texts of any length are searched whole; an empty table
+    gives an empty result.
     """
     used = {"text": text}
     held = hold(df, used)
