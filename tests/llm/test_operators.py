@@ -117,6 +117,17 @@ def test_jaccard_in_small_blocks(spark, texts):
     assert [tuple(r) for r in got] == expected
 
 
+def test_jaccard_families_hold_sizes_that_can_link(spark, monkeypatch):
+    """A shingle that all texts share connects no texts whose sizes rule a link out; copies and near copies stay together."""
+    texts = ["a b c d " + " ".join(f"w{i}x{j}" for j in range(4 * 2**i)) for i in range(8)]
+    texts += [texts[7], texts[7].replace("w7x5", "other")]
+    searched = []
+    search = jaccard._search
+    monkeypatch.setattr(jaccard, "_search", lambda dealt, *rest: searched.append(dealt.count()) or search(dealt, *rest))
+    got = [r.component_id for r in jaccard.components(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1, 2, 3, 4, 5, 6, 7, 7, 7] and searched == [2]
+
+
 def test_divide_skip_finds_every_link():
     rng = np.random.default_rng(4)
     base = np.sort(rng.choice(10_000, 80, replace=False)).astype(np.uint64)

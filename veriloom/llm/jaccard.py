@@ -3,8 +3,8 @@
 Two texts link when their shingle sets have den * |x & y| >= num * |x | y|. A set x then shares at least
 least(x) = ceil(num * |x| / den) shingles with any partner. In hash order, the first |x| - least(x) + k
 shingles (its prefix) hold the first k shared ones, for x and its partner alike. Of the prefix shingles that
-occur in other sets, all but the k - 1 most frequent are x's signatures: partners always share one. Texts
-that signatures connect form families; families are what is searched, each with inverted lists.
+occur in other sets of a size that can link, all but the k - 1 most frequent are x's signatures: partners always
+share one. @@ families are what is searched, each with inverted lists.
 """
 
 from __future__ import annotations
@@ -84,6 +84,11 @@ def _fewest_shared(n: Column, num: int, den: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(least * F.lit(SPARE))).cast("int")
 
 
+def _may_link(small: Column, large: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes, in ascending order, can link: the smaller one at most is shared, the larger one at least is the union."""
+    return small * F.lit(den) >= large * F.lit(num)
+
+
 def signatures(df: DataFrame, text: str, keep: list[str], k: int, num: int, den: int) -> DataFrame:
     """`keep`, __key (hash of the text), __n (set size) and __prefix of every row."""
     source = df.select(*keep, F.xxhash64(text).alias("__key"), F.col(text).alias("__text"))
@@ -216,14 +221,17 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     df = df.select(packed(kept), named(text).alias("text"))
     base = materialised(signatures(df, "text", ["row"], k, num, den))
     entries = base.select("__key", "__n", F.explode("__prefix").alias("__h"))
-    seen = entries.groupBy("__h").agg(F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count("*").alias("__df"))
-    common = entries.join(seen.where("lo < hi").select("__h", "__df"), "__h")
-    ranked = common.groupBy("__key", "__n").agg(F.array_sort(F.collect_set(F.struct("__df", "__h"))).alias("s"))
+    by_size = Window.partitionBy("__h").orderBy("__n", "__key")
+    one = entries.withColumn("p", F.lag("__key").over(by_size)).where("p is null or p <> __key").drop("p")
+    near = one.withColumns({"before": F.lag("__n").over(by_size), "after": F.lead("__n").over(by_size), "__df": F.count("*").over(Window.partitionBy("__h"))})
+    common = near.where(F.coalesce(_may_link(F.col("before"), F.col("__n"), num, den), F.lit(False)) | F.coalesce(_may_link(F.col("__n"), F.col("after"), num, den), F.lit(False)))
+    ranked = common.groupBy("__key", "__n").agg(F.array_sort(F.collect_list(F.struct("__df", "__h"))).alias("s"))
     n_kept = F.size("s") - _fewest_shared(F.col("__n"), num, den) + 1
-    chosen = materialised(ranked.where(n_kept > 0).select("__key", F.explode(F.slice("s", 1, n_kept)).alias("e")).select("__key", F.col("e.__h").alias("__h")))
-    # Written, so that the join with it has tasks of its own, which can be split at very common shingles.
-    heads = materialised(chosen.groupBy("__h").agg(F.min("__key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    star = chosen.join(heads, "__h").where(F.col("__key") != F.col("head")).select("__key", "head").distinct()
+    chosen = ranked.where(n_kept > 0).select("__key", "__n", F.explode(F.slice("s", 1, n_kept)).alias("e")).select("__key", "__n", F.col("e.__h").alias("__h"))
+    # Of the texts that have a signature, runs by size without a step too large to link: partners are in one run, which hangs on its first.
+    step = F.lag("__n").over(by_size)
+    runs = chosen.withColumn("first", F.when(F.coalesce(_may_link(step, F.col("__n"), num, den), F.lit(False)), None).otherwise(F.col("__key")))
+    star = runs.select("__key", F.last("first", ignorenulls=True).over(by_size).alias("head")).where("__key <> head")
     families = connected_components(star, "__key", "head").select(F.col("node").alias("__key"), F.col("component").alias("__family"))
     sizes = families.groupBy("__family").agg(F.ceil(F.count("*") / block).cast("int").alias("__parts"))
     members = materialised(families.join(sizes, "__family"))
