@@ -107,3 +107,16 @@ def test_json_of_objects_and_arrays(spark):
     for raw in ('{"items": [{"a": 1}, {"a": 2}]}', 'so: {"items": [{"a": 1}, {"a": 2}]} .', '[{"a": 1}, {"a": 2}]', '```json\n[{"a": 1}, {"a": 2}]\n```'):
         assert [i["a"] for i in read(raw)["items"]] == [1, 2]
     assert read("nothing") is None and read(None) is None
+
+
+def test_unclosed_references_and_what_python_gets(spark, monkeypatch):
+    """Only closed references are decoded where asked; Python gets the rows that hold a reference, and null for the others."""
+    rows = spark.createDataFrame([(0, "a&amp p &amp;lt; &notit; &#65; &eacute;"), (1, "plain " * 100), (2, None)], "id int, t string")
+    cleaned = {r.id: (r.x, r.y) for r in rows.select("id", text.clean_text("t", unclosed=False).alias("x"), text.clean_text("t").alias("y")).collect()}
+    assert cleaned[0] == ("a&amp p &lt; &notit; A é", "a& p &lt; ¬it; A é")
+    assert cleaned[1][0] == cleaned[1][1] == ("plain " * 100).strip() and cleaned[2] == ("", "")
+    got = []
+    monkeypatch.setattr(text, "_unescape", lambda c: got.append(c) or c)
+    text.unescape("t")
+    sent = {r.id: r.sent for r in rows.select("id", got[0].alias("sent")).collect()}
+    assert sent[0] is not None and sent[1] is None and sent[2] is None
