@@ -98,6 +98,8 @@ def test_cosine_join_is_exact(spark):
     by = {i: dict(zip(g.term, g.w, strict=True)) for i, g in frame.groupby("id")}
     expected = {(a, b) for a in by for b in by if a < b and sum(w * by[b].get(t, 0) for t, w in by[a].items()) + 1e-7 >= 0.9}
     assert {(r.left_id, r.right_id) for r in similarity.cosine_pairs(vectors, 0.9).collect()} == expected and expected
+    # Blocks of a few vectors give the same pairs, and none of the pairs that share a term by chance leaves its task.
+    assert {(r.left_id, r.right_id) for r in similarity.cosine_pairs(vectors, 0.9, block=3).collect()} == expected
     lonely = spark.createDataFrame([(1, "abc"), (2, "xyz")], "id long, t string")
     assert similarity.tfidf(lonely, "id", spaced_words("t"), padded_ngrams, min_df=3).count() == 0
     key = lambda v: sorted((r.id, r.df, round(r.w, 9)) for r in v.collect())
