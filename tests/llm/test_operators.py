@@ -152,6 +152,16 @@ def test_keep_one(spark, texts):
     assert jaccard.keep_one(doubled).where("text rlike '[^ \\\\n\\\\t]'").count() == sum(1 for c in classes if not isinstance(c, tuple))
 
 
+def test_keep_one_leaves_texts_in_place(spark, texts, monkeypatch):
+    source = frame(spark, texts)
+    plan = jaccard.keep_one(source)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    want = sorted(r.doc_id for r in jaccard.keep_one(source.union(source)).collect())
+    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
+    assert sorted(r.doc_id for r in jaccard.keep_one(source.union(source)).collect()) == want
+    assert sorted(set(want)) == sorted(r.doc_id for r in jaccard.keep_one(source).collect())
+
+
 def test_contamination(spark, texts, monkeypatch):
     rng = random.Random(8)
     items = [(i, prose(rng, 25)) for i in range(6)] + [(6, "one two three"), (7, None), (8, " . "), (9, "ONE, two"), (10, "1 2 3 4 5 6 7 8 9 10"), (11, "1 2 3 4 5 6 7 8 9 10"), (12, "zz " * 30)]

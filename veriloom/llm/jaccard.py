@@ -26,6 +26,8 @@ from veriloom.session import bound_batches, materialised
 SPARE = 0.05
 #: Texts of one search task; larger families are dealt to several tasks.
 BLOCK = 4096
+#: Marks of texts that are sent to all tasks; more are joined by shuffle.
+MOST_SENT = 1 << 20
 #: DivideSkip's weight of a binary probe against a step of the merge.
 MU = 0.01
 
@@ -206,6 +208,12 @@ def _search(dealt: DataFrame, keys: list[str], k: int, num: int, den: int) -> Da
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "__key").mapInArrow(run, "src long, dst long, whole boolean")
 
 
+def _sent(marks: DataFrame) -> DataFrame:
+    """Rows of a few numbers that texts are joined with: sent to all tasks, so that the texts stay where they are, up to
+    MOST_SENT of them; beyond, texts meet them by shuffle."""
+    return F.broadcast(marks) if marks.count() <= MOST_SENT else marks
+
+
 def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), k: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
     """`keep`, __n (set size), __class and __key (the text's hash) of every row: rows share a class exactly if links connect
     them. Columns of `keep` with those three names are left out.
@@ -237,7 +245,7 @@ def near_duplicates(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     members = materialised(families.join(sizes, "__family"))
 
     source = df.select(F.xxhash64("text").alias("__key"), F.col("text").alias("__text"))
-    texts = materialised(source.join(members, "__key").dropDuplicates(["__key"]))  # of families only, for both searches
+    texts = materialised(source.join(_sent(members), "__key").dropDuplicates(["__key"]))  # of families only, for both searches
     own = F.pmod(F.xxhash64("__key"), F.col("__parts")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("__parts") - 1)
     parts = F.explode(F.when(F.col("__key") == F.col("__family"), everywhere).otherwise(F.array(own)))
@@ -280,16 +288,20 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int =
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of df without all but one of each class: the one with the smallest key (null last) and text hash,
-    one of those that repeat it. Rows without shingles stay. Columns and texts stay as they are."""
+    one of those that repeat it. Rows without shingles stay. Columns and texts stay as they are. Rows are marked where they
+    are: only those of the few marks (ids and hashes that go, or that several rows have) are looked up, and only rows that
+    repeat another's id and text are moved."""
     used = {"id": key, "text": text}
     held = hold(df, used)
-    rows = near_duplicates(held.select("id", "text"), "text", ("id",), k, num, den).where("__class is not null")
-    first = rows.groupBy("__class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("__key").alias("hash"))).alias("f"))
-    chosen = first.select(F.col("f.id").alias("chosen_id"), F.col("f.hash").alias("chosen_hash"))
-    # Words are runs of other than white space; a text without any has no shingles.
-    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = held.withColumn("hash", F.xxhash64("text"))
-    stays = keyed.where(has_words).join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("hash") == F.col("chosen_hash")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
-    single = stays.withColumn("place", place).where("place = 1").drop("place", "hash")
-    return release(single.unionByName(held.where(~has_words)), df, used)
+    rows = materialised(near_duplicates(held.select("id", "text"), "text", ("id",), k, num, den).where("__class is not null").select("__class", "id", F.col("__key").alias("hash")))
+    each = rows.groupBy("__class", "id", "hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("__class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("f"))
+    chosen = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("hash") == F.col("f.hash"))
+    marks = each.join(first, "__class").select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), chosen.alias("chosen"), "n").where("not chosen or n > 1")
+    marks = materialised(marks.drop("n"))
+    marked = held.withColumn("hash", F.xxhash64("text")).join(_sent(marks), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
+    stays = marked.where("chosen is null").select(held.columns)
+    if not marks.where("chosen").isEmpty():
+        place = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
+        stays = stays.unionByName(marked.where("chosen").withColumn("place", place).where("place = 1").select(held.columns))
+    return release(stays, df, used)
