@@ -105,6 +105,24 @@ def test_levels(spark):
         dag.levels(rows, spark.createDataFrame([("s2", "nowhere")], pairs.schema))
 
 
+def test_rounds_hold_only_what_is_left(spark, monkeypatch):
+    written = []
+
+    def counting(df, own=dag.materialised):
+        out = own(df)
+        written.append(out.count())
+        return out
+
+    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, 8)]
+    leaves = [(f"l{i}", "c7") for i in range(100)]
+    pairs = spark.createDataFrame(chain + leaves, "stage string, depends_on string")
+    rows = spark.createDataFrame([(f"c{i}", i == 7) for i in range(8)] + [(s, False) for s, _ in leaves], "stage string, stop boolean")
+    monkeypatch.setattr(dag, "materialised", counting)
+    got = {r.stage: (r.level, r.blocked) for r in dag.levels(rows, pairs).collect()}
+    assert got == {f"c{i}": (i, False) for i in range(8)} | {s: (8, True) for s, _ in leaves}
+    assert sum(written) < 5 * (len(chain) + len(leaves))  # not once a round
+
+
 def test_checkpoints_and_variants(spark):
     rows = spark.createDataFrame([(172,), (10,), (2,), (1,)], "n long").select("n", schedule.checkpoints(F.col("n")).alias("c"))
     got = {r.n: ([x.step for x in r.c.at], r.c.collides) for r in rows.collect()}
