@@ -1,7 +1,9 @@
 """CSV read by ranges of bytes, and one ordered file written by many tasks."""
 
 import csv
+import glob
 import io
+import os
 import random
 
 import pytest
@@ -79,3 +81,14 @@ def test_ordered_file(spark, tmp_path):
         delimited.write_ordered_csv(df, many)
     empty = delimited.write_ordered_csv(df.where(F.lit(False)), str(tmp_path / "empty.csv"))
     assert open(empty).read() == '"a,b",q,l,e,x\n'
+
+
+def test_files_grow_in_number(spark, monkeypatch):
+    from veriloom.plans import source_queries
+    from veriloom.session import checkpoint_dir
+
+    before = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/csv-*/part-*"))
+    monkeypatch.setattr(source_queries, "FILE_BYTES", 1 << 17, raising=False)
+    source_queries.split_csv(spark, "/root/testdata/sf0.001")
+    written = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/csv-*/part-*")) - before
+    assert len(written) > 3 and max(map(os.path.getsize, written)) < 1 << 19

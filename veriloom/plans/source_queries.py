@@ -18,6 +18,20 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of text that one task writes to a file, or reads as a range of one.
+FILE_BYTES, RANGE_BYTES = 64 << 20, 32 << 20
+
+
+def _n_files(total: int) -> int:
+    """Files for so many bytes of text: more of them for more text, so that no task's share grows with the table."""
+    return max(3, -(-total // FILE_BYTES))
+
+
+def _range_bytes(total: int) -> int:
+    """Bytes of a range: a sixteenth of small tables, so that they are cut too, and no more than RANGE_BYTES."""
+    return min(RANGE_BYTES, max(4096, total // 16))
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     return rows.select("ordinal", F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
 
@@ -28,11 +42,11 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id, lang, source,
 
 @query(_ORDERED)
 def split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as three quoted CSV files, read by ranges of a sixteenth of their text."""
+    """Documents as quoted CSV files, three at least and of about FILE_BYTES of text at most, read by ranges of bytes."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), _folder(spark, "csv")
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.options(header="true", quoteAll="true", escape='"').csv(folder)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return _hashed(delimited.read_csv(spark, folder, split_bytes=max(4096, total // 16)))
+    docs.repartitionByRange(_n_files(total), "doc_id").sortWithinPartitions("doc_id").write.options(header="true", quoteAll="true", escape='"').csv(folder)
+    return _hashed(delimited.read_csv(spark, folder, split_bytes=_range_bytes(total)))
 
 
 @query(_ORDERED)
@@ -41,7 +55,7 @@ def ordered_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     path = delimited.write_ordered_csv(docs.withColumn("ordinal", F.col("doc_id")), f"{_folder(spark, 'ordered')}/documents.csv")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return _hashed(delimited.read_csv(spark, path, split_bytes=max(4096, total // 16)))
+    return _hashed(delimited.read_csv(spark, path, split_bytes=_range_bytes(total)))
 
 
 class _Once:
