@@ -381,3 +381,13 @@ def test_policy_tables(spark):
     assert set(t.MARKERS) == set(t.PHRASES) == {b for v in t.ALLOWED.values() for b in v}
     assert "mushroom_product" not in t.allowed(t.SUPPLEMENT, 0, "A") and t.phrase("sport_nutrition", "A") != t.phrase("sport_nutrition", "B")
     assert all(50 <= len(v) <= 300 for v in t.FALLBACK.values())
+
+
+def test_counts_stay_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (None, "a")], "id int, t string")
+    words = F.split("t", " ")
+    once = similarity.counts_by_id(docs, "id", F.filter(words, lambda w: w != ""))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in once.collect()} == {(1, "a", 1), (1, "b", 2), (None, "a", 1)}
+    twice = similarity.counts_by_id(docs.union(docs.where("id = 1 or id is null")), "id", words)
+    assert {tuple(r) for r in twice.where("value <> ''").collect()} == {(1, "a", 2), (1, "b", 4), (None, "a", 2)}
