@@ -120,3 +120,14 @@ def test_unclosed_references_and_what_python_gets(spark, monkeypatch):
     text.unescape("t")
     sent = {r.id: r.sent for r in rows.select("id", got[0].alias("sent")).collect()}
     assert sent[0] is not None and sent[1] is None and sent[2] is None
+
+
+def test_kept_signs_by_either_class(spark):
+    values = ["Plain  text, 9-a_b!", " café — naïve ", "Ёлка и Чай, 5л", "ӘЯ ё", "", None, " a ", "x<b>y</b> z"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v string")
+    out = rows.select("id", text.audit_text("v").alias("a"), text.policy_text("v").alias("p"))
+    assert "[^0-9a-z]+" in out._jdf.queryExecution().optimizedPlan().toString()  # texts of ASCII signs go by a table of them
+    for r in out.collect():
+        low = (values[r.id] or "").lower()
+        assert r.a == re.sub("[^0-9a-zа-яё]+", " ", low).strip(" ")
+        assert r.p == re.sub("[^a-zа-я0-9]+", " ", re.sub("<[^>]+>", " ", low.replace("ё", "е"))).strip(" ")
