@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,30 @@ def test_contract(spark, rows):
         experts.out_of_fold(df.withColumn("label", F.lit(1)), "t", blocks)
     with pytest.raises(ContractError, match="scores of"):
         experts.out_of_fold(df.union(df.where("id = 3")), "t", blocks)
+
+
+def test_rows_are_held_once_and_shuffle_nothing(spark, rows):
+    """Not once a query fold: entries are those of the rows, whatever the number of folds; counting and numbering have no exchange."""
+    _, df = rows
+    held = df.select("id", "fold", "label", "s", F.col("t").alias("text"))
+    made = experts._matrices(held, experts.B1)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace(held._jdf.queryExecution().executedPlan().toString(), "").replace("Exchange RoundRobin", "")
+    trained = experts.train_folds(range(5))
+    space = experts._space(made, experts.B1, trained, {q: 36 for q in trained})
+    numbered = experts._numbered(made, space, 2).toArrow().to_batches()
+    found = [experts._opened(b, i, 2, experts._Room()) for b in numbered for i in range(b.num_rows)]
+    of = [set().union(*[set(t.to_pylist())]) for t in space.terms]
+    want = sum(len(set(char_terms(r[4])) & of[0]) + len(set(word_terms(r[4])) & of[1]) for r in rows[0])
+    assert sum(len(x.label) for x in found) == 60 and sum(int(x.n.sum()) for x in found) == want
+
+
+def test_terms_by_numbers(spark):
+    words = ["a", "ab", "abc", "éß漢", "𝒳y", "hello", "aaaaaaa", "hell"]
+    numbers, texts = experts._padded_grams(pa.array(words))
+    for row in ([0], [1, 1, 5], [2, 3, 4, 7], [*range(8)]):
+        found, n = np.unique(numbers(np.array(row)), return_counts=True)
+        assert dict(zip(texts(found).to_pylist(), n.tolist(), strict=True)) == char_terms(" ".join(words[i] for i in row))
+    numbers, texts = experts._words_and_pairs(pa.array(words))
+    found, n = np.unique(numbers(np.array([0, 1, 0, 1, 2])), return_counts=True)
+    assert dict(zip(texts(found).to_pylist(), n.tolist(), strict=True)) == {"a": 2, "ab": 2, "abc": 1, "a ab": 2, "ab a": 1, "ab abc": 1}
