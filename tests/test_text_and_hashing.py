@@ -131,3 +131,30 @@ def test_kept_signs_by_either_class(spark):
         low = (values[r.id] or "").lower()
         assert r.a == re.sub("[^0-9a-zа-яё]+", " ", low).strip(" ")
         assert r.p == re.sub("[^a-zа-я0-9]+", " ", re.sub("<[^>]+>", " ", low.replace("ё", "е"))).strip(" ")
+
+
+def test_greedy_chunks_word_by_word(spark):
+    def packed(value, most):
+        out = []
+        for w in value.split():
+            if out and len(out[-1]) + 1 + len(w) <= most:
+                out[-1] += " " + w
+            else:
+                out.append(w)
+        return out
+
+    values = ["", "a", " a  b\tc d ", "é𝒳 漢字𝒳𝒳𝒳 x 𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳𝒳 yy", "aaaa bbbb cccc dddddddddddddd ee f", "123456789 0 12345678 0 1234567890 1", "x " * 40, "y" * 300 + " z"]
+    for most in (1, 2, 10, 120):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", text.greedy_chunks("v", most).alias("c"))
+        for r in rows.collect():
+            assert r.c == packed(values[r.i], most), (values[r.i], most)
+
+
+def test_evidence_moves_pieces_once(spark):
+    from veriloom.operators import policy
+
+    rows = spark.createDataFrame([(1, "One. two; One", "gas and gas"), (2, "", ""), (3, "<b> </b>", "x")], "id int, name string, description string")
+    out = policy.evidence(rows, "id", ("name", "description"), ("gas",), key="k")
+    assert {tuple(r) for r in out.collect()} == {(1, 0, "One.", 0, "one."), (1, 1, "two", 0, "two"), (1, 2, "One", 0, "one"), (1, 3, "gas and gas", 2, "gas and gas"), (2, 0, policy.STAND_IN, 0, policy.STAND_IN.lower()), (3, 0, "x", 0, "x")}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
