@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import hashlib
 import io
 import os
 import random
@@ -92,3 +93,32 @@ def test_files_grow_in_number(spark, monkeypatch):
     source_queries.split_csv(spark, "/root/testdata/sf0.001")
     written = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/csv-*/part-*")) - before
     assert len(written) > 3 and max(map(os.path.getsize, written)) < 1 << 19
+
+
+ODD = ["plain", "  lead", "trail  ", "\ttab\t", "end\r", "\rstart", "a\r\nb", "a\rb", "", "\n", "x\n\n", " ", '"', '""', '\\"x', "end\\", "﻿mark", "nul\0in", "\0", "#c", "\x01a\x1f", "\xa0", None]
+
+
+def odd_documents(spark, folder):
+    rows = [(i, t, None if i % 5 == 0 else "", "src0" if i % 3 else "") for i, t in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    digest = lambda t: t if t is None else hashlib.sha256(t.encode()).hexdigest()
+    return [(i, i, lang, source, t if t is None else len(t), digest(t)) for i, t, lang, source in rows]
+
+
+def test_ordered_file_of_odd_texts(spark, tmp_path):
+    from veriloom.plans import source_queries
+
+    want = odd_documents(spark, tmp_path)
+    assert [tuple(r) for r in source_queries.ordered_csv_file(spark, str(tmp_path)).orderBy("ordinal").collect()] == want
+
+
+def test_rows_of_one_null_or_too_many_values(spark, tmp_path):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["a", None, "", "b"])], "ordinal long, v string")
+    path = delimited.write_ordered_csv(df, str(tmp_path / "one.csv"))
+    assert [r.v or "" for r in delimited.read_csv(spark, path).orderBy("ordinal").collect()] == ["a", "", "", "b"]
+    for i, record in enumerate(["1,2,3", '"1"x,2', '1,x"2"', "1"]):
+        (tmp_path / f"{i}.csv").write_text(f"a,b\n{record}\n")
+        with pytest.raises(Exception, match="Malformed"):
+            delimited.read_csv(spark, str(tmp_path / f"{i}.csv")).collect()
+    (tmp_path / "long.csv").write_text('a,b\n,"' + '""x,\n' * 200_000 + '"\n')
+    assert [tuple(r) for r in delimited.read_csv(spark, str(tmp_path / "long.csv")).collect()] == [(0, None, '"x,\n' * 200_000)]
