@@ -122,3 +122,12 @@ def test_rows_of_one_null_or_too_many_values(spark, tmp_path):
             delimited.read_csv(spark, str(tmp_path / f"{i}.csv")).collect()
     (tmp_path / "long.csv").write_text('a,b\n,"' + '""x,\n' * 200_000 + '"\n')
     assert [tuple(r) for r in delimited.read_csv(spark, str(tmp_path / "long.csv")).collect()] == [(0, None, '"x,\n' * 200_000)]
+
+
+def test_split_files_of_odd_texts(spark, tmp_path):
+    from veriloom.plans import source_queries
+
+    want = odd_documents(spark, tmp_path)
+    assert [tuple(r) for r in source_queries.split_csv(spark, str(tmp_path)).orderBy("ordinal").collect()] == want
+    spark.read.parquet(f"{tmp_path}/documents.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert source_queries.split_csv(spark, f"{tmp_path}/none").collect() == []

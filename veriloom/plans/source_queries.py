@@ -45,7 +45,7 @@ def split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as quoted CSV files, three at least and of about FILE_BYTES of text at most, read by ranges of bytes."""
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), _folder(spark, "csv")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs.repartitionByRange(_n_files(total), "doc_id").sortWithinPartitions("doc_id").write.options(header="true", quoteAll="true", escape='"').csv(folder)
+    delimited.write_csv(docs, folder, _n_files(total), "doc_id")
     return _hashed(delimited.read_csv(spark, folder, split_bytes=_range_bytes(total)))
 
 
