@@ -158,3 +158,13 @@ def test_evidence_moves_pieces_once(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 0, "One.", 0, "one."), (1, 1, "two", 0, "two"), (1, 2, "One", 0, "one"), (1, 3, "gas and gas", 2, "gas and gas"), (2, 0, policy.STAND_IN, 0, policy.STAND_IN.lower()), (3, 0, "x", 0, "x")}
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_evidence_split_keeps_every_piece(spark, tmp_path):
+    from veriloom.plans import policy_queries
+
+    said = [f"Sentence number {i} of the card, with the words that it has." for i in range(400)]
+    spark.createDataFrame([(1, "Name\n" + " ".join(said), "en", "src0")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = policy_queries.evidence_split(spark, str(tmp_path)).orderBy("evidence_id").collect()
+    assert [r.evidence_id for r in found] == list(range(len(found))) and [r.evidence for r in found][-len(said) :] == said
+    assert policy_queries.topk_restore_order(spark, str(tmp_path)).count() == 32
