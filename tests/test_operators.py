@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -391,3 +392,28 @@ def test_counts_stay_in_their_rows(spark):
     assert {tuple(r) for r in once.collect()} == {(1, "a", 1), (1, "b", 2), (None, "a", 1)}
     twice = similarity.counts_by_id(docs.union(docs.where("id = 1 or id is null")), "id", words)
     assert {tuple(r) for r in twice.where("value <> ''").collect()} == {(1, "a", 2), (1, "b", 4), (None, "a", 2)}
+
+
+def test_cross_group_similarity_in_two_passes(spark, monkeypatch):
+    """The nearest pair is far below the threshold; texts of several groups meet all, though groups begin with the same text."""
+    levels, near = [], similarity._near
+    monkeypatch.setattr(similarity, "_near", lambda v, level, **kw: levels.append(level) or near(v, level, **kw))
+    texts = [("ab cd", "x"), ("abcd efgh ijkl", "x"), ("abcd mnop qrst", "y"), ("uvwx klmn yzab", "y")]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(texts)], "id long, t string, grp string")
+    vectors = similarity.tfidf(docs, "id", spaced_words("t"), padded_ngrams, 1, None)
+    by = {i: dict(zip(g.term, g.w, strict=True)) for i, g in vectors.toPandas().groupby("id")}
+    got = similarity.cross_group_similarity(vectors, docs.select("id", "grp", F.lit(1).alias("copies")), 0.94).first()
+    assert (got.n_edges, got.max_sim) == (0, pytest.approx(max(cosine(by[a], by[b]) for a in (0, 1) for b in (2, 3)))) and len(levels) <= 4
+    both = docs.select("id", F.explode(F.when(F.col("id") == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array("grp"))).alias("grp"), F.lit(1).alias("copies"))
+    assert similarity.cross_group_similarity(vectors, both, 0.1).first().n_edges == 1 + sum(cosine(by[a], by[b]) >= 0.1 for a, b in [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)])
+
+
+def test_few_candidates_of_the_cosine_join(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "klm" for b in "aeiou" for c in "rst"]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t + (" end" if i % 2 else "")) for i, t in enumerate(x for t in texts for x in (t, t))], "id long, t string")
+    held = similarity._held(similarity.tfidf(docs, "id", spaced_words("t"), padded_ngrams)).withColumn("grp", F.lit(None).cast("long")).toArrow()
+    lists = pa.Table.from_batches(similarity._prefixes(0.84)(held.to_batches()))
+    tight, loose = (set(zip(*(x.tolist() for x in similarity._products(lists, lists, True, 0.06, least)), strict=True)) for least in (0.9 - 1e-5, -1.0))
+    assert {(i, i + 1) for i in range(0, 600, 2)} <= tight <= loose and 3 * len(tight) < len(loose)
