@@ -417,3 +417,14 @@ def test_few_candidates_of_the_cosine_join(spark):
     lists = pa.Table.from_batches(similarity._prefixes(0.84)(held.to_batches()))
     tight, loose = (set(zip(*(x.tolist() for x in similarity._products(lists, lists, True, 0.06, least)), strict=True)) for least in (0.9 - 1e-5, -1.0))
     assert {(i, i + 1) for i in range(0, 600, 2)} <= tight <= loose and 3 * len(tight) < len(loose)
+
+
+def test_many_candidates_are_verified_by_cells(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=5)) for _ in range(60)]
+    vectors = similarity.tfidf(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", spaced_words("t"), padded_ngrams)
+    key = lambda found: [(r.left_id, r.right_id, round(r.sim, 9)) for r in found.orderBy("left_id", "right_id").collect()]
+    want = key(similarity.cosine_pairs(vectors, 0.9))
+    monkeypatch.setattr(similarity, "FEW_PAIRS", 0)
+    monkeypatch.setattr(similarity, "CELL", 500)
+    assert key(similarity.cosine_pairs(vectors, 0.9)) == want and want
